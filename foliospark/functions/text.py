@@ -12,7 +12,7 @@ DEFAULT_MIME_TYPE = "application/octet-stream"
 FILE_TYPE_LABELS = {"application/pdf": "PDF", "text/plain": "TXT"}
 SIZE_UNITS = ("B", "kB", "MB", "GB", "TB", "PB", "EB")
 # Everything that ends a line, apart from the pair CR LF.
-LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # --------------------------------------------------------------------------
 
 
@@ -62,8 +62,8 @@ def human_size(size: Column) -> Column:
     """Byte count in SI units with at most two decimals: ``265.32 kB``."""
     label = F.concat(size.cast("string"), F.lit(" " + SIZE_UNITS[0]))
     for power in range(1, len(SIZE_UNITS)):
-        # 999 995 and above already rounds to one of the next unit
-        floor = 1000**power if power == 1 else 1000**power - 5 * 1000 ** (power - 1) // 1000
+        # from 999.995 of the smaller unit on, two decimals round to the next one
+        floor = 1000 if power == 1 else 999_995 * 1000 ** (power - 2)
         value = F.round(size / F.lit(float(1000**power)), 2).cast("string")
         text = F.concat(
             F.regexp_replace(value, r"\.0$", ""), F.lit(" " + SIZE_UNITS[power])
@@ -75,9 +75,7 @@ def human_size(size: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Number of lines; a final line break does not open another line."""
     ends_open = (F.length(text) > 0) & ~F.right(text, F.lit(1)).isin(*LINE_BREAKS)
-    breaks = F.regexp_count(
-        text, F.lit(r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
-    )
+    breaks = F.regexp_count(text, F.lit(f"\r\n|[{LINE_BREAKS}]"))
     return breaks + F.when(ends_open, 1).otherwise(0)
 
 

@@ -22,6 +22,8 @@ RUNTIME_SETTINGS = {
 BROADCAST_LIMIT = "foliospark.broadcast.maxBytes"
 SALT_BUCKETS = "foliospark.salt.buckets"
 
+_local_root: str | None = None
+
 
 def tune_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -60,16 +62,17 @@ def scratch_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session
     without that setting falls back to a temporary folder of this machine.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    global _local_root
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder all executors can reach"
         )
-    root = tempfile.mkdtemp(prefix="foliospark-")
-    spark.sparkContext.getConf().set("spark.checkpoint.dir", root)
-    return root
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="foliospark-")
+    return _local_root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
