@@ -9,11 +9,15 @@ from foliospark.operators.scale import join_dimension
 from foliospark.schemas import CHUNK_RESULT, RESULT_MANIFEST
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of the result files that succeeded, one row each."""
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Keys of the result files that succeeded, one row each.
+
+    ``path`` holds one manifest document per file, or with ``multi_line``
+    False one per line.
+    """
     return (
         spark.read.schema(RESULT_MANIFEST)
-        .option("multiLine", "true")
+        .option("multiLine", multi_line)
         .json(path)
         .select("DestinationBucket", F.explode("ResultFiles.SUCCEEDED").alias("_file"))
         .select("DestinationBucket", F.col("_file.Key").alias("key"))
