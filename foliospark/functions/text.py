@@ -64,7 +64,8 @@ def human_size(size: Column) -> Column:
     for power in range(1, len(SIZE_UNITS)):
         # from 999.995 of the smaller unit on, two decimals round to the next one
         floor = 1000 if power == 1 else 999_995 * 1000 ** (power - 2)
-        value = F.round(size / F.lit(float(1000**power)), 2).cast("string")
+        hundredths = F.floor(size / F.lit(float(1000**power)) * 100 + 0.5)
+        value = (hundredths / 100).cast("string")
         text = F.concat(
             F.regexp_replace(value, r"\.0$", ""), F.lit(" " + SIZE_UNITS[power])
         )

@@ -74,7 +74,11 @@ def wrong_dimension(chunks: DataFrame, dimension: int = EMBEDDING_DIMENSION) ->
 
 
 def build_lsh_index(
-    chunks: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 42
+    chunks: DataFrame,
+    dimension: int = EMBEDDING_DIMENSION,
+    bucket_length: float = 0.5,
+    tables: int = 8,
+    seed: int = 42,
 ) -> tuple[BucketedRandomProjectionLSHModel, DataFrame]:
     """K7: hash unit vectors, on which Euclidean order is cosine order.
 
@@ -86,7 +90,13 @@ def build_lsh_index(
         "file_id",
         "project_id",
         "embedding",
-        array_to_vector(unit(F.col("embedding"))).alias("_vector"),
+        # never NULL, also where Spark evaluates it ahead of the filter
+        array_to_vector(
+            F.coalesce(
+                unit(F.col("embedding")),
+                F.array_repeat(F.lit(0.0).cast("float"), dimension),
+            )
+        ).alias("_vector"),
     )
     model = BucketedRandomProjectionLSH(
         inputCol="_vector",

@@ -19,7 +19,7 @@ from foliospark.session import broadcast_limit, salt_buckets
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: file bytes for a table, k rows for a top-k."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def join_dimension(

@@ -238,8 +238,8 @@ def deletable_categories(t: DriverTables) -> DataFrame:
     "file_display",
     """SELECT id, CASE type WHEN 'application/pdf' THEN 'PDF' ELSE 'TXT' END AS type_label,
          CASE WHEN size < 1000 THEN size || ' B'
-              ELSE regexp_replace(CAST(CAST(size AS DOUBLE) / 1000 AS DECIMAL(18,2))::VARCHAR,
-                                  '\\.?0+$', '') || ' kB' END AS size_label
+              ELSE regexp_replace(CAST(floor(CAST(size AS DOUBLE) / 1000 * 100 + 0.5) / 100
+                                       AS VARCHAR), '\\.0$', '') || ' kB' END AS size_label
        FROM p_files""",
 )
 def file_display(t: DriverTables) -> DataFrame:

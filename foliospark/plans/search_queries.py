@@ -376,4 +376,5 @@ def neighbor_window(t: DriverTables) -> DataFrame:
 @query("similarity_lsh_topk")
 def similarity_lsh_topk(t: DriverTables) -> DataFrame:
     """The approximate index; its recall against the exact search is tested."""
-    return similarity_lsh(build_lsh_index(t.chunks), t.query_vector(), 10)
+    vector = t.query_vector()
+    return similarity_lsh(build_lsh_index(t.chunks, len(vector)), vector, 10)
