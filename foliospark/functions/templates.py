@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.binding import bind
+
 
 def render(template: Column, values: Mapping[str, Column]) -> Column:
     """Replace each ``{{ name }}`` by its value, in one pass over the template.
@@ -27,10 +29,13 @@ def render(template: Column, values: Mapping[str, Column]) -> Column:
         trimmed, F.lit(r"(?s)(\{\{\s*\w+\s*\}\}|[^{]+|\{)"), F.lit(1)
     )
 
-    def fill(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^\{\{\s*(\w+)\s*\}\}$", 1)
-        return F.when(
-            name != "", F.coalesce(F.try_element_at(lookup, name), F.lit(""))
-        ).otherwise(piece)
+    def filled(names: Column) -> Column:
+        def fill(piece: Column) -> Column:
+            name = F.regexp_extract(piece, r"^\{\{\s*(\w+)\s*\}\}$", 1)
+            return F.when(
+                name != "", F.coalesce(F.try_element_at(names, name), F.lit(""))
+            ).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, fill), "")
 
-    return F.array_join(F.transform(pieces, fill), "")
+    return bind(lookup, filled)

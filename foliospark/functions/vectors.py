@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.binding import bind
+
 
 def cosine_to(embedding: Column, query: Sequence[float]) -> Column:
     """Cosine similarity of a vector column with one query vector, in double.
@@ -56,5 +58,7 @@ def cosine(left: Column, right: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one."""
-    length = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: (x / length).cast("float"))
+    return bind(
+        F.sqrt(dot(vector, vector)),
+        lambda length: F.transform(vector, lambda x: (x / length).cast("float")),
+    )

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.binding import bind
 from foliospark.functions.splitting import (
     CHUNK_OVERLAP,
     CHUNK_SIZE,
@@ -16,43 +17,54 @@ from foliospark.functions.splitting import (
     split_text,
 )
 from foliospark.functions.text import stable_id
-from foliospark.operators.scale import offsets_in_group
+from foliospark.operators.scale import offsets_in_group, spread_small
 from foliospark.session import materialise
 
 TOKEN_BREAK = r"[ \t\n\r\f]+"
+WORD = r"[^ \t\n\r\f]+"
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_BREAK), lambda word: word != "")
 
 
-def window_count(
-    text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
-) -> Column:
-    """K2: number of windows of a text; none for a text without words."""
+def _windows_of(n_words: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     if step <= 0:
         raise ValueError("the overlap must be smaller than the chunk size")
-    words = F.size(_words(text))
     # the last window is the first one that reaches the end of the text
-    further = F.greatest(F.ceil((words - size) / step), F.lit(0))
-    return F.when(words > 0, further + 1).otherwise(0).cast("long")
+    further = F.greatest(F.ceil((n_words - size) / step), F.lit(0))
+    return F.when(n_words > 0, further + 1).otherwise(0).cast("long")
+
+
+def window_count(
+    text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+) -> Column:
+    """K2: number of windows of a text; none for a text without words."""
+    return _windows_of(F.regexp_count(text, F.lit(WORD)), size, overlap)
 
 
 def window_chunks(
     text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> Column:
-    """K2: the text's words in windows of ``size`` that share ``overlap`` words."""
-    words, count = _words(text), window_count(text, size, overlap)
-    starts = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.transform(
-        starts,
-        lambda i: F.array_join(
-            F.slice(words, (i * (size - overlap) + 1).cast("int"), F.lit(size)), " "
-        ),
-    )
+    """K2: the text's words in windows of ``size`` that share ``overlap`` words.
+
+    The words are bound once per text, so the work is linear in its length.
+    """
+
+    def windows(words: Column) -> Column:
+        count = _windows_of(F.size(words), size, overlap)
+        starts = F.when(
+            count > 0, F.sequence(F.lit(0).cast("long"), count - 1)
+        ).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(
+            starts,
+            lambda i: F.array_join(
+                F.slice(words, (i * (size - overlap) + 1).cast("int"), F.lit(size)), " "
+            ),
+        )
+
+    return bind(_words(text), windows)
 
 
 def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
@@ -61,9 +73,11 @@ def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
     ``pages`` has (id, file_id, project_id, content_number, content_metadata);
     ``texts`` are a page's chunks and ``counts`` their number. The numbering
     runs over (file, page, count) alone and is joined back by page, so no
-    window carries text and no task handles a whole file.
+    window carries text and no task handles a whole file. Pages are cut after
+    that join: what it shuffles is the text, not its overlapping chunks.
     """
     keep = ["project_id", "file_id", "content_id", "content_number", "chunk_metadata"]
+    pages = spread_small(pages, "id")
     offsets = offsets_in_group(
         pages.select("file_id", "content_number", counts.alias("_size")),
         ["file_id"],
@@ -72,16 +86,22 @@ def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
         "_offset",
     ).drop("_size")
     unfolded = (
-        pages.select(
+        pages.join(offsets, ["file_id", "content_number"])
+        .select(
             "project_id",
             "file_id",
             F.col("id").alias("content_id"),
             "content_number",
             F.col("content_metadata").alias("chunk_metadata"),
+            "_offset",
             texts.alias("_texts"),
         )
-        .join(offsets, ["file_id", "content_number"])
-        .select(*keep, "_offset", F.posexplode("_texts").alias("_position", "content"))
+        # The outer form keeps Spark from testing the array ahead of the join,
+        # which would cut every page a second time.
+        .select(
+            *keep, "_offset", F.posexplode_outer("_texts").alias("_position", "content")
+        )
+        .filter(F.col("_position").isNotNull())
     )
     return unfolded.select(
         stable_id(F.col("content_id"), F.col("_position")).alias("id"),
@@ -130,7 +150,7 @@ def chunk_recursive(
         )
 
     pieces = materialise(
-        pages.select(
+        spread_small(pages, "id").select(
             "id",
             "file_id",
             "project_id",

@@ -9,6 +9,7 @@ from pyspark.ml.feature import (
     BucketedRandomProjectionLSH,
     BucketedRandomProjectionLSHModel,
     HashingTF,
+    Normalizer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -31,10 +32,11 @@ def embed_hashed(chunks: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> Dat
     counted = HashingTF(
         inputCol="_words", outputCol="_counts", numFeatures=dimension
     ).transform(chunks.drop("embedding", "status").withColumn("_words", words))
-    vector = F.when(
-        F.size("_words") > 0, unit(vector_to_array("_counts", "float32"))
+    scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+    vector = F.when(F.size("_words") > 0, vector_to_array("_unit", "float32"))
+    return _marked(
+        scaled.withColumn("embedding", vector).drop("_words", "_counts", "_unit")
     )
-    return _marked(counted.withColumn("embedding", vector).drop("_words", "_counts"))
 
 
 def embed_chunks(

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import broadcast_limit, salt_buckets
 
+SPLIT_BYTES = 128 * 1024 * 1024  # of a table scan
+
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: file bytes for a table, k rows for a top-k."""
@@ -22,6 +24,18 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def spread_small(df: DataFrame, *by: str) -> DataFrame:
+    """Give a small input to all cores before costly work per row.
+
+    A table of a few files is read by as few tasks. Shuffling it is cheap; a
+    large table has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if planned_bytes(df) < cores * SPLIT_BYTES:
+        return df.repartition(cores, *by)
+    return df
+
+
 def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,
@@ -105,7 +119,11 @@ def offsets_in_group(
     per bucket of a group, never all rows of a hot group.
     """
     group = list(group)
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width))
+    # One shuffle of narrow rows serves the sums inside and across buckets: both
+    # read the same columns of it, so Spark reuses the exchange.
+    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width)).repartition(
+        *group, "_bucket"
+    )
     inside = (
         Window.partitionBy(*group, "_bucket")
         .orderBy(order)
@@ -113,14 +131,14 @@ def offsets_in_group(
     )
     across = (
         Window.partitionBy(*group)
-        .orderBy("_bucket")
+        .orderBy("_last")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = (
         bucketed.groupBy(*group, "_bucket")
-        .agg(F.sum(size).alias("_total"))
+        .agg(F.sum(size).alias("_total"), F.max(order).alias("_last"))
         .withColumn("_before", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
+        .drop("_total", "_last")
     )
     return (
         bucketed.withColumn(
