@@ -120,10 +120,10 @@ def offsets_in_group(
     """
     group = list(group)
     # One shuffle of narrow rows serves the sums inside and across buckets: both
-    # read the same columns of it, so Spark reuses the exchange.
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width)).repartition(
-        *group, "_bucket"
-    )
+    # read the same columns of it and the bucket is never NULL, which would put
+    # a filter below one of the two, so Spark reuses the exchange.
+    bucket = F.coalesce(F.floor(F.col(order) / bucket_width), F.lit(0))
+    bucketed = df.withColumn("_bucket", bucket).repartition(*group, "_bucket")
     inside = (
         Window.partitionBy(*group, "_bucket")
         .orderBy(order)
