@@ -67,6 +67,8 @@ def salted_join(
     """Equi-join whose hot keys are spread over several tasks."""
     slices = salt_buckets(fact.sparkSession)
     spread = list(spread) or [c for c in fact.columns if c not in on][:1]
+    if not spread:  # nothing but the key: left to the adaptive skew join
+        return fact.join(dimension, list(on), how)
     salted = fact.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)))
     repeated = dimension.withColumn(
         "_slice",

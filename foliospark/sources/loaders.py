@@ -81,7 +81,7 @@ def extract_pages(files: DataFrame, extractor: PageExtractor) -> DataFrame:
                             "file_id": [file_id],
                             "content_number": pd.array([number], dtype="Int32"),
                             "content": [text],
-                            "content_metadata": [list(metadata.items())],
+                            "content_metadata": [dict(metadata)],
                             "error": [None],
                         }
                     )
