@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.templates import render
 from foliospark.functions.text import is_blank, percent_encode, stable_id
 from foliospark.operators.hierarchy import evaluation_tree, tree_height
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_by_key, join_dimension
 from foliospark.schemas import COMPLETION_CALLBACK
 from foliospark.session import materialise
 
@@ -76,17 +76,33 @@ def first_level(evaluations: DataFrame) -> DataFrame:
     )
 
 
-def tasks_for_pages(pages: DataFrame, evaluations: DataFrame) -> DataFrame:
+PAGE_TEXT = ("content", "content_metadata")
+
+
+def tasks_for_pages(
+    pages: DataFrame, evaluations: DataFrame, carry_text: bool = False
+) -> DataFrame:
     """(page, evaluation) pairs of the same project.
 
     ``pages`` has (id, file_id, project_id). A join on the project, whose few
     keys are very uneven: the questions are broadcast, or the pages salted.
+    With ``carry_text`` the page text comes along, and answering the tasks
+    needs no further join.
     """
     questions = evaluations.select("project_id", F.col("id").alias("evaluation_id"))
-    heads = pages.select("project_id", "file_id", F.col("id").alias("content_id"))
+    text = [c for c in PAGE_TEXT if carry_text and c in pages.columns]
+    heads = pages.select("project_id", "file_id", F.col("id").alias("content_id"), *text)
     return join_dimension(heads, questions, ["project_id"], spread=["content_id"])
 
 
+def with_page_text(tasks: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """Tasks with these page columns, joined by page unless carried already."""
+    if all(c in tasks.columns for c in columns):
+        return tasks
+    texts = pages.select(F.col("id").alias("content_id"), *columns)
+    return tasks.drop(*columns).join(texts, "content_id")
+
+
 def next_level_tasks(
     answers: DataFrame, evaluations: DataFrame, any_option: bool = False
 ) -> DataFrame:
@@ -143,9 +159,11 @@ def build_requests(
         "evaluation_type",
         "evaluation_options",
     )
-    texts = pages.select(F.col("id").alias("content_id"), "content", "content_metadata")
     asked = join_dimension(
-        tasks.join(texts, "content_id"), questions, ["evaluation_id"], spread=["content_id"]
+        with_page_text(tasks, pages, *PAGE_TEXT),
+        questions,
+        ["evaluation_id"],
+        spread=["content_id"],
     )
 
     def message(role: str, text: Column) -> Column:
@@ -276,12 +294,14 @@ def stub_answer(content: Column, evaluation: Column, kind: Column, options: Colu
 
 def respond_stub(tasks: DataFrame, pages: DataFrame, evaluations: DataFrame) -> DataFrame:
     """K11 with :func:`stub_answer`: tasks with an added ``response``."""
-    texts = pages.select(F.col("id").alias("content_id"), "content")
     questions = evaluations.select(
         F.col("id").alias("evaluation_id"), "evaluation_type", "evaluation_options"
     )
     joined = join_dimension(
-        tasks.join(texts, "content_id"), questions, ["evaluation_id"], spread=["content_id"]
+        with_page_text(tasks, pages, "content"),
+        questions,
+        ["evaluation_id"],
+        spread=["content_id"],
     )
     answer = stub_answer(
         F.col("content"),
@@ -321,7 +341,7 @@ def parse_answers(callbacks: DataFrame, files: DataFrame, evaluations: DataFrame
         "evaluation_type",
         "evaluation_options",
     )
-    joined = join_dimension(callbacks, known_files, ["file_id"], "left", ["content_id"])
+    joined = join_by_key(callbacks, known_files, ["file_id"], "left")
     joined = join_dimension(joined, questions, ["evaluation_id"], "left", ["content_id"])
     kind = F.col("evaluation_type")
     call = F.get("completion.tool_calls", F.lit(0))["function"]
@@ -431,9 +451,8 @@ def evaluate_pages(
     pages: DataFrame, evaluations: DataFrame, answer: AnswerStep, any_option: bool = False
 ) -> DataFrame:
     """H2 from the roots: every page of the input."""
-    return cascade(
-        tasks_for_pages(pages, first_level(evaluations)), evaluations, answer, any_option
-    )
+    start = tasks_for_pages(pages, first_level(evaluations), carry_text=True)
+    return cascade(start, evaluations, answer, any_option)
 
 
 def update_cascade(
@@ -446,10 +465,11 @@ def update_cascade(
 ) -> DataFrame:
     """H4: ask one evaluation of all pages of the given files, then its children."""
     one = evaluations.filter(F.col("id") == F.lit(evaluation_id))
-    scope = join_dimension(
-        pages, files.select("file_id").distinct(), ["file_id"], "left_semi", ["id"]
+    scope = join_by_key(
+        pages, files.select("file_id").distinct(), ["file_id"], "left_semi"
     )
-    return cascade(tasks_for_pages(scope, one), evaluations, answer, any_option)
+    start = tasks_for_pages(scope, one, carry_text=True)
+    return cascade(start, evaluations, answer, any_option)
 
 
 def answer_rows(answered: DataFrame, status: str = "completed") -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_by_key, join_dimension
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def search_files(
     """Every answer of every matching file, newest files first.
 
     Files without answers vanish. One file may hold a third of all answers,
-    so the join on it broadcasts the matching files or is salted.
+    so the join on it broadcasts the matching files or is split where skewed.
     """
     if project_id is not None:
         files = files.filter(F.col("project_id") == F.lit(project_id))
@@ -149,7 +149,7 @@ def search_files(
         F.col("id").alias("evaluation_id"), "title", "evaluation_type"
     )
     numbers = pages.select(F.col("id").alias("content_id"), "content_number")
-    joined = join_dimension(rows, heads, ["file_id"], spread=["answer_id"])
+    joined = join_by_key(rows, heads, ["file_id"])
     joined = join_dimension(joined, titles, ["evaluation_id"], spread=["answer_id"])
     return joined.join(numbers, "content_id").orderBy(
         F.col("file_created_at").desc(), "file_id", "answer_id"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import is_blank, object_url, file_extension, stable_id, upload_mime_type
 from foliospark.operators.hierarchy import evaluation_tree
-from foliospark.operators.scale import first_per_key, join_dimension, latest_per_key
+from foliospark.operators.scale import first_per_key, join_by_key, join_dimension, latest_per_key
 
 # --- fixed values: seeded rows ------------------------------------------------
 DEFAULT_CATEGORY = "default"
@@ -57,7 +57,7 @@ def update_rows(
     renamed = changes.select(
         key, F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in changed]
     )
-    joined = join_dimension(table, renamed, [key], "left")
+    joined = join_by_key(table, renamed, [key], "left")
     touched = F.coalesce("_changed", F.lit(False))
 
     def current(name: str) -> Column:
@@ -98,7 +98,9 @@ def upsert_answers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def delete_by_key(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """D3: the rows that stay. ``ids`` has one column, ``id``."""
     gone = ids.select(F.col("id").alias(key)).distinct()
-    return join_dimension(table, gone, [key], "left_anti")
+    few = key in ("project_id", "evaluation_id")
+    join = join_dimension if few else join_by_key
+    return join(table, gone, [key], "left_anti")
 
 
 def delete_files(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import is_blank
-from foliospark.operators.scale import first_per_key, join_dimension
+from foliospark.operators.scale import first_per_key, join_by_key, join_dimension
 
 
 def scan_ordered(
@@ -29,7 +29,7 @@ def lookup(df: DataFrame, key: object, column: str = "id") -> DataFrame:
 
 def lookup_many(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose (possibly composite) key occurs in ``keys``."""
-    return join_dimension(df, keys.distinct(), keys.columns, "left_semi")
+    return join_by_key(df, keys.distinct(), keys.columns, "left_semi")
 
 
 def by_project(df: DataFrame, project_id: object, newest_first: bool = False) -> DataFrame:
@@ -71,7 +71,7 @@ def page_ranges(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """P5 for many requests ``(file_id, from_page, to_page)`` at once."""
     number = F.col("content_number")
     upper = F.col("to_page")
-    joined = join_dimension(pages, requests, ["file_id"], spread=["id"])
+    joined = join_by_key(pages, requests, ["file_id"])
     open_end = upper.isNull() | (upper == 0)
     return joined.filter((number >= F.col("from_page")) & (open_end | (number <= upper)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.maintenance import latest_answers
 from foliospark.operators.reads import displayed_answer, page_label, shown_when_empty
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_by_key, join_dimension
 
 
 def project_stats(projects: DataFrame, files: DataFrame, answers: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def answers_detail(
     rows = answers.withColumnRenamed("id", "answer_id")
     joined = rows.join(texts, "content_id")
     joined = join_dimension(joined, titles, ["evaluation_id"], spread=["answer_id"])
-    return join_dimension(joined, heads, ["file_id"], spread=["answer_id"])
+    return join_by_key(joined, heads, ["file_id"])
 
 
 def answers_by_file(detail: DataFrame, project_id: object, file_id: object) -> DataFrame:
@@ -145,14 +145,24 @@ def grouped_by_category(categories: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def results_table(detail: DataFrame, category_id: object | None = None) -> DataFrame:
-    """Newest results of one category or of all, ready to show."""
-    rows = detail
+def results_table(
+    answers: DataFrame,
+    files: DataFrame,
+    evaluations: DataFrame,
+    pages: DataFrame,
+    category_id: object | None = None,
+) -> DataFrame:
+    """Newest results of one category or of all, ready to show.
+
+    Versions are dropped from the narrow answers, before page texts join.
+    """
     if category_id is not None:
-        rows = rows.filter(F.col("category_id") == F.lit(category_id))
-    newest = latest_answers(rows.withColumnRenamed("answer_id", "id"))
+        evaluations = evaluations.filter(F.col("category_id") == F.lit(category_id))
+        asked = evaluations.select(F.col("id").alias("evaluation_id"))
+        answers = join_dimension(answers, asked, ["evaluation_id"], "left_semi", ["id"])
+    newest = answers_detail(latest_answers(answers), files, evaluations, pages)
     return newest.select(
-        F.col("id").alias("answer_id"),
+        "answer_id",
         "project_id",
         "category_id",
         "file_id",

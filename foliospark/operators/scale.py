@@ -43,20 +43,36 @@ def join_dimension(
     how: str = "inner",
     spread: Sequence[str] = (),
 ) -> DataFrame:
-    """Join a large table with a side that is normally small.
+    """Join a large table with a side that is normally small, on few keys.
 
     The side is broadcast only if its planned size is within the limit.
     Beyond it the join is salted: the large table is spread over ``spread``
     columns, the other side repeated once per slice, so a hot key is shared
-    by many tasks. ``how`` may be inner, left, left_semi or left_anti.
+    by many tasks. Meant for keys such as the project or the question, of
+    which the other side has few rows each; for keys as many as files or
+    pages see :func:`join_by_key`. ``how`` may be inner, left, left_semi or
+    left_anti.
     """
-    spark = fact.sparkSession
     on = list(on)
-    if planned_bytes(dimension) <= broadcast_limit(spark):
+    if planned_bytes(dimension) <= broadcast_limit(fact.sparkSession):
         return fact.join(F.broadcast(dimension), on, how)
     return salted_join(fact, dimension, on, how, spread)
 
 
+def join_by_key(
+    fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join with a side that may be large itself: keys of files, pages or rows.
+
+    A side within the limit is broadcast. Otherwise both are shuffled once, and
+    the adaptive skew join, which the session settings force, splits the
+    partition of a hot key and repeats only that key's few rows of ``side``.
+    """
+    if planned_bytes(side) <= broadcast_limit(fact.sparkSession):
+        side = F.broadcast(side)
+    return fact.join(side, list(on), how)
+
+
 def salted_join(
     fact: DataFrame,
     dimension: DataFrame,

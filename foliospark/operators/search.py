@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.vectors import cosine_to
-from foliospark.operators.scale import join_dimension, range_frame
+from foliospark.operators.scale import join_by_key, range_frame
 
 # --- fixed values: retrieval defaults ---------------------------------------
 DEFAULT_THRESHOLD = 0.3
@@ -119,7 +119,7 @@ def with_neighbors(
         "row_number", F.explode(F.sequence(number - before, number + after))
     )
     candidates = rows.withColumn("row_number", F.col("row_number").cast("long"))
-    joined = join_dimension(candidates, wanted, ["file_id", "row_number"], spread=["row_id"])
+    joined = join_by_key(candidates, wanted, ["file_id", "row_number"])
     is_neighbor = F.col("row_id") != F.col("hit_id")
     if before == 0 and after == 0:
         joined = joined.filter(~is_neighbor)
@@ -179,11 +179,10 @@ def similarity_pages(
         F.col("id").alias("hit_id"), "file_id", F.col("content_number").alias("hit_number")
     )
     # the page's own file decides what lies around it
-    located = join_dimension(
+    located = join_by_key(
         owners,
         hits.withColumnRenamed("content_id", "hit_id").drop("file_id", "chunk_number"),
         ["hit_id"],
-        spread=["file_id"],
     )
     rows = pages.select(
         F.col("id").alias("row_id"), "file_id", F.col("content_number").alias("row_number")

@@ -35,7 +35,7 @@ def apply_templates(t: DriverTables) -> DataFrame:
 
 def _root_requests(t: DriverTables) -> DataFrame:
     questions = ev.apply_templates(t.evaluations, t.templates)
-    tasks = ev.tasks_for_pages(t.pages, ev.first_level(questions))
+    tasks = ev.tasks_for_pages(t.pages, ev.first_level(questions), carry_text=True)
     return ev.build_requests(tasks, t.pages, questions)
 
 
@@ -100,7 +100,7 @@ def requests_sink(t: DriverTables) -> DataFrame:
 
 
 def _answered_roots(t: DriverTables) -> DataFrame:
-    tasks = ev.tasks_for_pages(t.pages, ev.first_level(t.evaluations))
+    tasks = ev.tasks_for_pages(t.pages, ev.first_level(t.evaluations), carry_text=True)
     return ev.respond_stub(tasks, t.pages, t.evaluations)
 
 
@@ -423,6 +423,6 @@ def answer_roots(t: DriverTables) -> DataFrame:
 )
 def answer_trees(t: DriverTables) -> DataFrame:
     """Trees among all answers but the false ones, whose absence parts chains."""
-    tasks = ev.tasks_for_pages(t.pages, t.evaluations)
+    tasks = ev.tasks_for_pages(t.pages, t.evaluations, carry_text=True)
     answers = ev.respond_stub(tasks, t.pages, t.evaluations).filter("response <> 'false'")
     return hierarchy.answer_trees(answers, hierarchy.evaluation_tree(t.evaluations))

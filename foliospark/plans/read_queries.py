@@ -439,7 +439,7 @@ RESULTS_SQL = """SELECT l.id AS answer_id, d.category_id, d.file_name, d.title,
 
 
 def _results(t: DriverTables) -> DataFrame:
-    return reports.results_table(detail(t)).select(
+    return reports.results_table(t.answers, t.files, t.evaluations, t.pages).select(
         "answer_id",
         "category_id",
         "file_name",

@@ -62,27 +62,22 @@ def extract_pages(files: DataFrame, extractor: PageExtractor) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, data in zip(batch["file_id"], batch["content"]):
+                error, pages = None, []
                 try:
                     pages = extractor(bytes(data))
                 except Exception as problem:  # reported per file
+                    error = str(problem) or type(problem).__name__
+                # a broken file is one row without a page
+                rows = [(n, t, dict(m)) for n, (t, m) in enumerate(pages, start=1)]
+                numbers, texts, metadata = zip(*(rows or [(None, None, None)]))
+                if rows or error is not None:
                     yield pd.DataFrame(
                         {
-                            "file_id": [file_id],
-                            "content_number": pd.array([None], dtype="Int32"),
-                            "content": [None],
-                            "content_metadata": [None],
-                            "error": [str(problem) or type(problem).__name__],
-                        }
-                    )
-                    continue
-                for number, (text, metadata) in enumerate(pages, start=1):
-                    yield pd.DataFrame(
-                        {
-                            "file_id": [file_id],
-                            "content_number": pd.array([number], dtype="Int32"),
-                            "content": [text],
-                            "content_metadata": [dict(metadata)],
-                            "error": [None],
+                            "file_id": [file_id] * len(numbers),
+                            "content_number": pd.array(numbers, dtype="Int32"),
+                            "content": texts,
+                            "content_metadata": metadata,
+                            "error": [error] * len(numbers),
                         }
                     )
 

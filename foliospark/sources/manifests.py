@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_by_key
 from foliospark.schemas import CHUNK_RESULT, RESULT_MANIFEST
 
 
@@ -36,9 +36,7 @@ def read_listed(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
         "value",
         F.substring_index(F.col("_metadata.file_path"), prefix, -1).alias("key"),
     )
-    return join_dimension(
-        located, keys.select("key").distinct(), ["key"], "left_semi", ["value"]
-    )
+    return join_by_key(located, keys.select("key").distinct(), ["key"], "left_semi")
 
 
 def flatten_chunk_results(lines: DataFrame, value: str = "value") -> DataFrame:
