@@ -19,8 +19,12 @@ def evaluation_tree(evaluations: DataFrame, max_depth: int = MAX_DEPTH) -> DataF
     parent and rows on a cycle are not reached; a cycle cannot hold the walk
     because it has no root.
     """
-    nodes = evaluations.select(
-        "id", "project_id", "title", "parent_evaluation_id", "created_at"
+    # written once, since every level joins it
+    nodes = materialise(
+        evaluations.select(
+            "id", "project_id", "title", "parent_evaluation_id", "created_at"
+        ),
+        "tree-nodes",
     )
     level = nodes.filter(F.col("parent_evaluation_id").isNull()).select(
         *nodes.columns,

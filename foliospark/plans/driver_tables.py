@@ -11,12 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import object_url
+from foliospark.operators.scale import spread_small
 
 BASE_SECONDS = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 EMPTY_PROJECT = "src_empty"
 PAGE_FACTOR = 100_000
 LANDING_BUCKET = "landing"
 
+# Declared, so that opening a table starts no job to infer its columns.
+GIVEN_SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 
 def seconds_after_base(offset: Column) -> Column:
     return F.timestamp_seconds(F.lit(BASE_SECONDS) + offset)
@@ -36,7 +45,9 @@ class DriverTables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(GIVEN_SCHEMAS[name]).parquet(
+            f"{self.sf_dir}/{name}.parquet"
+        )
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -86,7 +97,7 @@ class DriverTables:
     def pages(self) -> DataFrame:
         """One page per non-blank line of a document's whole text."""
         lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.trim(line)) > 0)
-        rows = self.documents.select(
+        rows = spread_small(self.documents, "doc_id").select(
             F.col("doc_id").alias("file_id"),
             F.col("source").alias("project_id"),
             F.posexplode(lines).alias("_position", "content"),

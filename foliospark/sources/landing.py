@@ -107,12 +107,15 @@ def register_files(objects: DataFrame, files: DataFrame) -> DataFrame:
         objects.withColumn("url", url), ["url"], [F.col("file_id").isNull(), F.col("message_id")]
     )
     known = files.select(
-        F.col("id").cast("string").alias("file_id"),
+        F.col("id").cast("string").alias("_key"),
         F.col("name").alias("_name"),
         F.col("status").alias("_status"),
         F.lit(True).alias("_known"),
     )
-    joined = landed.join(known, "file_id", "left")
+    # Objects without a file id get their URL as key: it matches nothing, and
+    # unlike NULL it does not send all of them to the same task.
+    keyed = landed.withColumn("_key", F.coalesce("file_id", "url"))
+    joined = keyed.join(known, "_key", "left")
     is_new = F.col("file_id").isNull()
     return joined.select(
         F.coalesce("file_id", stable_id(F.col("url"))).alias("file_id"),
