@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe
-from foliospark.llm.common import read_table
+from foliospark.llm import bpe, html, langid, minhash, packing, rules
+from foliospark.llm.common import crc_bucket, read_table
 from foliospark.session import tune_session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,53 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(decimal, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_pack")
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(
+        read_table(spark, sf_dir, "documents"), vocabulary_path(), 2048
+    )
+
+
+@query("op3_langid")
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of the rows."""
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = langid.fit(documents.filter(~held_out), "text", "lang")
+    return langid.predict(
+        documents.withColumn("held_out", held_out), model, kept=["doc_id", "held_out"]
+    )
+
+
+@query("op6_neardup")
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_rules")
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every text and the verdict of the learned list."""
+    return rules.judge(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    ).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+@query("op8_html")
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    found = html.extract(pages, kept=["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
