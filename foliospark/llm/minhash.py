@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import byte_groups
+from foliospark.operators.scale import join_by_key
 from foliospark.session import materialise
 
 SHINGLE_WORDS = 5
@@ -193,7 +194,8 @@ def sketch(
 
     Columns: ``row_id``, ``kept`` (struct of the kept columns), ``text_id`` (equal
     for equal word sequences; null without words), ``n`` (total weight),
-    ``shingles`` (sorted 32-bit hashes and their counts) and ``buckets``.
+    ``shingles`` (sorted 32-bit hashes, each repeated as often as it counts) and
+    ``buckets``.
     """
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -216,10 +218,10 @@ def sketch(
                 bands[:, k // BAND_ROWS] += mixed(found[:, k], k)
             keys = mixed(bands, 5).astype(np.int64).tolist()
             bounds = np.searchsorted(of_text, np.arange(len(data) + 1))
-            pairs = np.empty((len(hashed), 2), "<u4")
-            pairs[:, 0] = hashed >> np.uint64(32)
-            pairs[:, 1] = weight
-            sets = [pairs[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            ends = np.append(0, np.cumsum(weight))
+            short = np.repeat((hashed >> np.uint64(32)).astype("<u4"), weight)
+            cuts = ends[bounds].tolist()
+            sets = [short[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("row_id"),
@@ -237,14 +239,19 @@ def sketch(
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two shingle lists."""
-    left = np.frombuffer(a, "<u4").reshape(-1, 2)
-    right = np.frombuffer(b, "<u4").reshape(-1, 2)
-    if not len(left) or not len(right):
-        return 0.0
-    at = np.minimum(np.searchsorted(right[:, 0], left[:, 0]), len(right) - 1)
-    both = right[at, 0] == left[:, 0]
-    common = np.minimum(left[both, 1], right[at[both], 1]).sum(dtype=np.int64)
-    return common / (left[:, 1].sum(dtype=np.int64) + right[:, 1].sum(dtype=np.int64) - common)
+    left, right = (np.frombuffer(x, "<u4") for x in (a, b))
+    both = np.sort(np.concatenate([numbered(left), numbered(right)]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(len(both) - common, 1)
+
+
+def numbered(shingles: np.ndarray) -> np.ndarray:
+    """Sorted shingles with the number of each among its equals."""
+    new = np.ones(len(shingles), bool)
+    new[1:] = shingles[1:] != shingles[:-1]
+    first = np.flatnonzero(new)
+    nth = np.arange(len(shingles)) - first[np.cumsum(new) - 1]
+    return (shingles.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64)
 
 
 def check_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -253,14 +260,14 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     Totals are compared before the sets are fetched: too unequal texts cannot be
     similar enough.
     """
-    sizes = texts.select("text_id", "n")
+    sizes = texts.select("node", "n")
     sized = (
         pairs.join(sizes.toDF("a", "n_a"), "a")
         .join(sizes.toDF("b", "n_b"), "b")
         .filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
         .select("a", "b")
     )
-    sets = texts.select("text_id", "shingles")
+    sets = texts.select("node", "shingles")
     full = sized.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,91 +281,85 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
                 [kept.column("a"), kept.column("b")], ["a", "b"]
             )
 
-    return full.select("a", "b", "s_a", "s_b").mapInArrow(run, "a binary, b binary")
-
+    return full.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
-def ordered_pairs(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
-
-def first_candidates(members: DataFrame, counts: DataFrame) -> DataFrame:
+def first_candidates(shared: DataFrame) -> DataFrame:
     """Pairs of small buckets, and of each text with the common one of a large bucket."""
-    sized = members.join(counts, "bucket")
     listed = (
-        sized.filter(F.col("texts") <= SMALL_BUCKET)
+        shared.filter(F.col("texts") <= SMALL_BUCKET)
         .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list("text_id")).alias("ids"))
+        .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    )
+    small = listed.select(F.posexplode("nodes").alias("at", "a"), "nodes").select(
+        "a", F.explode(F.slice("nodes", F.col("at") + 2, SMALL_BUCKET)).alias("b")
     )
-    small = listed.select(F.posexplode("ids").alias("at", "a"), "ids").select(
-        "a", F.explode(F.slice("ids", F.col("at") + 2, SMALL_BUCKET)).alias("b")
+    large = shared.filter(F.col("texts") > SMALL_BUCKET).filter("node <> centre")
+    star = large.select(
+        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
     )
-    large = sized.filter(F.col("texts") > SMALL_BUCKET).filter("text_id <> centre")
-    return small.union(large.select(*ordered_pairs("text_id", "centre"))).distinct()
+    return small.union(star).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Text and class label of every text that has a link.
+    """Node and class label of every node that has a link.
 
-    Each round every text takes the least label around it and then the label of
-    that label; both steps are partial aggregates and joins on the text.
+    Each round every node takes the least label around it and then the label of
+    that label; both steps are partial aggregates and joins on the node.
     """
-    both = materialise(links.union(links.select("b", "a")).toDF("text_id", "other"), "links")
-    labels = both.groupBy("text_id").agg(F.min("other").alias("other")).select(
-        "text_id", F.least("text_id", "other").alias("label")
+    both = materialise(links.union(links.select("b", "a")).toDF("node", "other"), "links")
+    labels = both.groupBy("node").agg(F.min("other").alias("other")).select(
+        "node", F.least("node", "other").alias("label")
     )
     labels = materialise(labels, "labels")
     while True:
         around = both.join(labels.toDF("other", "seen"), "other")
-        least = around.groupBy("text_id").agg(F.min("seen").alias("seen"))
-        moved = labels.join(least, "text_id").select(
-            "text_id", F.least("label", "seen").alias("near"), "label"
+        least = around.groupBy("node").agg(F.min("seen").alias("seen"))
+        moved = labels.join(least, "node").select(
+            "node", F.least("label", "seen").alias("near"), "label"
         )
         jumped = moved.join(labels.toDF("near", "far"), "near").select(
-            "text_id", F.least("near", "far").alias("label"), F.col("label").alias("before")
+            "node", F.least("near", "far").alias("label"), F.col("label").alias("before")
         )
         following = materialise(jumped, "labels")
         changed = not following.filter("label <> before").isEmpty()
-        labels = following.select("text_id", "label")
+        labels = following.select("node", "label")
         if not changed:
             return labels
 
 
-def classes(sketched: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Label of every text of ``sketched`` that is linked to another one."""
-    texts = sketched.filter("text_id IS NOT NULL")
-    one_each = texts.groupBy("text_id").agg(F.min("row_id").alias("row_id"))
-    single = texts.join(one_each.select("row_id"), "row_id")
-    members = single.select("text_id", F.explode("buckets").alias("bucket"))
+def classes(sketched: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Label of every node that is linked to another one.
+
+    ``nodes`` has the row that stands for each distinct text. Sketches stay where
+    they lie as long as the row ids looked for are few enough to broadcast.
+    """
+    single = join_by_key(
+        sketched.withColumnRenamed("row_id", "node"), nodes.select("node"), ["node"], "left_semi"
+    )
+    members = materialise(single.select("node", F.explode("buckets").alias("bucket")), "members")
     counts = (
         members.groupBy("bucket")
         .agg(
             F.count("*").alias("texts"),
-            F.min(F.struct(F.xxhash64("text_id"), "text_id"))["text_id"].alias("centre"),
+            F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("centre"),
         )
         .filter("texts > 1")
     )
     # Only texts that share a bucket go on; most of a corpus ends here.
-    shared = materialise(
-        members.join(counts, "bucket").select("bucket", "text_id", "texts", "centre"),
-        "buckets",
-    )
-    wanted = shared.select("text_id").distinct()
+    shared = materialise(members.join(counts, "bucket"), "buckets")
+    wanted = materialise(shared.select("node").distinct(), "wanted")
     kept = materialise(
-        single.join(wanted, "text_id").select("text_id", "n", "shingles"), "shingles"
-    )
-    tested = materialise(
-        first_candidates(
-            shared.select("bucket", "text_id"),
-            shared.select("bucket", "texts", "centre").distinct(),
-        ),
-        "candidates",
+        join_by_key(single.select("node", "n", "shingles"), wanted, ["node"], "left_semi"),
+        "shingles",
     )
+    tested = materialise(first_candidates(shared), "candidates")
     links = materialise(check_pairs(tested, kept, threshold), "links")
     labels = components(links)
     # Texts of one large bucket that are in different classes so far.
-    large = shared.filter(F.col("texts") > SMALL_BUCKET).select("bucket", "text_id")
-    placed = large.join(labels, "text_id", "left").select(
-        "bucket", "text_id", F.coalesce("label", "text_id").alias("label")
+    large = shared.filter(F.col("texts") > SMALL_BUCKET).select("bucket", "node")
+    placed = large.join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("label", "node").alias("label")
     )
     mixed_up = (
         placed.groupBy("bucket")
@@ -369,9 +370,9 @@ def classes(sketched: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     rest = materialise(placed.join(mixed_up, "bucket"), "mixed")
     if rest.isEmpty():
         return labels
-    other = rest.select("bucket", F.col("text_id").alias("b"), F.col("label").alias("label_b"))
+    other = rest.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
     across = (
-        rest.withColumnRenamed("text_id", "a")
+        rest.withColumnRenamed("node", "a")
         .join(other, "bucket")
         .filter("a < b AND label <> label_b")
         .select("a", "b")
@@ -398,10 +399,14 @@ def near_duplicates(
     kept = kept or [key]
     carried = list(dict.fromkeys([*kept, key]))
     sketched = materialise(sketch(df, text, carried, weighting), "sketch")
-    labels = classes(sketched, threshold)
-    rows = sketched.select("row_id", "kept", "text_id").join(labels, "text_id", "left")
-    own = F.concat(F.lit("row "), F.col("row_id")).cast("binary")
-    rows = rows.select("row_id", "kept", F.coalesce("label", "text_id", own).alias("label"))
+    with_words = sketched.filter("text_id IS NOT NULL")
+    nodes = materialise(with_words.groupBy("text_id").agg(F.min("row_id").alias("node")), "nodes")
+    labels = classes(sketched, nodes, threshold)
+    named_nodes = nodes.join(labels, "node", "left").select(
+        "text_id", F.coalesce("label", "node").alias("label")
+    )
+    rows = sketched.select("row_id", "kept", "text_id").join(named_nodes, "text_id", "left")
+    rows = rows.select("row_id", "kept", F.coalesce("label", "row_id").alias("label"))
     named = F.col(f"kept.`{key}`")
     first = F.min(F.struct(named.isNull().alias("none"), named.alias("key"), "row_id"))
     groups = (

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, html, langid, minhash, packing, rules
+from foliospark.llm import (
+    ann,
+    bpe,
+    html,
+    langid,
+    lm,
+    minhash,
+    packing,
+    rules,
+    sharding,
+    urlfilter,
+)
 from foliospark.llm.common import crc_bucket, read_table
 from foliospark.session import tune_session
 
@@ -97,3 +108,69 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     found = html.extract(pages, kept=["page_id", "url"])
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op4_urls", urlfilter.oracle_sql(URL_RULES))
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+SHARDS = [f"shard-{k:02d}" for k in range(64)]
+
+
+def sharding_sql() -> str:
+    """The lookup table is stated as it is; tests fill it in another way."""
+    slots = sharding.fill_table(SHARDS)
+    return f"""
+WITH slots AS (
+  SELECT generate_subscripts(s, 1) - 1 AS slot, unnest(s) AS shard
+  FROM (SELECT {slots} AS s)),
+keyed AS (
+  SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT
+                 % {sharding.TABLE_SIZE} AS slot
+  FROM documents)
+SELECT doc_id, CAST(slot AS BIGINT) AS slot, CAST(shard AS INTEGER) AS shard,
+       'shard-' || lpad(CAST(shard AS VARCHAR), 2, '0') AS shard_name
+FROM keyed JOIN slots USING (slot)"""
+
+
+@query("op9_shards", sharding_sql())
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.assign(documents, SHARDS, ["doc_id"]).select(
+        "doc_id", "slot", "shard", "shard_name"
+    )
+
+
+@query("op7_lm")
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text, learned from six sevenths of the rows."""
+    held_out = crc_bucket("doc_id", 7) == 2
+    return lm.score(read_table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
+@query("op5_ann")
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    embeddings = read_table(spark, sf_dir, "embeddings")
+    return ann.search(embeddings, F.col("id") % 20 == 0, 20)
