@@ -202,14 +202,15 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     )
     worst = edges.groupBy("u").agg(F.min("s").alias("least"), F.count("*").alias("held"))
     limits = vectors.join(worst, vectors.node == worst.u, "left").select(
-        F.col("node").alias("x"),
+        "node",
         "vec",
         F.when(F.col("held") >= DEGREE, F.col("least")).otherwise(-9.0).cast("float").alias("least"),
     )
-    wanted = lists.select(F.col("block").alias("at"), "x").distinct().join(limits, "x")
+    named = lists.select(F.col("block").alias("at"), F.col("x").alias("node")).distinct()
+    wanted = named.join(limits, "node")
 
     def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids = vectors.column("x").to_numpy()
+        ids = vectors.column("node").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
         data = matrix(vectors.column("vec"), "<f2").astype(np.float32)[order]

@@ -165,6 +165,11 @@ def predict(
 ) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to the columns ``kept`` (default: all)."""
     kept = [c for c in kept or df.columns if c not in ("lang_pred", "score")]
+    return predict_rows(df, model, text, kept).select("row.*", "lang_pred", "score")
+
+
+def predict_rows(df: DataFrame, model: Model, text: str, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` in a struct ``row``, ``lang_pred`` and ``score``."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")
     rows = df.select(F.struct(*kept).alias("row"), data)
     shared = df.sparkSession.sparkContext.broadcast(
@@ -183,7 +188,7 @@ def predict(
             )
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(score, schema).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(score, schema)
 
 
 def judge(

@@ -398,6 +398,20 @@ def near_duplicates(
     """
     kept = kept or [key]
     carried = list(dict.fromkeys([*kept, key]))
+    found = near_duplicate_rows(df, key, text, carried, threshold, weighting)
+    own = ("class_id", "class_size", "stays")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in kept if c not in own], *own)
+
+
+def near_duplicate_rows(
+    df: DataFrame,
+    key: str,
+    text: str,
+    carried: list[str],
+    threshold: float = SIMILARITY,
+    weighting: str = "set",
+) -> DataFrame:
+    """``carried`` in a struct ``row``, ``class_id``, ``class_size`` and ``stays``."""
     sketched = materialise(sketch(df, text, carried, weighting), "sketch")
     with_words = sketched.filter("text_id IS NOT NULL")
     nodes = materialise(with_words.groupBy("text_id").agg(F.min("row_id").alias("node")), "nodes")
@@ -420,7 +434,7 @@ def near_duplicates(
         )
     )
     return rows.join(groups, "label").select(
-        *[F.col(f"kept.`{c}`").alias(c) for c in kept if c not in ("class_id", "class_size", "stays")],
+        F.col("kept").alias("row"),
         "class_id",
         "class_size",
         (F.col("row_id") == F.col("first_row")).alias("stays"),

@@ -275,6 +275,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def judge_rows(
+    df: DataFrame, labels: DataFrame, key: str, text: str, carried: list[str]
+) -> DataFrame:
+    """``carried`` in a struct ``row``, the measures, ``base_failed`` and ``kept``."""
+    measured = materialise(measures(df, text, carried), "measures")
+    verdict = as_column(fit(measured, labels, key))
+    return measured.select(
+        F.col("kept").alias("row"),
+        *MEASURES,
+        base_failed().alias("base_failed"),
+        (~base_failed() & verdict).alias("kept"),
+    )
+
+
 def judge(
     df: DataFrame,
     labels: DataFrame,
@@ -289,13 +303,11 @@ def judge(
     of these names are replaced.
     """
     kept = kept or [key]
-    carried = list(dict.fromkeys([*kept, key]))
-    measured = materialise(measures(df, text, carried), "measures")
-    verdict = as_column(fit(measured, labels, key))
+    judged = judge_rows(df, labels, key, text, list(dict.fromkeys([*kept, key])))
     own = {*MEASURES, "base_failed", "kept"}
-    return measured.select(
-        *[F.col(f"kept.`{c}`").alias(c) for c in kept if c not in own],
+    return judged.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept if c not in own],
         *MEASURES,
-        base_failed().alias("base_failed"),
-        (~base_failed() & verdict).alias("kept"),
+        "base_failed",
+        "kept",
     )
