@@ -12,10 +12,11 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 Bands of four coordinates make the buckets. At a similarity of 0.8 two texts
 share none of the 32 bands with a probability of 5e-8. Equal texts are
 collapsed first. A bucket of few texts offers all its pairs; a larger one links
-each text to one common text, and only texts that end in different classes are
-compared with each other, so a group of copies never gives all its pairs.
-Candidates are checked exactly on their shingle sets, and classes are the
-connected components of the links that remain.
+each text to one common text. Candidates are checked exactly on their shingle
+sets, and classes are the connected components of the links. In large buckets that
+still hold several classes, texts outside the largest one are compared with all
+others inside the tasks, exactly and without giving out pairs but links: a
+group of copies never gives all its pairs, and no link between classes is lost.
 
 Defined results: a text without words (null, empty or white space) is a class
 of its own, one per row. A text of fewer than five words is one shingle.
@@ -43,6 +44,7 @@ SIMILARITY = 0.8
 COORDINATES = 128
 BAND_ROWS = 4
 SMALL_BUCKET = 8
+COMPARED = 2000
 GROUP_BYTES = 4_000_000
 
 _STEPS: dict[float, np.ndarray] = {}  # by area, filled as regions are met
@@ -361,28 +363,81 @@ def classes(sketched: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY
     placed = large.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("label", "node").alias("label")
     )
+    of_class = placed.groupBy("bucket", "label").count()
     mixed_up = (
-        placed.groupBy("bucket")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        .filter("least <> most")
-        .select("bucket")
+        of_class.groupBy("bucket")
+        .agg(
+            F.sum("count").alias("texts"),
+            F.count("*").alias("classes"),
+            F.max_by("label", F.struct("count", "label")).alias("main"),
+        )
+        .filter("classes > 1")
+        .select("bucket", "texts", "main")
     )
     rest = materialise(placed.join(mixed_up, "bucket"), "mixed")
     if rest.isEmpty():
         return labels
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = (
-        rest.withColumnRenamed("node", "a")
-        .join(other, "bucket")
-        .filter("a < b AND label <> label_b")
-        .select("a", "b")
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    more = materialise(check_pairs(across, kept, threshold), "links")
+    more = materialise(compare_classes(rest, kept, threshold), "links")
     return labels if more.isEmpty() else components(links.union(more))
 
 
+def compare_classes(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes of the large buckets.
+
+    Members outside a bucket's main class are compared with all of the bucket, in
+    blocks of ``COMPARED`` members a side, by products of incidence matrices inside
+    the task. Only links leave it, one for each member and other class.
+    """
+    parts = F.ceil(F.col("texts") / COMPARED).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int").alias("own")
+    held = rest.select("bucket", "node", "label", "main", parts.alias("parts"), own)
+    held = held.join(texts.select("node", "shingles"), "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = ["bucket", "i", "j", "asks", "node", "label", "shingles"]
+    asking = held.filter("label <> main").withColumn("i", F.col("own")).withColumn("j", other)
+    asked = held.withColumn("j", F.col("own")).withColumn("i", other)
+    both = (
+        asking.withColumn("asks", F.lit(True))
+        .select(columns)
+        .union(asked.withColumn("asks", F.lit(False)).select(columns))
+    )
+
+    def run(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+        sets = [
+            numbered(np.frombuffer(s, "<u4")) for s in rows.column("shingles").to_pylist()
+        ]
+        sizes = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        width = 1 << 12
+        place = np.empty(len(sets), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (first, first + width))
+            sides = []
+            for side, count in ((asks, len(left)), (~asks, len(right))):
+                at = np.flatnonzero(side[row[a:b]]) + a
+                cells = np.zeros((count, width), np.float32)
+                cells[place[row[at]], column[at] - first] = 1
+                sides.append(cells)
+            common += sides[0] @ sides[1].T
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        near = (common >= threshold * union) & (label[left][:, None] != label[right][None, :])
+        x, y = np.nonzero(near)
+        _, once = np.unique(np.stack([x, label[right[y]]]), axis=1, return_index=True)
+        a, b = node[left[x[once]]], node[right[y[once]]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    found = both.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return found.distinct()
+
+
 def near_duplicates(
     df: DataFrame,
     key: str = "doc_id",
