@@ -96,7 +96,12 @@ def hashed_ngrams(
             if order > 2:  # a boundary may only stand at the ends
                 inside = inside[:size] & (part[order - 2 : order - 2 + size] > 0)
             inside = inside[:size]
-            kept = inside & (last > 0) if order == 1 else inside & ((part[:size] > 0) | (last > 0))
+            if order == 1:
+                kept = last > 0
+            elif order == 2:
+                kept = (part[:size] > 0) | (last > 0)
+            else:
+                kept = inside
             yield (
                 (hashed[kept] >> np.uint64(20)).astype(np.int64) % BUCKETS,
                 text[:size][kept],

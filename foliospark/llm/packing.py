@@ -79,7 +79,10 @@ def token_pieces(
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each length, taken in the given order."""
-    open_with = np.zeros(capacity + 1, np.int64)  # sequences by gap; 0 and capacity stay 0
+    # Sequences by gap. Gaps that no length fits are closed and do not count, or else
+    # new sequences would be opened to balance them.
+    open_with = np.zeros(capacity + 1, np.int64)
+    least = int(lengths.min()) if len(lengths) else 0
     stacks: dict[int, list[int]] = {}
     sequence = np.empty(len(lengths), np.int64)
     offset = np.empty(len(lengths), np.int64)
@@ -106,7 +109,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
             chosen = stacks[gap].pop()
             open_with[gap] -= 1
         left = gap - length
-        if left:
+        if left >= least:
             open_with[left] += 1
             stacks.setdefault(left, []).append(chosen)
         sequence[k] = chosen

@@ -34,6 +34,7 @@ from foliospark.session import materialise
 SAMPLE_ROWS = 50_000
 MIN_PRECISION = 0.95
 MIN_COVERED = 5
+MIN_PRUNED = 2
 MAX_CONDITIONS = 4
 MAX_RULES = 32
 THRESHOLDS = 64  # candidate thresholds a feature offers at a time
@@ -226,8 +227,13 @@ def learn(rows: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
         )
         hit = covered(rows, names, rule) & left
         p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
+        # The rows it was grown on flatter a rule: the others must bear it out.
+        q = int((hit & bad & third).sum())
+        m = int((hit & ~bad & third).sum())
         if not rule or p < MIN_COVERED or p < MIN_PRECISION * (p + n):
             break
+        if q < MIN_PRUNED or q < MIN_PRECISION * (q + m):
+            break
         found.append(rule)
         left &= ~hit
     return found
