@@ -1,9 +1,8 @@
 """Approximate nearest neighbours by inner product, over an NN-descent graph.
 
-Equal vectors are one node; a hot vector costs no more than another. Nodes get
-one more component that makes all norms equal, so that the graph is one of
-nearest neighbours whatever the norms. It starts from brute force inside small
-random cells. Every round joins each node with its neighbours in both
+Equal vectors are one node; a hot vector costs no more than another. An edge leads
+to a node with one of the largest inner products, whatever the norms. The graph
+starts from brute force inside small random cells. Every round joins each node with its neighbours in both
 directions, compares those with each other inside the task, and gives better
 ones to their nodes: neighbours of neighbours become neighbours, until hardly
 any edge changes. Queries are nodes themselves: the search starts at their own
@@ -97,8 +96,8 @@ def top_rows(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     return order[rank < most]
 
 
-def lengthened(nodes: DataFrame) -> DataFrame:
-    """Nodes with the added component, as 16-bit floats of a largest norm of 1."""
+def shortened(nodes: DataFrame) -> DataFrame:
+    """Nodes as 16-bit floats, scaled to a largest norm of 1."""
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +108,7 @@ def lengthened(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = matrix(batch.column("vec"), "<f8")
-            rest = np.sqrt(np.maximum(most - (data**2).sum(1), 0))
-            longer = np.column_stack([data, rest]) / np.sqrt(most)
-            small = longer.astype("<f2")
+            small = (matrix(batch.column("vec"), "<f8") / np.sqrt(most)).astype("<f2")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([v.tobytes() for v in small], pa.binary())],
                 ["node", "vec"],
@@ -278,7 +274,6 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, count: int, most: int) ->
         asks = vectors.column("asks").to_numpy()
         node = vectors.column("node").to_numpy()
         data = matrix(vectors.column("vec"), "<f2").astype(np.float32)
-        data[:, -1] = 0  # the added component is not part of the product
         sides = []
         for side, name in ((asks, "q"), (~asks, "v")):
             ids, rows = node[side], data[side]
@@ -360,7 +355,7 @@ def search(
         return df.sparkSession.range(0).selectExpr(
             "id AS query_id", "0 AS rank", f"id AS `{key}`", "0D AS score"
         )
-    vectors = materialise(lengthened(nodes), "lengthened")
+    vectors = materialise(shortened(nodes), "shortened")
     edges = neighbour_graph(vectors, count)
     asking = materialise(asked.select(F.col("node").alias("q")).distinct(), "queries")
     found = greedy_search(asking, edges, vectors, count)
