@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.templates import render
 from foliospark.functions.text import is_blank, percent_encode, stable_id
-from foliospark.operators.hierarchy import evaluation_tree, tree_height
 from foliospark.operators.scale import join_by_key, join_dimension
 from foliospark.schemas import COMPLETION_CALLBACK
 from foliospark.session import materialise
@@ -96,11 +95,15 @@ def tasks_for_pages(
 
 
 def with_page_text(tasks: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
-    """Tasks with these page columns, joined by page unless carried already."""
+    """Tasks with these page columns, joined by page unless carried already.
+
+    Few tasks, as on the lower levels of a cascade, are broadcast to the scan of
+    the pages, so that no text is shuffled for them.
+    """
     if all(c in tasks.columns for c in columns):
         return tasks
     texts = pages.select(F.col("id").alias("content_id"), *columns)
-    return tasks.drop(*columns).join(texts, "content_id")
+    return join_by_key(texts, tasks.drop(*columns), ["content_id"])
 
 
 def next_level_tasks(
@@ -422,29 +425,27 @@ def cascade(
 ) -> DataFrame:
     """Answer the start tasks, then their follow-ups, level by level.
 
-    ``answer`` adds a ``response`` to tasks. Each level is written once and is
-    the base of the next, so no level is asked twice. The number of levels is
-    bounded by the height of the tree, known beforehand; the walk ends early
-    with the first level without tasks.
+    ``answer`` adds a ``response`` to tasks. No question is asked twice of a page:
+    what was answered on an earlier level is left out of the next one's tasks, so
+    that a cycle ends by itself. The walk ends with the first level without tasks,
+    however deep the questions hang below each other.
     """
-    levels = tree_height(evaluation_tree(evaluations)) + 1
     columns = ["project_id", "file_id", "content_id", "evaluation_id", "response"]
-    tasks, result = start, None
-    for level in range(levels):
+    result, level, tasks = None, 0, start
+    while True:
         answered = materialise(
             answer(tasks).select(*columns).withColumn("level", F.lit(level)),
             f"answers-level-{level}",
         )
-        if result is None:
-            result = answered
-        elif answered.isEmpty():
-            break
-        else:
-            result = result.unionByName(answered)
-        tasks = next_level_tasks(answered, evaluations, any_option)
-    if result is None:
-        raise ValueError("there are no evaluations to ask")
-    return result
+        result = answered if result is None else result.unionByName(answered)
+        done = result.select("evaluation_id", "content_id")
+        following = next_level_tasks(answered, evaluations, any_option).join(
+            done, ["evaluation_id", "content_id"], "left_anti"
+        )
+        tasks = materialise(following, f"tasks-level-{level + 1}")
+        if tasks.isEmpty():
+            return result
+        level += 1
 
 
 def evaluate_pages(
@@ -472,6 +473,26 @@ def update_cascade(
     return cascade(start, evaluations, answer, any_option)
 
 
+def reevaluate_changed(
+    pages: DataFrame,
+    files: DataFrame,
+    answers: DataFrame,
+    evaluation: dict,
+    evaluations: DataFrame,
+    answer: AnswerStep,
+    old_evaluation: dict | None = None,
+    any_option: bool = False,
+) -> DataFrame:
+    """What a created or changed evaluation must be asked of, and its follow-ups.
+
+    ``evaluations`` already holds the evaluation as it is now.
+    """
+    wanted = files_to_evaluate(files, answers, evaluation, old_evaluation)
+    return update_cascade(
+        pages, wanted, evaluation["id"], evaluations, answer, any_option
+    )
+
+
 def answer_rows(answered: DataFrame, status: str = "completed") -> DataFrame:
     """Answers in the shape of the answers table, with stable ids."""
     return answered.select(

@@ -5,58 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_by_key, join_dimension
 from foliospark.session import materialise
 
-MAX_DEPTH = 100
 
-
-def evaluation_tree(evaluations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def evaluation_tree(evaluations: DataFrame) -> DataFrame:
     """H1: every evaluation with its depth, root and path of ids from the root.
 
-    The forest is walked level by level, each level being one join on the
-    parent id, and ends with the first empty level. Rows below a missing
-    parent and rows on a cycle are not reached; a cycle cannot hold the walk
-    because it has no root.
+    Every row knows the way up to some ancestor. A round lengthens each by the
+    way of that ancestor, so that ways double, and a forest of depth d takes
+    log2(d) rounds. It ends with the first round that reaches no further root:
+    what is left lies below a missing parent or on a cycle and has no root.
     """
-    # written once, since every level joins it
-    nodes = materialise(
-        evaluations.select(
-            "id", "project_id", "title", "parent_evaluation_id", "created_at"
-        ),
-        "tree-nodes",
+    nodes = evaluations.select(
+        "id", "project_id", "title", "parent_evaluation_id", "created_at"
     )
-    level = nodes.filter(F.col("parent_evaluation_id").isNull()).select(
-        *nodes.columns,
-        F.lit(0).alias("depth"),
-        F.col("id").alias("root_id"),
-        F.array("id").alias("path"),
+    ways = materialise(
+        nodes.select(
+            "id", F.col("parent_evaluation_id").alias("above"), F.array("id").alias("path")
+        ),
+        "tree-ways",
     )
-    children = nodes.filter(F.col("parent_evaluation_id").isNotNull())
-    found = None
-    for depth in range(max_depth + 1):
-        level = materialise(level, f"tree-level-{depth}")
-        if level.isEmpty():
-            return found if found is not None else level
-        found = level if found is None else found.unionByName(level)
-        above = level.select(
-            F.col("id").alias("parent_evaluation_id"), "root_id", F.col("path").alias("_above")
+    while True:
+        higher = ways.select(
+            F.col("id").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path")
         )
-        level = join_dimension(
-            children, above, ["parent_evaluation_id"], spread=["id"]
-        ).select(
-            *nodes.columns,
-            F.lit(depth + 1).alias("depth"),
-            "root_id",
-            F.concat("_above", F.array("id")).alias("path"),
+        climbing = ways.filter(F.col("above").isNotNull())
+        climbed = join_dimension(climbing, higher, ["above"], spread=["id"]).select(
+            "id", F.col("_above").alias("above"), F.concat("_path", "path").alias("path"),
+            F.lit(True).alias("moved"),
         )
-    raise ValueError(f"the evaluation tree is deeper than {max_depth} levels")
-
-
-def tree_height(tree: DataFrame) -> int:
-    """Depth of the deepest evaluation; -1 for an empty forest."""
-    deepest = tree.agg(F.max("depth")).head()[0]
-    return -1 if deepest is None else deepest
+        rooted = ways.filter(F.col("above").isNull()).withColumn("moved", F.lit(False))
+        ways = materialise(rooted.unionByName(climbed), "tree-ways")
+        reached = not ways.filter("moved AND above IS NULL").isEmpty()
+        ways = ways.drop("moved")
+        if not reached:
+            break
+    rooted = ways.filter(F.col("above").isNull()).select(
+        "id",
+        (F.size("path") - 1).alias("depth"),
+        F.element_at("path", 1).alias("root_id"),
+        "path",
+    )
+    return join_by_key(nodes, rooted, ["id"]).select(
+        *nodes.columns, "depth", "root_id", "path"
+    )
 
 
 def answer_edges(answers: DataFrame, evaluations: DataFrame) -> DataFrame:

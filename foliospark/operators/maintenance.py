@@ -270,7 +270,7 @@ def resolve_categories(requests: DataFrame, categories: DataFrame) -> DataFrame:
             F.col("reject_reason").isNull(),
             F.coalesce(F.col("_named_id"), F.col("category_id").cast("string")),
         ).alias("resolved_category_id"),
-        F.coalesce("is_new", F.lit(False)).alias("is_new"),
+        (F.col("reject_reason").isNull() & F.coalesce("is_new", F.lit(False))).alias("is_new"),
     )
 
 

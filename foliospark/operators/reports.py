@@ -181,21 +181,35 @@ def results_table(
 
 
 def file_status_rollup(
-    files: DataFrame, chunks: DataFrame, answers: DataFrame, failures: DataFrame
+    files: DataFrame,
+    chunks: DataFrame,
+    answers: DataFrame,
+    failures: DataFrame,
+    expected: DataFrame,
 ) -> DataFrame:
     """Where each file stands, derived from what exists of it.
 
-    failed > evaluated (answers without failure) > embedding state of its
-    chunks > as registered. ``failures`` has one row per (file_id, error).
+    failed > completed (every expected answer is completed) > evaluating (some
+    answers exist) > embedding state of its chunks > as registered. ``failures``
+    has one row per (file_id, error), ``expected`` the number of answers
+    ``n_expected`` due for each ``file_id``. Answers count once per question and
+    page, and only when they are completed.
     """
     chunk_state = chunks.groupBy(F.col("file_id").alias("id")).agg(
         F.count_if(F.col("status") == "EMBEDDED").alias("n_embedded"),
         F.count(F.lit(1)).alias("n_chunks"),
     )
-    answer_state = answers.groupBy(F.col("file_id").alias("id")).agg(
+    # The state of a question on a page is that of its best answer.
+    rank = F.when(F.col("status") == "completed", 2).when(F.col("status") == "failed", 1)
+    each = answers.groupBy("file_id", "evaluation_id", "content_id").agg(
+        F.max(F.coalesce(rank, F.lit(0))).alias("state")
+    )
+    answer_state = each.groupBy(F.col("file_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_answers"),
-        F.count_if(F.col("status") == "failed").alias("n_failed"),
+        F.count_if(F.col("state") == 2).alias("n_done"),
+        F.count_if(F.col("state") == 1).alias("n_failed"),
     )
+    due = expected.select(F.col("file_id").alias("id"), "n_expected")
     errors = failures.groupBy(F.col("file_id").alias("id")).agg(
         F.min("error").alias("error")
     )
@@ -203,12 +217,14 @@ def file_status_rollup(
         files.select("id", F.col("status").alias("registered_status"))
         .join(chunk_state, "id", "left")
         .join(answer_state, "id", "left")
+        .join(due, "id", "left")
         .join(errors, "id", "left")
     )
     embedded, chunked = F.coalesce("n_embedded", F.lit(0)), F.coalesce("n_chunks", F.lit(0))
     derived = (
         F.when(F.col("error").isNotNull() | (F.coalesce("n_failed", F.lit(0)) > 0), "failed")
-        .when(F.col("n_answers") > 0, "completed")
+        .when(F.col("n_done") >= F.col("n_expected"), "completed")
+        .when(F.col("n_answers") > 0, "evaluating")
         .when((chunked > 0) & (embedded == chunked), "embedded")
         .when(embedded > 0, "embedding")
         .when(chunked > 0, "chunked")

@@ -298,7 +298,9 @@ class DriverTables:
         """Queue bodies: one notification per document, some delivered twice.
 
         Keys vary by document: some are malformed, name an unknown project or
-        have an extension without loader. Every 50th event has two records.
+        have an extension without loader. Every 50th event has two records. Some
+        documents have one more body that cannot be read (delivery 2) or whose
+        event has no records (delivery 3).
         """
         doc = F.col("doc_id")
         extension = F.when(doc % 5 == 0, ".pdf").otherwise(".txt")
@@ -345,6 +347,19 @@ class DriverTables:
             )
         )
         deliveries = F.sequence(F.lit(0), F.when(doc % 9 == 0, 1).otherwise(0))
-        return self.documents.select(
+        good = self.documents.select(
             doc, envelope.alias("value"), F.explode(deliveries).alias("delivery")
         )
+        broken = self.documents.filter(doc % 30 == 11).select(
+            doc,
+            F.when(doc % 60 == 11, F.concat(F.lit("no json "), doc.cast("string")))
+            .otherwise(F.lit('{"MessageId":"cut","Message":"{\\"Records\\":"}'))
+            .alias("value"),
+            F.lit(2).alias("delivery"),
+        )
+        nothing = self.documents.filter(doc % 30 == 13).select(
+            doc,
+            F.lit('{"MessageId":"none","Message":"{\\"Records\\":[]}"}').alias("value"),
+            F.lit(3).alias("delivery"),
+        )
+        return good.unionByName(broken).unionByName(nothing)

@@ -387,6 +387,85 @@ def update_cascade(t: DriverTables) -> DataFrame:
     )
 
 
+def _parents_changed(t: DriverTables, kind: int, parent, option=None) -> DataFrame:
+    """Evaluations in which question ``kind`` of each project hangs elsewhere."""
+    here = F.col("id") % 10 == kind
+    changed = t.evaluations.withColumn(
+        "parent_evaluation_id", F.when(here, parent).otherwise(F.col("parent_evaluation_id"))
+    )
+    if option is None:
+        return changed
+    return changed.withColumn(
+        "parent_evaluation_option",
+        F.when(here, F.lit(option)).otherwise(F.col("parent_evaluation_option")),
+    )
+
+
+@query(
+    "update_cascade_orphan",
+    CASCADE_SQL.format(start="evaluation_id = 12", any_option=""),
+)
+def update_cascade_orphan(t: DriverTables) -> DataFrame:
+    """Question 12 hangs on an evaluation that is gone; its follow-ups are asked."""
+    orphans = _parents_changed(t, 2, F.lit(-1).cast("long"))
+    files = t.files.select(F.col("id").alias("file_id"))
+    stub = lambda tasks: ev.respond_stub(tasks, t.pages, orphans)
+    return ev.update_cascade(t.pages, files, 12, orphans, stub).select(
+        "file_id", "content_id", "evaluation_id", "response", "level"
+    )
+
+
+@query(
+    "cascade_cycle",
+    """WITH RECURSIVE ring AS (
+         SELECT file_id, content_id, evaluation_id, response,
+           CASE WHEN evaluation_id % 10 = 1 THEN evaluation_id + 1
+                ELSE parent_evaluation_id END AS parent_id,
+           CASE WHEN evaluation_id % 10 = 1 THEN 'false'
+                ELSE parent_evaluation_option END AS option
+         FROM p_stub),
+       walk AS (
+         SELECT file_id, content_id, evaluation_id, response FROM ring WHERE evaluation_id = 11
+         UNION
+         SELECT c.file_id, c.content_id, c.evaluation_id, c.response
+         FROM walk w JOIN ring c ON c.content_id = w.content_id
+          AND c.parent_id = w.evaluation_id AND c.option = w.response)
+       SELECT * FROM walk""",
+)
+def cascade_cycle(t: DriverTables) -> DataFrame:
+    """Questions 11 and 12 fire each other; each is asked of a page once."""
+    ring = _parents_changed(t, 1, F.col("id") + 1, "false")
+    files = t.files.select(F.col("id").alias("file_id"))
+    stub = lambda tasks: ev.respond_stub(tasks, t.pages, ring)
+    return ev.update_cascade(t.pages, files, 11, ring, stub).select(
+        "file_id", "content_id", "evaluation_id", "response"
+    )
+
+
+@query(
+    "reevaluate_changed",
+    CASCADE_SQL.format(
+        start="""evaluation_id = 12 AND file_id IN (
+           SELECT file_id FROM p_answers WHERE evaluation_id = 11 AND response = 'true'
+           UNION SELECT file_id FROM p_answers WHERE evaluation_id = 12)""",
+        any_option="",
+    ),
+)
+def reevaluate_changed(t: DriverTables) -> DataFrame:
+    """The option of question 12 changes from true to false: it is asked again."""
+    old = {
+        "id": 12,
+        "project_id": "src1",
+        "parent_evaluation_id": 11,
+        "parent_evaluation_option": "true",
+    }
+    new = {**old, "parent_evaluation_option": "false"}
+    evaluations = _parents_changed(t, 2, F.col("parent_evaluation_id"), "false")
+    return ev.reevaluate_changed(
+        t.pages, t.files, t.answers, new, evaluations, _stub(t), old
+    ).select("file_id", "content_id", "evaluation_id", "response", "level")
+
+
 @query(
     "answer_edges",
     """SELECT DISTINCT c.content_id, e.parent_evaluation_id, c.evaluation_id

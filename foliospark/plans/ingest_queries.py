@@ -19,7 +19,7 @@ from foliospark.sources import landing, loaders, manifests, sinks
          delivery, bucket, key, size, etag, version_id FROM p_objects""",
 )
 def decode_landing_events(t: DriverTables) -> DataFrame:
-    return landing.decode_landing_events(t.landing_messages).select(
+    return landing.readable(landing.decode_landing_events(t.landing_messages)).select(
         "doc_id",
         "message_id",
         landing.workflow_id(F.col("message_id")).alias("workflow_id"),
@@ -39,7 +39,7 @@ def decode_landing_events(t: DriverTables) -> DataFrame:
        FROM p_keys""",
 )
 def parse_object_key(t: DriverTables) -> DataFrame:
-    objects = landing.decode_landing_events(t.landing_messages)
+    objects = landing.readable(landing.decode_landing_events(t.landing_messages))
     return landing.parse_object_key(objects).select(
         "key", "message_id", "delivery", "is_valid_key", "project_id", "file_name", "extension"
     )
@@ -53,9 +53,14 @@ def checked_objects(t: DriverTables) -> DataFrame:
 @query(
     "ingest_rejects",
     """SELECT doc_id, record, delivery, key, reject_reason FROM p_checked
-       WHERE reject_reason IS NOT NULL""",
+       WHERE reject_reason IS NOT NULL
+       UNION ALL SELECT doc_id, NULL, 2, NULL, 'unreadable message' FROM documents
+       WHERE doc_id % 30 = 11
+       UNION ALL SELECT doc_id, NULL, 3, NULL, 'no records' FROM documents
+       WHERE doc_id % 30 = 13""",
 )
 def ingest_rejects(t: DriverTables) -> DataFrame:
+    """Refused objects, and bodies that name no object."""
     return landing.rejected(checked_objects(t)).select(
         "doc_id", "record", "delivery", "key", "reject_reason"
     )
@@ -89,6 +94,28 @@ def register_files(t: DriverTables) -> DataFrame:
     )
 
 
+@query(
+    "register_files_again",
+    """SELECT DISTINCT key, project_id, file_name AS name, 'chunking' AS status, FALSE AS is_new
+       FROM p_checked WHERE reject_reason IS NULL""",
+)
+def register_files_again(t: DriverTables) -> DataFrame:
+    """Objects without a file id, registered once more after a first run."""
+    objects = landing.accepted(checked_objects(t)).withColumn(
+        "file_id", F.lit(None).cast("string")
+    )
+    files = t.files.select(F.col("id").cast("string").alias("id"), "name", "status")
+    first = landing.register_files(objects, files).filter("is_new")
+    files = files.unionByName(first.select(F.col("file_id").alias("id"), "name", "status"))
+    return landing.register_files(objects, files).select(
+        F.substring_index("url", "s3://landing/", -1).alias("key"),
+        "project_id",
+        "name",
+        "status",
+        "is_new",
+    )
+
+
 @query(
     "load_text_pages",
     r"""SELECT doc_id AS file_id, 1 AS content_number, text AS content,
@@ -97,7 +124,7 @@ def register_files(t: DriverTables) -> DataFrame:
          AS total_lines FROM documents""",
 )
 def load_text_pages(t: DriverTables) -> DataFrame:
-    """Every document as one page, also after a round trip through text files."""
+    """Every document as one page."""
     pages = loaders.text_pages(t.documents.select(F.col("doc_id").alias("file_id"), "text"))
     return pages.select(
         "file_id",

@@ -199,8 +199,8 @@ def seed_examples(t: DriverTables) -> DataFrame:
     "resolve_categories",
     """WITH requests AS (
          SELECT doc_id, source, idx,
-           CASE WHEN doc_id % 4 IN (0, 3) THEN idx * 10 + 2 END AS category_id,
-           CASE WHEN doc_id % 4 IN (1, 3) THEN lang WHEN doc_id % 8 = 2 THEN 'Quality' END
+           CASE WHEN doc_id // 20 % 4 IN (0, 3) THEN idx * 10 + 2 END AS category_id,
+           CASE WHEN doc_id // 20 % 4 IN (1, 3) THEN lang WHEN doc_id // 20 % 8 = 2 THEN 'Quality' END
              AS category_name FROM p_docs)
        SELECT doc_id, CASE WHEN category_id IS NULL AND category_name IS NULL THEN 'no category given'
                            WHEN category_id IS NOT NULL AND category_name IS NOT NULL
@@ -212,8 +212,11 @@ def seed_examples(t: DriverTables) -> DataFrame:
        FROM requests""",
 )
 def resolve_categories(t: DriverTables) -> DataFrame:
-    """Creation requests by id, by new name, by known name, by both and by none."""
-    doc = F.col("doc_id")
+    """Creation requests by id, by new name, by known name, by both and by none.
+
+    Every project holds all kinds; a refused request names what another creates.
+    """
+    doc = F.floor(F.col("doc_id") / 20)
     index = F.regexp_extract("source", r"(\d+)$", 1).cast("long")
     requests = t.documents.select(
         "doc_id",

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import evaluation as ev
-from foliospark.plans.driver_tables import DriverTables, seconds_after_base
+from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.evaluate_queries import ROOTS_SQL
 from foliospark.plans.maintain_queries import UPSERT_COLUMNS, UPSERT_SQL, _incoming
 from foliospark.plans.registry import query
-from foliospark.session import scratch_path
+from foliospark.session import materialise, scratch_path
+from foliospark.sources import landing as source_landing
 from foliospark.sources import sinks
 from foliospark.streaming import answers, landing
 
@@ -26,13 +27,19 @@ def _written_messages(t: DriverTables, root: str) -> str:
 
 @query(
     "stream_landing",
-    "SELECT message_id, record, bucket, key, size, etag FROM p_objects",
+    """SELECT message_id, record, bucket, key, size, etag, NULL::VARCHAR AS reject_reason
+       FROM p_objects
+       UNION ALL SELECT CASE WHEN doc_id % 60 = 41 THEN 'cut' END, NULL, NULL, NULL, NULL, NULL,
+         'unreadable message' FROM documents WHERE doc_id % 30 = 11
+       UNION ALL SELECT 'none', NULL, NULL, NULL, NULL, NULL, 'no records'
+       FROM documents WHERE doc_id % 30 = 13""",
 )
 def stream_landing(t: DriverTables) -> DataFrame:
+    """Bodies that cannot be read arrive with the reason."""
     root = scratch_path(t.spark, "stream-landing")
     objects = landing.landed_objects(landing.read_landing(t.spark, _written_messages(t, root)))
     landing.write_stream(
-        objects.select("message_id", "record", "bucket", "key", "size", "etag"),
+        objects.select("message_id", "record", "bucket", "key", "size", "etag", "reject_reason"),
         f"{root}/out",
         f"{root}/checkpoint",
     ).awaitTermination()
@@ -46,51 +53,115 @@ def stream_landing(t: DriverTables) -> DataFrame:
 def stream_dedupe(t: DriverTables) -> DataFrame:
     root = scratch_path(t.spark, "stream-dedupe")
     objects = landing.landed_objects(landing.read_landing(t.spark, _written_messages(t, root)))
-    landing.write_stream(
-        landing.dedupe_messages(objects, "3650 days").select("message_id", "record", "key"),
+    landing.store_once(
+        source_landing.readable(objects).select("message_id", "record", "key"),
+        landing.MESSAGE_KEYS,
         f"{root}/out",
         f"{root}/checkpoint",
     ).awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+    return t.spark.read.parquet(f"{root}/out").select("message_id", "record", "key")
+
+
+@query(
+    "stream_late",
+    "SELECT DISTINCT message_id, record, key FROM p_objects",
+)
+def stream_late(t: DriverTables) -> DataFrame:
+    """The newest messages come first, those of years before and redeliveries later."""
+    root = scratch_path(t.spark, "stream-late")
+    messages = t.landing_messages
+    for late in (False, True):
+        part = messages.filter((F.col("doc_id") % 2 == 0) == F.lit(late))
+        if late:
+            aged = F.regexp_replace("value", '"Timestamp":"2024', '"Timestamp":"2019')
+            part = part.withColumn("value", aged).unionByName(messages.filter("doc_id % 4 = 1"))
+        part.select("value").write.mode("append").text(f"{root}/in")
+        objects = landing.landed_objects(landing.read_landing(t.spark, f"{root}/in"))
+        landing.store_once(
+            source_landing.readable(objects).select("message_id", "record", "key", "sent_at"),
+            landing.MESSAGE_KEYS,
+            f"{root}/out",
+            f"{root}/checkpoint",
+        ).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("message_id", "record", "key")
 
 
 @query("stream_upsert", UPSERT_SQL)
 def stream_upsert(t: DriverTables) -> DataFrame:
-    """The answers of a later run arrive as a stream and are logged by batch."""
+    """The answers of a later run arrive as a stream and are merged batch by batch."""
     root = scratch_path(t.spark, "stream-upsert")
-    _incoming(t).write.mode("errorifexists").parquet(f"{root}/in")
-    arriving = t.spark.readStream.schema(_incoming(t).schema).parquet(f"{root}/in")
-    landing.log_batches(arriving, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    log = t.spark.read.parquet(f"{root}/log")
-    return landing.current_answers(t.answers, log).select(*UPSERT_COLUMNS)
+    _incoming(t).repartition(4).write.mode("errorifexists").parquet(f"{root}/in")
+    arriving = (
+        t.spark.readStream.schema(_incoming(t).schema)
+        .option("maxFilesPerTrigger", 2)
+        .parquet(f"{root}/in")
+    )
+    landing.merge_answers(
+        t.answers, arriving, f"{root}/table", f"{root}/checkpoint"
+    ).awaitTermination()
+    return landing.current_answers(t.answers, f"{root}/table").select(*UPSERT_COLUMNS)
 
 
-@query(
-    "stream_barrier",
-    f"""SELECT 'ingest-' || file_id AS workflow_id, 0 AS level, count(*) AS finished
-        FROM ({ROOTS_SQL}) GROUP BY file_id""",
-)
-def stream_barrier(t: DriverTables) -> DataFrame:
-    """Every file's first level completes once all of its answers came in."""
-    root = scratch_path(t.spark, "stream-barrier")
-    tasks = ev.tasks_for_pages(t.pages, ev.first_level(t.evaluations))
-    expected = tasks.groupBy("file_id").agg(F.count(F.lit(1)).alias("expected"))
-    completions = tasks.join(expected, "file_id").select(
+def _completions(t: DriverTables) -> DataFrame:
+    """Answered first levels of every file, with the number of items due."""
+    tasks = ev.tasks_for_pages(t.pages, ev.first_level(t.evaluations), carry_text=True)
+    answered = ev.respond_stub(tasks, t.pages, t.evaluations)
+    expected = answered.groupBy("file_id").agg(F.count(F.lit(1)).alias("expected"))
+    return answered.join(expected, "file_id").select(
         F.concat(F.lit("ingest-"), F.col("file_id").cast("string")).alias("workflow_id"),
         F.lit(0).alias("level"),
+        "project_id",
+        "file_id",
         "evaluation_id",
         "content_id",
+        "response",
         "expected",
-        seconds_after_base(F.lit(0)).alias("requested_at"),
     )
-    completions.write.mode("errorifexists").parquet(f"{root}/in")
-    arriving = t.spark.readStream.schema(completions.schema).option(
-        "maxFilesPerTrigger", 2
-    ).parquet(f"{root}/in")
-    landing.log_batches(
-        answers.level_barrier(arriving), f"{root}/out", f"{root}/checkpoint", "update"
-    ).awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+def _fired(t: DriverTables, label: str) -> str:
+    """Run the barrier on completions that come twice, and half of them late."""
+    root = scratch_path(t.spark, label)
+    completions = materialise(_completions(t), "completions")
+    for late in (False, True):
+        part = completions.filter((F.col("content_id") % 2 == 0) == F.lit(late))
+        part.unionByName(part).write.mode("append").parquet(f"{root}/in")
+        arriving = (
+            t.spark.readStream.schema(completions.schema)
+            .option("maxFilesPerTrigger", 4)
+            .parquet(f"{root}/in")
+        )
+        answers.level_barrier(
+            arriving,
+            f"{root}/out",
+            f"{root}/checkpoint",
+            lambda items: ev.next_level_tasks(items, t.evaluations),
+        ).awaitTermination()
+    return f"{root}/out"
+
+
+@query(
+    "stream_barrier",
+    f"""SELECT 'ingest-' || file_id AS workflow_id, 0 AS level, count(*) AS finished
+        FROM ({ROOTS_SQL}) GROUP BY file_id""",
+)
+def stream_barrier(t: DriverTables) -> DataFrame:
+    """Every file's first level fires once, with its last, possibly late, answer."""
+    return t.spark.read.parquet(f"{_fired(t, 'stream-barrier')}/fired").drop("batch_id")
+
+
+@query(
+    "stream_next_level",
+    f"""SELECT DISTINCT r.file_id, r.content_id, c.evaluation_id,
+          r.evaluation_id AS parent_evaluation_id, r.response AS parent_evaluation_option
+        FROM ({ROOTS_SQL}) r JOIN p_stub c ON c.content_id = r.content_id
+         AND c.parent_evaluation_id = r.evaluation_id
+         AND c.parent_evaluation_option = r.response""",
+)
+def stream_next_level(t: DriverTables) -> DataFrame:
+    """A fired level writes the tasks of the next one."""
+    tasks = t.spark.read.parquet(f"{_fired(t, 'stream-next-level')}/tasks")
+    return tasks.drop("batch_id", "project_id")
 
 
 @query(

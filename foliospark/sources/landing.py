@@ -11,26 +11,38 @@ from foliospark.schemas import OBJECT_EVENT, SNS_ENVELOPE
 
 # --- fixed values: file types with a page loader; letter case matters ---------
 LOADABLE = (".pdf", ".txt")
+WORKFLOW_PREFIX = "ingestion-workflow-"
 # ------------------------------------------------------------------------------
 
+UNREADABLE = "unreadable message"
+NO_RECORDS = "no records"
+
 
 def decode_landing_events(raw: DataFrame, body: str = "value") -> DataFrame:
     """Queue bodies to one row per landed object.
 
     Two JSON layers, the notification and the object event inside its message.
-    Every record of an event counts, not only the first.
+    Every record of an event counts, not only the first. No body is lost: one that
+    cannot be read, or names no object, is a row without object whose
+    ``reject_reason`` says so; it is NULL for all others.
     """
     envelope = F.from_json(body, SNS_ENVELOPE)
     kept = [c for c in raw.columns if c != body]
     opened = raw.select(*kept, envelope.alias("_envelope"))
+    message = F.col("_envelope.Message")
     events = opened.select(
         *kept,
         F.col("_envelope.MessageId").alias("message_id"),
         F.col("_envelope.Timestamp").alias("sent_at"),
-        F.from_json("_envelope.Message", OBJECT_EVENT).alias("_event"),
+        F.get_json_object(message, "$").isNull().alias("_unreadable"),
+        F.from_json(message, OBJECT_EVENT).alias("_event"),
     )
     return events.select(
-        *kept, "message_id", "sent_at", F.posexplode("_event.Records").alias("record", "_r")
+        *kept,
+        "message_id",
+        "sent_at",
+        "_unreadable",
+        F.posexplode_outer("_event.Records").alias("record", "_r"),
     ).select(
         *kept,
         "message_id",
@@ -41,12 +53,20 @@ def decode_landing_events(raw: DataFrame, body: str = "value") -> DataFrame:
         F.col("_r.s3.object.size").alias("size"),
         F.col("_r.s3.object.eTag").alias("etag"),
         F.col("_r.s3.object.versionId").alias("version_id"),
+        F.when(F.col("_unreadable"), UNREADABLE)
+        .when(F.col("_r").isNull(), NO_RECORDS)
+        .alias("reject_reason"),
     )
 
 
+def readable(objects: DataFrame) -> DataFrame:
+    """Objects of the bodies that could be read."""
+    return objects.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
 def workflow_id(message_id: Column) -> Column:
     """Deterministic id of the work a message starts."""
-    return F.concat(F.lit("ingestion-workflow-"), message_id)
+    return F.concat(F.lit(WORKFLOW_PREFIX), message_id)
 
 
 def parse_object_key(objects: DataFrame, key: str = "key") -> DataFrame:
@@ -77,12 +97,15 @@ def check_objects(objects: DataFrame, projects: DataFrame) -> DataFrame:
         F.col("id").cast("string").alias("project_id"), F.lit(True).alias("_known")
     )
     joined = join_dimension(objects, known, ["project_id"], "left", ["key"])
+    before = F.col("reject_reason") if "reject_reason" in objects.columns else F.lit(None)
     reason = (
-        F.when(~F.col("is_valid_key"), "malformed key")
+        F.when(before.isNotNull(), before)
+        .when(~F.col("is_valid_key"), "malformed key")
         .when(F.col("_known").isNull(), "unknown project")
         .when(~F.col("extension").isin(*LOADABLE), "unsupported extension")
     )
-    return joined.select(*objects.columns, reason.alias("reject_reason"))
+    kept = [c for c in objects.columns if c != "reject_reason"]
+    return joined.select(*kept, reason.alias("reject_reason"))
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -99,8 +122,9 @@ def register_files(objects: DataFrame, files: DataFrame) -> DataFrame:
     """Get or create the file row of each landed object.
 
     An object that carries ``file_id`` in its metadata must match a file. One
-    without becomes a new file in status chunking, once per object URL however
-    often its event is delivered. ``is_new`` marks rows to append.
+    without has the file whose id follows from its URL: a new one in status
+    chunking, once however often its event is delivered, or the one that an
+    earlier run has registered. ``is_new`` marks rows to append.
     """
     url = object_url(F.col("bucket"), F.col("key"))
     landed = first_per_key(
@@ -112,13 +136,12 @@ def register_files(objects: DataFrame, files: DataFrame) -> DataFrame:
         F.col("status").alias("_status"),
         F.lit(True).alias("_known"),
     )
-    # Objects without a file id get their URL as key: it matches nothing, and
-    # unlike NULL it does not send all of them to the same task.
-    keyed = landed.withColumn("_key", F.coalesce("file_id", "url"))
+    keyed = landed.withColumn("_key", F.coalesce("file_id", stable_id(F.col("url"))))
     joined = keyed.join(known, "_key", "left")
-    is_new = F.col("file_id").isNull()
+    found = F.col("_known").isNotNull()
+    is_new = F.col("file_id").isNull() & ~found
     return joined.select(
-        F.coalesce("file_id", stable_id(F.col("url"))).alias("file_id"),
+        F.col("_key").alias("file_id"),
         F.col("project_id"),
         F.when(is_new, F.col("file_name")).otherwise(F.col("_name")).alias("name"),
         "size",
@@ -126,5 +149,5 @@ def register_files(objects: DataFrame, files: DataFrame) -> DataFrame:
         mime_type(F.col("file_name")).alias("type"),
         F.when(is_new, F.lit("chunking")).otherwise(F.col("_status")).alias("status"),
         is_new.alias("is_new"),
-        F.when(~is_new & F.col("_known").isNull(), "unknown file").alias("reject_reason"),
+        F.when(F.col("file_id").isNotNull() & ~found, "unknown file").alias("reject_reason"),
     )

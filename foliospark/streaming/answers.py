@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.sources.sinks import INGESTED, route_events
-
-
-def dedupe_completions(completions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each completed item once per request time."""
-    return completions.withWatermark("requested_at", delay).dropDuplicatesWithinWatermark(
-        ["workflow_id", "level", "evaluation_id", "content_id"]
-    )
+from foliospark.streaming import landing
 
 
 def correlate_stream(completions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -20,23 +17,50 @@ def correlate_stream(completions: DataFrame, requests: DataFrame) -> DataFrame:
     return completions.join(requests, ["evaluation_id", "content_id"])
 
 
-def level_barrier(completions: DataFrame, window: str = "1 day") -> DataFrame:
-    """T5: a row for each (workflow, level) at the moment its last item arrives.
+ITEM_KEYS = ("workflow_id", "level", "evaluation_id", "content_id")
+
 
-    ``completions`` is a deduplicated stream of (workflow_id, level, expected,
-    requested_at). All items of a level share one request time, so a window
-    over it never parts them, while the watermark lets the state of finished
-    and abandoned levels expire. Counting combines in each task first, so a
-    level with very many items stays cheap. Run it in update mode.
+def level_barrier(
+    completions: DataFrame,
+    path: str,
+    checkpoint: str,
+    next_level: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """T5: fire each (workflow, level) once, when its last item has arrived.
+
+    ``completions`` has the ``ITEM_KEYS`` and ``expected``. Items are stored once,
+    so redeliveries do not count, and nothing is forgotten, so a level fires
+    however late its last item is. A batch counts only the levels that it touches.
+    Fired levels are written to ``path/fired`` as (workflow_id, level, finished);
+    ``next_level`` turns the items of fired levels into the tasks of the next,
+    which are written to ``path/tasks``. A batch run again overwrites its own
+    output. Counting combines in each task first, so a level with very many
+    items stays cheap.
     """
-    counted = (
-        completions.withWatermark("requested_at", window)
-        .groupBy(F.window("requested_at", window), "workflow_id", "level")
-        .agg(F.count(F.lit(1)).alias("finished"), F.max("expected").alias("expected"))
-    )
-    return counted.filter(F.col("finished") == F.col("expected")).select(
-        "workflow_id", "level", "finished"
-    )
+    items, fired, tasks = f"{path}/items", f"{path}/fired", f"{path}/tasks"
+    level = ["workflow_id", "level"]
+
+    def fire(arrived: DataFrame, batch_id: int) -> None:
+        spark = arrived.sparkSession
+        touched = arrived.select(*level).distinct()
+        known = spark.read.parquet(items).filter(F.col("batch_id") <= batch_id)
+        of_touched = known.join(touched, level, "left_semi")
+        complete = (
+            of_touched.groupBy(*level)
+            .agg(F.count(F.lit(1)).alias("finished"), F.max("expected").alias("expected"))
+            .filter("finished = expected")
+            .drop("expected")
+        )
+        before = landing.stored(spark, fired)
+        if before is not None:
+            before = before.filter(F.col("batch_id") < batch_id)
+            complete = complete.join(before.select(*level), level, "left_anti")
+        landing.write_batch(complete, batch_id, fired)
+        if next_level is not None:
+            now = of_touched.join(complete, level, "left_semi").drop("batch_id", "bucket")
+            landing.write_batch(next_level(now), batch_id, tasks)
+
+    return landing.store_once(completions, ITEM_KEYS, items, checkpoint, fire)
 
 
 def evaluation_starts(events: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +17,8 @@ from foliospark.sources.landing import decode_landing_events
 # --- fixed values: polling limits ---------------------------------------------
 MAX_FILES_PER_TRIGGER = 100
 # ------------------------------------------------------------------------------
+STORE_BUCKETS = 32  # a batch reads only those of them it touches
+MESSAGE_KEYS = ("message_id", "record")
 
 
 def read_landing(
@@ -24,19 +31,75 @@ def read_landing(
 
 
 def landed_objects(stream: DataFrame) -> DataFrame:
-    """S1 on the stream, with the sending time as event time."""
+    """S1 on the stream, with the sending time as event time.
+
+    Bodies that cannot be read come along with their ``reject_reason``.
+    """
     return decode_landing_events(stream).withColumn(
         "sent_at", F.to_timestamp("sent_at")
     )
 
 
-def dedupe_messages(objects: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each record of a message once, redeliveries within ``delay`` dropped.
+def store_once(
+    stream: DataFrame,
+    keys: Sequence[str],
+    path: str,
+    checkpoint: str,
+    then: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Store each key once, however often and however late it is delivered.
 
-    The watermark bounds the state: ids older than the delay are forgotten.
+    There is no watermark, so no row is too late. What is known is the table
+    itself: a batch reads the keys of the buckets it touches, leaves out those that
+    earlier batches stored and overwrites its own folder, so that a batch that is
+    run again after a failure stores the same rows. ``then`` is called with what
+    the batch has stored. NULL is a key like any other.
     """
-    return objects.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(
-        ["message_id", "record"]
+    keys = list(keys)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(STORE_BUCKETS)).cast("int")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(keys).withColumn("bucket", bucket)
+        known = stored(spark, path)
+        if known is not None:
+            earlier = known.filter(F.col("batch_id") < batch_id).select("bucket", *keys)
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+            earlier = earlier.filter(F.col("bucket").isin(touched))
+            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ("bucket", *keys)]
+            fresh = fresh.alias("n").join(earlier.alias("o"), reduce(and_, same), "left_anti")
+        write_batch(fresh, batch_id, path, ["bucket"])
+        if then is not None:
+            written = stored(spark, path)
+            if written is not None:
+                then(written.filter(F.col("batch_id") == batch_id), batch_id)
+
+    return run_batches(stream, store, checkpoint)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that batches write; None before the first row."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # there is no folder, or no file in it yet
+        return None
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str, parts: Sequence[str] = ()) -> None:
+    """Write below ``batch_id``, overwriting what an interrupted run has left."""
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch_id", *parts).parquet(path)
+
+
+def run_batches(
+    stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
     )
 
 
@@ -52,29 +115,58 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def log_batches(
-    stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append"
-) -> StreamingQuery:
+def log_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each micro-batch below its ``batch_id``.
 
     A batch that is run again after a failure overwrites its own folder, so
     delivery at least once upstream still stores every row once.
     """
+    return run_batches(
+        stream, lambda batch, batch_id: write_batch(batch, batch_id, path), checkpoint
+    )
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
 
-    return (
-        stream.writeStream.outputMode(output_mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(store)
-        .start()
-    )
+def merge_answers(
+    existing: DataFrame, stream: DataFrame, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Merge each batch into a snapshot of the answers table.
+
+    The snapshot lies in buckets of (evaluation, page). A batch reads the newest
+    version of the buckets it touches, merges, and writes only these as a version
+    of its own number, so that the cost follows the batch and not the history,
+    and a repeated batch gives the same version. Version -1 is ``existing``.
+    """
+    bucket = F.pmod(F.xxhash64("evaluation_id", "content_id"), F.lit(STORE_BUCKETS)).cast("int")
+    spark = existing.sparkSession
+    if stored(spark, path) is None:
+        write_batch(existing.withColumn("bucket", bucket), -1, path, ["bucket"])
+    columns = existing.columns
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        arriving = batch.withColumn("bucket", bucket)
+        touched = [r.bucket for r in arriving.select("bucket").distinct().collect()]
+        before = spark.read.schema(SNAPSHOT.format(existing_ddl(existing))).parquet(path).filter(
+            (F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)
+        )
+        merged = upsert_answers(newest(before).select(columns), arriving.select(columns))
+        write_batch(merged.withColumn("bucket", bucket), batch_id, path, ["bucket"])
+
+    return run_batches(stream, merge, checkpoint)
+
+
+SNAPSHOT = "{}, batch_id long, bucket int"
+
+
+def existing_ddl(table: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in table.dtypes)
+
+
+def newest(snapshot: DataFrame) -> DataFrame:
+    """Rows of the newest version of each bucket."""
+    versions = snapshot.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+    return snapshot.join(F.broadcast(versions), ["bucket", "batch_id"], "left_semi")
 
 
-def current_answers(existing: DataFrame, log: DataFrame) -> DataFrame:
-    """The answers table after all logged batches."""
-    return upsert_answers(existing, log.select(*existing.columns))
+def current_answers(existing: DataFrame, path: str) -> DataFrame:
+    """The answers table after all merged batches."""
+    return newest(existing.sparkSession.read.parquet(path)).select(existing.columns)

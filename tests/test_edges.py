@@ -260,6 +260,14 @@ def test_tree_ignores_cycles_and_orphans(spark):
     assert {(r.id, r.depth, tuple(r.path)) for r in tree.collect()} == {(1, 0, (1,)), (2, 1, (1, 2))}
 
 
+def test_a_deep_chain_of_questions(spark):
+    rows = [question(1)] + [question(k, parent=k - 1) for k in range(2, 251)]
+    tree = hierarchy.evaluation_tree(spark.createDataFrame(rows, EVALUATIONS)).collect()
+    assert {r.id: r.depth for r in tree} == {k: k - 1 for k in range(1, 251)}
+    assert all(list(r.path) == list(range(1, r.id + 1)) for r in tree)
+    assert hierarchy.evaluation_tree(spark.createDataFrame([], EVALUATIONS)).isEmpty()
+
+
 def test_templates(spark):
     row = lambda template, **kw: values(spark, render(F.lit(template), {k: F.lit(v) for k, v in kw.items()}))
     assert row("a {{ x }}{{y}} {z}\n", x="{{ y }}", y="1") == "a {{ y }}1 {z}"
@@ -346,7 +354,28 @@ def test_all_records_of_an_event_count(spark):
         for rs in ([record("p/1"), record("p/2")], [])
     ]
     rows = landing.decode_landing_events(spark.createDataFrame([(b,) for b in bodies], "value string")).collect()
-    assert [r.key for r in rows] == ["p/1", "p/2"]
+    assert [r.key for r in rows] == ["p/1", "p/2", None]
+    assert [r.reject_reason for r in rows] == [None, None, "no records"]
+
+
+def test_unreadable_bodies_are_rejected_not_lost(spark):
+    bodies = [None, "", "no json", "{}", '{"MessageId":"m"}', '{"MessageId":"m","Message":"{\\"Records"}']
+    raw = spark.createDataFrame([(b,) for b in bodies], "value string")
+    objects = landing.parse_object_key(landing.decode_landing_events(raw))
+    projects = spark.createDataFrame([("p",)], "id string")
+    rows = landing.rejected(landing.check_objects(objects, projects)).collect()
+    assert [r.reject_reason for r in rows] == ["unreadable message"] * len(bodies)
+
+
+def test_registering_again_finds_the_file(spark):
+    schema = "bucket string, key string, message_id string, file_id string, project_id string, file_name string, size long"
+    objects = spark.createDataFrame([("b", "p/a.txt", "m", None, "p", "a.txt", 1)], schema)
+    files = spark.createDataFrame([], "id string, name string, status string")
+    first = landing.register_files(objects, files).collect()[0]
+    assert (first.is_new, first.status) == (True, "chunking")
+    files = spark.createDataFrame([(first.file_id, "a.txt", "completed")], files.schema)
+    again = landing.register_files(objects, files).collect()[0]
+    assert (again.file_id, again.is_new, again.status) == (first.file_id, False, "completed")
 
 
 @pytest.mark.parametrize(

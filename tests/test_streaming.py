@@ -1,7 +1,5 @@
 """Streams survive redelivery and restarts."""
 
-from pyspark.sql import functions as F
-
 from foliospark.streaming import answers, landing
 
 
@@ -28,36 +26,38 @@ def test_new_files_continue_the_stream(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
 
 
-def test_barrier_waits_for_the_last_item(spark, tmp_path):
+def test_barrier_fires_once_with_the_last_item_however_late(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     items = [("w", 0, 1, p, 3) for p in (1, 2, 3)] + [("v", 0, 1, 1, 2)]
     schema = "workflow_id string, level int, evaluation_id long, content_id long, expected long"
 
     def arrive(rows):
-        spark.createDataFrame(rows, schema).withColumn(
-            "requested_at", F.timestamp_seconds(F.lit(1_704_067_200))
-        ).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema + ", requested_at timestamp").parquet(source)
-        landing.log_batches(
-            answers.level_barrier(stream), out, checkpoint, "update"
-        ).awaitTermination()
-        try:
-            return sorted(tuple(r)[:3] for r in spark.read.parquet(out).collect())
-        except Exception:  # nothing written yet
-            return []
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        answers.level_barrier(stream, out, checkpoint).awaitTermination()
+        fired = landing.stored(spark, f"{out}/fired")
+        return [] if fired is None else sorted(tuple(r)[:3] for r in fired.collect())
 
-    assert arrive(items[:2]) == []
+    assert arrive(items[:2] + items[:2]) == []
     assert arrive(items[3:]) == []
+    assert arrive(items[:1] + items[2:3]) == [("w", 0, 3)]
     assert arrive(items[2:3]) == [("w", 0, 3)]
 
 
-def test_completions_are_deduplicated(spark, tmp_path):
+def test_keys_are_stored_once_across_batches_and_repeats(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    rows = spark.range(6).select(
-        F.lit("w").alias("workflow_id"), F.lit(0).alias("level"), F.lit(1).alias("evaluation_id"),
-        (F.col("id") % 3).alias("content_id"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("requested_at"),
-    )
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    landing.write_stream(answers.dedupe_completions(stream), out, checkpoint).awaitTermination()
-    assert sorted(r.content_id for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    schema = "message_id string, record int, key string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        landing.store_once(stream, landing.MESSAGE_KEYS, out, checkpoint).awaitTermination()
+        return sorted(r.key for r in spark.read.parquet(out).collect())
+
+    assert arrive([("a", 0, "x"), ("a", 0, "x"), (None, None, "n")]) == ["n", "x"]
+    assert arrive([("a", 0, "x"), ("a", 1, "y"), (None, None, "n")]) == ["n", "x", "y"]
+    # as if the job had died after the write and before the commit
+    (tmp_path / "checkpoint" / "commits" / "1").unlink()
+    for crc in (tmp_path / "checkpoint" / "commits").glob(".1.crc"):
+        crc.unlink()
+    assert arrive([("b", 0, "z")]) == ["n", "x", "y", "z"]
