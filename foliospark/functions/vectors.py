@@ -40,7 +40,9 @@ def cosine_to(embedding: Column, query: Sequence[float]) -> Column:
         result[present] = values
         return pa.array(result, from_pandas=True)
 
-    return score(embedding)
+    # Declared so that a filter on the score and the score itself share one
+    # evaluation instead of a second one above the filter.
+    return score.asNondeterministic()(embedding)
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -148,10 +148,10 @@ def search_files(
     titles = evaluations.select(
         F.col("id").alias("evaluation_id"), "title", "evaluation_type"
     )
-    numbers = pages.select(F.col("id").alias("content_id"), "content_number")
+    numbers = pages.select("file_id", F.col("id").alias("content_id"), "content_number")
     joined = join_by_key(rows, heads, ["file_id"])
     joined = join_dimension(joined, titles, ["evaluation_id"], spread=["answer_id"])
-    return joined.join(numbers, "content_id").orderBy(
+    return joined.join(numbers, ["file_id", "content_id"]).orderBy(
         F.col("file_created_at").desc(), "file_id", "answer_id"
     )
 

@@ -91,7 +91,10 @@ def answer_trees(answers: DataFrame, tree: DataFrame) -> DataFrame:
         F.posexplode(F.reverse("path")).alias("distance", "ancestor_id"),
     )
     nodes = answer_nodes(answers)
-    climbs = join_dimension(nodes, ancestors, ["evaluation_id"], spread=["content_id"])
+    deepest = tree.agg(F.max("depth")).head()[0] or 0
+    climbs = join_dimension(
+        nodes, ancestors, ["evaluation_id"], spread=["content_id"], unfolded=deepest + 1
+    )
     answered = nodes.select(
         "content_id", F.col("evaluation_id").alias("ancestor_id"), F.lit(True).alias("_hit")
     )

@@ -54,7 +54,11 @@ def project_stats(projects: DataFrame, files: DataFrame, answers: DataFrame) ->
 def answers_detail(
     answers: DataFrame, files: DataFrame, evaluations: DataFrame, pages: DataFrame
 ) -> DataFrame:
-    """Answers with their file, evaluation and page."""
+    """Answers with their file, evaluation and page.
+
+    Page texts join last, and on (file, page), so that a filter on the file
+    reaches the scan of the pages as well.
+    """
     heads = files.select(
         F.col("id").alias("file_id"), F.col("name").alias("file_name"), "project_id"
     )
@@ -62,12 +66,16 @@ def answers_detail(
         F.col("id").alias("evaluation_id"), "title", "evaluation_type", "category_id"
     )
     texts = pages.select(
-        F.col("id").alias("content_id"), "content_number", "content_metadata", "content"
+        "file_id",
+        F.col("id").alias("content_id"),
+        "content_number",
+        "content_metadata",
+        "content",
     )
     rows = answers.withColumnRenamed("id", "answer_id")
-    joined = rows.join(texts, "content_id")
-    joined = join_dimension(joined, titles, ["evaluation_id"], spread=["answer_id"])
-    return join_by_key(joined, heads, ["file_id"])
+    joined = join_dimension(rows, titles, ["evaluation_id"], spread=["answer_id"])
+    joined = join_by_key(joined, heads, ["file_id"])
+    return joined.join(texts, ["file_id", "content_id"])
 
 
 def answers_by_file(detail: DataFrame, project_id: object, file_id: object) -> DataFrame:
@@ -96,10 +104,10 @@ def answers_by_evaluation(
 def answers_by_page(answers: DataFrame, pages: DataFrame) -> DataFrame:
     """Answers per page of a file. A page has one answer per evaluation, so
     the nested list is as short as the list of questions."""
-    numbers = pages.select(F.col("id").alias("content_id"), "content_number")
+    numbers = pages.select("file_id", F.col("id").alias("content_id"), "content_number")
     item = F.struct("evaluation_id", "response", F.col("id").alias("answer_id"))
     return (
-        answers.join(numbers, "content_id")
+        answers.join(numbers, ["file_id", "content_id"])
         .groupBy("file_id", "content_number")
         .agg(
             F.count(F.lit(1)).alias("n_answers"),
@@ -110,10 +118,10 @@ def answers_by_page(answers: DataFrame, pages: DataFrame) -> DataFrame:
 
 def file_answer_summary(answers: DataFrame, pages: DataFrame) -> DataFrame:
     """Number of answers and highest answered page of each file."""
-    numbers = pages.select(F.col("id").alias("content_id"), "content_number")
+    numbers = pages.select("file_id", F.col("id").alias("content_id"), "content_number")
     return (
         answers.select("file_id", "content_id")
-        .join(numbers, "content_id")
+        .join(numbers, ["file_id", "content_id"])
         .groupBy("file_id")
         .agg(
             F.count(F.lit(1)).alias("n_answers"),

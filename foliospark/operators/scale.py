@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import broadcast_limit, salt_buckets
 
-SPLIT_BYTES = 128 * 1024 * 1024  # of a table scan
+SMALL_BYTES = 256 * 1024 * 1024  # a table that may be dealt anew to all cores
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -27,12 +27,12 @@ def planned_bytes(df: DataFrame) -> int:
 def spread_small(df: DataFrame, *by: str) -> DataFrame:
     """Give a small input to all cores before costly work per row.
 
-    A table of a few files is read by as few tasks. Shuffling it is cheap; a
-    large table has splits enough and is left as it is.
+    A table of a few files is read by as few tasks. Shuffling it is cheap, as it
+    is at most ``SMALL_BYTES`` whatever the cluster; a larger table has splits
+    enough and is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if planned_bytes(df) < cores * SPLIT_BYTES:
-        return df.repartition(cores, *by)
+    if planned_bytes(df) < SMALL_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
     return df
 
 
@@ -42,10 +42,13 @@ def join_dimension(
     on: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = (),
+    unfolded: int = 1,
 ) -> DataFrame:
     """Join a large table with a side that is normally small, on few keys.
 
-    The side is broadcast only if its planned size is within the limit.
+    The side is broadcast only if its planned size, times the rows that each of
+    its rows was ``unfolded`` into, is within the limit: plans do not count what
+    an explode adds.
     Beyond it the join is salted: the large table is spread over ``spread``
     columns, the other side repeated once per slice, so a hot key is shared
     by many tasks. Meant for keys such as the project or the question, of
@@ -54,21 +57,25 @@ def join_dimension(
     left_anti.
     """
     on = list(on)
-    if planned_bytes(dimension) <= broadcast_limit(fact.sparkSession):
+    if planned_bytes(dimension) * unfolded <= broadcast_limit(fact.sparkSession):
         return fact.join(F.broadcast(dimension), on, how)
     return salted_join(fact, dimension, on, how, spread)
 
 
 def join_by_key(
-    fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner"
+    fact: DataFrame,
+    side: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    unfolded: int = 1,
 ) -> DataFrame:
     """Join with a side that may be large itself: keys of files, pages or rows.
 
-    A side within the limit is broadcast. Otherwise both are shuffled once, and
+    A side within the limit, ``unfolded`` included, is broadcast. Otherwise both are shuffled once, and
     the adaptive skew join, which the session settings force, splits the
     partition of a hot key and repeats only that key's few rows of ``side``.
     """
-    if planned_bytes(side) <= broadcast_limit(fact.sparkSession):
+    if planned_bytes(side) * unfolded <= broadcast_limit(fact.sparkSession):
         side = F.broadcast(side)
     return fact.join(side, list(on), how)
 

@@ -119,7 +119,9 @@ def with_neighbors(
         "row_number", F.explode(F.sequence(number - before, number + after))
     )
     candidates = rows.withColumn("row_number", F.col("row_number").cast("long"))
-    joined = join_by_key(candidates, wanted, ["file_id", "row_number"])
+    joined = join_by_key(
+        candidates, wanted, ["file_id", "row_number"], unfolded=before + after + 1
+    )
     is_neighbor = F.col("row_id") != F.col("hit_id")
     if before == 0 and after == 0:
         joined = joined.filter(~is_neighbor)

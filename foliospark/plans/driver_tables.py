@@ -37,6 +37,11 @@ def project_index(project_id: Column) -> Column:
     return F.when(digits == "", F.lit(999)).otherwise(digits.cast("long")).cast("long")
 
 
+def page_texts() -> Column:
+    """The non-blank lines of a document, its pages."""
+    return F.filter(F.split("text", "\n"), lambda line: F.length(F.trim(line)) > 0)
+
+
 class DriverTables:
     """Lazy DataFrames over one folder of given tables."""
 
@@ -96,7 +101,7 @@ class DriverTables:
     @cached_property
     def pages(self) -> DataFrame:
         """One page per non-blank line of a document's whole text."""
-        lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.trim(line)) > 0)
+        lines = page_texts()
         rows = spread_small(self.documents, "doc_id").select(
             F.col("doc_id").alias("file_id"),
             F.col("source").alias("project_id"),
@@ -250,12 +255,14 @@ class DriverTables:
 
     @cached_property
     def answers(self) -> DataFrame:
-        """Answers on page 1 from labels and languages, with later duplicates.
+        """Answers on all pages from labels and languages, with later duplicates.
 
-        The id is file * 100 + question * 10 + copy.
+        The id is file * 100 + question * 10 + copy. A file's questions are
+        answered on one page if its number is even, else on pages in a row.
         """
         doc, index = F.col("doc_id"), project_index(F.col("source"))
-        joined = self.documents.select("doc_id", "source", "lang").join(
+        pages = F.greatest(F.size(page_texts()), F.lit(1))
+        joined = self.documents.select("doc_id", "source", "lang", pages.alias("n")).join(
             self.read("labels"), "doc_id", "left"
         )
 
@@ -277,7 +284,7 @@ class DriverTables:
             lambda a: a.isNotNull(),
         )
         copies = F.sequence(F.lit(0), F.when(doc % 7 == 0, 1).otherwise(0))
-        rows = joined.select("doc_id", index.alias("_index"), F.inline(given)).select(
+        rows = joined.select("doc_id", "n", index.alias("_index"), F.inline(given)).select(
             "*", F.explode(copies).alias("_copy")
         )
         changed = seconds_after_base(doc + F.col("_copy") * 86_400)
@@ -285,7 +292,7 @@ class DriverTables:
             (doc * 100 + F.col("k") * 10 + F.col("_copy")).alias("id"),
             doc.alias("file_id"),
             (F.col("_index") * 10 + F.col("k")).alias("evaluation_id"),
-            (doc * PAGE_FACTOR + 1).alias("content_id"),
+            (doc * PAGE_FACTOR + (doc + doc % 2 * F.col("k")) % F.col("n") + 1).alias("content_id"),
             "response",
             F.lit("completed").alias("status"),
             F.lit(None).cast("string").alias("error"),

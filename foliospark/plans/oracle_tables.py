@@ -75,7 +75,8 @@ FROM (SELECT id AS project_id, idx FROM p_projects WHERE id <> 'src_empty'),
          parent_evaluation_option, category, template, prompt)""",
     "p_answers": r"""
 SELECT doc_id * 100 + k * 10 + copy AS id, doc_id AS file_id, idx * 10 + k AS evaluation_id,
-       doc_id * 100000 + 1 AS content_id, response, 'completed' AS status,
+       doc_id * 100000 + (doc_id + doc_id % 2 * k) % n_pages + 1 AS content_id,
+       response, 'completed' AS status,
        1704067200 + doc_id + copy * 86400 AS updated_at
 FROM (
   SELECT doc_id, idx, 1 AS k, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS response
@@ -85,7 +86,8 @@ FROM (
   FROM p_docs JOIN labels USING (doc_id) WHERE quality = 1
   UNION ALL
   SELECT doc_id, idx, 3, lang FROM p_docs
-), (VALUES (0), (1)) v(copy)
+) JOIN (SELECT doc_id, greatest(len(lines), 1) AS n_pages FROM p_lines) USING (doc_id),
+  (VALUES (0), (1)) v(copy)
 WHERE copy = 0 OR doc_id % 7 = 0""",
     "p_objects": r"""
 SELECT doc_id, 'm-' || doc_id AS message_id, record, delivery, 'landing' AS bucket,

@@ -152,7 +152,7 @@ def search_all_files(t: DriverTables) -> DataFrame:
 
 @query(
     "search_files_nested",
-    f"""SELECT file_id, file_name, count(*) AS n_answers,
+    f"""SELECT file_id, file_name, (content_number - 1) // 2 AS part, count(*) AS n_answers,
           string_agg(title || '=' || response, ';'
                      ORDER BY content_number, answer_id) AS evaluations
         FROM ({SEARCH_SQL}) GROUP BY ALL""",
@@ -161,9 +161,11 @@ def search_files_nested(t: DriverTables) -> DataFrame:
     listed = F.transform(
         "evaluations", lambda a: F.concat(a.title, F.lit("="), a.response)
     )
-    return nest_answers(_search(t)).select(
+    """Nested in parts of two pages, so that files have several of them."""
+    return nest_answers(_search(t), pages_per_part=2).select(
         "file_id",
         "file_name",
+        "part",
         F.size("evaluations").alias("n_answers"),
         F.array_join(listed, ";").alias("evaluations"),
     )
@@ -360,6 +362,24 @@ def retrieve_policy(t: DriverTables) -> DataFrame:
     return rows.select("content_id", F.round("score", 6).alias("score"), "chunk_id")
 
 
+@query(
+    "retrieve_policy_strict",
+    """WITH hits AS (
+         SELECT s.chunk_id, s.file_id, s.score, p.id AS page_id, p.content_number
+         FROM p_scored s JOIN p_search_pages p ON p.id = s.content_id
+         WHERE s.score > 0.31 ORDER BY s.score DESC, s.chunk_id LIMIT 10)
+       SELECT p.id AS content_id, p.id <> h.page_id AS is_neighbor,
+         CASE WHEN p.id <> h.page_id THEN h.page_id END AS neighbor_from
+       FROM hits h JOIN p_search_pages p ON p.file_id = h.file_id
+        AND p.content_number BETWEEN h.content_number - 1 AND h.content_number + 1""",
+)
+def retrieve_policy_strict(t: DriverTables) -> DataFrame:
+    """A threshold above the default brings the pages around each hit."""
+    request = search.retrieval_request(t.query_vector(), score_threshold=0.31)
+    rows = search.similarity_search(t.chunks, t.search_pages, None, request)
+    return rows.select("content_id", "is_neighbor", "neighbor_from")
+
+
 @query(
     "neighbor_window",
     """SELECT c.id, string_agg(CAST(n.id AS VARCHAR), ',' ORDER BY n.id) AS neighbor_ids
