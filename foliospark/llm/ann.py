@@ -40,7 +40,7 @@ CELL = 400
 TREES = 2
 BEAM = 80
 EXPANDED = (40, 20, 20)  # nodes a query expands, round by round
-BLOCK = 2000  # nodes per block
+BLOCK = 2000  # nodes per block, fewer if there would be too few blocks for all cores
 
 NODE = "node long, vec binary"
 
@@ -85,6 +85,10 @@ def block_of(column: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(blocks))
 
 
+def blocks_for(df: DataFrame, count: int) -> int:
+    return max(count // BLOCK, 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def top_rows(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     """Indices of the ``most`` best rows of each group, best first."""
     order = np.lexsort((-score, group))
@@ -166,7 +170,7 @@ def edge_table(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.Table:
 
 def best_edges(offered: DataFrame, count: int) -> DataFrame:
     """The best ``DEGREE`` different edges of each node; an edge stays old if it was."""
-    blocks = max(1, count // BLOCK)
+    blocks = blocks_for(offered, count)
 
     def run(rows: pa.Table) -> pa.Table:
         u, v, s, new = (rows.column(c).to_numpy() for c in ("u", "v", "s", "new"))
@@ -183,7 +187,7 @@ def best_edges(offered: DataFrame, count: int) -> DataFrame:
 
 def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     """Edges between the neighbours, in both directions, of every node."""
-    blocks = max(1, count // BLOCK)
+    blocks = blocks_for(edges, count)
     nearest = Window.partitionBy("m").orderBy(F.desc("s"), "x")
     back = (
         edges.select(F.col("v").alias("m"), F.col("u").alias("x"), "s", "new")
@@ -263,7 +267,7 @@ def neighbour_graph(vectors: DataFrame, count: int) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame, count: int, most: int) -> DataFrame:
     """Inner products of (q, v), for each query the ``most`` best of a block."""
-    blocks = max(1, count // BLOCK)
+    blocks = blocks_for(pairs, count)
     dealt = pairs.withColumn("block", block_of("v", blocks))
     asked = dealt.select(F.col("block").alias("at"), F.col("q").alias("node")).distinct()
     asked = asked.join(vectors, "node").select("at", "node", "vec", F.lit(True).alias("asks"))
