@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.templates import render
 from foliospark.functions.text import is_blank, percent_encode, stable_id
+from foliospark.operators.maintenance import upsert_answers
 from foliospark.operators.scale import join_by_key, join_dimension
 from foliospark.schemas import COMPLETION_CALLBACK
 from foliospark.session import materialise
@@ -316,9 +317,17 @@ def respond_stub(tasks: DataFrame, pages: DataFrame, evaluations: DataFrame) ->
 
 
 def decode_callbacks(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Completion callbacks from JSON text, keyed by page and evaluation."""
+    """Completion callbacks from JSON text, keyed by page and evaluation.
+
+    What the model was asked and what it said are kept as the JSON they came in.
+    """
     body = F.from_json(column, COMPLETION_CALLBACK)
-    return raw.select(*[c for c in raw.columns if c != column], body.alias("_c")).select(
+    return raw.select(
+        *[c for c in raw.columns if c != column],
+        body.alias("_c"),
+        F.get_json_object(column, "$.payload.request").alias("llm_request"),
+        F.get_json_object(column, "$.payload.response").alias("llm_response"),
+    ).select(
         *[c for c in raw.columns if c != column],
         F.col("_c.payload.request.metadata.file_id").alias("file_id"),
         F.col("_c.payload.request.metadata.evaluation_id").alias("evaluation_id"),
@@ -327,6 +336,8 @@ def decode_callbacks(raw: DataFrame, column: str = "value") -> DataFrame:
         F.col("_c.payload.error").alias("payload_error"),
         F.col("_c.payload.request").isNotNull().alias("has_request"),
         F.col("_c.payload.response").alias("completion"),
+        "llm_request",
+        "llm_response",
     )
 
 
@@ -505,6 +516,30 @@ def answer_rows(answered: DataFrame, status: str = "completed") -> DataFrame:
     )
 
 
+def store_answers(existing: DataFrame, parsed: DataFrame, at: Column) -> DataFrame:
+    """The answers table after the usable answers of :func:`parse_answers`.
+
+    Every row keeps the model's request, response and error. ``existing`` has the
+    columns of the table, ``at`` is the time of the answers. Rejected callbacks are
+    reported by ``parse_answers`` and change nothing.
+    """
+    usable = parsed.filter(F.col("reject_reason").isNull())
+    rows = usable.select(
+        stable_id(F.col("evaluation_id"), F.col("content_id")).alias("id"),
+        "file_id",
+        "evaluation_id",
+        "content_id",
+        "response",
+        "status",
+        F.col("payload_error").alias("error"),
+        "llm_request",
+        "llm_response",
+        at.alias("created_at"),
+        at.alias("updated_at"),
+    )
+    return upsert_answers(existing, rows.select(existing.columns))
+
+
 def correlate(requests: DataFrame, callbacks: DataFrame) -> DataFrame:
     """Each request with its completion, by evaluation and page.
 

@@ -170,7 +170,7 @@ def _callbacks(t: DriverTables) -> DataFrame:
     return _answered_roots(t).select(F.to_json(body).alias("value"))
 
 
-CALLBACK_SQL = f"""SELECT content_id, evaluation_id,
+CALLBACK_SQL = f"""SELECT content_id, evaluation_id, file_id, evaluation_type,
          CASE WHEN content_id % 11 = 5 THEN 'unknown file' WHEN content_id % 11 = 4 THEN 'no response'
               WHEN content_id % 11 = 1 THEN 'no tool call' WHEN content_id % 11 = 2 THEN 'wrong tool call'
          END AS reject_reason, response,
@@ -211,6 +211,54 @@ def parse_answer_errors(t: DriverTables) -> DataFrame:
     )
 
 
+@query(
+    "store_answers",
+    f"""WITH usable AS (
+         SELECT *, evaluation_type = 'boolean' AS flag,
+           CASE WHEN evaluation_type = 'boolean' THEN response
+                ELSE '\\"' || response || '\\"' END AS argument
+         FROM ({CALLBACK_SQL}) WHERE reject_reason IS NULL),
+       incoming AS (
+         SELECT evaluation_id, content_id, response, status, payload_error AS error,
+           '{{"metadata":{{"evaluation_id":"' || evaluation_id || '","file_id":"' || file_id
+             || '","file_content_id":"' || content_id || '"}}}}' AS llm_request,
+           '{{"message":"","tool_calls":[{{"function":{{"name":"'
+             || CASE WHEN flag THEN 'boolean_answer' ELSE 'enum_answer' END
+             || '","arguments":"{{\\"answer\\":' || argument || '}}"}}}}]}}' AS llm_response
+         FROM usable),
+       before AS (
+         SELECT evaluation_id, content_id, arg_max(response, (updated_at, id)) AS response
+         FROM p_answers WHERE file_id % 2 = 0 GROUP BY ALL)
+       SELECT evaluation_id, content_id, coalesce(i.response, b.response) AS response,
+         coalesce(i.status, 'completed') AS status, i.error, i.llm_request, i.llm_response
+       FROM before b FULL JOIN incoming i USING (evaluation_id, content_id)""",
+)
+def store_answers(t: DriverTables) -> DataFrame:
+    """From callbacks to the answers table, which holds half of the files' answers."""
+    none = F.lit(None).cast("string")
+    ids = ("id", "file_id", "evaluation_id", "content_id")
+    existing = t.answers.filter("file_id % 2 = 0").select(
+        *[F.col(c).cast("string").alias(c) for c in ids],
+        "response",
+        "status",
+        "error",
+        none.alias("llm_request"),
+        none.alias("llm_response"),
+        "created_at",
+        "updated_at",
+    )
+    stored = ev.store_answers(existing, _parsed(t), F.lit("2030-01-01").cast("timestamp"))
+    return stored.select(
+        F.col("evaluation_id").cast("long").alias("evaluation_id"),
+        F.col("content_id").cast("long").alias("content_id"),
+        "response",
+        "status",
+        "error",
+        "llm_request",
+        "llm_response",
+    )
+
+
 @query(
     "correlate_callbacks",
     f"""SELECT content_id, evaluation_id, CASE WHEN content_id % 11 = 3 THEN 'FAILED'
