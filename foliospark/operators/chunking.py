@@ -79,14 +79,14 @@ def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
     keep = ["project_id", "file_id", "content_id", "content_number", "chunk_metadata"]
     pages = spread_small(pages, "id")
     offsets = offsets_in_group(
-        pages.select("file_id", "content_number", counts.alias("_size")),
+        pages.select("id", "file_id", "content_number", counts.alias("_size")),
         ["file_id"],
         "content_number",
         "_size",
         "_offset",
-    ).drop("_size")
+    ).select("id", "_offset")
     unfolded = (
-        pages.join(offsets, ["file_id", "content_number"])
+        pages.join(offsets, "id")
         .select(
             "project_id",
             "file_id",

@@ -82,37 +82,20 @@ def answer_trees(answers: DataFrame, tree: DataFrame) -> DataFrame:
     """Each answered node with the root of its tree on that page.
 
     The root is the highest ancestor that an unbroken chain of answered
-    evaluations leads to. Ancestors come from the evaluation tree, so no walk
-    over the answers is needed: one join on (page, ancestor) shows which of
-    them are answered, and the nearest unanswered one ends the chain.
+    evaluations leads to. One aggregate collects what is answered on a page, which
+    is at most the questions of a project; the way up comes from the evaluation
+    tree and is cut, in the row, at the first ancestor that is not among them.
     """
-    ancestors = tree.select(
-        F.col("id").alias("evaluation_id"),
-        F.posexplode(F.reverse("path")).alias("distance", "ancestor_id"),
-    )
-    nodes = answer_nodes(answers)
-    deepest = tree.agg(F.max("depth")).head()[0] or 0
-    climbs = join_dimension(
-        nodes, ancestors, ["evaluation_id"], spread=["content_id"], unfolded=deepest + 1
-    )
-    answered = nodes.select(
-        "content_id", F.col("evaluation_id").alias("ancestor_id"), F.lit(True).alias("_hit")
-    )
-    step = F.struct("distance", "ancestor_id")
-    chains = (
-        climbs.join(answered, ["content_id", "ancestor_id"], "left")
-        .groupBy("content_id", "evaluation_id")
-        .agg(
-            F.min(F.when(F.col("_hit").isNull(), F.col("distance"))).alias("_gap"),
-            F.array_sort(F.collect_list(step)).alias("_climb"),
-        )
-    )
-    steps = F.coalesce(F.col("_gap"), F.size("_climb"))
-    return chains.select(
+    pages = answers.groupBy("content_id").agg(F.collect_set("evaluation_id").alias("_answered"))
+    nodes = pages.select("content_id", "_answered", F.explode("_answered").alias("evaluation_id"))
+    ways = tree.select(F.col("id").alias("evaluation_id"), F.reverse("path").alias("_climb"))
+    climbs = join_dimension(nodes, ways, ["evaluation_id"], spread=["content_id"])
+    hits = F.transform("_climb", lambda e: F.array_contains(F.col("_answered"), e))
+    gap = F.array_position(hits, False)
+    steps = F.when(gap == 0, F.size("_climb")).otherwise(gap - 1).cast("int")
+    return climbs.select("content_id", "evaluation_id", "_climb", steps.alias("_steps")).select(
         "content_id",
         "evaluation_id",
-        F.element_at("_climb", steps.cast("int"))["ancestor_id"].alias(
-            "root_evaluation_id"
-        ),
-        (steps - 1).cast("int").alias("depth"),
+        F.element_at("_climb", F.col("_steps")).alias("root_evaluation_id"),
+        (F.col("_steps") - 1).alias("depth"),
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators import chunking
-from foliospark.operators.embedding import embed_hashed
+from foliospark.operators import chunking, embedding
+from foliospark.operators.embedding import EMBEDDING_DIMENSION
 from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
 from foliospark.session import scratch_path
@@ -151,9 +151,7 @@ def explode_pages(t: DriverTables) -> DataFrame:
     )
 
 
-@query(
-    "chunk_windows",
-    r"""WITH words AS (
+CHUNK_WINDOWS_SQL = r"""WITH words AS (
           SELECT file_id, id AS content_id, content_number,
             list_filter(regexp_split_to_array(content, '[ \t\n\r\f]+'), lambda x: x <> '') AS w
           FROM p_pages),
@@ -163,8 +161,10 @@ def explode_pages(t: DriverTables) -> DataFrame:
         SELECT file_id, content_id, i + 1 AS chunk_in_page,
           row_number() OVER (PARTITION BY file_id ORDER BY content_number, i) AS chunk_number,
           array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ') AS content, 'CHUNKED' AS status
-        FROM starts""",
-)
+        FROM starts"""
+
+
+@query("chunk_windows", CHUNK_WINDOWS_SQL)
 def chunk_windows(t: DriverTables) -> DataFrame:
     return chunking.chunk_windows(t.pages).select(
         "file_id", "content_id", "chunk_in_page", "chunk_number", "content", "status"
@@ -202,11 +202,46 @@ def chunk_recursive(t: DriverTables) -> DataFrame:
     )
 
 
-@query("embed_chunks")
+@query(
+    "embed_hashed",
+    f"""SELECT file_id, content_id, chunk_number, {EMBEDDING_DIMENSION} AS dimension,
+          1.0::DOUBLE AS norm, 'EMBEDDED' AS status FROM ({CHUNK_WINDOWS_SQL})""",
+)
+def embed_hashed(t: DriverTables) -> DataFrame:
+    """Hashed word vectors of all chunks: their length, norm and status."""
+    squares = F.aggregate(
+        "embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
+    )
+    return embedding.embed_hashed(chunking.chunk_windows(t.pages)).select(
+        "file_id",
+        "content_id",
+        "chunk_number",
+        F.size("embedding").alias("dimension"),
+        F.round(F.sqrt(squares), 4).alias("norm"),
+        "status",
+    )
+
+
+@query(
+    "embed_chunks",
+    f"""SELECT file_id, content_id, chunk_number, length(content)::DOUBLE AS characters,
+          (length(content) - length(replace(content, ' ', '')) + 1)::DOUBLE AS words,
+          'EMBEDDED' AS status FROM ({CHUNK_WINDOWS_SQL})""",
+)
 def embed_chunks(t: DriverTables) -> DataFrame:
+    """A plugged-in embedder of two dimensions: characters and words of a chunk."""
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [[float(len(text)), float(text.count(" ") + 1)] for text in texts]
+
     chunks = chunking.chunk_windows(t.pages)
-    return embed_hashed(chunks).select(
-        "file_id", "content_id", "chunk_number", "embedding", "status"
+    return embedding.embed_chunks(chunks, embedder, 2).select(
+        "file_id",
+        "content_id",
+        "chunk_number",
+        F.get("embedding", F.lit(0)).cast("double").alias("characters"),
+        F.get("embedding", F.lit(1)).cast("double").alias("words"),
+        "status",
     )
 
 
