@@ -134,6 +134,37 @@ def load_text_pages(t: DriverTables) -> DataFrame:
     )
 
 
+@query(
+    "extract_pages",
+    """SELECT file_id, content_number, content,
+         CASE WHEN content_number % 2 = 0 THEN 'even' ELSE 'odd' END AS kind,
+         NULL::VARCHAR AS error FROM p_pages WHERE file_id % 50 <> 3
+       UNION ALL SELECT doc_id, NULL, NULL, NULL, 'broken file' FROM documents
+       WHERE doc_id % 50 = 3""",
+)
+def extract_pages(t: DriverTables) -> DataFrame:
+    """The bytes of every document through a plugged-in extractor; some are broken."""
+
+    def extractor(data: bytes) -> list[tuple[str, dict]]:
+        if data.startswith(b"BROKEN"):
+            raise ValueError("broken file")
+        lines = [line for line in data.decode().split("\n") if line.strip(" ")]
+        return [(line, {"kind": ("odd", "even")[n % 2]}) for n, line in enumerate(lines)]
+
+    broken = F.when(F.col("doc_id") % 50 == 3, F.lit("BROKEN").cast("binary"))
+    files = t.documents.select(
+        F.col("doc_id").alias("file_id"),
+        F.coalesce(broken, F.col("text").cast("binary")).alias("content"),
+    )
+    return loaders.extract_pages(files, extractor).select(
+        "file_id",
+        "content_number",
+        "content",
+        F.element_at("content_metadata", "kind").alias("kind"),
+        "error",
+    )
+
+
 @query(
     "explode_pages",
     """SELECT file_id, project_id, content_number, page_label, content FROM p_pages""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark import schemas
 from foliospark.functions import text
 from foliospark.operators import maintenance, reads, reports
 from foliospark.operators.scale import first_per_key
@@ -44,6 +45,36 @@ def scan_ordered(t: DriverTables) -> DataFrame:
     )
 
 
+@query("lookup", "SELECT id, name, status FROM p_files WHERE id = 7")
+def lookup(t: DriverTables) -> DataFrame:
+    return reads.lookup(t.files, 7).select("id", "name", "status")
+
+
+@query(
+    "read_view",
+    """SELECT id, file_id, chunk_number, content, status, project_id, content_id FROM p_chunks""",
+)
+def read_view(t: DriverTables) -> DataFrame:
+    """Chunks as the read side sees them, without vectors."""
+    seen = schemas.read_view(t.chunks)
+    assert "embedding" not in seen.columns
+    return seen.select(
+        "id", "file_id", "chunk_number", "content", "status", "project_id", "content_id"
+    )
+
+
+@query(
+    "stable_ids",
+    """SELECT doc_id, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || '|'
+                             || length(source) || ':' || source || '|0:') AS id
+       FROM documents""",
+)
+def stable_ids(t: DriverTables) -> DataFrame:
+    """Ids that follow from their parts, a missing part included."""
+    parts = (F.col("doc_id"), F.col("source"), F.lit(None).cast("string"))
+    return t.documents.select("doc_id", text.stable_id(*parts).alias("id"))
+
+
 @query(
     "lookup_many",
     """SELECT p.id, p.file_id, p.content_number, p.content FROM p_pages p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,30 +59,43 @@ def extract_pages(files: DataFrame, extractor: PageExtractor) -> DataFrame:
     fail the job.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pairs = pa.map_(pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, data in zip(batch["file_id"], batch["content"]):
+            source, numbers, texts, metadata, errors = [], [], [], [], []
+            for row, data in enumerate(batch.column("content")):
                 error, pages = None, []
                 try:
-                    pages = extractor(bytes(data))
+                    pages = extractor(data.as_py())
                 except Exception as problem:  # reported per file
                     error = str(problem) or type(problem).__name__
-                # a broken file is one row without a page
-                rows = [(n, t, dict(m)) for n, (t, m) in enumerate(pages, start=1)]
-                numbers, texts, metadata = zip(*(rows or [(None, None, None)]))
-                if rows or error is not None:
-                    yield pd.DataFrame(
-                        {
-                            "file_id": [file_id] * len(numbers),
-                            "content_number": pd.array(numbers, dtype="Int32"),
-                            "content": texts,
-                            "content_metadata": metadata,
-                            "error": [error] * len(numbers),
-                        }
-                    )
+                if error is not None:  # a broken file is one row without a page
+                    source.append(row)
+                    numbers.append(None)
+                    texts.append(None)
+                    metadata.append(None)
+                    errors.append(error)
+                    continue
+                for number, (text, described) in enumerate(pages, start=1):
+                    source.append(row)
+                    numbers.append(number)
+                    texts.append(text)
+                    metadata.append(list(dict(described).items()))
+                    errors.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("file_id").take(pa.array(source, pa.int64())),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(texts, pa.string()),
+                    pa.array(metadata, pairs),
+                    pa.array(errors, pa.string()),
+                ],
+                ["file_id", "content_number", "content", "content_metadata", "error"],
+            )
 
     id_type = dict(files.dtypes)["file_id"]
-    return files.select("file_id", "content").mapInPandas(
+    return files.select("file_id", "content").mapInArrow(
         run,
         f"file_id {id_type}, content_number INT, content STRING, "
         "content_metadata MAP<STRING,STRING>, error STRING",

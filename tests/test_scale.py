@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
-from foliospark.operators import scale
+from foliospark.operators import reports, scale
 from foliospark.operators.search import SearchRequest, similarity_hits, with_neighbors
 from foliospark.plans.driver_tables import DriverTables
 
@@ -140,3 +140,25 @@ def test_reports_do_not_read_texts(spark):
 def test_no_query_has_a_nested_loop_or_cross_join(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_a_threshold_scores_every_vector_once(spark):
+    t = DriverTables(spark, SF_DIR)
+    request = SearchRequest(t.query_vector(), limit=5, score_threshold=0.1)
+    hits = similarity_hits(t.chunks, None, request)
+    assert plan(hits).count("ArrowEvalPython") == 1
+
+
+def test_a_file_filter_reaches_answers_and_pages(spark, tmp_path):
+    t = DriverTables(spark, SF_DIR)
+    tables = {}
+    for name in ("answers", "pages", "files", "evaluations"):
+        getattr(t, name).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    detail = reports.answers_detail(
+        tables["answers"], tables["files"], tables["evaluations"], tables["pages"]
+    )
+    shown = plan(reports.answers_by_file(detail, "src5", 5))
+    for column in ("response", "content_metadata"):
+        scan = next(line for line in shown.splitlines() if "FileScan" in line and column in line)
+        assert "EqualTo(file_id,5)" in scan
