@@ -474,10 +474,12 @@ def near_duplicate_rows(
     named_nodes = nodes.join(labels, "node", "left").select(
         "text_id", F.coalesce("label", "node").alias("label")
     )
-    rows = sketched.select("row_id", "kept", "text_id").join(named_nodes, "text_id", "left")
-    rows = rows.select("row_id", "kept", F.coalesce("label", "row_id").alias("label"))
-    named = F.col(f"kept.`{key}`")
-    first = F.min(F.struct(named.isNull().alias("none"), named.alias("key"), "row_id"))
+    # Classes are settled on narrow rows; what is carried joins them at the end.
+    rows = sketched.select("row_id", F.col(f"kept.`{key}`").alias("key"), "text_id")
+    rows = rows.join(named_nodes, "text_id", "left").select(
+        "row_id", "key", F.coalesce("label", "row_id").alias("label")
+    )
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row_id"))
     groups = (
         rows.groupBy("label")
         .agg(first.alias("first"), F.count("*").alias("class_size"))
@@ -488,9 +490,13 @@ def near_duplicate_rows(
             "class_size",
         )
     )
-    return rows.join(groups, "label").select(
-        F.col("kept").alias("row"),
+    settled = rows.join(groups, "label").select(
+        "row_id",
         "class_id",
         "class_size",
         (F.col("row_id") == F.col("first_row")).alias("stays"),
     )
+    settled = materialise(settled, "classes")
+    return join_by_key(
+        sketched.select("row_id", F.col("kept").alias("row")), settled, ["row_id"]
+    ).drop("row_id")

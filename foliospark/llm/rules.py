@@ -285,8 +285,11 @@ def judge_rows(
     df: DataFrame, labels: DataFrame, key: str, text: str, carried: list[str]
 ) -> DataFrame:
     """``carried`` in a struct ``row``, the measures, ``base_failed`` and ``kept``."""
-    measured = materialise(measures(df, text, carried), "measures")
+    measured = materialise(measures(df, text, [key]), "measures")
     verdict = as_column(fit(measured, labels, key))
+    if carried != [key]:
+        # Measuring again is cheaper than writing whole rows beside the measures.
+        measured = measures(df, text, carried)
     return measured.select(
         F.col("kept").alias("row"),
         *MEASURES,
