@@ -25,6 +25,7 @@ from foliospark.llm.queries import vocabulary_path
 from foliospark.session import materialise, tune_session
 
 CLEAR_LANGUAGE = 0.5
+PACKED_BYTES = 2_000_000  # text a packing task holds at once, beside earlier stages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune_session(spark)
-    return packing.pack_documents(docs, vocabulary_path(), 2048)
+    return packing.pack_documents(docs, vocabulary_path(), 2048, held_bytes=PACKED_BYTES)
 
 
 STAGES = [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.bpe import Encoder
-from foliospark.llm.common import byte_groups, with_bytes
+from foliospark.llm.common import GROUP_BYTES, byte_groups, with_bytes
 from foliospark.session import materialise
 
 GROUP_PIECES = 16384
@@ -39,6 +39,7 @@ def token_pieces(
     separator: int = 0,
     key: str = "doc_id",
     text: str = "text",
+    held_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The pieces of at most ``capacity`` tokens of each document.
 
@@ -48,7 +49,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for part, data in byte_groups(batches):
+        for part, data in byte_groups(batches, held_bytes):
             ids, bounds = encoder.encode([d.decode("utf-8", "replace") for d in data])
             rows: list[tuple] = []
             for key, a, b in zip(part.column("id").to_pylist(), bounds, bounds[1:]):
@@ -167,13 +168,15 @@ def pack_documents(
     separator: int = 0,
     key: str = "doc_id",
     text: str = "text",
+    held_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Where each piece of each document is packed.
 
     ``key``, ``piece``, ``start``, ``length``, ``ids_crc32`` of the piece's ids,
-    ``sequence_id`` and ``offset``. The ids themselves stay out of the shuffle.
+    ``sequence_id`` and ``offset``. The ids themselves stay out of the shuffle. A
+    task encodes about ``held_bytes`` of text at once.
     """
-    pieces = token_pieces(df, path, capacity, separator, key, text)
+    pieces = token_pieces(df, path, capacity, separator, key, text, held_bytes)
     narrow = pieces.select(
         key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
