@@ -7,11 +7,13 @@ directions, compares those with each other inside the task, and gives better
 ones to their nodes: neighbours of neighbours become neighbours, until hardly
 any edge changes. Queries are nodes themselves: the search starts at their own
 edges and moves greedily, expanding the best nodes found that are not expanded
-yet. Found nodes are scored again exactly, in double precision, and only then
-spread to the rows that hold their vectors.
+yet. Graph, search and result all score in double precision, and equal scores go
+to the smaller node, so that no cut on the way is coarser than the result: near
+copies are told apart as far as the result tells them apart, whatever the norms.
+Found nodes are spread to the rows that hold their vectors only at the end.
 
 All joins are made in blocks of nodes: a task gets the lists of its block and
-each vector they name once. Nothing is collected but counts and one largest norm.
+each vector they name once. Nothing is collected but counts.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor those whose length is not the most frequent one
@@ -89,9 +91,9 @@ def blocks_for(df: DataFrame, count: int) -> int:
     return max(count // BLOCK, 4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def top_rows(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """Indices of the ``most`` best rows of each group, best first."""
-    order = np.lexsort((-score, group))
+def top_rows(group: np.ndarray, score: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """Indices of the ``most`` best rows of each group, best first, the smaller ``other`` of equals."""
+    order = np.lexsort((other, -score, group))
     ordered = group[order]
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -100,25 +102,9 @@ def top_rows(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     return order[rank < most]
 
 
-def shortened(nodes: DataFrame) -> DataFrame:
-    """Nodes as 16-bit floats, scaled to a largest norm of 1."""
-
-    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            squares = (matrix(batch.column("vec"), "<f8") ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array([squares.max()])], ["most"])
-
-    most = nodes.select("vec").mapInArrow(norms, "most double").agg(F.max("most")).first()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = (matrix(batch.column("vec"), "<f8") / np.sqrt(most)).astype("<f2")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([v.tobytes() for v in small], pa.binary())],
-                ["node", "vec"],
-            )
-
-    return nodes.mapInArrow(run, NODE)
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the same order wherever a pair is scored."""
+    return (left * right).sum(-1)
 
 
 def first_graph(vectors: DataFrame, count: int) -> DataFrame:
@@ -127,7 +113,7 @@ def first_graph(vectors: DataFrame, count: int) -> DataFrame:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = matrix(batch.column("vec"), "<f2").astype(np.float32)
+            data = matrix(batch.column("vec"), "<f8")
             for tree in range(TREES if bits else 1):
                 planes = np.random.RandomState(tree).standard_normal((data.shape[1], bits))
                 code = ((data @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
@@ -149,7 +135,7 @@ def first_graph(vectors: DataFrame, count: int) -> DataFrame:
 
     def compare(rows: pa.Table) -> pa.Table:
         node = rows.column("node").to_numpy()
-        data = matrix(rows.column("vec"), "<f2").astype(np.float32)
+        data = matrix(rows.column("vec"), "<f8")
         score = data @ data.T
         np.fill_diagonal(score, -np.inf)
         most = min(DEGREE, len(node) - 1)
@@ -160,12 +146,12 @@ def first_graph(vectors: DataFrame, count: int) -> DataFrame:
             np.take_along_axis(score, best, 1).ravel(),
         )
 
-    found = placed.groupBy("cell", "part").applyInArrow(compare, "u long, v long, s float")
+    found = placed.groupBy("cell", "part").applyInArrow(compare, "u long, v long, s double")
     return best_edges(found.withColumn("new", F.lit(True)), count)
 
 
 def edge_table(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"u": pa.array(u), "v": pa.array(v), "s": pa.array(s.astype(np.float32))})
+    return pa.table({"u": pa.array(u), "v": pa.array(v), "s": pa.array(s.astype(np.float64))})
 
 
 def best_edges(offered: DataFrame, count: int) -> DataFrame:
@@ -178,11 +164,11 @@ def best_edges(offered: DataFrame, count: int) -> DataFrame:
         first = np.ones(len(order), bool)
         first[1:] = (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])
         kept = order[first]
-        kept = kept[top_rows(u[kept], s[kept], DEGREE)]
+        kept = kept[top_rows(u[kept], s[kept], v[kept], DEGREE)]
         return edge_table(u[kept], v[kept], s[kept]).append_column("new", pa.array(new[kept]))
 
     dealt = offered.withColumn("block", block_of("u", blocks))
-    return dealt.groupBy("block").applyInArrow(run, "u long, v long, s float, new boolean")
+    return dealt.groupBy("block").applyInArrow(run, "u long, v long, s double, new boolean")
 
 
 def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
@@ -204,7 +190,9 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     limits = vectors.join(worst, vectors.node == worst.u, "left").select(
         "node",
         "vec",
-        F.when(F.col("held") >= DEGREE, F.col("least")).otherwise(-9.0).cast("float").alias("least"),
+        F.when(F.col("held") >= DEGREE, F.col("least"))
+        .otherwise(F.lit(float("-inf")))
+        .alias("least"),
     )
     named = lists.select(F.col("block").alias("at"), F.col("x").alias("node")).distinct()
     wanted = named.join(limits, "node")
@@ -213,7 +201,7 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
         ids = vectors.column("node").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
-        data = matrix(vectors.column("vec"), "<f2").astype(np.float32)[order]
+        data = matrix(vectors.column("vec"), "<f8")[order]
         least = vectors.column("least").to_numpy()[order]
         m = lists.column("m").to_numpy()
         x = np.searchsorted(ids, lists.column("x").to_numpy())
@@ -239,7 +227,7 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
             row, column = np.nonzero(value > -np.inf)
             found.append((at[row], at[best[row, column]], value[row, column]))
         if not found:
-            return edge_table(*[np.empty(0, k) for k in (np.int64, np.int64, np.float32)])
+            return edge_table(*[np.empty(0, k) for k in (np.int64, np.int64, np.float64)])
         u, v, s = (np.concatenate(c) for c in zip(*found))
         pair = u * np.int64(len(ids)) + v
         once = np.unique(pair, return_index=True)[1]
@@ -248,7 +236,7 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     return (
         lists.groupBy("block")
         .cogroup(wanted.groupBy("at"))
-        .applyInArrow(compare, "u long, v long, s float")
+        .applyInArrow(compare, "u long, v long, s double")
     )
 
 
@@ -277,7 +265,7 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, count: int, most: int) ->
     def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
         asks = vectors.column("asks").to_numpy()
         node = vectors.column("node").to_numpy()
-        data = matrix(vectors.column("vec"), "<f2").astype(np.float32)
+        data = matrix(vectors.column("vec"), "<f8")
         sides = []
         for side, name in ((asks, "q"), (~asks, "v")):
             ids, rows = node[side], data[side]
@@ -285,15 +273,15 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, count: int, most: int) ->
             found = pairs.column(name).to_numpy()
             sides.append((rows[order], np.searchsorted(ids[order], found), found))
         (left, a, q), (right, b, v) = sides
-        score = np.empty(len(q), np.float32)
+        score = np.empty(len(q))
         for first in range(0, len(q), 50_000):
             at = slice(first, first + 50_000)
-            score[at] = np.einsum("ij,ij->i", left[a[at]], right[b[at]])
-        kept = top_rows(q, score, most)
+            score[at] = products(left[a[at]], right[b[at]])
+        kept = top_rows(q, score, v, most)
         return pa.table({"q": pa.array(q[kept]), "v": pa.array(v[kept]), "s": pa.array(score[kept])})
 
     if_any = dealt.groupBy("block").cogroup(both.groupBy("at"))
-    return if_any.applyInArrow(run, "q long, v long, s float")
+    return if_any.applyInArrow(run, "q long, v long, s double")
 
 
 def greedy_search(queries: DataFrame, edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
@@ -336,7 +324,7 @@ def exact_scores(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             left, right = (matrix(batch.column(c), "<f8") for c in ("vec_q", "vec_v"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("q"), batch.column("v"), pa.array((left * right).sum(1))],
+                [batch.column("q"), batch.column("v"), pa.array(products(left, right))],
                 ["q", "v", "score"],
             )
 
@@ -359,10 +347,9 @@ def search(
         return df.sparkSession.range(0).selectExpr(
             "id AS query_id", "0 AS rank", f"id AS `{key}`", "0D AS score"
         )
-    vectors = materialise(shortened(nodes), "shortened")
-    edges = neighbour_graph(vectors, count)
+    edges = neighbour_graph(nodes, count)
     asking = materialise(asked.select(F.col("node").alias("q")).distinct(), "queries")
-    found = greedy_search(asking, edges, vectors, count)
+    found = greedy_search(asking, edges, nodes, count)
     pairs = found.union(asking.select("q", F.col("q").alias("v")))  # rows of the own vector
     scored = exact_scores(pairs, nodes)
     in_node = Window.partitionBy("node").orderBy("id")

@@ -77,6 +77,17 @@ def test_a_hot_vector_and_ties(spark):
         assert [i for i, _ in found[n]] == [i for i, _ in brute(ids, vectors, n, 7)]
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-3, 1e-4])
+def test_near_copies_are_told_apart(spark, noise):
+    rng = np.random.RandomState(2)
+    vectors = rng.standard_normal((1200, 64))
+    vectors[200:900] = vectors[200] + noise * rng.standard_normal((700, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[1000] *= 1e7  # takes the scale of the others from none of them
+    ids = list(range(1200))
+    assert recall(spark, frame_of(spark, ids, vectors), ids, vectors, 20, 30) >= 0.9
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
