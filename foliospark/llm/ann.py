@@ -2,18 +2,19 @@
 
 Equal vectors are one node; a hot vector costs no more than another. An edge leads
 to a node with one of the largest inner products, whatever the norms. The graph
-starts from brute force inside small random cells. Every round joins each node with its neighbours in both
+starts from brute force inside small random cells and against a fixed number of
+entry nodes, so that no node is without edges, wherever it lies. Every round joins each node with its neighbours in both
 directions, compares those with each other inside the task, and gives better
 ones to their nodes: neighbours of neighbours become neighbours, until hardly
 any edge changes. Queries are nodes themselves: the search starts at their own
-edges and moves greedily, expanding the best nodes found that are not expanded
+edges and the entry nodes, and moves greedily, expanding the best nodes found that are not expanded
 yet. Graph, search and result all score in double precision, and equal scores go
 to the smaller node, so that no cut on the way is coarser than the result: near
 copies are told apart as far as the result tells them apart, whatever the norms.
 Found nodes are spread to the rows that hold their vectors only at the end.
 
 All joins are made in blocks of nodes: a task gets the lists of its block and
-each vector they name once. Nothing is collected but counts.
+each vector they name once. Nothing is collected but counts and the entry nodes.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor those whose length is not the most frequent one
@@ -40,6 +41,8 @@ ROUNDS = 6
 SETTLED = 0.03  # share of changed edges that ends the descent
 CELL = 400
 TREES = 2
+ENTRIES = 120  # nodes that all nodes and queries are compared with
+FAR_BACK = 10  # neighbours in the other direction besides the nearest, at random
 BEAM = 80
 EXPANDED = (40, 20, 20)  # nodes a query expands, round by round
 BLOCK = 2000  # nodes per block, fewer if there would be too few blocks for all cores
@@ -107,16 +110,47 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * right).sum(-1)
 
 
-def first_graph(vectors: DataFrame, count: int) -> DataFrame:
-    """The best edges inside the cells of random hyperplanes."""
+def entry_nodes(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and vectors of the entry nodes, chosen by hash."""
+    rows = vectors.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(ENTRIES).collect()
+    data = np.frombuffer(b"".join(bytes(r.vec) for r in rows), "<f8")
+    return np.array([r.node for r in rows], np.int64), data.reshape(len(rows), -1)
+
+
+def entry_edges(vectors: DataFrame, entries: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
+    """The best ``most`` edges (u, v, s) from each node to the entry nodes."""
+    ids, held = entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            data = matrix(batch.column("vec"), "<f8")
+            for first in range(0, len(node), 1000):
+                at = slice(first, first + 1000)
+                score = np.stack([products(data[at], e) for e in held], 1)
+                u, v = np.repeat(node[at], len(ids)), np.tile(ids, len(score))
+                other = np.flatnonzero(u != v)
+                kept = other[top_rows(u[other], score.ravel()[other], v[other], most)]
+                found = edge_table(u[kept], v[kept], score.ravel()[kept])
+                yield from found.combine_chunks().to_batches()
+
+    return vectors.mapInArrow(run, "u long, v long, s double")
+
+
+def first_graph(
+    vectors: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray]
+) -> DataFrame:
+    """The best edges inside the cells of random hyperplanes and to the entry nodes."""
     bits = max(0, int(np.ceil(np.log2(max(count / CELL, 1)))))
+    held = entries[1]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = matrix(batch.column("vec"), "<f8")
             for tree in range(TREES if bits else 1):
                 planes = np.random.RandomState(tree).standard_normal((data.shape[1], bits))
-                code = ((data @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                middle = np.median(held @ planes, axis=0)  # vectors may lie all on one side of 0
+                code = ((data @ planes) > middle) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("node"),
@@ -147,6 +181,7 @@ def first_graph(vectors: DataFrame, count: int) -> DataFrame:
         )
 
     found = placed.groupBy("cell", "part").applyInArrow(compare, "u long, v long, s double")
+    found = found.union(entry_edges(vectors, entries, DEGREE))
     return best_edges(found.withColumn("new", F.lit(True)), count)
 
 
@@ -175,11 +210,13 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     """Edges between the neighbours, in both directions, of every node."""
     blocks = blocks_for(edges, count)
     nearest = Window.partitionBy("m").orderBy(F.desc("s"), "x")
+    dealt = Window.partitionBy("m").orderBy(F.xxhash64("x", "m"), "x")
     back = (
         edges.select(F.col("v").alias("m"), F.col("u").alias("x"), "s", "new")
         .withColumn("r", F.row_number().over(nearest))
-        .filter(F.col("r") <= DEGREE)
-        .drop("r")
+        .withColumn("far", F.row_number().over(dealt))
+        .filter((F.col("r") <= DEGREE) | (F.col("far") <= FAR_BACK))
+        .drop("r", "far")
     )
     lists = (
         edges.toDF("m", "x", "s", "new")
@@ -240,9 +277,11 @@ def local_joins(edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     )
 
 
-def neighbour_graph(vectors: DataFrame, count: int) -> DataFrame:
+def neighbour_graph(
+    vectors: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray]
+) -> DataFrame:
     """Edges (u, v, s) to about the nearest ``DEGREE`` nodes of each node."""
-    edges = materialise(first_graph(vectors, count), "graph")
+    edges = materialise(first_graph(vectors, count, entries), "graph")
     for _ in range(ROUNDS if count > 2 * CELL else 0):
         better = local_joins(edges, vectors, count).withColumn("new", F.lit(True))
         kept = edges.withColumn("new", F.lit(False))
@@ -284,12 +323,28 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, count: int, most: int) ->
     return if_any.applyInArrow(run, "q long, v long, s double")
 
 
-def greedy_search(queries: DataFrame, edges: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
+def greedy_search(
+    queries: DataFrame,
+    edges: DataFrame,
+    vectors: DataFrame,
+    count: int,
+    entries: tuple[np.ndarray, np.ndarray],
+) -> DataFrame:
     """The nodes (q, v) that each query's search ends with."""
     own = edges.withColumnRenamed("u", "q").join(queries, "q")
     beam = score_pairs(own.select("q", "v"), vectors, count, BEAM)
-    beam = materialise(beam.withColumn("open", F.lit(True)), "beam")
+    asking = vectors.join(queries, vectors.node == queries.q).select("node", "vec")
+    common = entry_edges(asking, entries, BEAM).withColumnRenamed("u", "q")
     nearest = Window.partitionBy("q").orderBy(F.desc("s"), "v")
+    beam = (
+        beam.unionByName(common)
+        .groupBy("q", "v")
+        .agg(F.max("s").alias("s"))
+        .withColumn("r", F.row_number().over(nearest))
+        .filter(F.col("r") <= BEAM)
+        .drop("r")
+    )
+    beam = materialise(beam.withColumn("open", F.lit(True)), "beam")
     still = Window.partitionBy("q", "open").orderBy(F.desc("s"), "v")
     for expanded in EXPANDED:
         ranked = beam.withColumn("r", F.row_number().over(still))
@@ -347,9 +402,10 @@ def search(
         return df.sparkSession.range(0).selectExpr(
             "id AS query_id", "0 AS rank", f"id AS `{key}`", "0D AS score"
         )
-    edges = neighbour_graph(nodes, count)
+    entries = entry_nodes(nodes)
+    edges = neighbour_graph(nodes, count, entries)
     asking = materialise(asked.select(F.col("node").alias("q")).distinct(), "queries")
-    found = greedy_search(asking, edges, nodes, count)
+    found = greedy_search(asking, edges, nodes, count, entries)
     pairs = found.union(asking.select("q", F.col("q").alias("v")))  # rows of the own vector
     scored = exact_scores(pairs, nodes)
     in_node = Window.partitionBy("node").orderBy("id")

@@ -88,6 +88,23 @@ def test_near_copies_are_told_apart(spark, noise):
     assert recall(spark, frame_of(spark, ids, vectors), ids, vectors, 20, 30) >= 0.9
 
 
+def test_outliers_on_the_far_side_of_a_cone(spark):
+    rng = np.random.RandomState(3)
+    vectors = 3 + rng.standard_normal((1500, 32))
+    vectors[30] = -3  # alone in its cell
+    vectors[60] = vectors[90] = -3 + rng.standard_normal(32)
+    vectors[90, 0] += 0.1
+    ids = list(range(1500))
+    frame = frame_of(spark, ids, vectors)
+    found = lists(ann.search(frame, F.col("id") % 30 == 0, 20).collect())
+    hits = {}
+    for n in range(0, 1500, 30):
+        assert len(found[n]) == 20
+        hits[n] = len({i for i, _ in found[n]} & {i for i, _ in brute(ids, vectors, n, 20)})
+    assert sum(hits.values()) >= 0.9 * 20 * len(hits)
+    assert {30, 60} <= {i for i, _ in found[90]} and {60, 90} <= {i for i, _ in found[30]}
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
