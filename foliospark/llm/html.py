@@ -55,6 +55,19 @@ ASIDE_WORDS = frozenset(
     "share sharing social sidebar sponsor sponsored sponsors tags toolbar widget widgets "
     "complementary contentinfo search skip".split()
 )
+# Words that name the place or form of a page part, and say nothing without one of the above.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box button buttons container content form global group holder inner "
+    "item items left link links list main outer panel primary right secondary section site slot "
+    "top unit wrap wrapper".split()
+)
+# As ids these may as well come from the title of a section.
+TITLE_WORDS = frozenset(
+    "alert banner consent cookie cookies disclaimer gdpr header login notice notices notification "
+    "promotion recommendations recommended related replies reply respond search share sharing "
+    "signup skip social sponsors subscription tags toolbar".split()
+)
+UNNAMED = CONTENT | HEADINGS | {"body", "html"}  # parts whose names tell nothing
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -82,6 +95,7 @@ class Open:
     name: str
     aside: bool
     article: bool
+    named: tuple[int, ...] = ()  # named parts around it and itself
 
 
 @dataclass
@@ -93,6 +107,17 @@ class Stripper:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    spared: frozenset[int] = frozenset()  # named parts that hold the page itself
+    names: int = 0
+    held: dict[int, int] = field(default_factory=dict)  # text of each named part
+    leading: set[int] = field(default_factory=set)  # named parts with the page's title or main
+
+    def named(self, name: str, attributes: str) -> bool:
+        """Whether an element is taken for what its names say."""
+        if name in UNNAMED or not aside_name(attributes):
+            return False
+        self.names += 1
+        return self.names not in self.spared
 
     def add(self, text: str) -> None:
         if text:
@@ -111,6 +136,8 @@ class Stripper:
         shown = not (top and top.aside)
         if shown and not article and linked > LINK_SHARE * len(text):
             shown = False
+        for part in top.named if top else ():
+            self.held[part] = self.held.get(part, 0) + len(text)
         self.lines.append(Line(text, len(text) if shown else 0, article))
 
     def gap(self) -> None:
@@ -127,11 +154,14 @@ class Stripper:
                 self.end_line()
             return
         top = self.stack[-1] if self.stack else Open("", False, False)
-        marked = aside_name(attributes) if attributes else False
+        named = self.names
+        marked = bool(attributes) and (
+            HIDDEN.search(attributes) is not None or self.named(name, attributes)
+        )
         if name in INLINE:
             if marked and name != "a" and not top.aside:
                 self.end_line()
-                self.stack.append(Open(name, True, top.article))
+                self.stack.append(Open(name, True, top.article, top.named))
             return
         self.end_line()
         if name == "p":  # a paragraph ends where the next block begins
@@ -150,7 +180,10 @@ class Stripper:
         article = top.article or (content and not aside)
         if content or aside != top.aside:
             self.gap()
-        self.stack.append(Open(name, aside, article))
+        if name in ("h1", "main"):
+            self.leading.update(top.named)
+        around = (*top.named, self.names) if self.names > named else top.named
+        self.stack.append(Open(name, aside, article, around))
 
     def close(self, name: str, among: tuple[str, ...] = ()) -> None:
         if name == "a":
@@ -171,19 +204,35 @@ class Stripper:
 
 
 def aside_name(attributes: str) -> bool:
-    """Whether the attributes name a page part that is not the article."""
-    if HIDDEN.search(attributes):
-        return True
+    """Whether the attributes name a page part that is not the article.
+
+    A class or id does if all of its words belong to such a name.
+    """
     for match in ATTRIBUTE.finditer(attributes):
-        for value in match.groups()[1:]:
-            for word in NAME_PARTS.findall(value or ""):
-                if word.lower() in ASIDE_WORDS:
-                    return True
+        kind = match[1].lower()
+        value = next((v for v in match.groups()[1:] if v), "")
+        telling = ASIDE_WORDS - TITLE_WORDS if kind == "id" else ASIDE_WORDS
+        for token in [value] if kind == "aria-label" else value.split():
+            words = [w.lower() for w in NAME_PARTS.findall(token)]
+            if any(w in telling for w in words) and all(
+                w in ASIDE_WORDS or w in PLACE_WORDS for w in words
+            ):
+                return True
     return False
 
 
 def page_lines(page: str) -> list[Line]:
-    found = Stripper()
+    """The lines of a page; parts with most of its text are not taken for asides by name."""
+    found = stripped(page)
+    total = sum(len(line.text) for line in found.lines)
+    shows = any(line.weight for line in found.lines)
+    most = {part for part, size in found.held.items() if 2 * size > total}
+    spared = frozenset(part for part in most if part in found.leading or not shows)
+    return (stripped(page, spared) if spared else found).lines
+
+
+def stripped(page: str, spared: frozenset[int] = frozenset()) -> Stripper:
+    found = Stripper(spared=spared)
     at = 0
     while True:
         match = TOKEN.search(page, at)
@@ -206,7 +255,7 @@ def page_lines(page: str) -> list[Line]:
         else:
             found.open(name, match[3])
     found.end_line()
-    return found.lines
+    return found
 
 
 def runs(lines: list[Line]) -> list[tuple[int, int, int]]:

@@ -62,6 +62,29 @@ def test_surge_and_dive_without_an_article_element():
     assert html.main_text(page) == "\n\n".join(["Title", text, "short", text])
 
 
+TEXT = " ".join(PROSE.split())
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f"<body class='has-sidebar'><p>{PROSE}</p></body>", [TEXT]),
+        (f"<body class='sidebar'><p>{PROSE}</p></body>", [TEXT]),
+        (f"<div class='with-comments'><p>{PROSE}</p></div>", [TEXT]),
+        (f"<div class='widget'><h1>T</h1><p>{PROSE}</p></div><p>x</p>", ["T", TEXT]),
+        (f"<div class='widget'><p>{PROSE}</p></div>", [TEXT]),
+        (f"<article class='post comments-open'><p>{PROSE}</p></article>", [TEXT]),
+        ("<article><section id='related-work'><h2 id='search'>S</h2><p>a</p></section></article>", ["S", "a"]),
+        ("<article><p id='notice-period'>a</p><section id='search'><p>b</p></section></article>", ["a", "b"]),
+        ("<article><p>a</p><div class='cookie-banner'>c</div><div id='commentList'>d</div></article>", ["a"]),
+        ("<article><p>a</p><div class='x share-buttons'>c</div><div role='search'>d</div></article>", ["a"]),
+    ],
+)
+def test_names_that_only_mention_an_aside(page, wanted):
+    found = [line for line in html.main_text(page).split("\n\n") if line != "x"]
+    assert found == wanted
+
+
 def test_very_long_and_deep_pages():
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     assert html.main_text(deep) == "text"
