@@ -5,8 +5,11 @@ characters it shows outside links; what stands in menus, headers, footers,
 sidebars, notices, adverts, forms and comments weighs nothing and is never shown.
 Where a page part begins or ends, lines of no weight are put in. The weights are
 summed over a sliding window: a surge from nothing begins a run of text, a dive
-to nothing ends it. If the page marks its article, the runs inside are its text;
-else the heaviest run is, with all others that come near it.
+to nothing ends it. If the page marks its article, the runs inside are its text.
+Else the text goes from the first surge to the last dive of the main part: from the
+heaviest run outwards, a run belongs to it if it stands in the same element as a
+run that does, directly in the element that holds them all, or comes near the
+weight of the one before it that did so. Lists of links inside belong to the text.
 
 Defined results: a null or empty page, or one that shows no text, gives the
 empty text. Unclosed, wrongly nested and cut off elements are closed where
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import byte_groups
 
 WINDOW = 3
-NEAR_SHARE = 0.25  # of the heaviest run, for pages that mark no article
+NEAR_SHARE = 0.25  # of the run beside it, for pages that mark no article
 LINK_SHARE = 0.6  # a line that is mostly links is a menu
 
 # Elements of HTML by what they do to the text.
@@ -45,6 +48,7 @@ ASIDE = frozenset(
 )
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p ul ol dl blockquote pre table figure".split())
 # Words in class, id, role or aria-label of page parts that are not the article.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsbygoogle banner "
@@ -88,6 +92,8 @@ class Line:
     text: str
     weight: int
     article: bool
+    linked: bool = False  # has no weight only because it is mostly links
+    at: int = 0  # element it stands in
 
 
 @dataclass
@@ -96,6 +102,7 @@ class Open:
     aside: bool
     article: bool
     named: tuple[int, ...] = ()  # named parts around it and itself
+    at: int = 0
 
 
 @dataclass
@@ -108,6 +115,7 @@ class Stripper:
     linked: int = 0
     links: int = 0
     spared: frozenset[int] = frozenset()  # named parts that hold the page itself
+    elements: list[tuple[str, int, int]] = field(default_factory=lambda: [("", 0, 0)])
     names: int = 0
     held: dict[int, int] = field(default_factory=dict)  # text of each named part
     leading: set[int] = field(default_factory=set)  # named parts with the page's title or main
@@ -134,11 +142,13 @@ class Stripper:
         top = self.stack[-1] if self.stack else None
         article = bool(top and top.article)
         shown = not (top and top.aside)
-        if shown and not article and linked > LINK_SHARE * len(text):
+        menu = shown and not article and linked > LINK_SHARE * len(text)
+        if menu:
             shown = False
         for part in top.named if top else ():
             self.held[part] = self.held.get(part, 0) + len(text)
-        self.lines.append(Line(text, len(text) if shown else 0, article))
+        at = top.at if top else 0
+        self.lines.append(Line(text, len(text) if shown else 0, article, menu, at))
 
     def gap(self) -> None:
         """Lines without weight: no window reaches across a page part's end."""
@@ -161,7 +171,7 @@ class Stripper:
         if name in INLINE:
             if marked and name != "a" and not top.aside:
                 self.end_line()
-                self.stack.append(Open(name, True, top.article, top.named))
+                self.stack.append(Open(name, True, top.article, top.named, top.at))
             return
         self.end_line()
         if name == "p":  # a paragraph ends where the next block begins
@@ -183,7 +193,8 @@ class Stripper:
         if name in ("h1", "main"):
             self.leading.update(top.named)
         around = (*top.named, self.names) if self.names > named else top.named
-        self.stack.append(Open(name, aside, article, around))
+        self.elements.append((name, top.at, self.elements[top.at][2] + 1))
+        self.stack.append(Open(name, aside, article, around, len(self.elements) - 1))
 
     def close(self, name: str, among: tuple[str, ...] = ()) -> None:
         if name == "a":
@@ -221,14 +232,14 @@ def aside_name(attributes: str) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[Line]:
-    """The lines of a page; parts with most of its text are not taken for asides by name."""
+def page_lines(page: str) -> Stripper:
+    """A page as lines; parts with most of its text are not taken for asides by name."""
     found = stripped(page)
     total = sum(len(line.text) for line in found.lines)
     shows = any(line.weight for line in found.lines)
     most = {part for part, size in found.held.items() if 2 * size > total}
     spared = frozenset(part for part in most if part in found.leading or not shows)
-    return (stripped(page, spared) if spared else found).lines
+    return stripped(page, spared) if spared else found
 
 
 def stripped(page: str, spared: frozenset[int] = frozenset()) -> Stripper:
@@ -274,19 +285,71 @@ def runs(lines: list[Line]) -> list[tuple[int, int, int]]:
     return found
 
 
+def main_part(page: Stripper, stretches: list[tuple[int, int, int]]) -> list[Line]:
+    """The text of a page that marks no article."""
+    lines, elements = page.lines, page.elements
+    weighing = [line.at for line in lines if line.weight]
+    if not weighing:
+        return []
+    common = weighing[0]
+    for at in weighing:
+        while at != common:
+            if elements[at][2] >= elements[common][2]:
+                at = elements[at][1]
+            else:
+                common = elements[common][1]
+    known = {common: common}
+
+    def part(line: Line) -> int:
+        """The element directly in the common one that holds a line; -1: none."""
+        passed, at = [], line.at
+        while at not in known:
+            if elements[at][1] == common and elements[at][2] > elements[common][2]:
+                known[at] = at
+            elif not at or elements[at][2] <= elements[common][2]:
+                known[at] = -1
+            else:
+                passed.append(at)
+                at = elements[at][1]
+        known.update(dict.fromkeys(passed, known[at]))
+        return known[at]
+
+    def is_text(of: int) -> bool:
+        return of == common or of >= 0 and elements[of][0] in TEXT_BLOCKS
+
+    parts = [{part(line) for line in lines[a:b] if line.weight} for a, b, _ in stretches]
+    core = max(range(len(stretches)), key=lambda k: stretches[k][2])
+    kept, first, last = set(parts[core]), core, core
+    for way in (range(core - 1, -1, -1), range(core + 1, len(stretches))):
+        beside = core
+        for k in way:
+            near = stretches[k][2] >= NEAR_SHARE * stretches[beside][2]
+            if near or parts[k] & kept or any(map(is_text, parts[k])):
+                kept |= parts[k]
+                beside = k if near else beside
+                first, last = min(first, k), max(last, k)
+    begin, end = stretches[first][0], stretches[last][1]
+    # Links that follow without a gap in the same part are its last lines.
+    while end < len(lines) and lines[end].linked and part(lines[end]) in kept - {common, -1}:
+        end += 1
+    return [
+        line
+        for line in lines[begin:end]
+        if line.weight or line.linked and (part(line) in kept or is_text(part(line)))
+    ]
+
+
 def main_text(page: str) -> str:
     """The article of a page, its lines joined by blank lines."""
-    lines = page_lines(page)
+    found = page_lines(page)
+    lines = found.lines
     stretches = runs(lines)
     inside = [r for r in stretches if any(line.article and line.weight for line in lines[r[0] : r[1]])]
     if inside:
-        chosen = inside
+        chosen = [line for first, end, _ in inside for line in lines[first:end] if line.weight]
     else:
-        most = max((r[2] for r in stretches), default=0)
-        chosen = [r for r in stretches if r[2] >= NEAR_SHARE * most]
-    return "\n\n".join(
-        line.text for first, end, _ in chosen for line in lines[first:end] if line.weight
-    )
+        chosen = main_part(found, stretches)
+    return "\n\n".join(line.text for line in chosen)
 
 
 def extract(

@@ -85,6 +85,34 @@ def test_names_that_only_mention_an_aside(page, wanted):
     assert found == wanted
 
 
+AD = "<div class='ad'>buy this</div>"
+REST = "<div class='sidebar'>s</div>"
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (
+            f"<body><h1>T</h1>{AD}<p>intro</p>{AD}<p>{PROSE * 20}</p>{AD}<p>end</p></body>",
+            ["T", "intro", " ".join((PROSE * 20).split()), "end"],
+        ),
+        (
+            f"<div>Home</div>{REST}<div><div>T</div>{AD}<div>{PROSE * 20}</div>{AD}<div>end</div></div>",
+            ["T", " ".join((PROSE * 20).split()), "end"],
+        ),
+        (
+            f"<div><a href='#'>Menu</a></div><div><p>{PROSE}</p><ul><li><a href='#'>one</a></li></ul>"
+            f"<p>{PROSE}</p><h2>Links</h2><ul><li><a href='#'>two</a></li></ul></div>{REST}"
+            "<div><a href='#'>Imprint</a></div><div>(c)</div>",
+            [TEXT, "one", TEXT, "Links", "two"],
+        ),
+    ],
+)
+def test_adverts_and_links_inside_an_unmarked_article(page, wanted):
+    found = html.main_text(page).split("\n\n")
+    assert [line for line in found if line != "(c)"] == wanted
+
+
 def test_very_long_and_deep_pages():
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     assert html.main_text(deep) == "text"
