@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import (
     ann,
+    audit,
     bpe,
     html,
     langid,
     lm,
     minhash,
     packing,
+    repair,
     rules,
     sharding,
     urlfilter,
@@ -174,3 +176,17 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     embeddings = read_table(spark, sf_dir, "embeddings")
     return ann.search(embeddings, F.col("id") % 20 == 0, 20)
+
+
+@query("op12_audit", audit.ORACLE_SQL)
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all orders of five filters by language."""
+    return audit.text_audit(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
+@query("op13_repair")
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repair(repair.damage(read_table(spark, sf_dir, "conversations")))
