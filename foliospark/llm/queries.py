@@ -17,6 +17,7 @@ from foliospark.llm import (
     minhash,
     packing,
     repair,
+    repeats,
     rules,
     sharding,
     urlfilter,
@@ -178,6 +179,20 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(embeddings, F.col("id") % 20 == 0, 20)
 
 
+@query("op11_repeats")
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages of 50 bytes that an earlier one holds."""
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op12_audit", audit.ORACLE_SQL)
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of all orders of five filters by language."""
