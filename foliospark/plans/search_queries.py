@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.vectors import cosine_to
-from foliospark.operators import search
+from foliospark.operators import search, vector_index
 from foliospark.operators.embedding import build_lsh_index, similarity_lsh
 from foliospark.operators.filters import (
     Condition,
@@ -18,6 +18,7 @@ from foliospark.operators.filters import (
 from foliospark.operators.search import SearchRequest
 from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
+from foliospark.session import scratch_path
 
 PROJECT = "src1"
 # Questions of project src1: 11 quality, 12 toxic, 13 language.
@@ -398,3 +399,122 @@ def similarity_lsh_topk(t: DriverTables) -> DataFrame:
     """The approximate index; its recall against the exact search is tested."""
     vector = t.query_vector()
     return similarity_lsh(build_lsh_index(t.chunks, len(vector)), vector, 10)
+
+
+GIVEN_LISTS, GIVEN_PROBES, INDEX_LIMIT = 16, 3, 10
+
+# Each chunk with its list, where the centroids are given: some chunks' own vectors.
+PLACED_SQL = f"""seeds AS (
+         SELECT row_number() OVER (ORDER BY id) - 1 AS list, embedding AS centroid
+         FROM p_chunks WHERE id % 25 = 1 AND embedding IS NOT NULL
+         ORDER BY id LIMIT {GIVEN_LISTS}),
+       placed AS (
+         SELECT c.id, s.list, list_cosine_similarity(c.embedding, s.centroid) AS cosine
+         FROM p_chunks c, seeds s WHERE c.embedding IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY
+           round(list_cosine_similarity(c.embedding, s.centroid), 9) DESC, s.list) = 1)"""
+
+
+def _given_index(t: DriverTables, label: str) -> vector_index.VectorIndex:
+    seeds = t.chunks.filter("id % 25 = 1 AND embedding IS NOT NULL").orderBy("id")
+    vectors = [row.embedding for row in seeds.limit(GIVEN_LISTS).select("embedding").collect()]
+    return vector_index.create_index(t.chunks, vectors, scratch_path(t.spark, label))
+
+
+def _fitted_index(t: DriverTables, label: str) -> vector_index.VectorIndex:
+    centroids = vector_index.fit_centroids(t.chunks, 24)
+    return vector_index.create_index(t.chunks, centroids, scratch_path(t.spark, label))
+
+
+def _index_hits(hits: DataFrame) -> DataFrame:
+    return hits.select("chunk_id", "file_id", "chunk_number", F.round("score", 6).alias("score"))
+
+
+@query(
+    "index_lists",
+    f"""WITH {PLACED_SQL}
+        SELECT list, count(*) AS n_rows, round(min(cosine), 6) AS least_cosine
+        FROM placed GROUP BY list""",
+)
+def index_lists(t: DriverTables) -> DataFrame:
+    """The lists of an index over given centroids, filled in two additions."""
+    seeds = t.chunks.filter("id % 25 = 1 AND embedding IS NOT NULL").orderBy("id")
+    vectors = [row.embedding for row in seeds.limit(GIVEN_LISTS).select("embedding").collect()]
+    even = F.col("id") % 2 == 0
+    index = vector_index.create_index(
+        t.chunks.filter(even), vectors, scratch_path(t.spark, "index-lists")
+    )
+    for _ in range(2):  # once more, as after an interruption
+        vector_index.add_to_index(index, t.chunks.filter(~even), "odd")
+    return index.lists(t.spark).withColumn("least_cosine", F.round("least_cosine", 6))
+
+
+@query(
+    "similarity_index_topk",
+    f"""WITH {PLACED_SQL},
+       near AS (
+         SELECT list, row_number() OVER (ORDER BY
+           round(list_cosine_similarity(centroid, CAST(q.embedding AS DOUBLE[])), 9) DESC, list) AS place
+         FROM seeds, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+         WHERE list IN (SELECT list FROM placed)),
+       scoped AS (
+         SELECT s.*, n.place FROM p_scored s JOIN placed p ON p.id = s.chunk_id
+         JOIN near n USING (list) WHERE s.project_id = '{SIMILAR_PROJECT}'),
+       upto AS (
+         SELECT coalesce(min(m), 1000) AS m
+         FROM (SELECT unnest([{", ".join(str(GIVEN_PROBES << n) for n in range(6))}]) AS m)
+         WHERE (SELECT count(*) FROM scoped WHERE place <= m) >= {INDEX_LIMIT})
+       SELECT chunk_id, file_id, chunk_number, {ROUNDED}
+       FROM scoped p_scored, upto WHERE place <= m
+       ORDER BY p_scored.score DESC, chunk_id LIMIT {INDEX_LIMIT}""",
+)
+def similarity_index_topk(t: DriverTables) -> DataFrame:
+    """One project's best chunks in the nearest lists, and in further ones until there are ten."""
+    index = _given_index(t, "index-topk")
+    return _index_hits(
+        vector_index.search_index(
+            t.spark,
+            index,
+            t.query_vector(),
+            INDEX_LIMIT,
+            project_id=SIMILAR_PROJECT,
+            probes=GIVEN_PROBES,
+        )
+    )
+
+
+@query(
+    "similarity_index_exact",
+    f"""SELECT chunk_id, file_id, chunk_number, {ROUNDED} FROM p_scored
+        ORDER BY p_scored.score DESC, chunk_id LIMIT 20""",
+)
+def similarity_index_exact(t: DriverTables) -> DataFrame:
+    """Fitted centroids; lists are read until none left can hold a better chunk."""
+    index = vector_index.open_index(t.spark, _fitted_index(t, "index-exact").path)
+    return _index_hits(
+        vector_index.search_index(t.spark, index, t.query_vector(), 20, probes=2, exact=True)
+    )
+
+
+@query(
+    "similarity_index_filtered",
+    f"""SELECT chunk_id, file_id, chunk_number, {ROUNDED} FROM p_scored
+        WHERE project_id = '{SIMILAR_PROJECT}' AND file_id % 2 = 0 AND file_id < 400
+          AND p_scored.score > 0.05
+        ORDER BY p_scored.score DESC, chunk_id LIMIT 15""",
+)
+def similarity_index_filtered(t: DriverTables) -> DataFrame:
+    """Project, files and threshold; lists below the threshold are never read."""
+    return _index_hits(
+        vector_index.search_index(
+            t.spark,
+            _fitted_index(t, "index-filtered"),
+            t.query_vector(),
+            15,
+            project_id=SIMILAR_PROJECT,
+            file_ids=range(0, 400, 2),
+            score_threshold=0.05,
+            probes=4,
+            exact=True,
+        )
+    )
