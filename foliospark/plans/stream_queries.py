@@ -5,6 +5,8 @@ Each is checked against the batch result stated in SQL.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,11 @@ def stream_dedupe(t: DriverTables) -> DataFrame:
     "SELECT DISTINCT message_id, record, key FROM p_objects",
 )
 def stream_late(t: DriverTables) -> DataFrame:
-    """The newest messages come first, those of years before and redeliveries later."""
+    """The newest messages come first, those of years before and redeliveries later.
+
+    The state remembers four years: it alone settles the newer messages, and the
+    stored table those that were sent before.
+    """
     root = scratch_path(t.spark, "stream-late")
     messages = t.landing_messages
     for late in (False, True):
@@ -82,6 +88,8 @@ def stream_late(t: DriverTables) -> DataFrame:
             landing.MESSAGE_KEYS,
             f"{root}/out",
             f"{root}/checkpoint",
+            sent_at="sent_at",
+            ttl=timedelta(days=365 * 4),
         ).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("message_id", "record", "key")
 
@@ -128,7 +136,7 @@ def _fired(t: DriverTables, label: str) -> str:
         part.unionByName(part).write.mode("append").parquet(f"{root}/in")
         arriving = (
             t.spark.readStream.schema(completions.schema)
-            .option("maxFilesPerTrigger", 4)
+            .option("maxFilesPerTrigger", 64)
             .parquet(f"{root}/in")
         )
         answers.level_barrier(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import islice
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from foliospark.session import materialise
 from foliospark.sources.sinks import INGESTED, route_events
 from foliospark.streaming import landing
 
@@ -18,6 +19,41 @@ def correlate_stream(completions: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 ITEM_KEYS = ("workflow_id", "level", "evaluation_id", "content_id")
+LEVEL = ("workflow_id", "level")
+ITEMS_AT_ONCE = 1000
+
+
+class LevelBarrier(StatefulProcessor):
+    """Holds a level's items until the last is there, then emits them all, once."""
+
+    def __init__(self, fields: Sequence[str], item_ddl: str):
+        self.fields = list(fields)
+        self.item_ddl = item_ddl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.progress = handle.getValueState(
+            "progress", "finished long, expected long, fired boolean"
+        )
+        self.items = handle.getListState("items", self.item_ddl)
+
+    def handleInputRows(self, key, rows, timer_values):
+        finished, expected, fired = self.progress.get() if self.progress.exists() else (0, 0, False)
+        rows = iter(rows)
+        while part := list(islice(rows, ITEMS_AT_ONCE)):
+            finished += len(part)
+            expected = max(expected, *(row["expected"] or 0 for row in part))
+            if not fired:
+                self.items.appendList([tuple(row[f] for f in self.fields) for row in part])
+        if not fired and finished >= expected:
+            fired = True
+            for item in self.items.get():
+                given = dict(zip(self.fields, item))
+                yield Row(**given, **dict(zip(LEVEL, key)), finished=finished)
+            self.items.clear()
+        self.progress.update((finished, expected, fired))
+
+    def close(self) -> None:
+        pass
 
 
 def level_barrier(
@@ -28,39 +64,39 @@ def level_barrier(
 ) -> StreamingQuery:
     """T5: fire each (workflow, level) once, when its last item has arrived.
 
-    ``completions`` has the ``ITEM_KEYS`` and ``expected``. Items are stored once,
-    so redeliveries do not count, and nothing is forgotten, so a level fires
-    however late its last item is. A batch counts only the levels that it touches.
-    Fired levels are written to ``path/fired`` as (workflow_id, level, finished);
-    ``next_level`` turns the items of fired levels into the tasks of the next,
-    which are written to ``path/tasks``. A batch run again overwrites its own
-    output. Counting combines in each task first, so a level with very many
-    items stays cheap.
+    ``completions`` has the ``ITEM_KEYS`` and ``expected``. Redelivered items are
+    dropped by the stream's state, and each level keeps its count and its items
+    there until it fires, so that a batch reads nothing of the history. There is no
+    watermark: a level fires however late its last item is. Fired levels are written
+    to ``path/fired`` as (workflow_id, level, finished); ``next_level`` turns their
+    items into the tasks of the next level, which are written to ``path/tasks``.
+    A batch run again overwrites its own output. Items leave the state one by one,
+    so a level with very many of them needs no memory of its size.
     """
-    items, fired, tasks = f"{path}/items", f"{path}/fired", f"{path}/tasks"
-    level = ["workflow_id", "level"]
-
-    def fire(arrived: DataFrame, batch_id: int) -> None:
-        spark = arrived.sparkSession
-        touched = arrived.select(*level).distinct()
-        known = spark.read.parquet(items).filter(F.col("batch_id") <= batch_id)
-        of_touched = known.join(touched, level, "left_semi")
-        complete = (
-            of_touched.groupBy(*level)
-            .agg(F.count(F.lit(1)).alias("finished"), F.max("expected").alias("expected"))
-            .filter("finished = expected")
-            .drop("expected")
+    fields = [c for c in completions.columns if c not in LEVEL]
+    item_ddl = ", ".join(f"`{c}` {completions.schema[c].dataType.simpleString()}" for c in fields)
+    level_ddl = ", ".join(f"`{c}` {completions.schema[c].dataType.simpleString()}" for c in LEVEL)
+    fired = (
+        completions.dropDuplicates(list(ITEM_KEYS))
+        .groupBy(*LEVEL)
+        .transformWithState(
+            LevelBarrier(fields, item_ddl),
+            f"{item_ddl}, {level_ddl}, finished long",
+            "append",
+            "none",
         )
-        before = landing.stored(spark, fired)
-        if before is not None:
-            before = before.filter(F.col("batch_id") < batch_id)
-            complete = complete.join(before.select(*level), level, "left_anti")
-        landing.write_batch(complete, batch_id, fired)
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Written first: reading the batch twice would run its stateful part twice.
+        items = materialise(batch, "fired-items")
+        levels = items.select(*LEVEL, "finished").distinct()
+        landing.write_batch(levels, batch_id, f"{path}/fired")
         if next_level is not None:
-            now = of_touched.join(complete, level, "left_semi").drop("batch_id", "bucket")
-            landing.write_batch(next_level(now), batch_id, tasks)
+            now = items.drop("finished").select(*completions.columns)
+            landing.write_batch(next_level(now), batch_id, f"{path}/tasks")
 
-    return landing.store_once(completions, ITEM_KEYS, items, checkpoint, fire)
+    return landing.run_batches(fired, write, checkpoint)
 
 
 def evaluation_starts(events: DataFrame) -> DataFrame:

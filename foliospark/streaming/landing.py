@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from foliospark.operators.maintenance import upsert_answers
+from foliospark.session import materialise, settings
 from foliospark.sources.landing import decode_landing_events
 
 # --- fixed values: polling limits ---------------------------------------------
 MAX_FILES_PER_TRIGGER = 100
 # ------------------------------------------------------------------------------
-STORE_BUCKETS = 32  # a batch reads only those of them it touches
+STORE_BUCKETS = 32  # a lookup reads only those of them it touches
 MESSAGE_KEYS = ("message_id", "record")
 
 
@@ -40,49 +43,106 @@ def landed_objects(stream: DataFrame) -> DataFrame:
     )
 
 
+class FirstSeen(StatefulProcessor):
+    """Emits the first row of a key; remembers the key for ``ttl``.
+
+    A row sent longer than ``ttl`` ago, or at an unknown time, may have been stored and
+    forgotten since: it comes out as ``aged``. Any other is new if the state does
+    not know its key, since its key cannot have been stored before it was sent.
+    """
+
+    def __init__(self, sent_at: str, ttl: timedelta):
+        self.sent_at = sent_at
+        self.ttl_ms = int(ttl.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        row = next(iter(rows))
+        sent = row[self.sent_at]
+        oldest = timer_values.getCurrentProcessingTimeInMs() - self.ttl_ms
+        aged = sent is None or sent.timestamp() * 1000 < oldest
+        yield Row(**row.asDict(), aged=aged)
+
+    def close(self) -> None:
+        pass
+
+
 def store_once(
     stream: DataFrame,
     keys: Sequence[str],
     path: str,
     checkpoint: str,
     then: Callable[[DataFrame, int], None] | None = None,
+    sent_at: str | None = None,
+    ttl: timedelta | None = None,
 ) -> StreamingQuery:
     """Store each key once, however often and however late it is delivered.
 
-    There is no watermark, so no row is too late. What is known is the table
-    itself: a batch reads the keys of the buckets it touches, leaves out those that
-    earlier batches stored and overwrites its own folder, so that a batch that is
-    run again after a failure stores the same rows. ``then`` is called with what
-    the batch has stored. NULL is a key like any other.
+    The state of the stream knows the keys, so that a batch costs what it brings and
+    not what has been stored. Without ``ttl`` it knows them for good. With it, keys
+    are forgotten that long after they were first seen, and only rows whose time
+    ``sent_at`` lies further back are looked up in the stored table, in the buckets
+    of their keys. There is no watermark, so no row is too late. A batch overwrites
+    its own folder, so that one run again after a failure stores the same rows.
+    ``then`` is called with what the batch has stored. NULL is a key like any other.
     """
     keys = list(keys)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(STORE_BUCKETS)).cast("int")
+    spark = stream.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys).withColumn("bucket", bucket)
+        write_batch(batch.withColumn("bucket", bucket), batch_id, path, ["bucket"])
+        finish(batch_id)
+
+    def store_checked(batch: DataFrame, batch_id: int) -> None:
+        # Written first: reading the batch twice would run its stateful part twice.
+        first = materialise(batch.withColumn("bucket", bucket), "first-seen")
+        new, aged = first.filter("NOT aged").drop("aged"), first.filter("aged").drop("aged")
+        touched = [r.bucket for r in aged.select("bucket").distinct().collect()]
+        if touched:
+            new = new.unionByName(unknown(aged, touched, batch_id))
+        write_batch(new, batch_id, path, ["bucket"])
+        finish(batch_id)
+
+    def unknown(aged: DataFrame, touched: list[int], batch_id: int) -> DataFrame:
         known = stored(spark, path)
-        if known is not None:
-            earlier = known.filter(F.col("batch_id") < batch_id).select("bucket", *keys)
-            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
-            earlier = earlier.filter(F.col("bucket").isin(touched))
-            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ("bucket", *keys)]
-            fresh = fresh.alias("n").join(earlier.alias("o"), reduce(and_, same), "left_anti")
-        write_batch(fresh, batch_id, path, ["bucket"])
-        if then is not None:
-            written = stored(spark, path)
-            if written is not None:
-                then(written.filter(F.col("batch_id") == batch_id), batch_id)
+        if known is None:
+            return aged
+        earlier = known.filter(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id))
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ("bucket", *keys)]
+        return aged.alias("n").join(
+            earlier.select("bucket", *keys).alias("o"), reduce(and_, same), "left_anti"
+        )
 
-    return run_batches(stream, store, checkpoint)
+    def finish(batch_id: int) -> None:
+        written = stored(spark, path) if then is not None else None
+        if written is not None:
+            then(written.filter(F.col("batch_id") == batch_id), batch_id)
+
+    if ttl is None:
+        return run_batches(stream.dropDuplicates(keys), store, checkpoint)
+    if sent_at is None:
+        raise ValueError("a time to live needs the time the rows were sent")
+    schema = StructType([*stream.schema, StructField("aged", BooleanType())])
+    first = stream.groupBy(*keys).transformWithState(
+        FirstSeen(sent_at, ttl), schema, "append", "processingTime"
+    )
+    return run_batches(first, store_checked, checkpoint)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A table that batches write; None before the first row."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # there is no folder, or no file in it yet
-        return None
+    except AnalysisException as error:  # no folder, or no file in it yet; else a fault
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_batch(rows: DataFrame, batch_id: int, path: str, parts: Sequence[str] = ()) -> None:
@@ -95,12 +155,14 @@ def write_batch(rows: DataFrame, batch_id: int, path: str, parts: Sequence[str]
 def run_batches(
     stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(store)
-        .start()
-    )
+    # A state with a time to live asks for another batch after every one, without end.
+    with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        return (
+            stream.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(store)
+            .start()
+        )
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -177,7 +177,9 @@ def test_predicate_trees(library, tree, mode, wanted):
 def test_search_returns_all_answers_of_matching_files(spark, library):
     files, answers = library
     evaluations = spark.createDataFrame([(7, "t7", "text"), (8, "t8", "text")], "id long, title string, evaluation_type string")
-    pages = spark.createDataFrame([(p, 1 + p % 2) for p in (10, 11, 20, 30, 40)], "id long, content_number int")
+    pages = spark.createDataFrame(
+        [(p, p // 10, 1 + p % 2) for p in (10, 11, 20, 30, 40)], "id long, file_id long, content_number int"
+    )
     rows = search_files(files, answers, evaluations, pages, "p", "F", Group("and", (Condition(7, "a"),)))
     assert [r.answer_id for r in rows.collect()] == [3, 1, 2]
     nested = nest_answers(rows, pages_per_part=1).collect()

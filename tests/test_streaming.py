@@ -1,5 +1,7 @@
 """Streams survive redelivery and restarts."""
 
+from datetime import datetime, timedelta
+
 from foliospark.streaming import answers, landing
 
 
@@ -61,3 +63,59 @@ def test_keys_are_stored_once_across_batches_and_repeats(spark, tmp_path):
     for crc in (tmp_path / "checkpoint" / "commits").glob(".1.crc"):
         crc.unlink()
     assert arrive([("b", 0, "z")]) == ["n", "x", "y", "z"]
+
+
+def test_forgotten_keys_are_looked_up_in_the_table(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "message_id string, record int, sent_at timestamp"
+    now = datetime.now()
+    days = {"new": now - timedelta(days=1), "old": now - timedelta(days=90), "none": None}
+
+    def arrive(rows):
+        rows = [(name, 0, days[age]) for name, age in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        landing.store_once(
+            stream, landing.MESSAGE_KEYS, out, checkpoint, sent_at="sent_at", ttl=timedelta(days=30)
+        ).awaitTermination()
+        return sorted(r.message_id for r in spark.read.parquet(out).collect())
+
+    assert arrive([("a", "new"), ("b", "old"), ("b", "old")]) == ["a", "b"]
+    assert arrive([("a", "new"), ("b", "old"), ("c", "none"), ("d", "old")]) == ["a", "b", "c", "d"]
+
+
+def test_the_table_settles_what_the_state_has_forgotten(spark, tmp_path):
+    """With a time to live of nothing, only the table is left to know a key."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "message_id string, record int, sent_at timestamp"
+    sent = datetime.now() - timedelta(days=1)
+    for names, expected in [("ab", ["a", "b"]), ("bca", ["a", "b", "c"])]:
+        rows = [(n, 0, sent) for n in names]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        landing.store_once(
+            spark.readStream.schema(schema).parquet(source),
+            landing.MESSAGE_KEYS,
+            out,
+            checkpoint,
+            sent_at="sent_at",
+            ttl=timedelta(milliseconds=1),
+        ).awaitTermination()
+        assert sorted(r.message_id for r in spark.read.parquet(out).collect()) == expected
+
+
+def test_a_level_with_many_items_fires_with_all_of_them(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "workflow_id string, level int, evaluation_id long, content_id long, expected long"
+    seen = []
+    for first in (0, 1500, 1500):
+        rows = spark.range(first, first + 1500).selectExpr(
+            "'w' AS workflow_id", "0 AS level", "7L AS evaluation_id", "id AS content_id", "3000L AS expected"
+        )
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        answers.level_barrier(
+            stream, out, checkpoint, lambda items: items.select("content_id")
+        ).awaitTermination()
+        tasks = landing.stored(spark, f"{out}/tasks")
+        seen.append(0 if tasks is None else tasks.count())
+    assert seen == [0, 3000, 3000]
