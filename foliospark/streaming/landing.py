@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from foliospark.operators.maintenance import upsert_answers
 from foliospark.session import materialise, settings
 from foliospark.sources.landing import decode_landing_events
+from foliospark.streaming import merge_log
+from foliospark.streaming.merge_log import MergeLog
 
 # --- fixed values: polling limits ---------------------------------------------
 MAX_FILES_PER_TRIGGER = 100
@@ -188,47 +189,38 @@ def log_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def answers_log(existing: DataFrame, path: str) -> MergeLog:
+    """The answers table as a merge log: the latest answer wins, the first id stays."""
+    return MergeLog(
+        path,
+        ", ".join(f"`{name}` {kind}" for name, kind in existing.dtypes),
+        keys=("evaluation_id", "content_id"),
+        newest=("updated_at", "id"),
+        kept=("id", "created_at"),
+        oldest=("created_at", "id"),
+    )
+
+
 def merge_answers(
     existing: DataFrame, stream: DataFrame, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Merge each batch into a snapshot of the answers table.
+    """Merge each batch into the answers table.
 
-    The snapshot lies in buckets of (evaluation, page). A batch reads the newest
-    version of the buckets it touches, merges, and writes only these as a version
-    of its own number, so that the cost follows the batch and not the history,
-    and a repeated batch gives the same version. Version -1 is ``existing``.
+    A batch is logged as it comes and resolved when the table is read; only buckets
+    whose log has outgrown their base are written anew. A repeated batch replaces what
+    it logged before. ``existing`` is the table's first version.
     """
-    bucket = F.pmod(F.xxhash64("evaluation_id", "content_id"), F.lit(STORE_BUCKETS)).cast("int")
-    spark = existing.sparkSession
-    if stored(spark, path) is None:
-        write_batch(existing.withColumn("bucket", bucket), -1, path, ["bucket"])
-    columns = existing.columns
+    table = answers_log(existing, path)
+    merge_log.start(table, existing)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        arriving = batch.withColumn("bucket", bucket)
-        touched = [r.bucket for r in arriving.select("bucket").distinct().collect()]
-        before = spark.read.schema(SNAPSHOT.format(existing_ddl(existing))).parquet(path).filter(
-            (F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)
-        )
-        merged = upsert_answers(newest(before).select(columns), arriving.select(columns))
-        write_batch(merged.withColumn("bucket", bucket), batch_id, path, ["bucket"])
+        merge_log.append_changes(table, batch, batch_id)
+        merge_log.compact(table, batch.sparkSession)
 
     return run_batches(stream, merge, checkpoint)
 
 
-SNAPSHOT = "{}, batch_id long, bucket int"
-
-
-def existing_ddl(table: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in table.dtypes)
-
-
-def newest(snapshot: DataFrame) -> DataFrame:
-    """Rows of the newest version of each bucket."""
-    versions = snapshot.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
-    return snapshot.join(F.broadcast(versions), ["bucket", "batch_id"], "left_semi")
-
-
 def current_answers(existing: DataFrame, path: str) -> DataFrame:
     """The answers table after all merged batches."""
-    return newest(existing.sparkSession.read.parquet(path)).select(existing.columns)
+    table = answers_log(existing, path)
+    return merge_log.current(table, existing.sparkSession).select(existing.columns)
