@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import Awaitable, Callable, Iterator
+from queue import SimpleQueue
+from threading import Thread
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -280,6 +283,85 @@ def respond(requests: DataFrame, responder: Responder) -> DataFrame:
     return requests.mapInArrow(run, schema)
 
 
+AskOne = Callable[[dict], Awaitable[str | None]]
+
+# --- fixed values: concurrency of the queue consumer ----------------------------
+WINDOW = 100
+# --------------------------------------------------------------------------------
+
+
+def respond_concurrently(
+    requests: DataFrame, ask: AskOne, window: int = WINDOW, timeout: float = 300.0
+) -> DataFrame:
+    """Ask a model with up to ``window`` requests of a task in the air.
+
+    ``ask`` is a coroutine function from a request (messages, tool_choice, metadata) to
+    its answer. A new request starts as soon as any other is answered. One that raises or
+    takes longer than ``timeout`` seconds fails alone: its ``error`` says why. Rows come
+    out as they are answered, with ``response`` and ``error``. As the work of
+    :func:`foliospark.streaming.attempts.attempt`, answers are stored batch by batch and
+    only failed requests are asked again.
+    """
+    if window < 1:
+        raise ValueError("window is at least 1")
+    schema = requests.select(
+        "*", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")
+    ).schema
+
+    async def answer(row: int, request: dict) -> tuple[int, str | None, str | None]:
+        try:
+            return row, await asyncio.wait_for(ask(request), timeout), None
+        except asyncio.TimeoutError:
+            return row, None, f"no answer within {timeout:g} s"
+        except (Exception, asyncio.CancelledError) as fault:
+            return row, None, f"{type(fault).__name__}: {fault}"
+
+    def rows_of(batch: pa.RecordBatch, answered: list[tuple]) -> pa.RecordBatch:
+        at, responses, errors = zip(*answered)
+        return pa.RecordBatch.from_arrays(
+            [
+                *batch.take(pa.array(at)).columns,
+                pa.array(responses, pa.string()),
+                pa.array(errors, pa.string()),
+            ],
+            names=[*batch.schema.names, "response", "error"],
+        )
+
+    async def ask_all(asked: list[dict], answered: SimpleQueue) -> None:
+        rows = enumerate(asked)
+
+        async def ask_on() -> None:  # one of the window: always the next request open
+            for row, request in rows:
+                answered.put(await answer(row, request))
+
+        await asyncio.gather(*(ask_on() for _ in range(window)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Requests go on in a thread of their own while Spark takes the rows.
+        loop = asyncio.new_event_loop()
+        thread = Thread(target=loop.run_forever, daemon=True)
+        thread.start()
+        try:
+            for batch in batches:
+                asked = batch.select(["messages", "tool_choice", "metadata"]).to_pylist()
+                answered: SimpleQueue = SimpleQueue()
+                asking = asyncio.run_coroutine_threadsafe(ask_all(asked, answered), loop)
+                left = len(asked)
+                while left:
+                    part = [answered.get()]
+                    while not answered.empty():
+                        part.append(answered.get())
+                    left -= len(part)
+                    yield rows_of(batch, part)
+                asking.result()
+        finally:
+            loop.call_soon_threadsafe(loop.stop)
+            thread.join()
+            loop.close()
+
+    return requests.mapInArrow(run, schema)
+
+
 def stub_answer(content: Column, evaluation: Column, kind: Column, options: Column) -> Column:
     """Deterministic stand-in for a model, from page length and evaluation id."""
     number = F.length(content) + evaluation

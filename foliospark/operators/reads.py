@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,3 +240,51 @@ def page_of_rows(
 ) -> DataFrame:
     """One page of a table sorted by any columns; ``order`` ends in a unique one."""
     return df.orderBy(*order).offset(page_index * page_size).limit(page_size)
+
+
+@dataclass(frozen=True)
+class SortKey:
+    """A column to sort by; NULLs come last unless ``nulls_first``."""
+
+    column: str
+    descending: bool = False
+    nulls_first: bool = False
+
+    def order(self) -> Column:
+        column = F.col(self.column)
+        if self.descending:
+            return column.desc_nulls_first() if self.nulls_first else column.desc_nulls_last()
+        return column.asc_nulls_first() if self.nulls_first else column.asc_nulls_last()
+
+    def equal(self, value: object) -> Column:
+        return F.col(self.column).isNull() if value is None else F.col(self.column) == F.lit(value)
+
+    def beyond(self, value: object) -> Column | None:
+        """Rows that come after ``value``; None if there are none."""
+        column = F.col(self.column)
+        if value is None:
+            return column.isNotNull() if self.nulls_first else None
+        after = column < F.lit(value) if self.descending else column > F.lit(value)
+        return after if self.nulls_first else after | column.isNull()
+
+
+def page_after(
+    df: DataFrame, keys: Sequence[SortKey], last: Sequence | None = None, page_size: int = 10
+) -> DataFrame:
+    """The page that follows the row whose sort values are ``last``; None: the first.
+
+    ``keys`` end in a unique column. The position is a predicate on the sort columns
+    that reaches the scan, so that a page costs the same however far it lies in the
+    table: no row before it is sorted, and each task keeps one page of rows.
+    """
+    if last is not None:
+        if len(last) != len(keys):
+            raise ValueError("one value for each sort key")
+        ways: list[Column] = []
+        for at, key in enumerate(keys):
+            beyond = key.beyond(last[at])
+            if beyond is not None:
+                same = [k.equal(v) for k, v in zip(keys[:at], last)]
+                ways.append(reduce(and_, [*same, beyond]))
+        df = df.filter(reduce(or_, ways) if ways else F.lit(False))
+    return df.orderBy(*[key.order() for key in keys]).limit(page_size)

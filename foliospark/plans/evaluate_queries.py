@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import asyncio
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
 from foliospark.session import scratch_path
 from foliospark.sources import manifests, sinks
+from foliospark.streaming import attempts
 
 ROOTS_SQL = """SELECT * FROM p_stub WHERE parent_evaluation_id IS NULL
                AND parent_evaluation_option IS NULL"""
@@ -114,22 +118,63 @@ def respond_in_tasks(t: DriverTables) -> DataFrame:
     """The same answers from a Python responder that reads the messages."""
 
     def responder(requests: list[dict]) -> list[str]:
-        replies = []
-        for request in requests:
-            page = request["messages"][-2]["content"]
-            text = page[len("Document Page: ") : page.rindex("\n\nMetadata: ")]
-            number = len(text) + int(request["metadata"]["evaluation_id"])
-            if request["tool_choice"] == ev.BOOLEAN_TOOL:
-                replies.append("true" if number % 2 == 0 else "false")
-            else:
-                replies.append(("en", "fr", "de", "es")[number % 4])
-        return replies
+        return [answer_of(request) for request in requests]
 
     return ev.respond(_root_requests(t), responder).select(
         "content_id", "evaluation_id", "response"
     )
 
 
+@query(
+    "respond_concurrent",
+    f"""SELECT content_id, evaluation_id,
+          CASE WHEN content_id % 11 = 5 THEN 3 WHEN content_id % 7 = 3 THEN 2 ELSE 1 END AS attempts,
+          CASE WHEN content_id % 11 = 5 THEN 'failed' ELSE 'completed' END AS status,
+          CASE WHEN content_id % 11 <> 5 THEN response END AS response
+        FROM ({ROOTS_SQL})""",
+)
+def respond_concurrent(t: DriverTables) -> DataFrame:
+    """Replies come in any order, some too late or not at first; only these are asked again."""
+    root = scratch_path(t.spark, "respond-concurrent")
+
+    async def ask(request: dict) -> str:
+        page, attempt = int(request["metadata"]["file_content_id"]), int(request["metadata"]["attempt"])
+        if page % 11 == 5:
+            raise ConnectionError("the model is away")
+        if page % 7 == 3 and attempt == 0:
+            await asyncio.sleep(60)
+        await asyncio.sleep(0.001 * (page % 5))
+        return answer_of(request)
+
+    def work(tasks: DataFrame) -> DataFrame:
+        metadata = F.struct(
+            F.col("evaluation_id").cast("string").alias("evaluation_id"),
+            F.col("content_id").cast("string").alias("file_content_id"),
+            F.col("attempts").cast("string").alias("attempt"),
+        )
+        requests = tasks.withColumn("metadata", metadata)
+        return ev.respond_concurrently(requests, ask, timeout=0.5).drop("metadata")
+
+    asked = _root_requests(t).select("content_id", "evaluation_id", "messages", "tool_choice")
+    start = datetime(2024, 1, 1)
+    attempts.attempt(asked, 0, root, work, now=start)
+    attempts.finish_waiting(t.spark, root, 0, work, wait=lambda due: due)
+    keys = ["content_id", "evaluation_id"]
+    replies = t.spark.read.parquet(f"{root}/done").select(*keys, "response")
+    ended = attempts.outcomes(t.spark, root, keys).drop("error")
+    return ended.join(replies, keys, "left")
+
+
+def answer_of(request: dict) -> str:
+    """The stub's answer, from the text of the page in a request's messages."""
+    page = request["messages"][-2]["content"]
+    text = page[len("Document Page: ") : page.rindex("\n\nMetadata: ")]
+    number = len(text) + int(request["metadata"]["evaluation_id"])
+    if request["tool_choice"] == ev.BOOLEAN_TOOL:
+        return "true" if number % 2 == 0 else "false"
+    return ("en", "fr", "de", "es")[number % 4]
+
+
 def _callbacks(t: DriverTables) -> DataFrame:
     """One JSON completion per root request, a few of them faulty by page id."""
     variant = F.col("content_id") % 11

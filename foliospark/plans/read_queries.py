@@ -11,6 +11,7 @@ from foliospark.operators import maintenance, reads, reports
 from foliospark.operators.scale import first_per_key
 from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
+from foliospark.session import materialise
 
 
 def detail(t: DriverTables) -> DataFrame:
@@ -507,8 +508,27 @@ def results_page(t: DriverTables) -> DataFrame:
 
 
 @query(
-    "file_status_rollup",
-    """SELECT f.id, f.status AS registered_status, coalesce(c.n, 0) AS n_chunks,
+    "results_page_after",
+    f"""SELECT CAST((n - 1) // 10 AS BIGINT) AS page, answer_id, file_name, title, page_label
+        FROM (SELECT *, row_number() OVER (ORDER BY page_label DESC NULLS LAST, title, answer_id) AS n
+              FROM ({RESULTS_SQL}))
+        WHERE n <= 30""",
+)
+def results_page_after(t: DriverTables) -> DataFrame:
+    """The first three pages, each found from the last row of the one before."""
+    keys = [reads.SortKey("page_label", descending=True), reads.SortKey("title"), reads.SortKey("answer_id")]
+    table, last, pages = materialise(_results(t), "results"), None, None
+    for number in range(3):
+        page = reads.page_after(table, keys, last).withColumn("page", F.lit(number))
+        end = page.orderBy(*[k.order() for k in keys]).select(*[k.column for k in keys]).tail(1)
+        if not end:
+            break
+        last = tuple(end[0])
+        pages = page if pages is None else pages.unionByName(page)
+    return pages.select("page", "answer_id", "file_name", "title", "page_label")
+
+
+FILE_STATUS_SQL = """SELECT f.id, f.status AS registered_status, coalesce(c.n, 0) AS n_chunks,
          coalesce(c.e, 0) AS n_embedded, coalesce(a.n, 0) AS n_answers, x.error,
          CASE WHEN x.error IS NOT NULL OR a.failed > 0 THEN 'failed'
               WHEN a.done >= 2 THEN 'completed' WHEN a.n > 0 THEN 'evaluating'
@@ -526,9 +546,11 @@ def results_page(t: DriverTables) -> DataFrame:
                         GROUP BY file_id, evaluation_id, content_id)
                   GROUP BY file_id) a ON a.file_id = f.id
        LEFT JOIN (SELECT doc_id, min(reject_reason) AS error FROM p_checked
-                  WHERE reject_reason IS NOT NULL GROUP BY doc_id) x ON x.doc_id = f.id""",
-)
-def file_status_rollup(t: DriverTables) -> DataFrame:
+                  WHERE reject_reason IS NOT NULL GROUP BY doc_id) x ON x.doc_id = f.id"""
+
+
+def file_status_inputs(t: DriverTables) -> tuple[DataFrame, ...]:
+    """Files, chunks, answers, failures and the number of answers due."""
     from foliospark.plans.ingest_queries import checked_objects
 
     failures = checked_objects(t).filter("reject_reason IS NOT NULL AND delivery < 2").select(
@@ -544,7 +566,10 @@ def file_status_rollup(t: DriverTables) -> DataFrame:
     )
     answered = t.answers.filter(F.col("response").isin("true", "false"))
     expected = t.files.select(F.col("id").alias("file_id"), F.lit(2).alias("n_expected"))
-    return reports.file_status_rollup(
-        t.files, t.chunks, answered.withColumn("status", status), failures, expected
-    )
+    return t.files, t.chunks, answered.withColumn("status", status), failures, expected
+
+
+@query("file_status_rollup", FILE_STATUS_SQL)
+def file_status_rollup(t: DriverTables) -> DataFrame:
+    return reports.file_status_rollup(*file_status_inputs(t))
 

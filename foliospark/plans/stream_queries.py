@@ -5,20 +5,21 @@ Each is checked against the batch result stated in SQL.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import evaluation as ev
-from foliospark.plans.driver_tables import DriverTables
+from foliospark.plans.driver_tables import DriverTables, seconds_after_base
 from foliospark.plans.evaluate_queries import ROOTS_SQL
 from foliospark.plans.maintain_queries import UPSERT_COLUMNS, UPSERT_SQL, _incoming
+from foliospark.plans.read_queries import FILE_STATUS_SQL, file_status_inputs
 from foliospark.plans.registry import query
 from foliospark.session import materialise, scratch_path
 from foliospark.sources import landing as source_landing
 from foliospark.sources import sinks
-from foliospark.streaming import answers, landing
+from foliospark.streaming import answers, attempts, landing, status
 
 
 def _written_messages(t: DriverTables, root: str) -> str:
@@ -192,3 +193,124 @@ def stream_evaluation_starts(t: DriverTables) -> DataFrame:
         F.col("file_id").cast("long").alias("file_id")
     )
 
+
+
+@query(
+    "stream_correlate",
+    """SELECT doc_id % 6 AS evaluation_id, doc_id AS content_id,
+         CASE WHEN doc_id % 5 <> 0 AND doc_id % 90 <= 60 THEN 'answered' ELSE 'expired' END AS status,
+         CASE WHEN doc_id % 5 <> 0 AND doc_id % 90 <= 60 THEN lang END AS response
+       FROM documents""",
+)
+def stream_correlate(t: DriverTables) -> DataFrame:
+    """Requests and completions meet as streams.
+
+    Every fifth request is never answered, others are answered up to 89 minutes later,
+    half of the completions arrive in a later run and some of these twice.
+    """
+    root = scratch_path(t.spark, "stream-correlate")
+    asked_at = seconds_after_base(F.col("doc_id"))
+    keys = [(F.col("doc_id") % 6).alias("evaluation_id"), F.col("doc_id").alias("content_id")]
+    requests = t.documents.select(*keys, asked_at.alias("requested_at"))
+    delay = F.make_dt_interval(mins=(F.col("doc_id") % 90).cast("int"))
+    completions = t.documents.filter("doc_id % 5 <> 0").select(
+        *keys, (asked_at + delay).alias("completed_at"), F.col("lang").alias("response")
+    )
+    # Both streams go on later, so that every deadline passes.
+    much_later = seconds_after_base(F.lit(10**9).cast("long"))
+    none = F.lit(None).cast("long")
+    ticks = t.spark.range(1).select(none.alias("evaluation_id"), none.alias("content_id"), much_later.alias("at"))
+    half = F.col("content_id") % 2 == 0
+    arriving = [
+        (requests, completions.filter(half)),
+        (None, completions.filter(~half).unionByName(completions.filter("content_id % 3 = 1"))),
+        (
+            ticks.withColumnRenamed("at", "requested_at"),
+            ticks.withColumnRenamed("at", "completed_at").withColumn("response", F.lit(None).cast("string")),
+        ),
+    ]
+    for asked, given in arriving:
+        for rows, name in ((asked, "requests"), (given, "completions")):
+            if rows is not None:
+                rows.write.mode("append").parquet(f"{root}/{name}")
+        joined = answers.correlate_streams(
+            t.spark.readStream.schema(requests.schema).parquet(f"{root}/requests"),
+            t.spark.readStream.schema(completions.schema).parquet(f"{root}/completions"),
+            deadline=timedelta(hours=1),
+            lateness=timedelta(days=3650),
+        )
+        landing.write_stream(joined, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select(
+        "evaluation_id", "content_id", "status", "response"
+    )
+
+
+@query("stream_status", FILE_STATUS_SQL)
+def stream_status(t: DriverTables) -> DataFrame:
+    """Events of files come twice and out of order; the table ends as the batch report."""
+    root = scratch_path(t.spark, "stream-status")
+    files, chunks, answered, failures, expected = file_status_inputs(t)
+    # A chunk is known before its vector is, and an answer is open before it is there.
+    events = [
+        status.answer_events(answered),
+        status.chunk_events(chunks.withColumn("status", F.lit("CHUNKED"))).unionByName(
+            status.registered_events(files)
+        ),
+        status.chunk_events(chunks)
+        .unionByName(status.answer_events(answered.withColumn("status", F.lit("processing"))))
+        .unionByName(status.failure_events(failures))
+        .unionByName(status.expected_events(expected)),
+    ]
+    for rows in events:
+        rows.coalesce(4).write.mode("append").parquet(f"{root}/in")
+        arriving = t.spark.readStream.schema(status.EVENT_DDL).parquet(f"{root}/in")
+        status.status_stream(arriving, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return status.current_status(t.spark, f"{root}/table")
+
+
+ATTEMPTS_START = datetime(2024, 1, 1)
+
+
+def _attempted(t: DriverTables, label: str) -> str:
+    """Ingestion tasks of all files, of which some fail once, twice or always."""
+    root = scratch_path(t.spark, label)
+    t.files.select(F.col("id").alias("file_id"), "name").repartition(4).write.parquet(f"{root}/in")
+
+    def work(tasks: DataFrame) -> DataFrame:
+        kind = F.col("file_id") % 10
+        fails = F.when(kind == 3, 1).when(kind == 4, 2).when(kind == 5, 99).otherwise(0)
+        text = F.concat(F.lit("no loader for "), F.col("name"))
+        return tasks.withColumn("error", F.when(F.col("attempts") < fails, text))
+
+    arriving = t.spark.readStream.schema("file_id long, name string").parquet(f"{root}/in")
+    attempts.attempt_stream(
+        arriving, f"{root}/tasks", f"{root}/checkpoint", work, now=ATTEMPTS_START
+    ).awaitTermination()
+    # The clock jumps to the time the next task is due.
+    attempts.finish_waiting(t.spark, f"{root}/tasks", 0, work, wait=lambda due: due)
+    return f"{root}/tasks"
+
+
+@query(
+    "task_attempts",
+    """SELECT id AS file_id,
+         CASE id % 10 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 1 END AS attempts,
+         CASE WHEN id % 10 = 5 THEN 'failed' ELSE 'completed' END AS status,
+         CASE WHEN id % 10 = 5 THEN 'no loader for ' || name END AS error
+       FROM p_files""",
+)
+def task_attempts(t: DriverTables) -> DataFrame:
+    """Attempts and end of every task, through waiting and dead letters."""
+    return attempts.outcomes(t.spark, _attempted(t, "task-attempts"), ["file_id"])
+
+
+@query(
+    "task_dead_letters",
+    """SELECT id AS file_id, name, 3 AS attempts, 'no loader for ' || name AS error,
+         1704067200 + 30 AS failed_at
+       FROM p_files WHERE id % 10 = 5""",
+)
+def task_dead_letters(t: DriverTables) -> DataFrame:
+    """What is given up after three attempts, 10 and 20 seconds apart."""
+    dead = landing.stored(t.spark, f"{_attempted(t, 'task-dead-letters')}/dead")
+    return dead.select("file_id", "name", "attempts", "error", "failed_at")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators.scale import join_by_key
 from foliospark.schemas import CHUNK_RESULT, RESULT_MANIFEST
 
 
@@ -25,18 +24,20 @@ def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def read_listed(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
-    """Lines of the files below ``root`` that ``keys`` lists.
+    """Lines of just the files below ``root`` that ``keys`` lists.
 
-    The folder is read as one dataset and filtered by file path with a semi
-    join; the list of files never passes through the driver.
+    Nothing else below the folder is listed or opened. As for any folder, the reader
+    holds the paths of the files it reads, here the listed ones alone, and packs them
+    into tasks by their sizes. A listed file that is missing is an error.
     """
     prefix = root.rstrip("/") + "/"
-    lines = spark.read.option("recursiveFileLookup", "true").text(root)
-    located = lines.select(
-        "value",
-        F.substring_index(F.col("_metadata.file_path"), prefix, -1).alias("key"),
+    listed = keys.select("key").filter(F.col("key").isNotNull()).distinct().orderBy("key")
+    paths = [prefix + row.key for row in listed.toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "value string, key string")
+    return spark.read.text(paths).select(
+        "value", F.substring_index(F.col("_metadata.file_path"), prefix, -1).alias("key")
     )
-    return join_by_key(located, keys.select("key").distinct(), ["key"], "left_semi")
 
 
 def flatten_chunk_results(lines: DataFrame, value: str = "value") -> DataFrame:

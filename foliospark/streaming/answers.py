@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
+from functools import reduce
 from itertools import islice
+from operator import and_
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliospark.session import materialise
@@ -18,6 +22,37 @@ def correlate_stream(completions: DataFrame, requests: DataFrame) -> DataFrame:
     return completions.join(requests, ["evaluation_id", "content_id"])
 
 
+def correlate_streams(
+    requests: DataFrame,
+    completions: DataFrame,
+    deadline: timedelta,
+    lateness: timedelta,
+) -> DataFrame:
+    """Two streams, each request with its completion or as ``expired``.
+
+    ``requests`` have ``requested_at`` and ``completions`` ``completed_at`` beside
+    (evaluation_id, content_id). A completion counts if it was made between its
+    request and ``deadline`` after it, in whichever order the two arrive, up to
+    ``lateness`` behind the newest row. A request whose deadline is past for both
+    streams comes out with the status ``expired``, once; a redelivered completion
+    counts once. State is kept only as long as rows may still meet.
+    """
+    keys = ["evaluation_id", "content_id"]
+    allowed = f"{int(lateness.total_seconds())} seconds"
+    asked = requests.withWatermark("requested_at", allowed)
+    given = completions.withWatermark("completed_at", allowed)
+    given = given.dropDuplicates([*keys, "completed_at"])
+    last = F.col("q.requested_at") + F.lit(deadline)
+    met = [F.col(f"q.{k}") == F.col(f"c.{k}") for k in keys]
+    met += [F.col("c.completed_at") >= F.col("q.requested_at"), F.col("c.completed_at") <= last]
+    joined = asked.alias("q").join(given.alias("c"), reduce(and_, met), "left_outer")
+    return joined.select(
+        "q.*",
+        *[f"c.{c}" for c in completions.columns if c not in keys],
+        F.when(F.col("c.completed_at").isNull(), "expired").otherwise("answered").alias("status"),
+    )
+
+
 ITEM_KEYS = ("workflow_id", "level", "evaluation_id", "content_id")
 LEVEL = ("workflow_id", "level")
 ITEMS_AT_ONCE = 1000

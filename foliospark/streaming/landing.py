@@ -154,12 +154,16 @@ def write_batch(rows: DataFrame, batch_id: int, path: str, parts: Sequence[str]
 
 
 def run_batches(
-    stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    store: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
 ) -> StreamingQuery:
     # A state with a time to live asks for another batch after every one, without end.
     with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         return (
             stream.writeStream.option("checkpointLocation", checkpoint)
+            .outputMode(mode)
             .trigger(availableNow=True)
             .foreachBatch(store)
             .start()

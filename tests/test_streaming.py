@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from foliospark.streaming import answers, landing
+from foliospark.streaming import answers, landing, status
 
 
 def test_a_repeated_batch_is_stored_once(spark, tmp_path):
@@ -119,3 +119,55 @@ def test_a_level_with_many_items_fires_with_all_of_them(spark, tmp_path):
         tasks = landing.stored(spark, f"{out}/tasks")
         seen.append(0 if tasks is None else tasks.count())
     assert seen == [0, 3000, 3000]
+
+
+def test_requests_meet_their_completions_or_expire_once(spark, tmp_path):
+    asked, given, out, checkpoint = (str(tmp_path / n) for n in ("q", "c", "out", "checkpoint"))
+    ddl = "evaluation_id long, content_id long, {} timestamp"
+    start = datetime(2024, 1, 1)
+
+    def arrive(requests, completions):
+        for rows, path, name in ((requests, asked, "requested_at"), (completions, given, "completed_at")):
+            rows = [(e, p, start + timedelta(minutes=m)) for e, p, m in rows]
+            spark.createDataFrame(rows, ddl.format(name)).coalesce(1).write.mode("append").parquet(path)
+        joined = answers.correlate_streams(
+            spark.readStream.schema(ddl.format("requested_at")).parquet(asked),
+            spark.readStream.schema(ddl.format("completed_at")).parquet(given),
+            deadline=timedelta(minutes=30),
+            lateness=timedelta(minutes=100),
+        )
+        landing.write_stream(joined, out, checkpoint).awaitTermination()
+        rows = spark.read.schema(joined.schema).parquet(out).collect()
+        return sorted((r.evaluation_id, r.content_id, r.status) for r in rows)
+
+    # Answered at once, after the deadline, and before it was asked.
+    first = arrive([(1, 1, 0), (1, 2, 0), (1, 3, 10)], [(1, 1, 5), (1, 1, 5), (1, 2, 31), (1, 3, 9)])
+    assert first == [(1, 1, "answered")]
+    # A late request meets the completion that waits for it.
+    second = arrive([(2, 7, 50)], [(2, 7, 60), (1, 1, 5), (1, 3, 20)])
+    assert second == [(1, 1, "answered"), (1, 3, "answered"), (2, 7, "answered")]
+    # Time goes on: what was not answered expires, once.
+    third = arrive([(9, 9, 5000)], [(9, 8, 5000)])
+    assert third == [(1, 1, "answered"), (1, 2, "expired"), (1, 3, "answered"), (2, 7, "answered")]
+    assert arrive([(9, 10, 5001)], [(9, 8, 5001)]) == third
+
+
+def test_status_follows_events_that_repeat_and_restart(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), status.EVENT_DDL).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(status.EVENT_DDL).parquet(source)
+        status.status_stream(stream, out, checkpoint).awaitTermination()
+        return {r.id: (r.status, r.n_chunks, r.n_embedded, r.n_answers) for r in status.current_status(spark, out).collect()}
+
+    registered = (1, "registered", None, None, "pending")
+    assert arrive(registered, registered) == {1: ("pending", 0, 0, 0)}
+    assert arrive((1, "chunk", "a", 0, None), (1, "chunk", "b", 1, None))[1] == ("embedding", 2, 1, 0)
+    assert arrive((1, "chunk", "a", 1, None), (1, "chunk", "b", 0, None))[1] == ("embedded", 2, 2, 0)
+    assert arrive((1, "expected", None, 1, None), (1, "answer", "7:1", 1, None))[1] == ("failed", 2, 2, 1)
+    assert arrive((1, "answer", "7:1", 2, None), (2, "answer", "7:1", 0, None)) == {
+        1: ("completed", 2, 2, 1),
+        2: ("evaluating", 0, 0, 1),
+    }
+    assert arrive((1, "failure", None, None, "gone"))[1][0] == "failed"
