@@ -37,15 +37,19 @@ NEAR_SHARE = 0.25  # of the run beside it, for pages that mark no article
 LINK_SHARE = 0.6  # a line that is mostly links is a menu
 
 # Elements of HTML by what they do to the text.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp".split())
+RAW = frozenset(
+    "script style noscript template textarea title iframe svg object canvas xmp annotation "
+    "annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark "
-    "nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
-)
-ASIDE = frozenset(
-    "nav header footer aside form menu dialog button select fieldset datalist audio video".split()
+    "nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+    "math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover "
+    "munder munderover mstyle mpadded mphantom menclose mmultiscripts mtable mtr mtd".split()
 )
+ASIDE = frozenset("nav header footer aside menu dialog fieldset".split())
+FIELDS = frozenset("button select datalist audio video".split())  # stand within a line
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = HEADINGS | frozenset("p ul ol dl blockquote pre table figure".split())
@@ -65,6 +69,20 @@ PLACE_WORDS = frozenset(
     "item items left link links list main outer panel primary right secondary section site slot "
     "top unit wrap wrapper".split()
 )
+# What else the name of such a part may say, where one of these is among its words.
+PART_WORDS = frozenset(
+    "ad ads advert advertisement comment comments commentlist cookie cookies consent newsletter "
+    "promo recommended recommendations related replies share sharing social sponsored subscribe".split()
+)
+OWNER_WORDS = frozenset(
+    "article articles body blog count customer entry feed latest more news page policy popular post "
+    "posts reader readers stories story stream text thread threads title user users you".split()
+)
+TALK_WORDS = frozenset("discussion discussions conversation".split())
+# Parts that have articles of their own, which are not the page's.
+ARTICLE_HOLDERS = frozenset(
+    "comment comments commentlist disqus recommended recommendations related replies reply respond".split()
+)
 # As ids these may as well come from the title of a section.
 TITLE_WORDS = frozenset(
     "alert banner consent cookie cookies disclaimer gdpr header login notice notices notification "
@@ -78,10 +96,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(
-    r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I
-)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMES = ("class", "id", "role", "aria-label")
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -103,6 +120,8 @@ class Open:
     article: bool
     named: tuple[int, ...] = ()  # named parts around it and itself
     at: int = 0
+    muted: bool = False  # an aside within a line
+    holder: bool = False  # a part with articles of its own
 
 
 @dataclass
@@ -119,16 +138,20 @@ class Stripper:
     names: int = 0
     held: dict[int, int] = field(default_factory=dict)  # text of each named part
     leading: set[int] = field(default_factory=set)  # named parts with the page's title or main
+    forms: set[int] = field(default_factory=set)  # parts that are forms
+    muted: int = 0  # asides within the line that are open
 
-    def named(self, name: str, attributes: str) -> bool:
-        """Whether an element is taken for what its names say."""
-        if name in UNNAMED or not aside_name(attributes):
+    def named(self, name: str, attributes: dict[str, str]) -> bool:
+        """Whether an element is taken for what its names say; forms are parts by themselves."""
+        if name in UNNAMED or not (name == "form" or aside_name(attributes)):
             return False
         self.names += 1
+        if name == "form":
+            self.forms.add(self.names)
         return self.names not in self.spared
 
     def add(self, text: str) -> None:
-        if text:
+        if text and not self.muted:
             self.parts.append(text)
             if self.links:
                 self.linked += len(text.strip())
@@ -154,58 +177,83 @@ class Stripper:
         """Lines without weight: no window reaches across a page part's end."""
         self.lines.extend([Line("", 0, False)] * WINDOW)
 
-    def open(self, name: str, attributes: str) -> None:
+    def open(self, name: str, written: str) -> None:
         if name == "a":
             self.links += 1
         if name in VOID:
             if name == "br":
-                self.parts.append(" ")
-            elif name == "hr":
+                self.add(" ")
+            elif name == "hr" and not self.muted:
                 self.end_line()
             return
+        attributes = attributes_of(written) if written and not written.isspace() else {}
         top = self.stack[-1] if self.stack else Open("", False, False)
         named = self.names
-        marked = bool(attributes) and (
-            HIDDEN.search(attributes) is not None or self.named(name, attributes)
+        marked = bool(attributes) and hidden(attributes) or (
+            (bool(attributes) or name == "form") and self.named(name, attributes)
         )
-        if name in INLINE:
-            if marked and name != "a" and not top.aside:
-                self.end_line()
-                self.stack.append(Open(name, True, top.article, top.named, top.at))
+        if name in INLINE or name in FIELDS or self.muted:
+            if self.muted or name in FIELDS or marked and name != "a" and not top.aside:
+                muted = name in INLINE and marked or name in FIELDS
+                self.stack.append(Open(name, True, top.article, top.named, top.at, muted, top.holder))
+                self.muted += muted
             return
         self.end_line()
         if name == "p":  # a paragraph ends where the next block begins
             self.close("p", among=("p",))
             top = self.stack[-1] if self.stack else Open("", False, False)
-        content = name in CONTENT or (name == "div" and "articlebody" in attributes.lower())
+        content = name in CONTENT or (
+            name == "div" and any("articlebody" in v.lower() for v in attributes.values())
+        )
         aside = top.aside or marked or name in ASIDE
         if name == "header" and top.article or name in HEADINGS and top.article:
             # The headings of an article belong to it, also inside its header.
             aside = any(o.aside and o.name != "header" for o in self.stack) or (
                 name == "header" or marked
             )
+        holder = top.holder or marked and not self.spares(top) and words_of(attributes, ARTICLE_HOLDERS)
+        if words_of(attributes, TALK_WORDS) and name not in UNNAMED:
+            holder = True
         if content and not marked:
-            if not any(o.aside and (o.name in ASIDE or o.article) for o in self.stack):
+            if top.holder:
+                aside = True  # a comment, or another page's article
+            elif not any(o.aside and (o.name in ASIDE or o.article) for o in self.stack):
                 aside = False  # an advert before it was never closed
         article = top.article or (content and not aside)
         if content or aside != top.aside:
             self.gap()
-        if name in ("h1", "main"):
+        if name == "h1" or name in CONTENT and not top.holder:
             self.leading.update(top.named)
         around = (*top.named, self.names) if self.names > named else top.named
         self.elements.append((name, top.at, self.elements[top.at][2] + 1))
-        self.stack.append(Open(name, aside, article, around, len(self.elements) - 1))
+        self.stack.append(
+            Open(name, aside, article, around, len(self.elements) - 1, False, bool(holder))
+        )
+
+    def unmute(self, at: int) -> None:
+        """Close asides within a line that were opened from this place on and not closed."""
+        if self.muted and any(o.muted for o in self.stack[at:]):
+            first = next(k for k in range(at, len(self.stack)) if self.stack[k].muted)
+            self.muted -= sum(o.muted for o in self.stack[first:])
+            del self.stack[first:]
+
+    def spares(self, top: Open) -> bool:
+        return self.names in self.spared and self.names not in top.named
 
     def close(self, name: str, among: tuple[str, ...] = ()) -> None:
         if name == "a":
             self.links = max(0, self.links - 1)
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].name == name:
-                self.end_line()
+                self.unmute(at + 1)
+                inside = self.muted > 0
+                if not inside:
+                    self.end_line()
                 before = self.stack[at - 1] if at else Open("", False, False)
                 top = self.stack[-1]
+                self.muted -= sum(o.muted for o in self.stack[at:])
                 del self.stack[at:]
-                if top.aside != before.aside or top.article != before.article:
+                if not inside and (top.aside != before.aside or top.article != before.article):
                     self.gap()
                 return
             if among and self.stack[at].name not in among:
@@ -214,21 +262,50 @@ class Stripper:
                 return  # what is closed here was opened outside, or never
 
 
-def aside_name(attributes: str) -> bool:
+def attributes_of(written: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of each; one without value has the empty one."""
+    found: dict[str, str] = {}
+    for match in ATTRIBUTE.finditer(written):
+        found.setdefault(match[1].lower(), match[2] or match[3] or match[4] or "")
+    return found
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or NOT_DISPLAYED.search(attributes.get("style", "")) is not None
+    )
+
+
+def name_words(attributes: dict[str, str]) -> Iterator[tuple[str, list[str]]]:
+    """The words of every class, and of the other names, with the attribute's name."""
+    for kind in NAMES:
+        value = html.unescape(attributes.get(kind, ""))
+        for token in [value] if kind == "aria-label" else value.split():
+            yield kind, [w.lower() for w in NAME_PARTS.findall(token)]
+
+
+def words_of(attributes: dict[str, str], wanted: frozenset[str]) -> bool:
+    """Whether a class is made of these words, apart from those that name a place."""
+    return any(
+        kind == "class" and any(w in wanted for w in words)
+        for kind, words in name_words(attributes)
+    )
+
+
+def aside_name(attributes: dict[str, str]) -> bool:
     """Whether the attributes name a page part that is not the article.
 
     A class or id does if all of its words belong to such a name.
     """
-    for match in ATTRIBUTE.finditer(attributes):
-        kind = match[1].lower()
-        value = next((v for v in match.groups()[1:] if v), "")
+    for kind, words in name_words(attributes):
         telling = ASIDE_WORDS - TITLE_WORDS if kind == "id" else ASIDE_WORDS
-        for token in [value] if kind == "aria-label" else value.split():
-            words = [w.lower() for w in NAME_PARTS.findall(token)]
-            if any(w in telling for w in words) and all(
-                w in ASIDE_WORDS or w in PLACE_WORDS for w in words
-            ):
-                return True
+        allowed = ASIDE_WORDS | PLACE_WORDS
+        if any(w in PART_WORDS for w in words):
+            allowed = allowed | OWNER_WORDS
+        if any(w in telling for w in words) and all(w in allowed for w in words):
+            return True
     return False
 
 
@@ -238,7 +315,9 @@ def page_lines(page: str) -> Stripper:
     total = sum(len(line.text) for line in found.lines)
     shows = any(line.weight for line in found.lines)
     most = {part for part, size in found.held.items() if 2 * size > total}
-    spared = frozenset(part for part in most if part in found.leading or not shows)
+    spared = frozenset(
+        part for part in most if part in found.leading or part in found.forms or not shows
+    )
     return stripped(page, spared) if spared else found
 
 
@@ -265,6 +344,7 @@ def stripped(page: str, spared: frozenset[int] = frozenset()) -> Stripper:
                 at = end.end() if end else len(page)
         else:
             found.open(name, match[3])
+    found.unmute(0)
     found.end_line()
     return found
 

@@ -85,6 +85,48 @@ def test_names_that_only_mention_an_aside(page, wanted):
     assert found == wanted
 
 
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        # What attribute values say is no attribute.
+        ("<article><p title='the hidden costs of x'>a</p></article>", ["a"]),
+        (f"<div class='clip hidden md:block'><article><p>{PROSE}</p></article></div>", [TEXT]),
+        ("<article><p hidden>x</p><p aria-hidden='false'>a</p><p aria-hidden=true>x</p></article>", ["a"]),
+        ("<article><p style='color:red;display: none'>x</p><p style='display:block'>a</p></article>", ["a"]),
+        # A form around the page is the page.
+        (f"<form id=aspnet><p>{PROSE}</p><select><option>x</option></select></form>", [TEXT]),
+        (f"<form id=aspnet><div>Home</div><article><p>{PROSE}</p></article></form>", [TEXT]),
+        (f"<p>x</p><form id=aspnet><p>{PROSE}</p><p>b</p></form>", [TEXT, "b"]),
+        (f"<article><p>{PROSE}</p><form><p>Your name</p><button>Send</button></form></article>", [TEXT]),
+        # Articles in comments and among related pages are not the page's.
+        (
+            f"<article><p>{PROSE}</p></article><ol class='comment-list'><li>"
+            f"<article class='comment-body'><p>{PROSE * 3}</p></article></li></ol>",
+            [TEXT],
+        ),
+        (f"<main><p>a</p><ol class='comments'><li><article>{PROSE}</article></li></ol></main>", ["a"]),
+        (f"<main><p>a</p><div class='post-comments'><article>{PROSE}</article></div></main>", ["a"]),
+        (f"<main><p>a</p><div class='user-comments'><p>{PROSE}</p></div></main>", ["a"]),
+        (f"<main><p>a</p><section class='discussion'><article>{PROSE}</article></section></main>", ["a"]),
+        ("<main><section class='discussion'><h2>Discussion</h2><p>a</p></section></main>", ["Discussion", "a"]),
+        ("<article><p>a</p><div class='related-posts'><p>x</p></div></article>", ["a"]),
+        ("<article><p>a</p><div class='related-articles'><article>x</article></div><p>b</p></article>", ["a", "b"]),
+        ("<article><p>a</p><div class='cookie-policy-banner'>x</div></article>", ["a"]),
+        ("<article><div class='entry-header'><h1>T</h1></div><div class='post-body'>a</div></article>", ["T", "a"]),
+        ("<article><div class='post-title'>T</div><div class='article-text'>a</div></article>", ["T", "a"]),
+        # Within a line.
+        ("<article><p>Energy <math><mi>E</mi><mo>=</mo><msup><mi>mc</mi><mn>2</mn></msup></math> holds.</p></article>", ["Energy E=mc2 holds."]),
+        ("<article><p>a <button>x</button> b</p></article>", ["a b"]),
+        ("<article><p>a <button><div>x</div></button>b</p><p>c</p></article>", ["a b", "c"]),
+        ("<article><p>See <span class='tags'>x</span> y</p><p>z</p></article>", ["See y", "z"]),
+        ("<article><p>See <span class='ad'>x</p><p>z</p></article>", ["See", "z"]),
+        ("<article><p>a<select><option>x<option>y</select>b</p></article>", ["ab"]),
+    ],
+)
+def test_parts_that_look_like_others(page, wanted):
+    assert [line for line in html.main_text(page).split("\n\n") if line != "x"] == wanted
+
+
 AD = "<div class='ad'>buy this</div>"
 REST = "<div class='sidebar'>s</div>"
 
