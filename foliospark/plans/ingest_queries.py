@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.splitting import CHUNK_SIZE
 from foliospark.operators import chunking, embedding
 from foliospark.operators.embedding import EMBEDDING_DIMENSION
 from foliospark.plans.driver_tables import DriverTables
@@ -233,6 +234,45 @@ def chunk_recursive(t: DriverTables) -> DataFrame:
     )
 
 
+# Every page's words are in its chunks and no others, the chunks are numbered through
+# and none of them is too long.
+COVERED_SQL = r"""SELECT id AS content_id,
+      len(list_distinct(list_filter(regexp_split_to_array(content, '[ \t\n\r\f]+'),
+                                    lambda x: x <> ''))) AS n_words,
+      true AS dense, 0 AS too_long
+    FROM p_pages"""
+
+
+def _covered(chunks: DataFrame, size: Column, limit: int) -> DataFrame:
+    words = F.filter(F.split("content", chunking.TOKEN_BREAK), lambda w: w != "")
+    of_page = F.flatten(F.collect_list(F.array_distinct(words)))
+    place = F.col("chunk_in_page")
+    numbered = (F.min(place) == 1) & (F.max(place) == F.count(F.lit(1)))
+    return chunks.groupBy("content_id").agg(
+        F.size(F.array_distinct(of_page)).alias("n_words"),
+        (numbered & (F.count_distinct(place) == F.count(F.lit(1)))).alias("dense"),
+        F.count_if(size > limit).alias("too_long"),
+    )
+
+
+@query("chunk_recursive_covers", COVERED_SQL)
+def chunk_recursive_covers(t: DriverTables) -> DataFrame:
+    """What holds for the recursive chunks of every page, counted in estimated tokens."""
+    tokens = F.regexp_count("content", F.lit(r"(?U)\w{1,6}|[^\w\s]"))
+    return _covered(chunking.chunk_recursive(t.pages), tokens, CHUNK_SIZE)
+
+
+@query("chunk_recursive_characters", COVERED_SQL)
+def chunk_recursive_characters(t: DriverTables) -> DataFrame:
+    """The same with a length function of the caller's: characters."""
+
+    def characters(texts: list[str]) -> list[int]:
+        return [len(text) for text in texts]
+
+    chunks = chunking.chunk_recursive(t.pages, characters, size=300, overlap=60)
+    return _covered(chunks, F.char_length("content"), 300)
+
+
 @query(
     "embed_hashed",
     f"""SELECT file_id, content_id, chunk_number, {EMBEDDING_DIMENSION} AS dimension,
