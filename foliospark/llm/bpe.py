@@ -16,8 +16,10 @@ decode to the replacement character. Other columns are carried along untouched.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
@@ -37,7 +39,7 @@ WORD_PATTERN = (
 SELF_NAMED = (*range(33, 127), *range(161, 173), *range(174, 256))
 
 NO_RANK = np.iinfo(np.int32).max
-MAX_WORDS = 1_000_000  # entries a task remembers before it starts afresh
+MAX_WORDS = 1_000_000  # units a worker remembers before it drops the rare ones
 
 
 def byte_names() -> dict[str, int]:
@@ -95,12 +97,14 @@ class Vocabulary:
 class PairIndex:
     """The symbols of many words and, per merge rank, where its pair occurs."""
 
-    def __init__(self, vocabulary: Vocabulary, words: list[bytes]):
+    def __init__(self, vocabulary: Vocabulary, words: list[str]):
         self.vocabulary = vocabulary
         # A separator of -1 stands before, between and after the words.
-        raw = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)
+        raw = np.frombuffer(f"\0{'\0'.join(words)}\0".encode(), np.uint8)
+        ends = np.flatnonzero(raw == 0)[1:]
+        if len(ends) != len(words):  # words with a zero of their own
+            lengths = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+            ends = np.cumsum(lengths + 1)
         self.symbols = vocabulary.of_byte[raw].astype(np.int32)
         self.symbols[0] = -1
         self.symbols[ends] = -1
@@ -177,6 +181,20 @@ def leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - starts[run]) % 2 == 0]
 
 
+class Units(dict):
+    """Numbers of units by their text; a new text gets the next number when asked for."""
+
+    def __init__(self, numbers: Iterator[int], known: dict[str, int] | None = None):
+        super().__init__(known or {})
+        self._numbers = numbers
+        self.fresh: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        number = self[text] = next(self._numbers)
+        self.fresh.append(text)
+        return number
+
+
 class Encoder:
     """Ids of whole texts, through a bounded memory of distinct words.
 
@@ -192,9 +210,8 @@ class Encoder:
         self._token_ends = np.cumsum([0, *lengths])
         self._token_data = np.frombuffer(b"".join(self.vocabulary.token_bytes), np.uint8)
         self._find = regex.compile(WORD_PATTERN).findall
-        space = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-        self._runs = [run for c in space for run in (" " + c, c + " ")]
-        self._ascii_runs = [run for run in self._runs if run.isascii()]
+        self._white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+        self._ascii_white = [c for c in self._white if c.isascii()]
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self._special = (
             regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
@@ -206,20 +223,44 @@ class Encoder:
 
     def _forget(self) -> None:
         """Start with an empty memory: units of words and where their ids lie."""
-        self._words: dict[str, int] = {}
-        # What follows a single space, without that space.
-        self._spaced: dict[str, int] = {}
         # A special token is a unit of one id.
         special = list(self.vocabulary.special.values())
+        numbers = itertools.count(len(special))
+        self._words = Units(numbers)
+        # What follows a single space, without that space.
+        self._spaced = Units(numbers)
         self._ids = np.array(special, np.int32)
-        self._ends = np.arange(len(special) + 1)
+        self._starts = np.arange(len(special))
+        self._lengths = np.ones(len(special), np.int64)
+        self._used = np.zeros(len(special), np.int64)
         self._unit_of = {name: k for k, name in enumerate(self.vocabulary.special)}
 
+    def _shrink(self) -> None:
+        """Keep the units used most since the last time, at most half of what may be held."""
+        special = len(self.vocabulary.special)
+        often = 2
+        while np.count_nonzero(self._used >= often) > self._max_words // 2:
+            often += often // 2
+        kept = self._used >= often
+        kept[:special] = True
+        number = np.cumsum(kept) - 1
+        numbers = itertools.count(int(kept.sum()))
+
+        def rest(units: Units) -> Units:
+            left = {text: int(number[n]) for text, n in units.items() if kept[n]}
+            return Units(numbers, left)
+
+        self._words, self._spaced = rest(self._words), rest(self._spaced)
+        self._lengths = self._lengths[kept]
+        self._ids, ends = gather(self._ids, self._starts[kept], self._lengths)
+        self._starts = ends - self._lengths
+        self._used = np.zeros(len(ends), np.int64)
+
     def _cut(self, text: str) -> tuple[list[str], list[str]]:
         """Words of the pattern, then what follows each single space."""
-        runs = self._ascii_runs if text.isascii() else self._runs
-        if any(run in text for run in runs):
-            return self._find(text), []
+        for c in self._ascii_white if text.isascii() else self._white:
+            if c in text and (" " + c in text or c + " " in text):
+                return self._find(text), []
         first, *rest = text.split(" ")
         if not first and rest:  # a space at the very start
             return [], rest
@@ -232,56 +273,52 @@ class Encoder:
             return [units[c] if c in units else self._cut(c) for c in cut if c]
         return [self._cut(text)] if text else []
 
-    def _merge(self, words: list[str], starts: list[int]) -> range:
-        """Remember the ids of the units of words that begin at ``starts``."""
-        index = PairIndex(self.vocabulary, [w.encode() for w in words])
+    def _merge(self, units: Units, words: list[str], first: np.ndarray) -> None:
+        """Remember the ids of the fresh units, whose words begin at ``first``."""
+        index = PairIndex(self.vocabulary, words)
         index.merge_all()
         ids, ends = index.tokens()
-        last = np.append(np.array(starts[1:], np.int64), len(words)) - 1
-        first = len(self._ends) - 1
-        self._ends = np.concatenate([self._ends, len(self._ids) + ends[last]])
+        ends = ends[np.append(first[1:], len(words)) - 1]
+        at = np.fromiter(map(units.__getitem__, units.fresh), np.int64, len(units.fresh))
+        self._starts[at] = len(self._ids) + np.append(0, ends[:-1])
+        self._lengths[at] = np.diff(ends, prepend=0)
         self._ids = np.concatenate([self._ids, ids])
-        return range(first, first + len(starts))
-
-    def _learn(self, words: set[str], spaced: set[str]) -> None:
-        """Merge what is not known yet."""
-        new = sorted(words - self._words.keys())
-        if new:
-            self._words.update(zip(new, self._merge(new, list(range(len(new))))))
-        new = sorted(spaced - self._spaced.keys())
-        if new:
+        units.fresh = []
+
+    def _learn(self) -> None:
+        """Merge the units that have been numbered since the last time."""
+        more = len(self._words.fresh) + len(self._spaced.fresh)
+        self._starts = np.append(self._starts, np.zeros(more, np.int64))
+        self._lengths = np.append(self._lengths, np.zeros(more, np.int64))
+        if new := self._words.fresh:
+            self._merge(self._words, new, np.arange(len(new)))
+        if new := self._spaced.fresh:
             # Words with a space in front begin a unit, all others continue one.
             found = self._find(" " + " ".join(new))
-            starts = [k for k, w in enumerate(found) if w[0] == " "]
-            self._spaced.update(zip(new, self._merge(found, starts)))
+            begins = np.fromiter((w[0] == " " for w in found), bool, len(found))
+            self._merge(self._spaced, found, np.flatnonzero(begins))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the bounds of each text among them."""
         if len(self._spaced) + len(self._words) > self._max_words:
-            self._forget()
-        parts = [self._parts(text) for text in texts]
-        words: set[str] = set()
-        spaced: set[str] = set()
-        for text in parts:
-            for part in text:
-                if not isinstance(part, int):
-                    words.update(part[0])
-                    spaced.update(part[1])
-        self._learn(words, spaced)
+            self._shrink()
         of_word, of_spaced = self._words.__getitem__, self._spaced.__getitem__
-        units: list[int] = []
+        units = array("q")
         text_ends = [0]
-        for text in parts:
-            for part in text:
+        for text in texts:
+            for part in self._parts(text):
                 if isinstance(part, int):
                     units.append(part)
                 else:
                     units.extend(map(of_word, part[0]))
                     units.extend(map(of_spaced, part[1]))
             text_ends.append(len(units))
-        unit = np.array(units, np.int64)
-        starts = self._ends[unit]
-        ids, ends = gather(self._ids, starts, self._ends[unit + 1] - starts)
+        self._learn()
+        unit = np.frombuffer(units, np.int64)
+        self._used = np.bincount(unit, minlength=len(self._starts)) + np.append(
+            self._used, np.zeros(len(self._starts) - len(self._used), np.int64)
+        )
+        ids, ends = gather(self._ids, self._starts[unit], self._lengths[unit])
         return ids, np.append(0, ends)[text_ends]
 
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,6 +337,17 @@ class Encoder:
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this worker process: later tasks find the words it has learned."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def gather(
     values: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +374,7 @@ def encode_tokens(
     schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for part, data in byte_groups(batches):
             ids = encoder.encode([d.decode("utf-8", "replace") for d in data])
             yield pa.RecordBatch.from_arrays(
@@ -345,7 +393,7 @@ def decode_tokens(
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
@@ -368,7 +416,7 @@ def round_trip(
 ) -> DataFrame:
     """``key``, the ids of each text and the text decoded from these ids, in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for part, data in byte_groups(batches):
             ids = encoder.encode([d.decode("utf-8", "replace") for d in data])
             yield pa.RecordBatch.from_arrays(

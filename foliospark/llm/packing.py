@@ -17,6 +17,7 @@ are an error of the caller and raise. Other columns are carried along.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.bpe import Encoder
+from foliospark.llm.bpe import shared_encoder
 from foliospark.llm.common import GROUP_BYTES, byte_groups, with_bytes
 from foliospark.session import materialise
 
@@ -40,15 +41,17 @@ def token_pieces(
     key: str = "doc_id",
     text: str = "text",
     held_bytes: int = GROUP_BYTES,
+    with_ids: bool = True,
 ) -> DataFrame:
     """The pieces of at most ``capacity`` tokens of each document.
 
     A document is its ids and then ``separator``. Columns: ``key``, ``piece``,
-    ``start``, ``length`` and ``ids`` as little-endian unsigned 32-bit numbers.
+    ``start``, ``length``, ``ids`` as little-endian unsigned 32-bit numbers, NULL
+    unless ``with_ids``, and their ``ids_crc32``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for part, data in byte_groups(batches, held_bytes):
             ids, bounds = encoder.encode([d.decode("utf-8", "replace") for d in data])
             rows: list[tuple] = []
@@ -58,8 +61,9 @@ def token_pieces(
                 cuts = [0, *range(first, len(whole) + 1, capacity)]
                 for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):
                     cut = whole[start:end].tobytes()
-                    rows.append((key, piece, start, end - start, cut))
-            columns = list(zip(*rows)) or [()] * 5
+                    crc = zlib.crc32(cut)
+                    rows.append((key, piece, start, end - start, cut if with_ids else None, crc))
+            columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.int64()),
@@ -67,13 +71,16 @@ def token_pieces(
                     pa.array(columns[2], pa.int64()),
                     pa.array(columns[3], pa.int64()),
                     pa.array(columns[4], pa.binary()),
+                    pa.array(columns[5], pa.int64()),
                 ],
-                ["id", "piece", "start", "length", "ids"],
+                ["id", "piece", "start", "length", "ids", "ids_crc32"],
             )
 
     return (
         with_bytes(df, key, text)
-        .mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+        .mapInArrow(
+            run, "id long, piece int, start long, length long, ids binary, ids_crc32 long"
+        )
         .withColumnRenamed("id", key)
     )
 
@@ -176,8 +183,5 @@ def pack_documents(
     ``sequence_id`` and ``offset``. The ids themselves stay out of the shuffle. A
     task encodes about ``held_bytes`` of text at once.
     """
-    pieces = token_pieces(df, path, capacity, separator, key, text, held_bytes)
-    narrow = pieces.select(
-        key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-    )
-    return pack(materialise(narrow, "pieces"), capacity)
+    pieces = token_pieces(df, path, capacity, separator, key, text, held_bytes, with_ids=False)
+    return pack(materialise(pieces.drop("ids"), "pieces"), capacity)
