@@ -1,43 +1,45 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is a genre and a sequence of tokens: its words, then an end. Its genre is
-the one of the corpus' ``GENRES`` most frequent words that it uses most. A token
-is coded byte by byte, with a space after each word, and a byte bit by bit.
-Contexts predict each bit: none, the last one to five bytes of the word, and the
-genre with the last three. Each is hashed, with the bits already known, into a
-slot that holds how often a 0 and a 1 were seen in training. A gate, chosen by
-the bit's place and by how much the longest context has seen, holds the weights
-that mix the predictions in the logistic domain; an adaptive map then refines the
-mixed probability. Weights and map are learned online, in small batches, each bit
-predicted from counts without the word's own occurrence; tasks learn apart and
-their results are averaged.
-
-No table of fixed size can hold whole words of a growing corpus. So the spelled
-probability is mixed with two more experts, the word's share of its genre and of
-the whole training part, whose counts are exact and reach the words by joins. The
-three weights of a genre are refined by their posteriors on held-back occurrences.
-
-Tokens cost the same wherever they stand in texts of a genre, so that each
-distinct word is scored once per genre. Counts of words and contexts cover the
-whole training part, and so do the few hundred weights that are fitted on them.
-What is broadcast are the context slots, a table of fixed size, and the weights.
-
-Defined results: a null text is empty and has the end token only. Repeated rows
-are scored one by one and count in training as often as they stand there. Words of
-any length are coded whole. Without training texts every bit costs one bit. An
-empty table gives no rows. Other columns are dropped.
+A text is a sequence of tokens: its words, then an end. A token is coded bit by bit. The
+most frequent words, the end and an escape have a Huffman code, whose bits are decided
+at the nodes of its tree. Contexts predict each of these bits: none, the word before,
+the two words before, and the word before that one alone; the escape stands for any
+word without a code. What escapes is then spelled, byte by byte with a space after it,
+each bit predicted by none and by the last one to four bytes of the word.
+
+A context is hashed, with the node or the bits already known, into a slot that holds
+how often a 0 and a 1 were seen in training. A gate, chosen by the bit's place and by
+how much the longest context has seen, holds the weights that mix the predictions in
+the logistic domain; an adaptive map then refines the mixed probability. Weights and map
+are learned online, in small batches over all training texts, each bit predicted from
+counts without its own occurrence; tasks learn apart and their results are averaged.
+
+So a word's price depends on the words before it, and a text in another order scores
+otherwise. A spelling does not depend on the words around it: rare words are priced
+once each and delivered to the blocks of texts that hold them, with their counts.
+
+Counts of words and contexts cover the whole training part, and so do the few thousand
+weights. Broadcast are tables of fixed size: ``TABLE`` words and the context slots.
+
+Defined results: a null text is empty and has the end token only. Repeated rows are
+scored one by one and count in training as often as they stand there. Words of any
+length are coded whole. Without training texts there is no code, and every bit of a
+spelling costs one bit. An empty table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import byte_groups
@@ -46,483 +48,624 @@ from foliospark.session import materialise
 
 END = b"\n"  # stands for the end of a text; no word contains it
 SPACE = 0x20
-SLOT_BITS = (8, 16, 19, 20, 20, 21, 20)  # of each context's part of the table
-LONGEST = 5  # the context whose counts choose the gate
-GENRES = 64
-STARTS = tuple(int(s) for s in np.cumsum([0, *[1 << b for b in SLOT_BITS]]))
-SLOTS = STARTS[-1]
-INPUTS = len(SLOT_BITS) + 1  # the contexts and a bias
-CONFIDENCE = (0.5, 2.5, 8.5, 64.5)  # steps of what the word's context has seen
-GATES = 8 * (len(CONFIDENCE) + 1)
+TABLE = 65_535  # words with a code, at most
+LEAST_SEEN = 4  # times a word with a code was seen, at least
+WORD_BITS = 21  # of the slots of each word context
+FREQUENT = 4_096  # words told apart in a context; all others are one
+SPELL_BITS = (8, 16, 19, 20, 20)  # of the slots of each spelling context
+CONFIDENCE = (0.5, 2.5, 8.5, 64.5)  # steps of what the longest context has seen
+STEPS = len(CONFIDENCE) + 1
+DEEPEST = 15  # places in a code told apart by the gate
 MAP_STEPS = 33  # of the adaptive map, over logits from -MOST to MOST
 DELTA = 0.4  # added to the counts of both bits
 RATE = 0.15
-LEAST = 2.0**-16  # probability of a bit
+LEAST = np.float32(2.0**-16)  # probability of a bit
 MOST = 11.0  # logit of the likeliest bit
-BLOCK_BYTES = 16_000_000
-SLICE = 100_000  # bytes of words predicted at once
-BATCH = 2_000  # bytes of words learned from at once
+MOST_SEEN = 65_535  # counts of a slot are halved until they fit
+LOGS = np.log(np.arange(MOST_SEEN + 1) + DELTA).astype(np.float32)
+BLOCK_BYTES = 4_000_000
+TOKENS = 50_000  # tokens predicted at once
+BATCH = 20_000  # bits learned from at once
 MOST_COUNTED = 500_000  # words a task counts before it hands them on
-CHUNK = 1 << 14  # slots per row when counts are summed
+SPELLED = 100_000  # bytes of words spelled at once
+CHUNK = 1 << 16  # slots per row when counts are summed
 
 
-def contexts(
-    words: list[bytes], genre: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every byte to code: its word, the byte, and its context hashes."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes + 1
-    word = np.repeat(np.arange(len(words)), sizes)
-    byte = data[1:]
-    before = np.arange(1, len(data)) - starts[word]  # bytes of the word so far
-    wide = data.astype(np.uint64)
-    hashes = np.zeros((len(SLOT_BITS), len(byte)), np.uint64)
-    recent = np.zeros(len(byte), np.uint64)
-    for order in range(1, LONGEST + 1):
-        # The space before the word counts as its first byte.
-        earlier = np.zeros(len(byte), np.uint64)
-        earlier[order - 1 :] = wide[: len(byte) - order + 1]
-        recent = np.where(before >= order - 1, (recent << np.uint64(8)) | earlier, recent)
-        hashes[order] = recent
-    hashes[6] = hashes[3] + mixed(genre.astype(np.uint64), 23)[word]
-    coded = np.ones(len(byte), bool)
-    coded[1:] = ~((byte[1:] == SPACE) & (byte[:-1] == END[0]))  # nothing follows the end
-    hashes = np.stack([mixed(h, k) for k, h in enumerate(hashes)])
-    return word[coded], byte[coded].astype(np.int64), hashes[:, coded]
-
-
-def slots_of(hashes: np.ndarray, byte: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of a bit of every byte, by context, and the bit's value."""
-    node = (1 << bit) | (byte >> (8 - bit))
-    salted = hashes + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    salted = (salted ^ (salted >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    found = np.empty(hashes.shape, np.int64)
-    found[0] = node  # no context: one slot for each node
-    for k in range(1, len(SLOT_BITS)):
-        found[k] = STARTS[k] + (salted[k] >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64)
-    return found, (byte >> (7 - bit)) & 1
+def tokens_of(data: bytes) -> list[bytes]:
+    words = data.lower().split()
+    words.append(END)
+    return words
 
 
-def logit(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+# --- mixing -----------------------------------------------------------------------
 
 
 @dataclass
 class Mixer:
-    """Weights by gate and input, and the adaptive map by gate and logit step."""
+    """Weights by input and gate, and the adaptive map by gate and logit step."""
 
     weights: np.ndarray
     refined: np.ndarray
 
     @staticmethod
-    def fresh() -> Mixer:
-        weights = np.full((GATES, INPUTS), 0.3)
-        weights[:, -1] = 0.0
+    def fresh(inputs: int, gates: int) -> Mixer:
+        weights = np.full((inputs + 1, gates), 0.3, np.float32)
+        weights[-1] = 0.0  # of the bias
         steps = np.linspace(-MOST, MOST, MAP_STEPS)
-        return Mixer(weights, np.tile(1 / (1 + np.exp(-steps)), (GATES, 1)))
-
-    def inputs(
-        self, counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, place: int, own: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors without ``own`` occurrences, and the gate."""
-        seen = counts[:, slots]  # (2, contexts, bytes)
-        zeros = np.maximum(seen[0] - own * (bit == 0), 0)
-        ones = np.maximum(seen[1] - own * (bit == 1), 0)
-        total = zeros + ones
-        logits = np.ones((INPUTS, len(bit)))
-        p = (ones + DELTA) / (total + 2 * DELTA)
-        logits[:-1] = logit(p.astype(np.float64).clip(LEAST, 1 - LEAST))
-        gate = place * (len(CONFIDENCE) + 1) + np.searchsorted(CONFIDENCE, total[LONGEST])
-        return logits, gate
+        return Mixer(weights, np.tile(1 / (1 + np.exp(-steps)), (gates, 1)).astype(np.float32))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights.ravel(), self.refined.ravel()]).astype(np.float64)
+
+    def filled(self, flat: np.ndarray) -> Mixer:
+        """A mixer of this shape with these numbers."""
+        cut = self.weights.size
+        return Mixer(
+            flat[:cut].reshape(self.weights.shape).astype(np.float32),
+            flat[cut:].reshape(self.refined.shape).astype(np.float32),
+        )
 
     def mix(self, logits: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, ...]:
         """The mixed and the refined probability, and the step of the map."""
-        summed = np.einsum("ik,ki->k", logits, self.weights[gate]).clip(-MOST, MOST)
-        mixed_p = 1 / (1 + np.exp(-summed))
-        at = (summed + MOST) * ((MAP_STEPS - 1) / (2 * MOST))
+        summed = self.weights[-1][gate]
+        for weights, logit in zip(self.weights, logits):
+            summed += weights[gate] * logit
+        np.clip(summed, -MOST, MOST, out=summed)
+        at = (summed + np.float32(MOST)) * np.float32((MAP_STEPS - 1) / (2 * MOST))
         low = np.minimum(at.astype(np.int64), MAP_STEPS - 2)
-        part = at - low
-        table = self.refined
-        refined = table[gate, low] * (1 - part) + table[gate, low + 1] * part
-        return mixed_p, refined, low + (part > 0.5)
+        part = at - low.astype(np.float32)
+        cell = gate * MAP_STEPS + low
+        table = self.refined.ravel()
+        below = table[cell]
+        refined = below + (table[cell + 1] - below) * part
+        return 1 / (1 + np.exp(-summed)), refined, cell + (part > 0.5)
+
+    def costs(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each bit."""
+        mixed_p, refined, _ = self.mix(logits, gate)
+        p = np.clip((mixed_p + refined) / 2, LEAST, 1 - LEAST)
+        return np.log10(np.where(bit == 1, p, 1 - p))
 
     def learn(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, much: np.ndarray) -> None:
         """One online step on a batch; ``much`` weighs its bits."""
-        mixed_p, _, step = self.mix(logits, gate)
+        mixed_p, _, cell = self.mix(logits, gate)
+        gates = self.weights.shape[1]
         error = (bit - mixed_p) * much
-        held = np.bincount(gate, much, GATES) + 1e-9
-        for k in range(INPUTS):
-            pull = np.bincount(gate, error * logits[k], GATES)
-            self.weights[:, k] += RATE * pull / np.maximum(held, held.mean())
-        cell = gate * MAP_STEPS + step
-        hits = np.bincount(cell, much, GATES * MAP_STEPS)
-        ones = np.bincount(cell, much * bit, GATES * MAP_STEPS)
-        flat = self.refined.reshape(-1)
-        pace = hits / (hits + 50)
-        flat += pace * (np.divide(ones, hits, out=flat.copy(), where=hits > 0) - flat)
-        self.refined = flat.reshape(GATES, MAP_STEPS).clip(LEAST, 1 - LEAST)
-
-
-Group = tuple[list[bytes], np.ndarray, np.ndarray]
-
-
-def word_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Group]]:
-    """Rows in groups of about ``SLICE`` bytes; their words, genres and counts."""
-    for batch in batches:
-        words = batch.column("word").to_pylist()
-        genres, counts = batch.column("genre").to_numpy(), batch.column("c_genre").to_numpy()
-        first, held = 0, 0
-        for k, word in enumerate(words):
-            held += len(word) + 1
-            if held >= SLICE or k == len(words) - 1:
-                at = slice(first, k + 1)
-                part = batch.slice(first, k + 1 - first)
-                yield part, (words[at], genres[at], counts[at])
-                first, held = k + 1, 0
-
-
-def count_contexts(words: DataFrame) -> np.ndarray:
-    """How often each slot has seen a 0 and a 1, over all training words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * SLOTS, np.float32)
-        used = False
-        for _, (group, genre, c) in word_groups(batches):
-            word, byte, hashes = contexts(group, genre)
-            much = c[word].astype(np.float32)
-            for bit in range(8):
-                slots, value = slots_of(hashes, byte, bit)
-                for row in slots:
-                    np.add.at(table, row + SLOTS * value, much)
-            used = True
-        for first in range(0, 2 * SLOTS if used else 0, CHUNK):
-            part = table[first : first + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first // CHUNK]), pa.array([part.tobytes()], pa.binary())],
-                    ["chunk", "counts"],
-                )
+        held = np.bincount(gate, much, gates) + 1e-9
+        pace = (RATE / np.maximum(held, held.mean())).astype(np.float32)
+        for weights, logit in zip(self.weights, logits):
+            weights += pace * np.bincount(gate, error * logit, gates).astype(np.float32)
+        self.weights[-1] += pace * np.bincount(gate, error, gates).astype(np.float32)
+        table = self.refined.ravel()
+        hits = np.bincount(cell, much, table.size)
+        ones = np.bincount(cell, much * bit, table.size)
+        share = np.divide(ones, hits, out=table.astype(np.float64), where=hits > 0)
+        table += ((hits / (hits + 50)) * (share - table)).astype(np.float32)
+        self.refined = np.clip(table, LEAST, 1 - LEAST).reshape(self.refined.shape)
+
+
+class Slots:
+    """What the slots of all contexts have seen, and the logits that follow from it."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        zeros, ones = counts
+        self.logits = LOGS[ones] - LOGS[zeros]
+        # Without one occurrence of a 0, and of a 1.
+        fewer = [c - (c > 0) for c in counts]
+        self.own_logits = np.stack(
+            [LOGS[ones] - LOGS[fewer[0]], LOGS[fewer[1]] - LOGS[zeros]], axis=1
+        ).ravel()
+        seen = zeros.astype(np.int32) + ones
+        self.sure = np.searchsorted(CONFIDENCE, seen).astype(np.int8)
+        self.own_sure = np.searchsorted(CONFIDENCE, np.maximum(seen - 1, 0)).astype(np.int8)
+
+    def predict(self, slots: np.ndarray, bit: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the predictors, without ``own`` occurrences, and the step of confidence.
+
+        The last context is the one whose counts tell it.
+        """
+        if own:
+            return self.own_logits[2 * slots + bit], self.own_sure[slots[-1]].astype(np.int64)
+        return self.logits[slots], self.sure[slots[-1]].astype(np.int64)
+
+
+def fitted(counts: np.ndarray) -> np.ndarray:
+    """Counts of both bits as 16-bit numbers; larger ones are halved, both alike."""
+    most = np.maximum(counts.max(axis=0), 1)
+    halves = np.maximum(np.ceil(np.log2(most / MOST_SEEN)), 0)
+    return np.floor(counts / 2.0**halves).astype(np.uint16)
+
+
+def sum_tables(tables: DataFrame, size: int) -> np.ndarray:
+    """Sum of the tasks' slot tables, given as (chunk, compressed counts)."""
 
     def add(parts: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.float32)
+        total = np.zeros(CHUNK, np.float64)
         for part in parts.column("counts").to_pylist():
-            got = np.frombuffer(part, np.float32)
+            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
             total[: len(got)] += got
+        packed = zstandard.ZstdCompressor().compress(total.astype(np.float32).tobytes())
         return pa.table(
-            {"chunk": parts.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())}
+            {"chunk": parts.column("chunk")[:1], "counts": pa.array([packed], pa.binary())}
         )
 
-    counted = words.mapInArrow(count, "chunk long, counts binary")
-    summed = counted.groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
-    table = np.zeros(-(-2 * SLOTS // CHUNK) * CHUNK, np.float32)
+    summed = tables.groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
+    whole = np.zeros(-(-2 * size // CHUNK) * CHUNK, np.float32)
     for row in summed.toLocalIterator():
-        table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.float32)
-    return table[: 2 * SLOTS].reshape(2, SLOTS)
-
+        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), np.float32)
+        whole[row.chunk * CHUNK : row.chunk * CHUNK + len(got)] = got
+    return fitted(whole[: 2 * size].reshape(2, size))
 
-def fit_mixer(words: DataFrame, shared) -> Mixer:
-    """Weights and map learned online by each task, averaged by what it saw."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, seen = shared.value, Mixer.fresh(), 0.0
-        for _, (group, genre, c) in word_groups(batches):
-            word, byte, hashes = contexts(group, genre)
-            much = np.sqrt(c[word].astype(np.float64))
-            seen += float(much.sum())
-            order = np.argsort(mixed(hashes[LONGEST], 3))  # not in order of the words
-            for first in range(0, len(order), BATCH):
-                at = order[first : first + BATCH]
-                weigh = much[at] / much[at].mean()
-                for bit in range(8):
-                    slots, value = slots_of(hashes[:, at], byte[at], bit)
-                    logits, gate = mixer.inputs(counts, slots, value, bit, np.float32(1))
-                    mixer.learn(logits, gate, value, weigh)
-        if seen:
-            flat = np.concatenate([mixer.weights.ravel(), mixer.refined.ravel()])
+def table_chunks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor()
+    for first in range(0, len(table), CHUNK):
+        part = table[first : first + CHUNK].astype(np.float32)
+        if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
-                ["at", "value", "seen"],
+                [pa.array([first // CHUNK]), pa.array([pack.compress(part.tobytes())], pa.binary())],
+                ["chunk", "counts"],
             )
 
-    learned = words.mapInArrow(learn, "at long, value double, seen double")
+
+def averaged(learned: DataFrame, fresh: Mixer) -> Mixer:
+    """What the tasks have learned, weighed by what each has seen."""
     mean = learned.groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas()
-    mixer = Mixer.fresh()
-    if len(mean):
-        flat = mean.sort_values("at")["value"].to_numpy()
-        mixer.weights = flat[: GATES * INPUTS].reshape(GATES, INPUTS)
-        mixer.refined = flat[GATES * INPUTS :].reshape(GATES, MAP_STEPS)
-    return mixer
+    if not len(mean):
+        return fresh
+    return fresh.filled(mean.sort_values("at")["value"].to_numpy())
 
 
-def spelled(
-    words: list[bytes], genre: np.ndarray, counts: np.ndarray, mixer: Mixer, own: int = 0
-) -> np.ndarray:
-    """log10 of the probability that the bits of each word have in its genre."""
-    word, byte, hashes = contexts(words, genre)
-    cost = np.zeros(len(byte))
-    for bit in range(8):
-        slots, value = slots_of(hashes, byte, bit)
-        logits, gate = mixer.inputs(counts, slots, value, bit, np.float32(own))
-        mixed_p, refined, _ = mixer.mix(logits, gate)
-        p = ((mixed_p + refined) / 2).clip(LEAST, 1 - LEAST)
-        cost += np.log10(np.where(value == 1, p, 1 - p))
-    return np.bincount(word, cost, len(words))
+def mixer_rows(mixer: Mixer, seen: float) -> Iterator[pa.RecordBatch]:
+    if seen:
+        flat = mixer.flat()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
+            ["at", "value", "seen"],
+        )
 
 
-def expert_weights(words: DataFrame, shared, mixer: Mixer, tokens: dict[int, int]) -> np.ndarray:
-    """Weights of genre, corpus and spelling for each genre.
+LEARNED = "at long, value double, seen double"
 
-    Each training row stands for one occurrence held back from all counts, weighing
-    as many as there are. A few rounds give every expert the share of the occurrences
-    that it explains best, summed by genre over all rows.
-    """
-    learned = mixer.weights, mixer.refined
-
-    def held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer = shared.value, Mixer(*learned)
-        for part, (group, genre, c_genre) in word_groups(batches):
-            score = spelled(group, genre, counts, mixer, own=1)
-            c = part.column("c").to_numpy()
-            chances = expert_chances(c_genre - 1, c - 1, score, genre, tokens)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("genre"), part.column("c_genre"), *map(pa.array, chances.T.copy())],
-                ["genre", "c_genre", "p0", "p1", "p2"],
-            )
+# --- words with a code --------------------------------------------------------------
 
-    rows = materialise(
-        words.mapInArrow(held_back, "genre long, c_genre long, p0 double, p1 double, p2 double"),
-        "chances",
-    )
-    weights = np.full((GENRES + 1, 3), 1 / 3)
-    for _ in range(20):
-        parts = [
-            F.col(f"p{k}") * F.element_at(F.array(*map(F.lit, w.tolist())), (F.col("genre") + 1).cast("int"))
-            for k, w in enumerate(weights.T)
-        ]
-        shares = [F.sum(F.col("c_genre") * p / (parts[0] + parts[1] + parts[2])) for p in parts]
-        sums = np.zeros((GENRES + 1, 3))
-        for row in rows.groupBy("genre").agg(*shares).collect():
-            sums[row[0]] = row[1:]
-        if not sums.any():
-            return weights
-        pooled = sums.sum(0) / sums.sum()
-        weights = (sums + 50 * pooled) / (sums.sum(1, keepdims=True) + 50)
-    return weights
-
-
-def expert_chances(
-    c_genre: np.ndarray, c: np.ndarray, log10: np.ndarray, genre: np.ndarray, tokens: dict[int, int]
+
+@dataclass
+class Code:
+    """A Huffman code: the nodes and bits on the way to each symbol."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def build(weights: list[int]) -> Code:
+        """Codes of the symbols 0, 1, .. by their weights, of which there is one at least."""
+        heap = [(w, k, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent: dict[int, tuple[int, int]] = {}  # of symbols, and of nodes from len(weights) on
+        made = len(weights)
+        while len(heap) > 1:
+            (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[left], parent[right] = (made, 0), (made, 1)
+            heapq.heappush(heap, (a + b, made, made))
+            made += 1
+        starts, nodes, bits = [0], [], []
+        for symbol in range(len(weights)):
+            way, at = [], symbol
+            while at in parent:
+                at, bit = parent[at]
+                way.append((made - 1 - at, bit))  # the root is node 0
+            nodes += [node for node, _ in reversed(way)]
+            bits += [bit for _, bit in reversed(way)]
+            starts.append(len(nodes))
+        return Code(np.array(starts), np.array(nodes, np.int64), np.array(bits, np.int8))
+
+
+WORD_SLOTS = TABLE + 1 + 3 * (1 << WORD_BITS)
+WORD_GATES = (DEEPEST + 1) * STEPS
+
+
+@dataclass
+class Words:
+    """The words with a code, most frequent first, and the escape, which is the last symbol."""
+
+    words: list[bytes]
+    counts: list[int]
+    code: Code
+
+    @staticmethod
+    def of(words: list[bytes], counts: list[int], others: int) -> Words:
+        return Words(words, counts, Code.build([*counts, max(others, 1)]))
+
+    @property
+    def escape(self) -> int:
+        return len(self.words)
+
+    def index(self) -> dict[bytes, int]:
+        return {word: k for k, word in enumerate(self.words)}
+
+
+def word_bits(
+    symbols: np.ndarray, begins: np.ndarray, words: Words
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slots, values, depths and tokens of the bits of all symbols, some at a time.
+
+    ``begins`` marks the first token of each text.
+    """
+    code, start = words.code, FREQUENT + 1
+    known = np.minimum(symbols, FREQUENT)  # all rarer ones alike
+    before = np.full(len(symbols), start)
+    before[1:] = known[:-1]
+    before[begins] = start
+    earlier = np.full(len(symbols), start)
+    earlier[1:] = before[:-1]
+    earlier[begins] = start
+    both = before * (FREQUENT + 2) + earlier
+    contexts = [mixed(c.astype(np.uint64), 41 + k) for k, c in enumerate((before, earlier, both))]
+    sizes = code.starts[1:] - code.starts[:-1]
+    for first in range(0, len(symbols), TOKENS):
+        part = symbols[first : first + TOKENS]
+        size = sizes[part]
+        token = np.repeat(np.arange(len(part)), size)
+        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        at = code.starts[part][token] + depth
+        node = code.nodes[at]
+        slots = np.empty((4, len(token)), np.int64)
+        slots[0] = node
+        spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for k, context in enumerate(contexts):
+            salted = context[first : first + TOKENS][token] + spread
+            salted *= np.uint64(0x9E3779B97F4A7C15)
+            salted >>= np.uint64(64 - WORD_BITS)
+            slots[k + 1] = salted.astype(np.int64) + (TABLE + 1 + (k << WORD_BITS))
+        yield slots, code.bits[at], np.minimum(depth, DEEPEST), token + first
+
+
+def word_costs(
+    symbols: np.ndarray, begins: np.ndarray, words: Words, counts: Slots, mixer: Mixer
 ) -> np.ndarray:
-    """What each expert gives a word: its share of the genre, of all, and its spelling."""
-    of_genre = np.array([tokens.get(g, 0) for g in range(GENRES + 1)], float)
-    return np.column_stack(
-        [
-            c_genre / np.maximum(of_genre[genre], 1),
-            c / max(of_genre.sum(), 1),
-            10.0 ** np.maximum(log10, -290),
-        ]
-    )
+    """log10 of the probability of each symbol after those before it."""
+    cost = np.zeros(len(symbols))
+    for slots, bit, depth, token in word_bits(symbols, begins, words):
+        logits, sure = counts.predict(slots, bit, 0)
+        cost += np.bincount(token, mixer.costs(logits, depth * STEPS + sure, bit), len(symbols))
+    return cost
+
+
+# --- texts in blocks -----------------------------------------------------------------
 
 
-def deal(df: DataFrame, key: str, text: str, training) -> DataFrame:
-    """Texts in blocks of consecutive rows of about ``BLOCK_BYTES``."""
-    rows = df.select(
+def text_rows(df: DataFrame, key: str, text: str, training: Column) -> DataFrame:
+    return df.select(
         F.col(key).cast("long").alias("id"),
         F.coalesce(training, F.lit(False)).alias("training"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 24, 0
-        for part, data in byte_groups(batches, BLOCK_BYTES // 4):
-            size = sum(map(len, data))
-            if held and held + size > BLOCK_BYTES:
-                block, held = block + 1, 0
-            held += size
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(np.full(part.num_rows, block))],
-                ["id", "training", "data", "block"],
-            )
-
-    return rows.mapInArrow(run, "id long, training boolean, data binary, block long")
-
 
-def tokens_of(data: bytes) -> list[bytes]:
-    words = data.lower().split()
-    words.append(END)
-    return words
+def word_batches(counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    words = list(counts)
+    for first in range(0, len(words), 50_000):
+        part = words[first : first + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())],
+            ["word", "c"],
+        )
 
 
-def count_words(dealt: DataFrame) -> DataFrame:
-    """Training tokens and how often a task has seen them."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """Training tokens and how often they were seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for part, data in byte_groups(batches):
+        for _, data in byte_groups(batches, BLOCK_BYTES):
             for text in data:
                 counts.update(tokens_of(text))
             if len(counts) > MOST_COUNTED:
-                yield from counted(counts)
+                yield from word_batches(counts)
                 counts.clear()
-        yield from counted(counts)
+        yield from word_batches(counts)
+
+    seen = rows.filter("training").select("data").mapInArrow(run, "word binary, c long")
+    return seen.groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    def counted(counts: Counter) -> Iterator[pa.RecordBatch]:
-        words = list(counts)
-        for first in range(0, len(words), 50_000):
-            part = words[first : first + 50_000]
+CODED = (
+    "block long, ids array<long>, training array<boolean>, sizes array<long>, "
+    "lengths array<long>, symbols binary, rare array<binary>, escapes binary"
+)
+
+
+def code_texts(rows: DataFrame, shared) -> DataFrame:
+    """Whole texts as symbols, in blocks of about ``BLOCK_BYTES``, one row a block.
+
+    ``sizes`` are the texts' bytes and ``lengths`` their tokens, ``rare`` the block's
+    words without a code, each once, and ``escapes`` which of them each escape stands for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        words, pack = shared.value, zstandard.ZstdCompressor(level=1)
+        index, escape = words.index(), words.escape
+        for part, data in byte_groups(batches, BLOCK_BYTES):
+            texts = [tokens_of(text) for text in data]
+            whole = list(chain.from_iterable(texts))
+            symbols = np.fromiter(map(index.get, whole, repeat(escape)), np.uint16, len(whole))
+            rare: dict[bytes, int] = {}
+            escaped = [
+                rare.setdefault(whole[k], len(rare))
+                for k in np.flatnonzero(symbols == escape).tolist()
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())],
-                ["word", "c"],
+                [
+                    pa.array([block]),
+                    pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([part.column("training").to_pylist()], pa.list_(pa.bool_())),
+                    pa.array([list(map(len, data))], pa.list_(pa.int64())),
+                    pa.array([list(map(len, texts))], pa.list_(pa.int64())),
+                    pa.array([pack.compress(symbols.tobytes())], pa.binary()),
+                    pa.array([list(rare)], pa.list_(pa.binary())),
+                    pa.array([pack.compress(np.array(escaped, np.uint32).tobytes())], pa.binary()),
+                ],
+                ["block", "ids", "training", "sizes", "lengths", "symbols", "rare", "escapes"],
             )
+            block += 1
 
-    seen = dealt.filter("training").select("data").mapInArrow(run, "word binary, c long")
-    return seen.groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, CODED)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    return np.frombuffer(whole, kind).astype(np.int64)
 
 
-def genre_of(tokens: list[bytes], marks: dict[bytes, int]) -> int:
-    """Number of the mark that stands most often, the more frequent of equals; 0: none."""
-    found = Counter(filter(marks.__contains__, tokens))
-    return min((-n, marks[w]) for w, n in found.items())[1] if found else 0
+def training_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each block the symbols of its training texts in a row, and where each text begins."""
+    for batch in batches:
+        columns = [batch.column(k) for k in ("training", "lengths", "symbols")]
+        for training, lengths, symbols in zip(*columns):
+            used = np.array(training.as_py(), bool)
+            lengths = np.array(lengths.as_py(), np.int64)
+            kept = unpacked(symbols.as_py(), np.uint16)[np.repeat(used, lengths)]
+            yield kept, np.cumsum(lengths[used]) - lengths[used]
+
+
+def count_word_contexts(coded: DataFrame, shared) -> np.ndarray:
+    """How often each slot of a word context has seen a 0 and a 1 in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table = shared.value, np.zeros(2 * WORD_SLOTS, np.uint32)
+        for symbols, begins in training_symbols(batches):
+            for slots, bit, _, _ in word_bits(symbols, begins, words):
+                offset = bit.astype(np.int64) * WORD_SLOTS
+                for at in slots:
+                    np.add.at(table, at + offset, np.uint32(1))
+        yield from table_chunks(table)
+
+    used = coded.select("training", "lengths", "symbols")
+    return sum_tables(used.mapInArrow(run, "chunk long, counts binary"), WORD_SLOTS)
 
 
-def count_by_genre(dealt: DataFrame, marks: dict[bytes, int]) -> DataFrame:
-    """Each token of a block by genre, and how often it stands in training texts there."""
+def fit_word_mixer(coded: DataFrame, shared, slots_seen) -> Mixer:
+    """Weights and map of the words' bits, learned online on all training texts."""
+    fresh = Mixer.fresh(4, WORD_GATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts, texts = None, {}, {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for genre, held in counts.items():
-                words = list(held)
-                for first in range(0, len(words), 50_000):
-                    part = words[first : first + 50_000]
-                    size = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(size, block)),
-                            pa.array(np.full(size, genre)),
-                            pa.array(part, pa.binary()),
-                            pa.array([held[w] for w in part], pa.int64()),
-                        ],
-                        ["block", "genre", "word", "c_genre"],
-                    )
-
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("block", "training", "data")]
-            for of, training, data in zip(*columns):
-                if of != block:
-                    yield from flush()
-                    block, counts = of, {}
-                tokens = tokens_of(data)
-                held = counts.setdefault(genre_of(tokens, marks), Counter())
-                if training:
-                    held.update(tokens)
-                else:
-                    for word in tokens:
-                        held.setdefault(word, 0)
-        yield from flush()
-
-    return dealt.select("block", "training", "data").mapInArrow(
-        run, "block long, genre long, word binary, c_genre long"
+        words, counts, mixer, seen = shared.value, Slots(slots_seen.value), fresh, 0
+        for symbols, begins in training_symbols(batches):
+            for slots, bit, depth, _ in word_bits(symbols, begins, words):
+                logits, sure = counts.predict(slots, bit, 1)
+                gate = depth * STEPS + sure
+                for first in range(0, len(bit), BATCH):
+                    at = slice(first, first + BATCH)
+                    part = bit[at].astype(np.float32)
+                    mixer.learn(logits[:, at], gate[at], part, np.ones(len(part), np.float32))
+                seen += len(bit)
+        yield from mixer_rows(mixer, float(seen))
+
+    used = coded.select("training", "lengths", "symbols")
+    return averaged(used.mapInArrow(run, LEARNED), fresh)
+
+
+# --- spelling --------------------------------------------------------------------------
+
+SPELL_STARTS = tuple(int(s) for s in np.cumsum([0, *[1 << b for b in SPELL_BITS]]))
+SPELL_SLOTS = SPELL_STARTS[-1]
+SPELL_GATES = 8 * STEPS
+
+
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte to code: its word, the byte, and its context hashes."""
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(sizes) - sizes + 1
+    word = np.repeat(np.arange(len(words)), sizes)
+    byte = data[1:]
+    before = np.arange(1, len(data)) - starts[word]  # bytes of the word so far
+    wide = data.astype(np.uint64)
+    hashes = np.zeros((len(SPELL_BITS), len(byte)), np.uint64)
+    recent = np.zeros(len(byte), np.uint64)
+    for order in range(1, len(SPELL_BITS)):
+        # The space before the word counts as its first byte.
+        earlier = np.zeros(len(byte), np.uint64)
+        earlier[order - 1 :] = wide[: len(byte) - order + 1]
+        recent = np.where(before >= order - 1, (recent << np.uint64(8)) | earlier, recent)
+        hashes[order] = recent
+    hashes = np.stack([mixed(h, k) for k, h in enumerate(hashes)])
+    return word, byte.astype(np.int64), hashes
+
+
+def letter_slots(hashes: np.ndarray, byte: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a bit of every byte, by context, and the bit's value."""
+    node = (1 << place) | (byte >> (8 - place))
+    spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    found = np.empty(hashes.shape, np.int64)
+    found[0] = node  # no context: one slot for each node
+    for k in range(1, len(SPELL_BITS)):
+        salted = (hashes[k] + spread) * np.uint64(0x9E3779B97F4A7C15)
+        found[k] = SPELL_STARTS[k] + (salted >> np.uint64(64 - SPELL_BITS[k])).astype(np.int64)
+    return found, (byte >> (7 - place)) & 1
+
+
+def word_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
+    """Rows in groups of about ``SPELLED`` bytes, their words and counts."""
+    for batch in batches:
+        words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+        first, held = 0, 0
+        for k, word in enumerate(words):
+            held += len(word) + 1
+            if held >= SPELLED or k == len(words) - 1:
+                yield batch.slice(first, k + 1 - first), words[first : k + 1], counts[first : k + 1]
+                first, held = k + 1, 0
+
+
+def count_letter_contexts(words: DataFrame) -> np.ndarray:
+    """How often each slot has seen a 0 and a 1 in the rare training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * SPELL_SLOTS)
+        for _, group, c in word_groups(batches):
+            word, byte, hashes = letters(group)
+            much = c[word].astype(np.float64)
+            for place in range(8):
+                slots, value = letter_slots(hashes, byte, place)
+                for at in slots:
+                    np.add.at(table, at + SPELL_SLOTS * value, much)
+        yield from table_chunks(table)
+
+    return sum_tables(words.mapInArrow(run, "chunk long, counts binary"), SPELL_SLOTS)
+
+
+def fit_letter_mixer(words: DataFrame, slots_seen) -> Mixer:
+    """Weights and map of the spelling's bits, learned online on all rare training words."""
+    fresh = Mixer.fresh(len(SPELL_BITS), SPELL_GATES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, mixer, seen = Slots(slots_seen.value), fresh, 0.0
+        for _, group, c in word_groups(batches):
+            word, byte, hashes = letters(group)
+            much = np.sqrt(c[word]).astype(np.float32)
+            seen += float(much.sum())
+            order = np.argsort(mixed(hashes[-1], 3))  # not in order of the words
+            for first in range(0, len(order), BATCH):
+                at = order[first : first + BATCH]
+                weigh = much[at] / much[at].mean()
+                for place in range(8):
+                    slots, value = letter_slots(hashes[:, at], byte[at], place)
+                    logits, sure = counts.predict(slots, value, 1)
+                    mixer.learn(logits, place * STEPS + sure, value.astype(np.float32), weigh)
+        yield from mixer_rows(mixer, seen)
+
+    return averaged(words.mapInArrow(run, LEARNED), fresh)
+
+
+def spelled(words: list[bytes], counts: Slots, mixer: Mixer) -> np.ndarray:
+    """log10 of the probability that the bits of each word have."""
+    word, byte, hashes = letters(words)
+    cost = np.zeros(len(byte))
+    for place in range(8):
+        slots, value = letter_slots(hashes, byte, place)
+        logits, sure = counts.predict(slots, value, 0)
+        cost += mixer.costs(logits, place * STEPS + sure, value)
+    return np.bincount(word, cost, len(words))
+
+
+def price_words(words: DataFrame, slots_seen, mixer: Mixer) -> DataFrame:
+    """Rare words with the ``log10`` of their spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Slots(slots_seen.value)
+        for part, group, _ in word_groups(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("word"), part.column("c"), pa.array(spelled(group, counts, mixer))],
+                ["word", "c", "log10"],
+            )
+
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, log10 double")
+
+
+# --- scores ------------------------------------------------------------------------------
+
+SCORES = (
+    "id long, training boolean, n_tokens long, n_known long, "
+    "base_score double, score double, bits_per_byte double"
+)
+
+
+def score_block(
+    row: dict, rare: pa.Table, words: Words, counts: Slots, mixer: Mixer, tokens: int, types: int
+) -> pa.Table:
+    """Scores of a block's texts; ``rare`` has what its rare words cost."""
+    symbols = unpacked(row["symbols"], np.uint16)
+    lengths = np.array(row["lengths"], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    cost = word_costs(symbols, begins, words, counts, mixer)
+    seen = np.append(np.array(words.counts, np.int64), 0)[symbols]
+    place = rare.column("place").to_numpy()
+    held, priced = np.zeros(len(row["rare"]), np.int64), np.zeros(len(row["rare"]))
+    held[place], priced[place] = rare.column("c").to_numpy(), rare.column("log10").to_numpy()
+    at, which = np.flatnonzero(symbols == words.escape), unpacked(row["escapes"], np.uint32)
+    seen[at] = held[which]
+    cost[at] += priced[which]
+    base = np.log10((seen + 1) / (tokens + types + 1))
+    found = np.add.reduceat(cost, begins)
+    sizes = np.maximum(np.array(row["sizes"]), 1)
+    return pa.table(
+        {
+            "id": pa.array(row["ids"], pa.int64()),
+            "training": pa.array(row["training"], pa.bool_()),
+            "n_tokens": pa.array(lengths),
+            "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), begins)),
+            "base_score": pa.array(np.add.reduceat(base, begins)),
+            "score": pa.array(found),
+            "bits_per_byte": pa.array(-found / np.log10(2) / sizes),
+        }
     )
 
 
-def score(df: DataFrame, training, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every text with a model of the rows where ``training`` is true.
 
     ``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (log10 by
     add-one unigrams), ``score`` (log10 by the model), ``bits_per_byte`` and
     ``training``.
     """
-    dealt = materialise(deal(df, key, text, training), "texts")
-    total = materialise(count_words(dealt), "counts")
-    tokens, types = total.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = total.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(GENRES)
-    marks = {bytes(row.word): k + 1 for k, row in enumerate(frequent.collect())}
-    local = materialise(count_by_genre(dealt, marks), "words")
-    by_genre = local.groupBy("genre", "word").agg(F.sum("c_genre").alias("c_genre"))
-    counts = materialise(
-        by_genre.join(total, "word", "left").select(
-            "genre", "word", "c_genre", F.coalesce("c", F.lit(0)).cast("long").alias("c")
-        ),
-        "genres",
-    )
-    known = counts.filter("c_genre > 0")
-    sizes = known.groupBy("genre").agg(F.sum("c_genre")).collect()
-    of_genre = {row[0]: row[1] for row in sizes}
-    ends = known.filter(F.col("word") == END).select("genre", "c_genre").collect()
-    texts = {row[0]: row[1] for row in ends}
-    of_texts = sum(texts.values()) + GENRES + 1
-    prior = np.log10([(texts.get(g, 0) + 1) / of_texts for g in range(GENRES + 1)])
     context = df.sparkSession.sparkContext
-    shared = context.broadcast(count_contexts(known))
-    mixer = fit_mixer(known, shared)
-    experts = expert_weights(known, shared, mixer, of_genre)
-    learned = mixer.weights, mixer.refined
-    per_unknown = tokens + types + 1
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer = shared.value, Mixer(*learned)
-        for part, (group, genre, c_genre) in word_groups(batches):
-            c = part.column("c").to_numpy()
-            log10 = spelled(group, genre, counts, mixer)
-            chances = expert_chances(c_genre, c, log10, genre, of_genre)
-            whole = (chances * experts[genre]).sum(1)
-            # A spelling too unlikely for a number keeps its logarithm.
-            alone = log10 + np.log10(experts[genre, 2])
-            base = np.log10((c + 1) / per_unknown)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("genre"),
-                    part.column("word"),
-                    pa.array(c > 0),
-                    pa.array(base),
-                    pa.array(np.where(log10 > -290, np.log10(whole), np.maximum(alone, np.log10(whole)))),
-                ],
-                ["genre", "word", "known", "base", "log10"],
-            )
-
-    priced = materialise(
-        counts.mapInArrow(cost, "genre long, word binary, known boolean, base double, log10 double"),
-        "costs",
-    )
-    delivered = local.select("block", "genre", "word").join(priced, ["genre", "word"])
-
-    def sum_up(texts: pa.Table, words: pa.Table) -> pa.Table:
-        genres = words.column("genre").to_pylist()
-        index: dict[int, dict[bytes, int]] = {}
-        for k, (genre, word) in enumerate(zip(genres, words.column("word").to_pylist())):
-            index.setdefault(genre, {})[word] = k
-        known = words.column("known").to_numpy(zero_copy_only=False)
-        base, model = words.column("base").to_numpy(), words.column("log10").to_numpy()
-        rows = []
-        for data in texts.column("data"):
-            data = data.as_py()
-            tokens = tokens_of(data)
-            genre = genre_of(tokens, marks)
-            at = np.fromiter(map(index[genre].__getitem__, tokens), np.int64, len(tokens))
-            found = float(model[at].sum() + prior[genre])
-            bits = -found / np.log10(2) / max(len(data), 1)
-            rows.append((len(tokens), int(known[at].sum()), float(base[at].sum()), found, bits))
-        n, n_known, based, modelled, bits = zip(*rows)
-        return pa.table(
-            {
-                "id": texts.column("id"),
-                "training": texts.column("training"),
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "base_score": pa.array(based),
-                "score": pa.array(modelled),
-                "bits_per_byte": pa.array(bits, pa.float64()),
-            }
-        )
+    rows = text_rows(df, key, text, training)
+    counts = materialise(count_words(rows), "counts")
+    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, types = int(tokens), int(types)
+    frequent = counts.filter(F.col("c") >= LEAST_SEEN).orderBy(F.desc("c"), "word").limit(TABLE)
+    chosen = sorted(((-int(r.c), bytes(r.word)) for r in frequent.collect()))
+    held = -sum(c for c, _ in chosen)
+    words = Words.of([w for _, w in chosen], [-c for c, _ in chosen], tokens - held)
+    shared = context.broadcast(words)
+    known = counts
+    if chosen:  # the table ends with a word; what comes after it is rare
+        c, word = -chosen[-1][0], F.lit(bytearray(chosen[-1][1]))
+        known = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
+    coded = materialise(code_texts(rows, shared), "coded")
+    word_counts = context.broadcast(count_word_contexts(coded, shared))
+    word_mixer = fit_word_mixer(coded, shared, word_counts)
+    letter_counts = context.broadcast(count_letter_contexts(known))
+    letter_mixer = fit_letter_mixer(known, letter_counts)
+    local = coded.select(F.col("block").alias("of"), F.posexplode("rare").alias("place", "word"))
+    asked = local.select("word").distinct().join(known, "word", "left")
+    asked = asked.select("word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    prices = materialise(price_words(asked, letter_counts, letter_mixer), "prices")
+    delivered = local.join(prices, "word").select("of", "place", "c", "log10")
+
+    def finish(texts: pa.Table, rare: pa.Table) -> pa.Table:
+        counts = Slots(word_counts.value)
+        parts = [
+            score_block(row, rare, shared.value, counts, word_mixer, tokens, types)
+            for row in texts.to_pylist()
+        ]
+        return pa.concat_tables(parts)
 
-    schema = (
-        "id long, training boolean, n_tokens long, n_known long, "
-        "base_score double, score double, bits_per_byte double"
-    )
-    scored = dealt.groupBy("block").cogroup(delivered.groupBy("block")).applyInArrow(sum_up, schema)
+    scored = coded.groupBy("block").cogroup(delivered.groupBy("of")).applyInArrow(finish, SCORES)
     return scored.withColumnRenamed("id", key).withColumn(
-        "train_tokens", F.lit(int(tokens)).cast("long")
+        "train_tokens", F.lit(tokens).cast("long")
     )

@@ -43,93 +43,226 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     assert sums[2] > 10 and sums[0] > sums[1]
 
 
+def small_words():
+    names = [b"\n", b"the", b"of", b"sea", b"moon", b"tide"]
+    return lm.Words.of(names, [9, 8, 5, 3, 2, 2], 4)
+
+
+def drawn_counts(seed, slots):
+    counts = np.random.RandomState(seed).randint(0, 9, (2, slots))
+    return lm.Slots(counts.astype(np.uint16))
+
+
+def drawn_mixer(seed, inputs, gates):
+    mixer = lm.Mixer.fresh(inputs, gates)
+    mixer.weights += np.random.RandomState(seed).uniform(-0.1, 0.1, mixer.weights.shape).astype(np.float32)
+    return mixer
+
+
+def test_the_code_is_that_of_huffman():
+    weights = [50, 1, 1, 20, 7, 7, 3, 0, 11]
+    code = lm.Code.build(weights)
+    sizes = np.diff(code.starts)
+    assert sum(2.0**-n for n in sizes) == 1
+    ways = ["".join(map(str, code.bits[a:b])) for a, b in zip(code.starts, code.starts[1:])]
+    assert not any(a != b and b.startswith(a) for a in ways for b in ways)
+    total, left = 0, sorted(weights)
+    while len(left) > 1:  # the least sum of weight times length
+        merged = left.pop(0) + left.pop(0)
+        total += merged
+        left = sorted([*left, merged])
+    assert sum(w * n for w, n in zip(weights, sizes)) == total
+    assert lm.Code.build([3]).starts.tolist() == [0, 0]
+
+
+def test_symbols_after_the_same_words_are_a_distribution():
+    words = small_words()
+    counts, mixer = drawn_counts(1, lm.WORD_SLOTS), drawn_mixer(2, 4, lm.WORD_GATES)
+    for beginning in ([], [1], [3, 1], [2, words.escape, 4]):
+        total = 0.0
+        for symbol in range(words.escape + 1):
+            text = np.array([*beginning, symbol])
+            cost = lm.word_costs(text, np.array([0]), words, counts, mixer)
+            total += 10 ** cost[-1]
+        assert math.isclose(total, 1, rel_tol=1e-4)
+
+
 def test_bits_of_all_words_of_a_length_are_a_distribution():
-    rng = np.random.RandomState(0)
-    counts = rng.randint(0, 9, (2, lm.SLOTS)).astype(np.float32)
-    mixer = lm.Mixer.fresh()
-    mixer.weights += rng.uniform(-0.1, 0.1, mixer.weights.shape)
+    counts, mixer = drawn_counts(3, lm.SPELL_SLOTS), drawn_mixer(4, len(lm.SPELL_BITS), lm.SPELL_GATES)
     # After the same beginning, all possible next bytes share the probability 1.
     heads = [b"ab" + bytes([k]) for k in range(256) if k not in (0x20, 0x0A)]
-    word, byte, hashes = lm.contexts(heads, np.zeros(len(heads), np.int64))
+    word, byte, hashes = lm.letters(heads)
     third = np.arange(len(heads)) * 4 + 2
     total = np.zeros(len(heads))
-    for bit in range(8):
-        slots, value = lm.slots_of(hashes, byte, bit)
-        logits, gate = mixer.inputs(counts, slots, value, bit, np.float32(0))
-        mixed, refined, _ = mixer.mix(logits, gate)
-        p = ((mixed + refined) / 2).clip(lm.LEAST, 1 - lm.LEAST)
-        total += np.log(np.where(value == 1, p, 1 - p))[third]
-    assert 0.9 < np.exp(total).sum() < 1
-
-
-def test_contexts_do_not_depend_on_the_neighbours():
-    alone = lm.contexts([b"theta"], np.array([3]))
-    among = lm.contexts([b"x", b"theta", lm.END], np.array([1, 3, 3]))
-    at = among[0] == 1
-    assert (among[2][:, at] == alone[2]).all() and (among[1][at] == alone[1]).all()
-    assert (among[0] == 2).sum() == 1  # nothing follows the end
-
-
-def test_huge_counts_stay_finite():
-    counts = np.zeros((2, lm.SLOTS), np.float32)
-    counts[1] = 1e9
-    mixer = lm.Mixer.fresh()
-    for _ in range(50):
-        word, byte, hashes = lm.contexts([b"ab", b"cd"], np.zeros(2, np.int64))
-        for bit in range(8):
-            slots, value = lm.slots_of(hashes, byte, bit)
-            logits, gate = mixer.inputs(counts, slots, value, bit, np.float32(1))
-            mixer.learn(logits, gate, value, np.ones(len(value)))
-    assert np.isfinite(lm.spelled([b"ab", b"xyz"], np.zeros(2, np.int64), counts, mixer)).all()
+    for place in range(8):
+        slots, value = lm.letter_slots(hashes, byte, place)
+        logits, sure = counts.predict(slots, value, 0)
+        total += mixer.costs(logits, place * lm.STEPS + sure, value)[third]
+    assert 0.9 < (10**total).sum() < 1
+
+
+def plain_cost(logits, gate, bit, mixer):
+    """log10 of a bit's probability by scalar arithmetic."""
+    summed = float(mixer.weights[-1][gate])
+    summed += sum(float(w[gate]) * x for w, x in zip(mixer.weights, logits))
+    summed = min(max(summed, -lm.MOST), lm.MOST)
+    at = (summed + lm.MOST) / (2 * lm.MOST) * (lm.MAP_STEPS - 1)
+    low = min(int(at), lm.MAP_STEPS - 2)
+    table = mixer.refined[gate]
+    refined = table[low] + (table[low + 1] - table[low]) * (at - low)
+    p = (1 / (1 + math.exp(-summed)) + refined) / 2
+    p = min(max(p, 2.0**-16), 1 - 2.0**-16)
+    return math.log10(p if bit else 1 - p)
+
+
+def hashed(value, salt):
+    return int(lm.mixed(np.array([value], np.uint64), salt)[0])
+
+
+def slot(context, node, bits):
+    spread = (context + node * 0xD6E8FEB86659FD93) % 2**64
+    return (spread * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def plain_slots(history, node):
+    """The slots of a node after these symbols, in scalar arithmetic."""
+    start = lm.FREQUENT + 1
+    last = [min(s, lm.FREQUENT) for s in history[-2:]]
+    before = last[-1] if last else start
+    earlier = last[-2] if len(last) > 1 else start
+    found = [node]
+    for k, value in enumerate((before, earlier, before * (lm.FREQUENT + 2) + earlier)):
+        at = slot(hashed(value, 41 + k), node, lm.WORD_BITS)
+        found.append(at + lm.TABLE + 1 + (k << lm.WORD_BITS))
+    return found
+
+
+def plain_logits(counts, slots):
+    seen = [(int(counts.counts[0][s]), int(counts.counts[1][s])) for s in slots]
+    logits = [math.log((n1 + lm.DELTA) / (n0 + lm.DELTA)) for n0, n1 in seen]
+    return logits, sum(sum(seen[-1]) > step for step in lm.CONFIDENCE)
+
+
+def test_costs_against_a_plain_loop(monkeypatch):
+    words = small_words()
+    counts, mixer = drawn_counts(5, lm.WORD_SLOTS), drawn_mixer(6, 4, lm.WORD_GATES)
+    texts = [[1, 3, 2, 4, 0], [0], [6, 6, 1, 5, 0]]
+    expected = []
+    for text in texts:
+        for at, symbol in enumerate(text):
+            a, b = words.code.starts[symbol], words.code.starts[symbol + 1]
+            cost = 0.0
+            for depth, (node, bit) in enumerate(zip(words.code.nodes[a:b], words.code.bits[a:b])):
+                logits, sure = plain_logits(counts, plain_slots(text[:at], int(node)))
+                cost += plain_cost(logits, min(depth, lm.DEEPEST) * lm.STEPS + sure, bit, mixer)
+            expected.append(cost)
+    whole = np.array([s for text in texts for s in text])
+    begins = np.array([0, 5, 6])
+    for tokens in (2, 50_000):  # slices do not matter
+        monkeypatch.setattr(lm, "TOKENS", tokens)
+        found = lm.word_costs(whole, begins, words, counts, mixer)
+        assert np.allclose(found, expected, rtol=1e-4, atol=1e-5)
+
+
+def test_spellings_against_a_plain_loop():
+    counts, mixer = drawn_counts(7, lm.SPELL_SLOTS), drawn_mixer(8, len(lm.SPELL_BITS), lm.SPELL_GATES)
+    words = [b"tide", b"a", "ünd".encode()]
+    expected = []
+    for word in words:
+        data, cost = b" " + word + b" ", 0.0
+        for at in range(1, len(data)):
+            hashes, recent = [hashed(0, 0)], 0
+            for order in range(1, len(lm.SPELL_BITS)):
+                if at - order >= 0:
+                    recent = (recent << 8) | data[at - order]
+                hashes.append(hashed(recent, order))
+            for place in range(8):
+                node = (1 << place) | (data[at] >> (8 - place))
+                slots = [node]
+                for k in range(1, len(lm.SPELL_BITS)):
+                    slots.append(lm.SPELL_STARTS[k] + slot(hashes[k], node, lm.SPELL_BITS[k]))
+                logits, sure = plain_logits(counts, slots)
+                bit = (data[at] >> (7 - place)) & 1
+                cost += plain_cost(logits, place * lm.STEPS + sure, bit, mixer)
+        expected.append(cost)
+    assert np.allclose(lm.spelled(words, counts, mixer), expected, rtol=1e-4, atol=1e-4)
+
+
+def test_own_occurrences_are_left_out():
+    counts = np.array([[3, 0], [1, 5]], np.uint16)
+    slots = np.array([[0, 0, 1]])
+    logits, sure = lm.Slots(counts).predict(slots, np.array([0, 1, 0]), 1)
+    wanted = [math.log(1.4 / 2.4), math.log(0.4 / 3.4), math.log(5.4 / 0.4)]
+    assert np.allclose(logits[0], wanted) and sure.tolist() == [2, 2, 2]
+
+
+def test_huge_counts_are_halved_alike():
+    found = lm.fitted(np.array([[4e9, 2.0], [1e9, 0.0]]))
+    assert found.dtype == np.uint16 and found.max() <= lm.MOST_SEEN
+    assert abs(found[0][0] / found[1][0] - 4) < 0.01 and found[:, 1].tolist() == [2, 0]
 
 
 def test_online_steps_lower_the_cost():
     words = [b"aba", b"abab", b"cab"] * 50
-    genre, counts = np.zeros(150, np.int64), np.zeros((2, lm.SLOTS), np.float32)
-    word, byte, hashes = lm.contexts(words, genre)
-    for bit in range(8):
-        slots, value = lm.slots_of(hashes, byte, bit)
+    counts = np.zeros((2, lm.SPELL_SLOTS))
+    word, byte, hashes = lm.letters(words)
+    for place in range(8):
+        slots, value = lm.letter_slots(hashes, byte, place)
         for row in slots:
             np.add.at(counts, (value, row), 1)
-    mixer = lm.Mixer.fresh()
-    before = lm.spelled(words, genre, counts, mixer).sum()
+    counts = lm.Slots(lm.fitted(counts))
+    mixer = lm.Mixer.fresh(len(lm.SPELL_BITS), lm.SPELL_GATES)
+    before = lm.spelled(words, counts, mixer).sum()
     for _ in range(20):
-        for bit in range(8):
-            slots, value = lm.slots_of(hashes, byte, bit)
-            logits, gate = mixer.inputs(counts, slots, value, bit, np.float32(1))
-            mixer.learn(logits, gate, value, np.ones(len(value)))
-    assert lm.spelled(words, genre, counts, mixer).sum() > before
+        for place in range(8):
+            slots, value = lm.letter_slots(hashes, byte, place)
+            logits, sure = counts.predict(slots, value, 1)
+            mixer.learn(logits, place * lm.STEPS + sure, value, np.ones(len(value), np.float32))
+    assert lm.spelled(words, counts, mixer).sum() > before
 
 
-def test_weights_are_fitted_on_all_training_rows(spark, monkeypatch):
-    rows = [(n, f"w{n % 7} w{n % 11} x{n} y{n}") for n in range(200)]
+def test_the_order_of_words_matters(spark):
+    line = "the cat sat on the mat and the dog lay by the door while rain fell on the old stone road"
+    words = line.split()
+    turned = [words[k * 5 % len(words)] for k in range(len(words))]
+    rows = [(n, f"{line} {n % 5} {line}") for n in range(60)]
+    rows += [(100, line), (101, " ".join(turned))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    fitted = []
+    found = {r.doc_id: r for r in lm.score(frame, F.col("doc_id") < 60).collect()}
+    assert math.isclose(found[100].base_score, found[101].base_score, rel_tol=1e-9)
+    assert found[100].score > 0.5 * found[101].score
+
 
-    def counted(fit):
-        def run(words, *more):
-            fitted.append({(r.genre, bytes(r.word)): r.c_genre for r in words.collect()})
-            return fit(words, *more)
+def test_weights_and_counts_cover_all_training_rows(spark, monkeypatch):
+    rows = [(n, f"w{n % 7} w{n % 11} x{n} y{n}") for n in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = {}
+    for name in ("fit_word_mixer", "fit_letter_mixer", "count_word_contexts", "count_letter_contexts"):
 
-        return run
+        def run(rows, *more, name=name, fit=getattr(lm, name)):
+            seen[name] = rows.collect()
+            return fit(rows, *more)
 
-    monkeypatch.setattr(lm, "SAMPLE_WORDS", 10, raising=False)  # of no effect
-    for name in ("fit_mixer", "expert_weights"):
-        monkeypatch.setattr(lm, name, counted(getattr(lm, name)))
-    lm.score(frame, F.lit(True)).collect()
-    for found in fitted:
-        assert sum(found.values()) == 200 * 5
-        assert sum(n for (_, word), n in found.items() if word == lm.END) == 200
-    assert len(fitted) == 2
+        monkeypatch.setattr(lm, name, run)
+    lm.score(frame, F.col("doc_id") < 150).collect()
+    for name in ("fit_word_mixer", "count_word_contexts"):
+        assert sum(sum(row.training) for row in seen[name]) == 150
+    for name in ("fit_letter_mixer", "count_letter_contexts"):
+        assert sum(row.c for row in seen[name]) == 300  # the words seen once
 
 
 def test_odd_rows(odd_documents):
     found = lm.score(odd_documents, F.col("doc_id") < 5).collect()
     assert len(found) == odd_documents.count()
     for row in found:
-        assert math.isfinite(row.score) and row.score < 0
+        assert math.isfinite(row.score) and row.score <= 0
         if row.doc_id in (1, 2, 3):
             assert row.n_tokens == 1
     untrained = lm.score(odd_documents, F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known, r.base_score) for r in untrained} == {(0, 0, 0.0)}
+    texts = {r.doc_id: r.text for r in odd_documents.filter("doc_id IS NOT NULL").collect()}
+    for row in untrained:
+        if row.doc_id is not None:
+            bits = sum(8 * (len(w.encode()) + 1) for w in tokens(texts[row.doc_id]))
+            assert math.isclose(row.score, -bits * math.log10(2), rel_tol=1e-4)
     assert lm.score(odd_documents.filter(F.lit(False)), F.lit(True)).isEmpty()
