@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import compare
 import duckdb
@@ -87,6 +89,111 @@ def test_similar_sections_are_merged_and_judge_what_no_rule_reaches(spark):
     assert by_path["h.net", "/en/1"].verdict == "allow"
 
 
+def plain_templates(paths):
+    """Template and first segment of each (host, segments), by recursion over the tree."""
+    found = {}
+
+    def generalised(segment, variable):
+        if variable or re.search("[0-9]", segment):
+            extension = re.search("[.][A-Za-z]+$", segment)
+            return "*" + (extension[0] if extension else "")
+        return segment
+
+    def descend(rows, level, template, first):
+        pages = sum(n for _, _, n in rows)
+        different = {segments[level] if len(segments) > level else "" for _, segments, _ in rows}
+        variable = len(different) >= 10 and len(different) >= 0.5 * pages
+        below = {}
+        for path, segments, n in rows:
+            if len(segments) <= level:
+                found[path] = (template, first)
+            else:
+                name = generalised(segments[level], variable)
+                below.setdefault(name, []).append((path, segments, n))
+        for name, part in below.items():
+            descend(part, level + 1, template + "/" + name, name if level == 0 else first)
+
+    hosts = {}
+    for (host, path), n in paths.items():
+        segments = [s for s in path.split("/") if s]
+        hosts.setdefault(host, []).append(((host, path), segments, n))
+    for rows in hosts.values():
+        descend(rows, 0, "", "")
+    return found
+
+
+def plain_verdicts(urls):
+    """Template and verdict of every located page, in plain loops."""
+    located = [plain(url) for url in urls]
+    paths, labels = Counter(), {}
+    for host, path, _, ruled in located:
+        paths[host, path] += 1
+        n, b = labels.get((host, path), (0, 0))
+        labels[host, path] = (n + (ruled is not None), b + (ruled == "block"))
+    templates = plain_templates(paths)
+
+    def pooled(key):
+        sums = {}
+        for path, (template, first) in templates.items():
+            name = key(path[0], template, first)
+            n, b = sums.get(name, (0, 0))
+            sums[name] = (n + labels[path][0], b + labels[path][1])
+        return sums
+
+    def like(part, pool):
+        if not pool[0]:
+            return False
+        share = pool[1] / pool[0]
+        off = abs(part[1] - part[0] * share)
+        return off <= 0.5 + 1.96 * math.sqrt(part[0] * share * (1 - share))
+
+    leaves = pooled(lambda host, template, first: (host, template, first))
+    branches = pooled(lambda host, template, first: (host, first))
+    hosts = pooled(lambda host, template, first: host)
+    total = [sum(v[k] for v in hosts.values()) for k in (0, 1)]
+    merged = {k: v[0] > 0 and like(v, hosts[k[0]]) for k, v in branches.items()}
+    pools = {h: [sum(branches[k][i] for k in branches if k[0] == h and merged[k]) for i in (0, 1)] for h in hosts}
+    found = []
+    for host, path, rule, ruled in located:
+        template, first = templates[host, path]
+        branch = branches[host, first]
+        n, b = leaves[host, template, first]
+        name = host + (template or "/")
+        if branch[0] and like((n, b), branch):
+            name, (n, b) = f"{host}/{first}/", branch
+            if merged[host, first]:
+                name, (n, b) = f"{host}/", pools[host]
+        learned = "allow"
+        if n and (b + 5.0 * total[1] / total[0]) / (n + 5.0) >= 0.9:
+            learned = "block"
+        found.append((host, path, rule, ruled or learned, name))
+    return found
+
+
+def deep_rows():
+    """Variable places five segments down, and places too small to be variable."""
+    rows = [f"http://d.net/es/a/b/c/v{chr(97 + k)}x/end.html" for k in range(24)]
+    rows += [f"http://d.net/en/a/b/c/w{chr(97 + k)}y/q/r" for k in range(24)]
+    rows += [f"http://d.net/en/a/{c}/{c}/{c}/{c}/{c}" for c in "abc"]
+    rows += [f"http://e.com/{'x/' * 40}{k}" for k in "pq"]
+    rows += [f"http://e.com/es/{c}{c}/f/g" for c in "abcdefghijklmnopqrst"]
+    return rows
+
+
+@pytest.mark.parametrize("urls", [URLS * 2, learned_rows(), deep_rows(), URLS + learned_rows() + deep_rows()])
+def test_verdicts_against_plain_loops(spark, urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = urlfilter.judge(pages, URL_RULES).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict, r.template) for r in found] == plain_verdicts(urls)
+
+
+def test_given_pages_against_plain_loops(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").orderBy("page_id").collect()
+    found = QUERIES["op4_urls"](spark, SF_DIR).orderBy("page_id").collect()
+    expected = plain_verdicts([r.url for r in pages])
+    assert [(r.host, r.path, r.rule, r.verdict, r.template) for r in found] == expected
+
+
 def test_empty_table_and_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/1")], "page_id long, url string")
     assert urlfilter.judge(pages.filter(F.lit(False)), URL_RULES).isEmpty()
