@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,20 @@ def cosine_to(embedding: Column, query: Sequence[float]) -> Column:
     return score.asNondeterministic()(embedding)
 
 
+def vector_length(embedding: Column) -> Column:
+    """Euclidean length of a vector column, in double, one batch at a time; NULL stays NULL."""
+
+    @F.arrow_udf("double")
+    def lengths(vectors: pa.Array) -> pa.Array:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = pa.compute.list_value_length(vectors).fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(vectors)), sizes)
+        found = np.sqrt(np.bincount(row, flat * flat, len(vectors)))
+        return pa.array(found, mask=~vectors.is_valid().to_numpy(zero_copy_only=False))
+
+    return lengths(embedding)
+
+
 def dot(left: Column, right: Column) -> Column:
     """Dot product of two array columns, accumulated in double."""
     products = F.zip_with(

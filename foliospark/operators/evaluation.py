@@ -24,6 +24,8 @@ BOOLEAN_TOOL_DESCRIPTION = "Answer a boolean question"
 ENUM_TOOL = "enum_answer"
 ENUM_TOOL_DESCRIPTION = "Answer an enum question"
 ANSWER_DESCRIPTION = "The answer to the question"
+PAGE_HEAD = "Document Page: "
+METADATA_HEAD = "\n\nMetadata: "
 # ------------------------------------------------------------------------------
 
 Responder = Callable[[list[dict]], list[str | None]]
@@ -177,9 +179,9 @@ def build_requests(
         return F.struct(F.lit(role).alias("role"), text.alias("content"))
 
     page_text = F.concat(
-        F.lit("Document Page: "),
+        F.lit(PAGE_HEAD),
         F.col("content"),
-        F.lit("\n\nMetadata: "),
+        F.lit(METADATA_HEAD),
         F.to_json("content_metadata"),
     )
     messages = F.filter(

@@ -17,6 +17,7 @@ from foliospark.operators.scale import first_per_key, join_by_key, join_dimensio
 
 # --- fixed values: seeded rows ------------------------------------------------
 DEFAULT_CATEGORY = "default"
+CATEGORY_HEAD = "Category: "
 DEFAULT_CATEGORY_DESCRIPTION = "Default evaluation category"
 EXAMPLE_CATEGORY = ("Example", "Category: Example category")
 EXAMPLE_EVALUATIONS = (
@@ -180,7 +181,7 @@ def find_or_create_categories(categories: DataFrame, wanted: DataFrame) -> DataF
         stable_id(F.col("project_id"), F.col("name")).alias("id"),
         *keys,
         F.when(
-            is_blank(F.col("description")), F.concat(F.lit("Category: "), F.col("name"))
+            is_blank(F.col("description")), F.concat(F.lit(CATEGORY_HEAD), F.col("name"))
         )
         .otherwise(F.col("description"))
         .alias("description"),

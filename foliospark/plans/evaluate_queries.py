@@ -168,7 +168,7 @@ def respond_concurrent(t: DriverTables) -> DataFrame:
 def answer_of(request: dict) -> str:
     """The stub's answer, from the text of the page in a request's messages."""
     page = request["messages"][-2]["content"]
-    text = page[len("Document Page: ") : page.rindex("\n\nMetadata: ")]
+    text = page[len(ev.PAGE_HEAD) : page.rindex(ev.METADATA_HEAD)]
     number = len(text) + int(request["metadata"]["evaluation_id"])
     if request["tool_choice"] == ev.BOOLEAN_TOOL:
         return "true" if number % 2 == 0 else "false"

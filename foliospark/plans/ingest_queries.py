@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.splitting import CHUNK_SIZE
+from foliospark.functions.vectors import vector_length
 from foliospark.operators import chunking, embedding
 from foliospark.operators.embedding import EMBEDDING_DIMENSION
 from foliospark.plans.driver_tables import DriverTables
@@ -280,15 +281,12 @@ def chunk_recursive_characters(t: DriverTables) -> DataFrame:
 )
 def embed_hashed(t: DriverTables) -> DataFrame:
     """Hashed word vectors of all chunks: their length, norm and status."""
-    squares = F.aggregate(
-        "embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
-    )
     return embedding.embed_hashed(chunking.chunk_windows(t.pages)).select(
         "file_id",
         "content_id",
         "chunk_number",
         F.size("embedding").alias("dimension"),
-        F.round(F.sqrt(squares), 4).alias("norm"),
+        F.round(vector_length(F.col("embedding")), 4).alias("norm"),
         "status",
     )
 
