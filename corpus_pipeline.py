@@ -10,8 +10,9 @@ remaining document is packed.
 3. ``near_duplicates`` keeps one document of each class, that with the least id.
 4. ``pack`` packs the rest into sequences of 2048 tokens.
 
-Null and empty texts have no letters and end in the first stage. Empty tables give
-empty results in every stage.
+Null and empty texts have no letters and end in the first stage. If no document has a
+``lang``, nothing can be learned and every document with a letter is kept there. Empty
+tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PACKED_BYTES = 2_000_000  # text a packing task holds at once, beside earlier st
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune_session(spark)
     model = langid.fit(docs, "text", "lang")
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = langid.predict_rows(docs, model, "text", docs.columns)
     clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= CLEAR_LANGUAGE)
     return judged.filter(clear).select("row.*")
