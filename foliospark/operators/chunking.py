@@ -17,7 +17,7 @@ from foliospark.functions.splitting import (
     split_text,
 )
 from foliospark.functions.text import stable_id
-from foliospark.operators.scale import offsets_in_group, spread_small
+from foliospark.operators.scale import join_by_key, offsets_in_group, spread_small
 from foliospark.session import materialise
 
 TOKEN_BREAK = r"[ \t\n\r\f]+"
@@ -73,8 +73,9 @@ def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
     ``pages`` has (id, file_id, project_id, content_number, content_metadata);
     ``texts`` are a page's chunks and ``counts`` their number. The numbering
     runs over (file, page, count) alone and is joined back by page, so no
-    window carries text and no task handles a whole file. Pages are cut after
-    that join: what it shuffles is the text, not its overlapping chunks.
+    window carries text and no task handles a whole file. The offsets are written
+    first: where their size lets them be broadcast, no text is shuffled, and beyond
+    that the join shuffles pages, not their overlapping chunks.
     """
     keep = ["project_id", "file_id", "content_id", "content_number", "chunk_metadata"]
     pages = spread_small(pages, "id")
@@ -86,7 +87,7 @@ def chunk_rows(pages: DataFrame, texts: Column, counts: Column) -> DataFrame:
         "_offset",
     ).select("id", "_offset")
     unfolded = (
-        pages.join(offsets, "id")
+        join_by_key(pages, materialise(offsets, "offsets"), ["id"])
         .select(
             "project_id",
             "file_id",
