@@ -2,9 +2,8 @@
 
 A text is a sequence of tokens: its words, then an end. A token is coded bit by bit. The
 most frequent words, the end and an escape have a Huffman code, whose bits are decided
-at the nodes of its tree. Contexts predict each of these bits: none, the word before,
-the two words before, and the word before that one alone; the escape stands for any
-word without a code. What escapes is then spelled, byte by byte with a space after it,
+at the nodes of its tree. Contexts predict each of these bits: none, the word before
+and the two words before; the escape stands for any word without a code. What escapes is then spelled, byte by byte with a space after it,
 each bit predicted by none and by the last one to four bytes of the word.
 
 A context is hashed, with the node or the bits already known, into a slot that holds
@@ -50,7 +49,7 @@ END = b"\n"  # stands for the end of a text; no word contains it
 SPACE = 0x20
 TABLE = 65_535  # words with a code, at most
 LEAST_SEEN = 4  # times a word with a code was seen, at least
-WORD_BITS = 21  # of the slots of each word context
+WORD_BITS = 20  # of the slots of each word context
 FREQUENT = 4_096  # words told apart in a context; all others are one
 SPELL_BITS = (8, 16, 19, 20, 20)  # of the slots of each spelling context
 CONFIDENCE = (0.5, 2.5, 8.5, 64.5)  # steps of what the longest context has seen
@@ -63,8 +62,8 @@ LEAST = np.float32(2.0**-16)  # probability of a bit
 MOST = 11.0  # logit of the likeliest bit
 MOST_SEEN = 65_535  # counts of a slot are halved until they fit
 LOGS = np.log(np.arange(MOST_SEEN + 1) + DELTA).astype(np.float32)
-BLOCK_BYTES = 4_000_000
-TOKENS = 50_000  # tokens predicted at once
+BLOCK_BYTES = 12_000_000
+TOKENS = 10_000  # tokens predicted at once
 BATCH = 20_000  # bits learned from at once
 MOST_COUNTED = 500_000  # words a task counts before it hands them on
 SPELLED = 100_000  # bytes of words spelled at once
@@ -106,7 +105,7 @@ class Mixer:
         )
 
     def mix(self, logits: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The mixed and the refined probability, and the step of the map."""
+        """The mixed probability, and where its logit lies in the map: cell and part of it."""
         summed = self.weights[-1][gate]
         for weights, logit in zip(self.weights, logits):
             summed += weights[gate] * logit
@@ -114,21 +113,21 @@ class Mixer:
         at = (summed + np.float32(MOST)) * np.float32((MAP_STEPS - 1) / (2 * MOST))
         low = np.minimum(at.astype(np.int64), MAP_STEPS - 2)
         part = at - low.astype(np.float32)
-        cell = gate * MAP_STEPS + low
-        table = self.refined.ravel()
-        below = table[cell]
-        refined = below + (table[cell + 1] - below) * part
-        return 1 / (1 + np.exp(-summed)), refined, cell + (part > 0.5)
+        return 1 / (1 + np.exp(-summed)), gate * MAP_STEPS + low, part
 
     def costs(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the probability of each bit."""
-        mixed_p, refined, _ = self.mix(logits, gate)
+        mixed_p, cell, part = self.mix(logits, gate)
+        table = self.refined.ravel()
+        below = table[cell]
+        refined = below + (table[cell + 1] - below) * part
         p = np.clip((mixed_p + refined) / 2, LEAST, 1 - LEAST)
-        return np.log10(np.where(bit == 1, p, 1 - p))
+        return np.log(np.where(bit == 1, p, 1 - p)) * np.float32(1 / np.log(10))
 
     def learn(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, much: np.ndarray) -> None:
         """One online step on a batch; ``much`` weighs its bits."""
-        mixed_p, _, cell = self.mix(logits, gate)
+        mixed_p, cell, part = self.mix(logits, gate)
+        cell += part > 0.5
         gates = self.weights.shape[1]
         error = (bit - mixed_p) * much
         held = np.bincount(gate, much, gates) + 1e-9
@@ -183,28 +182,36 @@ def sum_tables(tables: DataFrame, size: int) -> np.ndarray:
     def add(parts: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.float64)
         for part in parts.column("counts").to_pylist():
-            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
+            got = unplaned(part)
             total[: len(got)] += got
-        packed = zstandard.ZstdCompressor().compress(total.astype(np.float32).tobytes())
-        return pa.table(
-            {"chunk": parts.column("chunk")[:1], "counts": pa.array([packed], pa.binary())}
-        )
+        packed = pa.array([planed(total)], pa.binary())
+        return pa.table({"chunk": parts.column("chunk")[:1], "counts": packed})
 
     summed = tables.groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     whole = np.zeros(-(-2 * size // CHUNK) * CHUNK, np.float32)
     for row in summed.toLocalIterator():
-        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), np.float32)
+        got = unplaned(bytes(row.counts))
         whole[row.chunk * CHUNK : row.chunk * CHUNK + len(got)] = got
     return fitted(whole[: 2 * size].reshape(2, size))
 
 
+def planed(counts: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, compressed: most are small."""
+    planes = np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor().compress(planes.tobytes())
+
+
+def unplaned(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def table_chunks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor()
     for first in range(0, len(table), CHUNK):
-        part = table[first : first + CHUNK].astype(np.float32)
+        part = table[first : first + CHUNK]
         if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([first // CHUNK]), pa.array([pack.compress(part.tobytes())], pa.binary())],
+                [pa.array([first // CHUNK]), pa.array([planed(part)], pa.binary())],
                 ["chunk", "counts"],
             )
 
@@ -233,11 +240,12 @@ LEARNED = "at long, value double, seen double"
 
 @dataclass
 class Code:
-    """A Huffman code: the nodes and bits on the way to each symbol."""
+    """A Huffman code: the nodes and bits on the way to each symbol, and the gates by depth."""
 
     starts: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    gates: np.ndarray
 
     @staticmethod
     def build(weights: list[int]) -> Code:
@@ -251,7 +259,7 @@ class Code:
             parent[left], parent[right] = (made, 0), (made, 1)
             heapq.heappush(heap, (a + b, made, made))
             made += 1
-        starts, nodes, bits = [0], [], []
+        starts, nodes, bits, depths = [0], [], [], []
         for symbol in range(len(weights)):
             way, at = [], symbol
             while at in parent:
@@ -259,11 +267,14 @@ class Code:
                 way.append((made - 1 - at, bit))  # the root is node 0
             nodes += [node for node, _ in reversed(way)]
             bits += [bit for _, bit in reversed(way)]
+            depths += range(len(way))
             starts.append(len(nodes))
-        return Code(np.array(starts), np.array(nodes, np.int64), np.array(bits, np.int8))
+        gates = np.minimum(np.array(depths, np.int64), DEEPEST) * STEPS
+        return Code(np.array(starts), np.array(nodes, np.int64), np.array(bits, np.int8), gates)
 
 
-WORD_SLOTS = TABLE + 1 + 3 * (1 << WORD_BITS)
+CONTEXTS = 3
+WORD_SLOTS = TABLE + 1 + (CONTEXTS - 1) * (1 << WORD_BITS)
 WORD_GATES = (DEEPEST + 1) * STEPS
 
 
@@ -290,7 +301,8 @@ class Words:
 def word_bits(
     symbols: np.ndarray, begins: np.ndarray, words: Words
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slots, values, depths and tokens of the bits of all symbols, some at a time.
+    """Slots, values and gates by depth of the bits of all symbols, some at a time, and
+    how many bits each of these symbols has.
 
     ``begins`` marks the first token of each text.
     """
@@ -303,35 +315,36 @@ def word_bits(
     earlier[1:] = before[:-1]
     earlier[begins] = start
     both = before * (FREQUENT + 2) + earlier
-    contexts = [mixed(c.astype(np.uint64), 41 + k) for k, c in enumerate((before, earlier, both))]
+    contexts = [mixed(c.astype(np.uint64), 41 + k) for k, c in enumerate((before, both))]
     sizes = code.starts[1:] - code.starts[:-1]
     for first in range(0, len(symbols), TOKENS):
         part = symbols[first : first + TOKENS]
         size = sizes[part]
-        token = np.repeat(np.arange(len(part)), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        at = code.starts[part][token] + depth
+        at = np.repeat(code.starts[part] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
         node = code.nodes[at]
-        slots = np.empty((4, len(token)), np.int64)
+        slots = np.empty((CONTEXTS, len(at)), np.int64)
         slots[0] = node
         spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for k, context in enumerate(contexts):
-            salted = context[first : first + TOKENS][token] + spread
+            salted = np.repeat(context[first : first + TOKENS], size)
+            salted += spread
             salted *= np.uint64(0x9E3779B97F4A7C15)
             salted >>= np.uint64(64 - WORD_BITS)
             slots[k + 1] = salted.astype(np.int64) + (TABLE + 1 + (k << WORD_BITS))
-        yield slots, code.bits[at], np.minimum(depth, DEEPEST), token + first
+        yield slots, code.bits[at], code.gates[at], size
 
 
 def word_costs(
     symbols: np.ndarray, begins: np.ndarray, words: Words, counts: Slots, mixer: Mixer
 ) -> np.ndarray:
     """log10 of the probability of each symbol after those before it."""
-    cost = np.zeros(len(symbols))
-    for slots, bit, depth, token in word_bits(symbols, begins, words):
+    cost = [np.zeros(0)]
+    for slots, bit, gate, size in word_bits(symbols, begins, words):
         logits, sure = counts.predict(slots, bit, 0)
-        cost += np.bincount(token, mixer.costs(logits, depth * STEPS + sure, bit), len(symbols))
-    return cost
+        ends = np.cumsum(mixer.costs(logits, gate + sure, bit), dtype=np.float64)
+        cost.append(np.diff(np.append(0, ends)[np.cumsum(size)], prepend=0))
+    return np.concatenate(cost)
 
 
 # --- texts in blocks -----------------------------------------------------------------
@@ -356,25 +369,29 @@ def word_batches(counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """Training tokens and how often they were seen."""
+    """All tokens and how often they were seen in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for _, data in byte_groups(batches, BLOCK_BYTES):
-            for text in data:
-                counts.update(tokens_of(text))
+        for part, data in byte_groups(batches, BLOCK_BYTES):
+            for text, used in zip(data, part.column("training").to_pylist()):
+                if used:
+                    counts.update(tokens_of(text))
+                else:
+                    for word in tokens_of(text):
+                        counts.setdefault(word, 0)
             if len(counts) > MOST_COUNTED:
                 yield from word_batches(counts)
                 counts.clear()
         yield from word_batches(counts)
 
-    seen = rows.filter("training").select("data").mapInArrow(run, "word binary, c long")
+    seen = rows.select("training", "data").mapInArrow(run, "word binary, c long")
     return seen.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 CODED = (
     "block long, ids array<long>, training array<boolean>, sizes array<long>, "
-    "lengths array<long>, symbols binary, rare array<binary>, escapes binary"
+    "lengths array<long>, symbols binary, rare array<binary>, n_rare int, escapes binary"
 )
 
 
@@ -407,9 +424,13 @@ def code_texts(rows: DataFrame, shared) -> DataFrame:
                     pa.array([list(map(len, texts))], pa.list_(pa.int64())),
                     pa.array([pack.compress(symbols.tobytes())], pa.binary()),
                     pa.array([list(rare)], pa.list_(pa.binary())),
+                    pa.array([len(rare)], pa.int32()),
                     pa.array([pack.compress(np.array(escaped, np.uint32).tobytes())], pa.binary()),
                 ],
-                ["block", "ids", "training", "sizes", "lengths", "symbols", "rare", "escapes"],
+                [
+                    "block", "ids", "training", "sizes", "lengths",
+                    "symbols", "rare", "n_rare", "escapes",
+                ],
             )
             block += 1
 
@@ -450,14 +471,14 @@ def count_word_contexts(coded: DataFrame, shared) -> np.ndarray:
 
 def fit_word_mixer(coded: DataFrame, shared, slots_seen) -> Mixer:
     """Weights and map of the words' bits, learned online on all training texts."""
-    fresh = Mixer.fresh(4, WORD_GATES)
+    fresh = Mixer.fresh(CONTEXTS, WORD_GATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, mixer, seen = shared.value, Slots(slots_seen.value), fresh, 0
         for symbols, begins in training_symbols(batches):
-            for slots, bit, depth, _ in word_bits(symbols, begins, words):
+            for slots, bit, gate, _ in word_bits(symbols, begins, words):
                 logits, sure = counts.predict(slots, bit, 1)
-                gate = depth * STEPS + sure
+                gate = gate + sure
                 for first in range(0, len(bit), BATCH):
                     at = slice(first, first + BATCH)
                     part = bit[at].astype(np.float32)
@@ -604,7 +625,7 @@ def score_block(
     cost = word_costs(symbols, begins, words, counts, mixer)
     seen = np.append(np.array(words.counts, np.int64), 0)[symbols]
     place = rare.column("place").to_numpy()
-    held, priced = np.zeros(len(row["rare"]), np.int64), np.zeros(len(row["rare"]))
+    held, priced = np.zeros(row["n_rare"], np.int64), np.zeros(row["n_rare"])
     held[place], priced[place] = rare.column("c").to_numpy(), rare.column("log10").to_numpy()
     at, which = np.flatnonzero(symbols == words.escape), unpacked(row["escapes"], np.uint32)
     seen[at] = held[which]
@@ -635,37 +656,39 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     context = df.sparkSession.sparkContext
     rows = text_rows(df, key, text, training)
     counts = materialise(count_words(rows), "counts")
-    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     tokens, types = int(tokens), int(types)
     frequent = counts.filter(F.col("c") >= LEAST_SEEN).orderBy(F.desc("c"), "word").limit(TABLE)
     chosen = sorted(((-int(r.c), bytes(r.word)) for r in frequent.collect()))
     held = -sum(c for c, _ in chosen)
     words = Words.of([w for _, w in chosen], [-c for c, _ in chosen], tokens - held)
     shared = context.broadcast(words)
-    known = counts
+    rare = counts
     if chosen:  # the table ends with a word; what comes after it is rare
         c, word = -chosen[-1][0], F.lit(bytearray(chosen[-1][1]))
-        known = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
+        rare = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
+    known = rare.filter("c > 0")
     coded = materialise(code_texts(rows, shared), "coded")
     word_counts = context.broadcast(count_word_contexts(coded, shared))
     word_mixer = fit_word_mixer(coded, shared, word_counts)
     letter_counts = context.broadcast(count_letter_contexts(known))
     letter_mixer = fit_letter_mixer(known, letter_counts)
     local = coded.select(F.col("block").alias("of"), F.posexplode("rare").alias("place", "word"))
-    asked = local.select("word").distinct().join(known, "word", "left")
-    asked = asked.select("word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-    prices = materialise(price_words(asked, letter_counts, letter_mixer), "prices")
+    prices = materialise(price_words(rare, letter_counts, letter_mixer), "prices")
     delivered = local.join(prices, "word").select("of", "place", "c", "log10")
 
+    ready: list[Slots] = []  # made once a task, by its first block
+
     def finish(texts: pa.Table, rare: pa.Table) -> pa.Table:
-        counts = Slots(word_counts.value)
+        if not ready:
+            ready.append(Slots(word_counts.value))
         parts = [
-            score_block(row, rare, shared.value, counts, word_mixer, tokens, types)
+            score_block(row, rare, shared.value, ready[0], word_mixer, tokens, types)
             for row in texts.to_pylist()
         ]
         return pa.concat_tables(parts)
 
-    scored = coded.groupBy("block").cogroup(delivered.groupBy("of")).applyInArrow(finish, SCORES)
+    scored = coded.drop("rare").groupBy("block").cogroup(delivered.groupBy("of")).applyInArrow(finish, SCORES)
     return scored.withColumnRenamed("id", key).withColumn(
         "train_tokens", F.lit(tokens).cast("long")
     )

@@ -77,7 +77,7 @@ def test_the_code_is_that_of_huffman():
 
 def test_symbols_after_the_same_words_are_a_distribution():
     words = small_words()
-    counts, mixer = drawn_counts(1, lm.WORD_SLOTS), drawn_mixer(2, 4, lm.WORD_GATES)
+    counts, mixer = drawn_counts(1, lm.WORD_SLOTS), drawn_mixer(2, lm.CONTEXTS, lm.WORD_GATES)
     for beginning in ([], [1], [3, 1], [2, words.escape, 4]):
         total = 0.0
         for symbol in range(words.escape + 1):
@@ -131,7 +131,7 @@ def plain_slots(history, node):
     before = last[-1] if last else start
     earlier = last[-2] if len(last) > 1 else start
     found = [node]
-    for k, value in enumerate((before, earlier, before * (lm.FREQUENT + 2) + earlier)):
+    for k, value in enumerate((before, before * (lm.FREQUENT + 2) + earlier)):
         at = slot(hashed(value, 41 + k), node, lm.WORD_BITS)
         found.append(at + lm.TABLE + 1 + (k << lm.WORD_BITS))
     return found
@@ -145,7 +145,7 @@ def plain_logits(counts, slots):
 
 def test_costs_against_a_plain_loop(monkeypatch):
     words = small_words()
-    counts, mixer = drawn_counts(5, lm.WORD_SLOTS), drawn_mixer(6, 4, lm.WORD_GATES)
+    counts, mixer = drawn_counts(5, lm.WORD_SLOTS), drawn_mixer(6, lm.CONTEXTS, lm.WORD_GATES)
     texts = [[1, 3, 2, 4, 0], [0], [6, 6, 1, 5, 0]]
     expected = []
     for text in texts:
