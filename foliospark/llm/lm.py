@@ -32,6 +32,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -148,25 +149,32 @@ class Slots:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        zeros, ones = counts
-        self.logits = LOGS[ones] - LOGS[zeros]
-        # Without one occurrence of a 0, and of a 1.
-        fewer = [c - (c > 0) for c in counts]
-        self.own_logits = np.stack(
-            [LOGS[ones] - LOGS[fewer[0]], LOGS[fewer[1]] - LOGS[zeros]], axis=1
-        ).ravel()
-        seen = zeros.astype(np.int32) + ones
-        self.sure = np.searchsorted(CONFIDENCE, seen).astype(np.int8)
-        self.own_sure = np.searchsorted(CONFIDENCE, np.maximum(seen - 1, 0)).astype(np.int8)
+
+    @cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and step of confidence of each slot."""
+        zeros, ones = self.counts
+        return LOGS[ones] - LOGS[zeros], self._sure(0)
+
+    @cached_property
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same without one occurrence: of a 0 at even places, of a 1 at odd ones."""
+        zeros, ones = self.counts
+        fewer = [c - (c > 0) for c in self.counts]
+        logits = [LOGS[ones] - LOGS[fewer[0]], LOGS[fewer[1]] - LOGS[zeros]]
+        return np.stack(logits, axis=1).ravel(), self._sure(1)
+
+    def _sure(self, own: int) -> np.ndarray:
+        seen = np.maximum(self.counts[0].astype(np.int32) + self.counts[1] - own, 0)
+        return np.searchsorted(CONFIDENCE, seen).astype(np.int8)
 
     def predict(self, slots: np.ndarray, bit: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors, without ``own`` occurrences, and the step of confidence.
 
         The last context is the one whose counts tell it.
         """
-        if own:
-            return self.own_logits[2 * slots + bit], self.own_sure[slots[-1]].astype(np.int64)
-        return self.logits[slots], self.sure[slots[-1]].astype(np.int64)
+        logits, sure = self.own if own else self.whole
+        return logits[2 * slots + bit if own else slots], sure[slots[-1]].astype(np.int64)
 
 
 def fitted(counts: np.ndarray) -> np.ndarray:
@@ -373,17 +381,15 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        others: set[bytes] = set()
         for part, data in byte_groups(batches, BLOCK_BYTES):
             for text, used in zip(data, part.column("training").to_pylist()):
-                if used:
-                    counts.update(tokens_of(text))
-                else:
-                    for word in tokens_of(text):
-                        counts.setdefault(word, 0)
-            if len(counts) > MOST_COUNTED:
-                yield from word_batches(counts)
+                (counts if used else others).update(tokens_of(text))
+            if len(counts) + len(others) > MOST_COUNTED:
+                yield from word_batches(dict.fromkeys(others, 0) | counts)
                 counts.clear()
-        yield from word_batches(counts)
+                others.clear()
+        yield from word_batches(dict.fromkeys(others, 0) | counts)
 
     seen = rows.select("training", "data").mapInArrow(run, "word binary, c long")
     return seen.groupBy("word").agg(F.sum("c").alias("c"))
