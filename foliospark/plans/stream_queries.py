@@ -6,6 +6,7 @@ Each is checked against the batch result stated in SQL.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,26 @@ from foliospark.plans.evaluate_queries import ROOTS_SQL
 from foliospark.plans.maintain_queries import UPSERT_COLUMNS, UPSERT_SQL, _incoming
 from foliospark.plans.read_queries import FILE_STATUS_SQL, file_status_inputs
 from foliospark.plans.registry import query
-from foliospark.session import materialise, scratch_path
+from foliospark.session import materialise, scratch_path, settings
 from foliospark.sources import landing as source_landing
 from foliospark.sources import sinks
 from foliospark.streaming import answers, attempts, landing, status
 
 
+STATE_PARTITIONS = "8"  # the given tables are small, and every partition of a state has a cost
+
+
+def _with_state(build):
+    """Start the streams of a query with few partitions of state."""
+
+    @wraps(build)
+    def run(t: DriverTables, *more):
+        with settings(t.spark, {"spark.sql.shuffle.partitions": STATE_PARTITIONS}):
+            return build(t, *more)
+
+    return run
+
+
 def _written_messages(t: DriverTables, root: str) -> str:
     path = f"{root}/in"
     t.landing_messages.select("value").write.mode("errorifexists").text(path)
@@ -53,6 +68,7 @@ def stream_landing(t: DriverTables) -> DataFrame:
     "stream_dedupe",
     "SELECT DISTINCT message_id, record, key FROM p_objects",
 )
+@_with_state
 def stream_dedupe(t: DriverTables) -> DataFrame:
     root = scratch_path(t.spark, "stream-dedupe")
     objects = landing.landed_objects(landing.read_landing(t.spark, _written_messages(t, root)))
@@ -69,6 +85,7 @@ def stream_dedupe(t: DriverTables) -> DataFrame:
     "stream_late",
     "SELECT DISTINCT message_id, record, key FROM p_objects",
 )
+@_with_state
 def stream_late(t: DriverTables) -> DataFrame:
     """The newest messages come first, those of years before and redeliveries later.
 
@@ -128,6 +145,7 @@ def _completions(t: DriverTables) -> DataFrame:
     )
 
 
+@_with_state
 def _fired(t: DriverTables, label: str) -> str:
     """Run the barrier on completions that come twice, and half of them late."""
     root = scratch_path(t.spark, label)
@@ -202,6 +220,7 @@ def stream_evaluation_starts(t: DriverTables) -> DataFrame:
          CASE WHEN doc_id % 5 <> 0 AND doc_id % 90 <= 60 THEN lang END AS response
        FROM documents""",
 )
+@_with_state
 def stream_correlate(t: DriverTables) -> DataFrame:
     """Requests and completions meet as streams.
 
@@ -246,6 +265,7 @@ def stream_correlate(t: DriverTables) -> DataFrame:
 
 
 @query("stream_status", FILE_STATUS_SQL)
+@_with_state
 def stream_status(t: DriverTables) -> DataFrame:
     """Events of files come twice and out of order; the table ends as the batch report."""
     root = scratch_path(t.spark, "stream-status")
