@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import object_url
 from foliospark.operators.scale import spread_small
+from foliospark.session import materialise
 
 BASE_SECONDS = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 EMPTY_PROJECT = "src_empty"
@@ -60,10 +61,12 @@ class DriverTables:
 
     @cached_property
     def projects(self) -> DataFrame:
+        """Written first: the plan of a DISTINCT over all documents has their size, and no
+        table derived from it would be broadcast."""
         named = self.documents.select(F.col("source").alias("id")).distinct()
         empty = self.spark.range(1).select(F.lit(EMPTY_PROJECT).alias("id"))
         index = project_index(F.col("id"))
-        return named.unionByName(empty).select(
+        return materialise(named.unionByName(empty).coalesce(1), "projects").select(
             "id",
             F.col("id").alias("name"),
             F.concat(F.lit("Documents of "), F.col("id")).alias("description"),

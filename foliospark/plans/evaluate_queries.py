@@ -13,7 +13,7 @@ from foliospark.operators import hierarchy
 from foliospark.operators.scale import join_dimension
 from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
-from foliospark.session import scratch_path
+from foliospark.session import materialise, scratch_path
 from foliospark.sources import manifests, sinks
 from foliospark.streaming import attempts
 
@@ -38,7 +38,8 @@ def apply_templates(t: DriverTables) -> DataFrame:
 
 
 def _root_requests(t: DriverTables) -> DataFrame:
-    questions = ev.apply_templates(t.evaluations, t.templates)
+    # Written first: a join is planned with the product of its sides' sizes.
+    questions = materialise(ev.apply_templates(t.evaluations, t.templates), "questions")
     tasks = ev.tasks_for_pages(t.pages, ev.first_level(questions), carry_text=True)
     return ev.build_requests(tasks, t.pages, questions)
 
