@@ -10,6 +10,7 @@ INGESTED = "file_ingested_successfully"
 INGEST_FAILED = "file_ingestion_failed"
 SOURCE_PREFIX = "temporal-workflow."
 # ------------------------------------------------------------------------------
+REQUESTS_PER_FILE = 100_000  # a compressed file is read by one task
 
 
 def events_from(df: DataFrame, source: str, event_type: Column, detail: Column, time: Column) -> DataFrame:
@@ -47,9 +48,13 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def write_requests(requests: DataFrame, path: str) -> None:
-    """Model requests as compressed JSON lines, spread evenly over files."""
-    requests.hint("rebalance").write.mode("errorifexists").option(
-        "compression", "gzip"
+    """Model requests as compressed JSON lines, in files of bounded size.
+
+    Written by the tasks that make them: evening them out would shuffle every page's
+    text once for each of its questions.
+    """
+    requests.write.mode("errorifexists").option("compression", "gzip").option(
+        "maxRecordsPerFile", REQUESTS_PER_FILE
     ).json(path)
 
 
