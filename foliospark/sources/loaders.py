@@ -12,6 +12,9 @@ from foliospark.functions.text import line_count, stable_id
 
 PageExtractor = Callable[[bytes], list[tuple[str, dict[str, str]]]]
 
+PAGES_AT_ONCE = 4096
+PAGE_CHARS_AT_ONCE = 4 * 1024 * 1024
+
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one row each: (path, text)."""
@@ -56,43 +59,47 @@ def extract_pages(files: DataFrame, extractor: PageExtractor) -> DataFrame:
 
     The extractor returns (text, metadata) per page. A file it cannot read
     yields one row with ``error`` and no page, so that one broken file does not
-    fail the job.
+    fail the job. A task holds the pages of a file, and of more only up to
+    ``PAGES_AT_ONCE`` pages or ``PAGE_CHARS_AT_ONCE`` characters.
     """
 
     pairs = pa.map_(pa.string(), pa.string())
 
+    def pages_of(data: bytes | None) -> Iterator[tuple]:
+        try:
+            pages = extractor(data)
+        except Exception as problem:  # a broken file is one row without a page
+            yield None, None, None, str(problem) or type(problem).__name__
+            return
+        for number, (text, described) in enumerate(pages, start=1):
+            yield number, text, list(dict(described).items()), None
+
+    def rows_of(batch: pa.RecordBatch, source: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        numbers, texts, metadata, errors = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("file_id").take(pa.array(source, pa.int64())),
+                pa.array(numbers, pa.int32()),
+                pa.array(texts, pa.string()),
+                pa.array(metadata, pairs),
+                pa.array(errors, pa.string()),
+            ],
+            ["file_id", "content_number", "content", "content_metadata", "error"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, numbers, texts, metadata, errors = [], [], [], [], []
+            source, rows, size = [], [], 0
             for row, data in enumerate(batch.column("content")):
-                error, pages = None, []
-                try:
-                    pages = extractor(data.as_py())
-                except Exception as problem:  # reported per file
-                    error = str(problem) or type(problem).__name__
-                if error is not None:  # a broken file is one row without a page
-                    source.append(row)
-                    numbers.append(None)
-                    texts.append(None)
-                    metadata.append(None)
-                    errors.append(error)
-                    continue
-                for number, (text, described) in enumerate(pages, start=1):
+                for page in pages_of(data.as_py()):
                     source.append(row)
-                    numbers.append(number)
-                    texts.append(text)
-                    metadata.append(list(dict(described).items()))
-                    errors.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("file_id").take(pa.array(source, pa.int64())),
-                    pa.array(numbers, pa.int32()),
-                    pa.array(texts, pa.string()),
-                    pa.array(metadata, pairs),
-                    pa.array(errors, pa.string()),
-                ],
-                ["file_id", "content_number", "content", "content_metadata", "error"],
-            )
+                    rows.append(page)
+                    size += len(page[1] or "")
+                    if len(rows) >= PAGES_AT_ONCE or size >= PAGE_CHARS_AT_ONCE:
+                        yield rows_of(batch, source, rows)
+                        source, rows, size = [], [], 0
+            if rows:
+                yield rows_of(batch, source, rows)
 
     id_type = dict(files.dtypes)["file_id"]
     return files.select("file_id", "content").mapInArrow(
