@@ -265,7 +265,6 @@ def stream_correlate(t: DriverTables) -> DataFrame:
 
 
 @query("stream_status", FILE_STATUS_SQL)
-@_with_state
 def stream_status(t: DriverTables) -> DataFrame:
     """Events of files come twice and out of order; the table ends as the batch report."""
     root = scratch_path(t.spark, "stream-status")
@@ -282,7 +281,7 @@ def stream_status(t: DriverTables) -> DataFrame:
         .unionByName(status.expected_events(expected)),
     ]
     for rows in events:
-        rows.coalesce(4).write.mode("append").parquet(f"{root}/in")
+        rows.write.mode("append").parquet(f"{root}/in")
         arriving = t.spark.readStream.schema(status.EVENT_DDL).parquet(f"{root}/in")
         status.status_stream(arriving, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return status.current_status(t.spark, f"{root}/table")

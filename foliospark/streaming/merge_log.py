@@ -9,7 +9,7 @@ compaction later, when no reader can have it open any more.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +26,8 @@ class MergeLog:
 
     ``keys`` name a row. Of all versions of a key the one of the last batch counts,
     inside a batch that with the greatest ``newest``; the columns ``kept`` stay as the
-    first version had them, inside a batch that with the least ``oldest``.
+    first version had them, inside a batch that with the least ``oldest``. Where versions
+    add up otherwise, ``fold`` makes one row per key of rows with their ``version``.
     """
 
     path: str
@@ -36,6 +37,7 @@ class MergeLog:
     kept: tuple[str, ...] = ()
     oldest: tuple[str, ...] = ()
     buckets: int = BUCKETS
+    fold: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def base(self) -> str:
@@ -94,6 +96,8 @@ def append_changes(table: MergeLog, changes: DataFrame, batch_id: int) -> None:
 
 def resolve(table: MergeLog, versions: DataFrame) -> DataFrame:
     """One row per key from all its versions; ``version`` orders the batches."""
+    if table.fold is not None:
+        return table.fold(versions)
     columns = [c for c in versions.columns if c not in ("version", "bucket")]
     late = [c for c in columns if c not in (*table.keys, *table.kept)]
     aggregates = [

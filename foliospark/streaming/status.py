@@ -1,25 +1,21 @@
 """Where each file stands, kept up to date by a stream.
 
-Whatever happens to a file is one stream of events. The state of a file holds the best
-state of each of its chunks and answers, and the totals of these; an event changes the
-totals by what it improves. So events may come twice and in any order, and a batch
-costs what it brings.
+Whatever happens to a file is one stream of events. They are merged on read: a batch
+logs the best state it brings of each chunk and answer, and a file stands where the best
+of all batches put it. So events may come twice and in any order, and a batch costs what
+it brings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.streaming import landing, merge_log
 from foliospark.streaming.merge_log import MergeLog
 
 EVENT_DDL = "file_id long, kind string, item string, state int, text string"
-STATUS_DDL = (
-    "id long, registered_status string, n_chunks long, n_embedded long, n_answers long, "
-    "error string, status string"
-)
 CHUNK, ANSWER, EXPECTED, REGISTERED, FAILURE = "chunk", "answer", "expected", "registered", "failure"
 
 
@@ -61,97 +57,80 @@ def answer_events(answers: DataFrame) -> DataFrame:
     return answers.select(*event(ANSWER, item, rank.otherwise(0)))
 
 
-class FileStatus(StatefulProcessor):
-    """The totals of one file, and its status whenever they change."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getMapState("best", "kind string, item string", "state int")
-        self.totals = handle.getValueState(
-            "totals",
-            "registered string, error string, expected int, n_chunks long, n_embedded long, "
-            "n_answers long, n_done long, n_failed long",
-        )
-
-    def handleInputRows(self, key, rows, timer_values):
-        before = self.totals.get() if self.totals.exists() else (None, None, None, 0, 0, 0, 0, 0)
-        registered, error, expected, *counts = before
-        arrived: dict[tuple[str, str], int] = {}
-        for row in rows:
-            if row["kind"] == REGISTERED:
-                registered = row["text"]
-            elif row["kind"] == FAILURE:
-                texts = [t for t in (error, row["text"]) if t is not None]
-                error = min(texts, default=None)
-            elif row["kind"] == EXPECTED:
-                expected = row["state"]
-            else:
-                item = row["kind"], row["item"]
-                arrived[item] = max(row["state"], arrived.get(item, 0))
-        for item, state in arrived.items():
-            held = self.best.getValue(item) if self.best.containsKey(item) else None
-            known = None if held is None else held[0]
-            if known is None or state > known:
-                self.best.updateValue(item, (state,))
-                self._count(counts, item[0], known, -1)
-                self._count(counts, item[0], state, 1)
-        self.totals.update((registered, error, expected, *counts))
-        n_chunks, n_embedded, n_answers, n_done, n_failed = counts
-        if error is not None or n_failed:
-            status = "failed"
-        elif n_answers and expected is not None and n_done >= expected:
-            status = "completed"
-        elif n_answers:
-            status = "evaluating"
-        elif n_chunks and n_chunks == n_embedded:
-            status = "embedded"
-        elif n_embedded:
-            status = "embedding"
-        else:
-            status = "chunked" if n_chunks else registered
-        yield Row(
-            id=key[0],
-            registered_status=registered,
-            n_chunks=n_chunks,
-            n_embedded=n_embedded,
-            n_answers=n_answers,
-            error=error,
-            status=status,
-        )
-
-    @staticmethod
-    def _count(counts: list[int], kind: str, state: int | None, by: int) -> None:
-        if state is None:
-            return
-        first, reached = (0, {1: 1}) if kind == CHUNK else (2, {2: 3, 1: 4})
-        counts[first] += by
-        if state in reached:
-            counts[reached[state]] += by
-
-    def close(self) -> None:
-        pass
+def fold(events: DataFrame, *order: str) -> DataFrame:
+    """One row for each file, kind and item: the best state and the least text.
+
+    Of registrations and numbers due the last one counts, by the columns ``order``.
+    """
+    last = F.struct("state", "text")
+    last = F.max_by(last, F.struct(*order)) if order else F.last(last)
+    folded = events.groupBy("file_id", "kind", "item").agg(
+        F.max("state").alias("_state"), F.min("text").alias("_text"), last.alias("_last")
+    )
+    return folded.select(
+        "file_id",
+        "kind",
+        "item",
+        F.when(F.col("kind") == EXPECTED, F.col("_last.state")).otherwise(F.col("_state")).alias("state"),
+        F.when(F.col("kind") == REGISTERED, F.col("_last.text")).otherwise(F.col("_text")).alias("text"),
+    )
+
+
+def standing(items: DataFrame) -> DataFrame:
+    """The totals and the status of each file, from its folded events."""
+
+    def of(*kinds: str) -> Column:
+        return F.col("kind").isin(*kinds)
+
+    answer = ~of(CHUNK, EXPECTED, REGISTERED, FAILURE)
+    state = F.col("state")
+    totals = items.groupBy(F.col("file_id").alias("id")).agg(
+        F.max(F.when(of(REGISTERED), F.col("text"))).alias("registered_status"),
+        F.count_if(of(CHUNK)).alias("n_chunks"),
+        F.count_if(of(CHUNK) & (state == 1)).alias("n_embedded"),
+        F.count_if(answer).alias("n_answers"),
+        F.min(F.when(of(FAILURE), F.col("text"))).alias("error"),
+        F.count_if(answer & (state == 2)).alias("_done"),
+        F.count_if(answer & (state == 1)).alias("_failed"),
+        F.max(F.when(of(EXPECTED), state)).alias("_expected"),
+    )
+    n_chunks, n_embedded, n_answers = (F.col(f"n_{c}") for c in ("chunks", "embedded", "answers"))
+    status = (
+        F.when(F.col("error").isNotNull() | (F.col("_failed") > 0), "failed")
+        .when((n_answers > 0) & (F.col("_done") >= F.col("_expected")), "completed")
+        .when(n_answers > 0, "evaluating")
+        .when((n_chunks > 0) & (n_chunks == n_embedded), "embedded")
+        .when(n_embedded > 0, "embedding")
+        .when(n_chunks > 0, "chunked")
+        .otherwise(F.col("registered_status"))
+    )
+    return totals.withColumn("status", status).drop("_done", "_failed", "_expected")
 
 
 def status_table(path: str) -> MergeLog:
-    return MergeLog(path, STATUS_DDL, keys=("id",), newest=("status",))
+    return MergeLog(
+        path,
+        EVENT_DDL,
+        keys=("file_id", "kind", "item"),
+        newest=(),
+        fold=lambda versions: fold(versions, "version"),
+    )
 
 
 def status_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the status table at ``path`` up to date with the ``events`` of files.
 
-    A batch logs one row for each file it touches; :func:`current_status` reads the
-    table, also while the stream runs.
+    A batch logs one row for each item it brings; :func:`current_status` reads the
+    table, also while the stream runs. A batch run again replaces what it logged.
     """
-    changed = events.groupBy("file_id").transformWithState(
-        FileStatus(), STATUS_DDL, "update", "none"
-    )
     table = status_table(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_log.append_changes(table, batch, batch_id)
+        merge_log.append_changes(table, fold(batch), batch_id)
         merge_log.compact(table, batch.sparkSession)
 
-    return landing.run_batches(changed, write, checkpoint, mode="update")
+    return landing.run_batches(events, write, checkpoint)
 
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
-    return merge_log.current(status_table(path), spark)
+    return standing(merge_log.current(status_table(path), spark))
