@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
-from itertools import islice
 from operator import and_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.session import materialise
 from foliospark.sources.sinks import INGESTED, route_events
-from foliospark.streaming import landing
+from foliospark.streaming import landing, merge_log
 
 
 def correlate_stream(completions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -55,40 +54,6 @@ def correlate_streams(
 
 ITEM_KEYS = ("workflow_id", "level", "evaluation_id", "content_id")
 LEVEL = ("workflow_id", "level")
-ITEMS_AT_ONCE = 1000
-
-
-class LevelBarrier(StatefulProcessor):
-    """Holds a level's items until the last is there, then emits them all, once."""
-
-    def __init__(self, fields: Sequence[str], item_ddl: str):
-        self.fields = list(fields)
-        self.item_ddl = item_ddl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.progress = handle.getValueState(
-            "progress", "finished long, expected long, fired boolean"
-        )
-        self.items = handle.getListState("items", self.item_ddl)
-
-    def handleInputRows(self, key, rows, timer_values):
-        finished, expected, fired = self.progress.get() if self.progress.exists() else (0, 0, False)
-        rows = iter(rows)
-        while part := list(islice(rows, ITEMS_AT_ONCE)):
-            finished += len(part)
-            expected = max(expected, *(row["expected"] or 0 for row in part))
-            if not fired:
-                self.items.appendList([tuple(row[f] for f in self.fields) for row in part])
-        if not fired and finished >= expected:
-            fired = True
-            for item in self.items.get():
-                given = dict(zip(self.fields, item))
-                yield Row(**given, **dict(zip(LEVEL, key)), finished=finished)
-            self.items.clear()
-        self.progress.update((finished, expected, fired))
-
-    def close(self) -> None:
-        pass
 
 
 def level_barrier(
@@ -100,38 +65,45 @@ def level_barrier(
     """T5: fire each (workflow, level) once, when its last item has arrived.
 
     ``completions`` has the ``ITEM_KEYS`` and ``expected``. Redelivered items are
-    dropped by the stream's state, and each level keeps its count and its items
-    there until it fires, so that a batch reads nothing of the history. There is no
-    watermark: a level fires however late its last item is. Fired levels are written
-    to ``path/fired`` as (workflow_id, level, finished); ``next_level`` turns their
-    items into the tasks of the next level, which are written to ``path/tasks``.
-    A batch run again overwrites its own output. Items leave the state one by one,
-    so a level with very many of them needs no memory of its size.
+    dropped by the stream's state. Every batch writes the items of the levels that are
+    still open after it below ``path/open``, for the next one to go on with; so a batch
+    costs what it brings and what is open, and looks only at the keys of levels that have
+    fired. There is no watermark: a level fires however late its last item is. Fired
+    levels are written to ``path/fired`` as (workflow_id, level, finished); ``next_level``
+    turns their items into the tasks of the next level, which are written to
+    ``path/tasks``. A batch run again overwrites its own output.
     """
-    fields = [c for c in completions.columns if c not in LEVEL]
-    item_ddl = ", ".join(f"`{c}` {completions.schema[c].dataType.simpleString()}" for c in fields)
-    level_ddl = ", ".join(f"`{c}` {completions.schema[c].dataType.simpleString()}" for c in LEVEL)
-    fired = (
-        completions.dropDuplicates(list(ITEM_KEYS))
-        .groupBy(*LEVEL)
-        .transformWithState(
-            LevelBarrier(fields, item_ddl),
-            f"{item_ddl}, {level_ddl}, finished long",
-            "append",
-            "none",
-        )
-    )
+    spark = completions.sparkSession
+
+    def of_levels(items: DataFrame, levels: DataFrame, how: str) -> DataFrame:
+        same = [F.col(f"i.{k}").eqNullSafe(F.col(f"l.{k}")) for k in LEVEL]
+        return items.alias("i").join(levels.select(*LEVEL).alias("l"), reduce(and_, same), how)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Written first: reading the batch twice would run its stateful part twice.
-        items = materialise(batch, "fired-items")
-        levels = items.select(*LEVEL, "finished").distinct()
-        landing.write_batch(levels, batch_id, f"{path}/fired")
+        items = materialise(batch, "level-items")
+        known = landing.stored(spark, f"{path}/fired")
+        if known is not None:  # more items than were due
+            items = of_levels(items, known.filter(F.col("batch_id") < batch_id), "left_anti")
+        before = landing.stored(spark, f"{path}/open/{batch_id - 1}")
+        if before is not None:
+            items = items.unionByName(before)
+        levels = items.groupBy(*LEVEL).agg(
+            F.count(F.lit(1)).alias("finished"), F.max("expected").alias("_expected")
+        )
+        complete = F.col("finished") >= F.coalesce("_expected", F.lit(0))
+        fired = materialise(levels.filter(complete).select(*LEVEL, "finished"), "fired-levels")
+        landing.write_batch(fired, batch_id, f"{path}/fired")
         if next_level is not None:
-            now = items.drop("finished").select(*completions.columns)
+            now = of_levels(items, fired, "left_semi").select(*completions.columns)
             landing.write_batch(next_level(now), batch_id, f"{path}/tasks")
+        left = of_levels(items, fired, "left_anti")
+        left.write.mode("overwrite").parquet(f"{path}/open/{batch_id}")
+        # A batch run again needs only what the one before it has left.
+        merge_log.remove_folders(spark, [f"{path}/open/{batch_id - 2}"])
 
-    return landing.run_batches(fired, write, checkpoint)
+    once = completions.dropDuplicates(list(ITEM_KEYS))
+    return landing.run_batches(once, write, checkpoint)
 
 
 def evaluation_starts(events: DataFrame) -> DataFrame:
