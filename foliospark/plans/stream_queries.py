@@ -23,15 +23,16 @@ from foliospark.sources import sinks
 from foliospark.streaming import answers, attempts, landing, status
 
 
-STATE_PARTITIONS = "8"  # the given tables are small, and every partition of a state has a cost
+STATE_PARTITIONS = 8  # at least; every partition of a state has a cost
 
 
 def _with_state(build):
-    """Start the streams of a query with few partitions of state."""
+    """Start the streams of a query with as few partitions of state as there are cores."""
 
     @wraps(build)
     def run(t: DriverTables, *more):
-        with settings(t.spark, {"spark.sql.shuffle.partitions": STATE_PARTITIONS}):
+        partitions = max(STATE_PARTITIONS, t.spark.sparkContext.defaultParallelism)
+        with settings(t.spark, {"spark.sql.shuffle.partitions": str(partitions)}):
             return build(t, *more)
 
     return run
