@@ -33,10 +33,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -64,11 +64,34 @@ MOST = 11.0  # logit of the likeliest bit
 MOST_SEEN = 65_535  # counts of a slot are halved until they fit
 LOGS = np.log(np.arange(MOST_SEEN + 1) + DELTA).astype(np.float32)
 BLOCK_BYTES = 12_000_000
+PIECE = 1 << 20  # tokens, or bytes of words, among which equal ones are predicted once
 TOKENS = 10_000  # tokens predicted at once
 BATCH = 20_000  # bits learned from at once
 MOST_COUNTED = 500_000  # words a task counts before it hands them on
-SPELLED = 100_000  # bytes of words spelled at once
+SPELLED = 100_000  # bytes of words learned from at once
+PRICED = 500_000  # bytes of words counted or priced at once
 CHUNK = 1 << 16  # slots per row when counts are summed
+# A slot is the head of (context + node * NODE) * MULTIPLIER, which is multiplied out.
+NODE = 0xD6E8FEB86659FD93
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+NODE_MULTIPLIER = np.uint64(NODE * int(MULTIPLIER) % 2**64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and which of these every key is.
+
+    Keys are below 2 ** 42, and there are ``PIECE`` at most, so that a key and its place
+    are sorted as one number.
+    """
+    placed = keys << 21
+    placed |= np.arange(len(keys))
+    placed.sort()
+    place = placed & ((1 << 21) - 1)
+    placed >>= 21
+    new = np.append(True, placed[1:] != placed[:-1])[: len(keys)]
+    which = np.empty(len(keys), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return place[new], which
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -105,40 +128,62 @@ class Mixer:
             flat[cut:].reshape(self.refined.shape).astype(np.float32),
         )
 
-    def mix(self, logits: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The mixed probability, and where its logit lies in the map: cell and part of it."""
-        summed = self.weights[-1][gate]
+    def mix(self, logits: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixed probability, and where its logit lies between the steps of the map."""
+        summed = self.weights[-1].take(gate)
         for weights, logit in zip(self.weights, logits):
-            summed += weights[gate] * logit
+            weighed = weights.take(gate)
+            weighed *= logit
+            summed += weighed
         np.clip(summed, -MOST, MOST, out=summed)
-        at = (summed + np.float32(MOST)) * np.float32((MAP_STEPS - 1) / (2 * MOST))
-        low = np.minimum(at.astype(np.int64), MAP_STEPS - 2)
-        part = at - low.astype(np.float32)
-        return 1 / (1 + np.exp(-summed)), gate * MAP_STEPS + low, part
+        at = summed + np.float32(MOST)
+        at *= np.float32((MAP_STEPS - 1) / (2 * MOST))
+        p = np.exp(np.negative(summed, out=summed), out=summed)
+        p += 1
+        return np.divide(1, p, out=p), at
 
     def costs(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the probability of each bit."""
-        mixed_p, cell, part = self.mix(logits, gate)
+        p, at = self.mix(logits, gate)
+        low = np.minimum(at.astype(np.int32), MAP_STEPS - 2)
+        at -= low.astype(np.float32)
+        cell = gate * MAP_STEPS
+        cell += low
         table = self.refined.ravel()
-        below = table[cell]
-        refined = below + (table[cell + 1] - below) * part
-        p = np.clip((mixed_p + refined) / 2, LEAST, 1 - LEAST)
-        return np.log(np.where(bit == 1, p, 1 - p)) * np.float32(1 / np.log(10))
-
-    def learn(self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, much: np.ndarray) -> None:
-        """One online step on a batch; ``much`` weighs its bits."""
-        mixed_p, cell, part = self.mix(logits, gate)
-        cell += part > 0.5
-        gates = self.weights.shape[1]
-        error = (bit - mixed_p) * much
-        held = np.bincount(gate, much, gates) + 1e-9
+        below = table.take(cell)
+        cell += 1
+        refined = table.take(cell)
+        refined -= below
+        refined *= at
+        refined += below
+        p += refined
+        p /= 2
+        np.clip(p, LEAST, 1 - LEAST, out=p)
+        p = np.where(bit == 1, p, 1 - p)
+        return np.log(p, out=p) * np.float32(1 / np.log(10))
+
+    def learn(
+        self, logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, much: np.ndarray | None = None
+    ) -> None:
+        """One online step on a batch; ``much`` weighs its bits, which are alike without it."""
+        mixed_p, at = self.mix(logits, gate)
+        at -= np.float32(0.5)
+        nearest = np.ceil(at, out=at).astype(np.int32)  # step of the map
+        error = np.subtract(bit, mixed_p, out=mixed_p)
+        if much is not None:
+            error *= much
+        gates, table = self.weights.shape[1], self.refined.ravel()
+        cell = gate * MAP_STEPS
+        cell += nearest
+        cell *= 2
+        cell += bit
+        seen = np.bincount(cell, much, 2 * table.size).reshape(-1, 2)
+        hits, ones = seen.sum(axis=1), seen[:, 1]
+        held = hits.reshape(gates, MAP_STEPS).sum(axis=1) + 1e-9
         pace = (RATE / np.maximum(held, held.mean())).astype(np.float32)
         for weights, logit in zip(self.weights, logits):
             weights += pace * np.bincount(gate, error * logit, gates).astype(np.float32)
         self.weights[-1] += pace * np.bincount(gate, error, gates).astype(np.float32)
-        table = self.refined.ravel()
-        hits = np.bincount(cell, much, table.size)
-        ones = np.bincount(cell, much * bit, table.size)
         share = np.divide(ones, hits, out=table.astype(np.float64), where=hits > 0)
         table += ((hits / (hits + 50)) * (share - table)).astype(np.float32)
         self.refined = np.clip(table, LEAST, 1 - LEAST).reshape(self.refined.shape)
@@ -174,7 +219,11 @@ class Slots:
         The last context is the one whose counts tell it.
         """
         logits, sure = self.own if own else self.whole
-        return logits[2 * slots + bit if own else slots], sure[slots[-1]].astype(np.int64)
+        steps = sure.take(slots[-1]).astype(np.int64)
+        if own:
+            slots = slots * 2
+            slots += bit
+        return logits.take(slots), steps
 
 
 def fitted(counts: np.ndarray) -> np.ndarray:
@@ -302,19 +351,12 @@ class Words:
     def escape(self) -> int:
         return len(self.words)
 
-    def index(self) -> dict[bytes, int]:
-        return {word: k for k, word in enumerate(self.words)}
-
 
-def word_bits(
-    symbols: np.ndarray, begins: np.ndarray, words: Words
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slots, values and gates by depth of the bits of all symbols, some at a time, and
-    how many bits each of these symbols has.
-
-    ``begins`` marks the first token of each text.
+def words_before(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that; ``begins`` marks the first
+    token of each text.
     """
-    code, start = words.code, FREQUENT + 1
+    start = FREQUENT + 1
     known = np.minimum(symbols, FREQUENT)  # all rarer ones alike
     before = np.full(len(symbols), start)
     before[1:] = known[:-1]
@@ -322,37 +364,71 @@ def word_bits(
     earlier = np.full(len(symbols), start)
     earlier[1:] = before[:-1]
     earlier[begins] = start
-    both = before * (FREQUENT + 2) + earlier
-    contexts = [mixed(c.astype(np.uint64), 41 + k) for k, c in enumerate((before, both))]
+    return before, earlier
+
+
+def word_bits(
+    symbols: np.ndarray, before: np.ndarray, earlier: np.ndarray, words: Words
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slots, values and gates by depth of the bits of all symbols, some at a time, and
+    how many bits each of these symbols has.
+
+    ``before`` and ``earlier`` are the two words before each symbol.
+    """
+    code = words.code
     sizes = code.starts[1:] - code.starts[:-1]
     for first in range(0, len(symbols), TOKENS):
-        part = symbols[first : first + TOKENS]
+        here = slice(first, first + TOKENS)
+        part = symbols[here]
         size = sizes[part]
         at = np.repeat(code.starts[part] - (np.cumsum(size) - size), size)
         at += np.arange(len(at))
-        node = code.nodes[at]
         slots = np.empty((CONTEXTS, len(at)), np.int64)
-        slots[0] = node
-        spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        code.nodes.take(at, out=slots[0], mode="clip")
+        spread = slots[0].view(np.uint64) * NODE_MULTIPLIER
+        contexts = (before[here], before[here] * (FREQUENT + 2) + earlier[here])
         for k, context in enumerate(contexts):
-            salted = np.repeat(context[first : first + TOKENS], size)
+            salted = np.repeat(mixed(context.astype(np.uint64), 41 + k) * MULTIPLIER, size)
             salted += spread
-            salted *= np.uint64(0x9E3779B97F4A7C15)
             salted >>= np.uint64(64 - WORD_BITS)
-            slots[k + 1] = salted.astype(np.int64) + (TABLE + 1 + (k << WORD_BITS))
-        yield slots, code.bits[at], code.gates[at], size
+            np.add(salted.view(np.int64), TABLE + 1 + (k << WORD_BITS), out=slots[k + 1])
+        yield slots, code.bits.take(at), code.gates.take(at), size
+
+
+def distinct_tokens(
+    symbols: np.ndarray, begins: np.ndarray
+) -> Iterator[tuple[slice, tuple[np.ndarray, ...], np.ndarray]]:
+    """Piece by piece the distinct tokens, as symbol and the two words before it, and
+    which of these each token is.
+    """
+    before, earlier = words_before(symbols, begins)
+    for first in range(0, len(symbols), PIECE):
+        piece = slice(first, first + PIECE)
+        keys = before[piece] * (FREQUENT + 2) + earlier[piece]
+        keys <<= 16
+        keys |= symbols[piece]
+        place, which = distinct(keys)
+        place += first
+        yield piece, (symbols[place], before[place], earlier[place]), which
 
 
 def word_costs(
     symbols: np.ndarray, begins: np.ndarray, words: Words, counts: Slots, mixer: Mixer
 ) -> np.ndarray:
-    """log10 of the probability of each symbol after those before it."""
-    cost = [np.zeros(0)]
-    for slots, bit, gate, size in word_bits(symbols, begins, words):
-        logits, sure = counts.predict(slots, bit, 0)
-        ends = np.cumsum(mixer.costs(logits, gate + sure, bit), dtype=np.float64)
-        cost.append(np.diff(np.append(0, ends)[np.cumsum(size)], prepend=0))
-    return np.concatenate(cost)
+    """log10 of the probability of each symbol after those before it.
+
+    It depends on the two words before alone, so that equal tokens are predicted once.
+    """
+    cost = np.empty(len(symbols))
+    for piece, tokens, which in distinct_tokens(symbols, begins):
+        once = []
+        for slots, bit, gate, size in word_bits(*tokens, words):
+            logits, sure = counts.predict(slots, bit, 0)
+            gate += sure
+            ends = np.cumsum(mixer.costs(logits, gate, bit), dtype=np.float64)
+            once.append(np.diff(np.append(0, ends)[np.cumsum(size)], prepend=0))
+        cost[piece] = np.concatenate(once)[which]
+    return cost
 
 
 # --- texts in blocks -----------------------------------------------------------------
@@ -366,6 +442,19 @@ def text_rows(df: DataFrame, key: str, text: str, training: Column) -> DataFrame
     )
 
 
+def split_texts(data: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts in a row, as ``tokens_of`` has them, and how many each has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(data.view(pa.string())))
+    words = parts.flatten()
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an edge leaves an empty one
+    ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    sizes = np.diff(np.append(0, np.cumsum(some))[ends]) + 1
+    order = np.full(sizes.sum(), len(words))
+    order[np.delete(np.arange(len(order)), np.cumsum(sizes) - 1)] = np.flatnonzero(some)
+    whole = pa.concat_arrays([words.view(pa.binary()), pa.array([END], pa.binary())])
+    return whole.take(pa.array(order)), sizes
+
+
 def word_batches(counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     words = list(counts)
     for first in range(0, len(words), 50_000):
@@ -411,27 +500,24 @@ def code_texts(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         words, pack = shared.value, zstandard.ZstdCompressor(level=1)
-        index, escape = words.index(), words.escape
+        known = pa.array(words.words, pa.binary())
         for part, data in byte_groups(batches, BLOCK_BYTES):
-            texts = [tokens_of(text) for text in data]
-            whole = list(chain.from_iterable(texts))
-            symbols = np.fromiter(map(index.get, whole, repeat(escape)), np.uint16, len(whole))
-            rare: dict[bytes, int] = {}
-            escaped = [
-                rare.setdefault(whole[k], len(rare))
-                for k in np.flatnonzero(symbols == escape).tolist()
-            ]
+            tokens, lengths = split_texts(part.column("data"))
+            found = pc.index_in(tokens, known)
+            symbols = found.fill_null(words.escape).to_numpy().astype(np.uint16)
+            rare = tokens.filter(found.is_null()).dictionary_encode()
+            escaped = rare.indices.to_numpy().astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block]),
                     pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([part.column("training").to_pylist()], pa.list_(pa.bool_())),
                     pa.array([list(map(len, data))], pa.list_(pa.int64())),
-                    pa.array([list(map(len, texts))], pa.list_(pa.int64())),
+                    pa.array([lengths], pa.list_(pa.int64())),
                     pa.array([pack.compress(symbols.tobytes())], pa.binary()),
-                    pa.array([list(rare)], pa.list_(pa.binary())),
-                    pa.array([len(rare)], pa.int32()),
-                    pa.array([pack.compress(np.array(escaped, np.uint32).tobytes())], pa.binary()),
+                    pa.ListArray.from_arrays([0, len(rare.dictionary)], rare.dictionary),
+                    pa.array([len(rare.dictionary)], pa.int32()),
+                    pa.array([pack.compress(escaped.tobytes())], pa.binary()),
                 ],
                 [
                     "block", "ids", "training", "sizes", "lengths",
@@ -464,11 +550,21 @@ def count_word_contexts(coded: DataFrame, shared) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = shared.value, np.zeros(2 * WORD_SLOTS, np.uint32)
+        seen = np.zeros(words.escape + 1, np.int64)
         for symbols, begins in training_symbols(batches):
-            for slots, bit, _, _ in word_bits(symbols, begins, words):
-                offset = bit.astype(np.int64) * WORD_SLOTS
-                for at in slots:
-                    np.add.at(table, at + offset, np.uint32(1))
+            seen += np.bincount(symbols, minlength=len(seen))
+            for _, tokens, which in distinct_tokens(symbols, begins):
+                much, first = np.bincount(which).astype(np.uint32), 0
+                for slots, bit, _, size in word_bits(*tokens, words):
+                    times = np.repeat(much[first : first + len(size)], size)
+                    first += len(size)
+                    slots += bit * np.int64(WORD_SLOTS)
+                    for at in slots[1:]:
+                        np.add.at(table, at, times)
+        # Without a context a slot has seen what the symbols below it have.
+        code = words.code
+        at = code.nodes + code.bits * np.int64(WORD_SLOTS)
+        np.add.at(table, at, np.repeat(seen, np.diff(code.starts)).astype(np.uint32))
         yield from table_chunks(table)
 
     used = coded.select("training", "lengths", "symbols")
@@ -482,13 +578,12 @@ def fit_word_mixer(coded: DataFrame, shared, slots_seen) -> Mixer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, mixer, seen = shared.value, Slots(slots_seen.value), fresh, 0
         for symbols, begins in training_symbols(batches):
-            for slots, bit, gate, _ in word_bits(symbols, begins, words):
+            for slots, bit, gate, _ in word_bits(symbols, *words_before(symbols, begins), words):
                 logits, sure = counts.predict(slots, bit, 1)
-                gate = gate + sure
+                gate += sure
                 for first in range(0, len(bit), BATCH):
                     at = slice(first, first + BATCH)
-                    part = bit[at].astype(np.float32)
-                    mixer.learn(logits[:, at], gate[at], part, np.ones(len(part), np.float32))
+                    mixer.learn(logits[:, at], gate[at], bit[at])
                 seen += len(bit)
         yield from mixer_rows(mixer, float(seen))
 
@@ -503,8 +598,10 @@ SPELL_SLOTS = SPELL_STARTS[-1]
 SPELL_GATES = 8 * STEPS
 
 
-def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every byte to code: its word, the byte, and its context hashes."""
+def letters_before(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Every byte to code: its word, the byte, how many of the word are before it, and
+    its contexts, which are the last bytes.
+    """
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.cumsum(sizes) - sizes + 1
@@ -512,38 +609,90 @@ def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     byte = data[1:]
     before = np.arange(1, len(data)) - starts[word]  # bytes of the word so far
     wide = data.astype(np.uint64)
-    hashes = np.zeros((len(SPELL_BITS), len(byte)), np.uint64)
+    contexts = np.zeros((len(SPELL_BITS), len(byte)), np.uint64)
     recent = np.zeros(len(byte), np.uint64)
     for order in range(1, len(SPELL_BITS)):
         # The space before the word counts as its first byte.
         earlier = np.zeros(len(byte), np.uint64)
-        earlier[order - 1 :] = wide[: len(byte) - order + 1]
+        earlier[order - 1 :] = wide[: max(len(byte) - order + 1, 0)]
         recent = np.where(before >= order - 1, (recent << np.uint64(8)) | earlier, recent)
-        hashes[order] = recent
-    hashes = np.stack([mixed(h, k) for k, h in enumerate(hashes)])
-    return word, byte.astype(np.int64), hashes
+        contexts[order] = recent
+    return word, byte.astype(np.int64), before, contexts
+
+
+def letter_hashes(contexts: np.ndarray) -> np.ndarray:
+    return np.stack([mixed(h, k) for k, h in enumerate(contexts)])
+
+
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte to code: its word, the byte, and its context hashes."""
+    word, byte, _, contexts = letters_before(words)
+    return word, byte, letter_hashes(contexts)
+
+
+def distinct_letters(
+    words: list[bytes],
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece the distinct bytes with their contexts, as byte and hashes, and of
+    every byte its word and which of these it is.
+    """
+    word, byte, before, contexts = letters_before(words)
+    # The longest context holds the others, once it is told how long it is.
+    longest = len(SPELL_BITS) - 1
+    keys = np.minimum(before, longest - 1) << 8 * longest
+    keys |= contexts[-1].view(np.int64)
+    keys <<= 8
+    keys |= byte
+    for first in range(0, len(byte), PIECE):
+        place, which = distinct(keys[first : first + PIECE])
+        place += first
+        yield byte[place], letter_hashes(contexts[:, place]), word[first : first + PIECE], which
 
 
 def letter_slots(hashes: np.ndarray, byte: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a bit of every byte, by context, and the bit's value."""
+    return multiplied_slots(hashes * MULTIPLIER, byte, place)
+
+
+def multiplied_slots(
+    multiplied: np.ndarray, byte: np.ndarray, place: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same from hashes multiplied already, once for all places."""
     node = (1 << place) | (byte >> (8 - place))
-    spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    found = np.empty(hashes.shape, np.int64)
+    spread = node.view(np.uint64) * NODE_MULTIPLIER
+    found = np.empty(multiplied.shape, np.int64)
     found[0] = node  # no context: one slot for each node
     for k in range(1, len(SPELL_BITS)):
-        salted = (hashes[k] + spread) * np.uint64(0x9E3779B97F4A7C15)
-        found[k] = SPELL_STARTS[k] + (salted >> np.uint64(64 - SPELL_BITS[k])).astype(np.int64)
+        salted = multiplied[k] + spread
+        salted >>= np.uint64(64 - SPELL_BITS[k])
+        np.add(salted.view(np.int64), SPELL_STARTS[k], out=found[k])
     return found, (byte >> (7 - place)) & 1
 
 
-def word_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
-    """Rows in groups of about ``SPELLED`` bytes, their words and counts."""
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together until they hold ``PRICED`` bytes."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        parts.append(batch)
+        held += batch.column("word").nbytes
+        if held >= PRICED:
+            yield pa.concat_batches(parts)
+            parts, held = [], 0
+    if parts:
+        yield pa.concat_batches(parts)
+
+
+def word_groups(
+    batches: Iterator[pa.RecordBatch], limit: int
+) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
+    """Rows in groups of about ``limit`` bytes, their words and counts."""
     for batch in batches:
         words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy()
         first, held = 0, 0
         for k, word in enumerate(words):
             held += len(word) + 1
-            if held >= SPELLED or k == len(words) - 1:
+            if held >= limit or k == len(words) - 1:
                 yield batch.slice(first, k + 1 - first), words[first : k + 1], counts[first : k + 1]
                 first, held = k + 1, 0
 
@@ -553,13 +702,15 @@ def count_letter_contexts(words: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 * SPELL_SLOTS)
-        for _, group, c in word_groups(batches):
-            word, byte, hashes = letters(group)
-            much = c[word].astype(np.float64)
-            for place in range(8):
-                slots, value = letter_slots(hashes, byte, place)
-                for at in slots:
-                    np.add.at(table, at + SPELL_SLOTS * value, much)
+        for _, group, c in word_groups(merged(batches), PRICED):
+            for byte, hashes, word, which in distinct_letters(group):
+                much = np.bincount(which, c[word])
+                hashes *= MULTIPLIER
+                for place in range(8):
+                    slots, value = multiplied_slots(hashes, byte, place)
+                    slots += SPELL_SLOTS * value
+                    for at in slots:
+                        np.add.at(table, at, much)
         yield from table_chunks(table)
 
     return sum_tables(words.mapInArrow(run, "chunk long, counts binary"), SPELL_SLOTS)
@@ -571,7 +722,7 @@ def fit_letter_mixer(words: DataFrame, slots_seen) -> Mixer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mixer, seen = Slots(slots_seen.value), fresh, 0.0
-        for _, group, c in word_groups(batches):
+        for _, group, c in word_groups(batches, SPELLED):
             word, byte, hashes = letters(group)
             much = np.sqrt(c[word]).astype(np.float32)
             seen += float(much.sum())
@@ -579,24 +730,33 @@ def fit_letter_mixer(words: DataFrame, slots_seen) -> Mixer:
             for first in range(0, len(order), BATCH):
                 at = order[first : first + BATCH]
                 weigh = much[at] / much[at].mean()
+                multiplied, part = hashes.take(at, axis=1) * MULTIPLIER, byte[at]
                 for place in range(8):
-                    slots, value = letter_slots(hashes[:, at], byte[at], place)
+                    slots, value = multiplied_slots(multiplied, part, place)
                     logits, sure = counts.predict(slots, value, 1)
-                    mixer.learn(logits, place * STEPS + sure, value.astype(np.float32), weigh)
+                    sure += place * STEPS
+                    mixer.learn(logits, sure, value.astype(np.int8), weigh)
         yield from mixer_rows(mixer, seen)
 
     return averaged(words.mapInArrow(run, LEARNED), fresh)
 
 
 def spelled(words: list[bytes], counts: Slots, mixer: Mixer) -> np.ndarray:
-    """log10 of the probability that the bits of each word have."""
-    word, byte, hashes = letters(words)
-    cost = np.zeros(len(byte))
-    for place in range(8):
-        slots, value = letter_slots(hashes, byte, place)
-        logits, sure = counts.predict(slots, value, 0)
-        cost += mixer.costs(logits, place * STEPS + sure, value)
-    return np.bincount(word, cost, len(words))
+    """log10 of the probability that the bits of each word have.
+
+    That of a byte depends on its contexts alone, so that equal ones are predicted once.
+    """
+    found = np.zeros(len(words))
+    for byte, hashes, word, which in distinct_letters(words):
+        cost = np.zeros(len(byte))
+        hashes *= MULTIPLIER
+        for place in range(8):
+            slots, value = multiplied_slots(hashes, byte, place)
+            logits, sure = counts.predict(slots, value, 0)
+            sure += place * STEPS
+            cost += mixer.costs(logits, sure, value)
+        found += np.bincount(word, cost[which], len(words))
+    return found
 
 
 def price_words(words: DataFrame, slots_seen, mixer: Mixer) -> DataFrame:
@@ -604,7 +764,7 @@ def price_words(words: DataFrame, slots_seen, mixer: Mixer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Slots(slots_seen.value)
-        for part, group, _ in word_groups(batches):
+        for part, group, _ in word_groups(merged(batches), PRICED):
             yield pa.RecordBatch.from_arrays(
                 [part.column("word"), part.column("c"), pa.array(spelled(group, counts, mixer))],
                 ["word", "c", "log10"],

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
@@ -266,3 +267,108 @@ def test_odd_rows(odd_documents):
             bits = sum(8 * (len(w.encode()) + 1) for w in tokens(texts[row.doc_id]))
             assert math.isclose(row.score, -bits * math.log10(2), rel_tol=1e-4)
     assert lm.score(odd_documents.filter(F.lit(False)), F.lit(True)).isEmpty()
+
+
+def count_mixed(monkeypatch):
+    """The number of bits of every later call of ``Mixer.costs``."""
+    mixed, costs = [], lm.Mixer.costs
+
+    def run(self, logits, gate, bit):
+        mixed.append(len(bit))
+        return costs(self, logits, gate, bit)
+
+    monkeypatch.setattr(lm.Mixer, "costs", run)
+    return mixed
+
+
+def test_equal_tokens_are_predicted_once(monkeypatch):
+    words = small_words()
+    counts, mixer = drawn_counts(9, lm.WORD_SLOTS), drawn_mixer(10, lm.CONTEXTS, lm.WORD_GATES)
+    text = [1, 3, 2, words.escape, 4, 0]
+    once = lm.word_costs(np.array(text), np.array([0]), words, counts, mixer)
+    mixed = count_mixed(monkeypatch)
+    whole, begins = np.array(text * 500), np.arange(0, 3000, 6)
+    found = lm.word_costs(whole, begins, words, counts, mixer)
+    assert np.allclose(found, np.tile(once, 500), rtol=1e-12)
+    assert sum(mixed) == np.diff(words.code.starts)[text].sum()
+    monkeypatch.setattr(lm, "PIECE", 7)  # pieces do not matter
+    assert np.allclose(lm.word_costs(whole, begins, words, counts, mixer), found, rtol=1e-12)
+    assert len(lm.word_costs(np.zeros(0, np.int64), np.zeros(0, np.int64), words, counts, mixer)) == 0
+
+
+def test_equal_letters_are_predicted_once(monkeypatch):
+    counts, mixer = drawn_counts(11, lm.SPELL_SLOTS), drawn_mixer(12, len(lm.SPELL_BITS), lm.SPELL_GATES)
+    # A byte of 0 must not be taken for the lack of one.
+    words = [b"tide", b"\0", b"\0\0", b"a\0", b"\0a\0\0\0\0", b"", b"tidetide", "ünd".encode()]
+    alone = [float(lm.spelled([word], counts, mixer)[0]) for word in words]
+    for word, cost in zip(words, alone):  # against all bytes one by one
+        _, byte, hashes = lm.letters([word])
+        plain = 0.0
+        for place in range(8):
+            slots, value = lm.letter_slots(hashes, byte, place)
+            logits, sure = counts.predict(slots, value, 0)
+            plain += mixer.costs(logits, place * lm.STEPS + sure, value).sum()
+        assert math.isclose(plain, cost, rel_tol=1e-5)
+    mixed = count_mixed(monkeypatch)
+    found = lm.spelled(words * 300, counts, mixer)
+    assert np.allclose(found, alone * 300, rtol=1e-6)
+    assert sum(mixed) <= 8 * sum(len(word) + 1 for word in words)
+    monkeypatch.setattr(lm, "PIECE", 5)
+    assert np.allclose(lm.spelled(words * 3, counts, mixer), alone * 3, rtol=1e-6)
+
+
+def test_slots_are_counted_as_by_a_plain_loop(spark):
+    context, words = spark.sparkContext, small_words()
+    texts = ["the sea the sea the moon", "of", "", "the gull the sea", "the gull the sea"]
+    used = [True, True, True, True, False]
+    rows = spark.createDataFrame(
+        [(k, u, bytearray(t.encode())) for k, (t, u) in enumerate(zip(texts, used))],
+        "id long, training boolean, data binary",
+    )
+    index, expected = {w: k for k, w in enumerate(words.words)}, np.zeros((2, lm.WORD_SLOTS))
+    for text, learned in zip(texts, used):
+        symbols = [index.get(w, words.escape) for w in lm.tokens_of(text.encode())]
+        for at, symbol in enumerate(symbols if learned else []):
+            a, b = words.code.starts[symbol], words.code.starts[symbol + 1]
+            for node, bit in zip(words.code.nodes[a:b], words.code.bits[a:b]):
+                for slot_at in plain_slots(symbols[:at], int(node)):
+                    expected[bit, slot_at] += 1
+    shared = context.broadcast(words)
+    found = lm.count_word_contexts(lm.code_texts(rows, shared), shared)
+    assert (found == expected).all()
+
+
+def test_letters_are_counted_as_by_a_plain_loop(spark):
+    rare = [(b"tide", 3), (b"tid", 1), (b"\0", 2), (b"\0\0", 5), (b"etide", 4)] * 2
+    expected = np.zeros((2, lm.SPELL_SLOTS))
+    for word, c in rare:
+        _, byte, hashes = lm.letters([word])
+        for place in range(8):
+            slots, value = lm.letter_slots(hashes, byte, place)
+            for row in slots:
+                np.add.at(expected, (value, row), c)
+    frame = spark.createDataFrame([(bytearray(w), c) for w, c in rare], "word binary, c long")
+    assert (lm.count_letter_contexts(frame) == expected).all()
+
+
+def test_bits_without_weights_are_alike():
+    drawn = np.random.RandomState(13)
+    logits = drawn.normal(size=(lm.CONTEXTS, 5000)).astype(np.float32)
+    gate, bit = drawn.randint(0, lm.WORD_GATES, 5000), drawn.randint(0, 2, 5000)
+    mixers = [drawn_mixer(14, lm.CONTEXTS, lm.WORD_GATES) for _ in range(2)]
+    for _ in range(3):
+        mixers[0].learn(logits, gate, bit)
+        mixers[1].learn(logits, gate, bit, np.ones(5000, np.float32))
+    assert (mixers[0].flat() == mixers[1].flat()).all()
+
+
+def test_texts_are_split_as_one_by_one():
+    texts = [b"", b" \t\n\x0b\x0c\r ", b"  Ab\x0bcD ", b"\x1cQ\x85", "ÄB\u00a0c\u2003d É".encode()]
+    texts += [b"\0 \0A", b"\xff\xfeZ \xc3", b"x"]
+    for part in (texts, texts[::-1], [], [b""]):
+        for first in range(min(len(part), 3) + 1):  # also of a slice
+            rows = pa.array([b"other text", *part], pa.binary())[first + 1 :]
+            found, sizes = lm.split_texts(rows)
+            wanted = [lm.tokens_of(text) for text in part[first:]]
+            assert found.to_pylist() == [w for words in wanted for w in words]
+            assert sizes.tolist() == [len(words) for words in wanted]
