@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliospark.session import broadcast_limit, salt_buckets
 
 SMALL_BYTES = 256 * 1024 * 1024  # a table that may be dealt anew to all cores
+WAVES = 4  # tasks a core gets one after the other of rows that are dealt evenly
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -36,6 +37,16 @@ def spread_small(df: DataFrame, *by: str) -> DataFrame:
     return df
 
 
+def spread_evenly(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores before work that waits for each of them.
+
+    Such work takes as long as a task has rows, and a core without a task waits for
+    nothing. Splits of files are as many and as even as the files; here each core gets
+    ``WAVES`` tasks of the same number of rows, whatever their keys.
+    """
+    return df.repartition(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,

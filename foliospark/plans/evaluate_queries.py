@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import evaluation as ev
 from foliospark.operators import hierarchy
-from foliospark.operators.scale import join_dimension
+from foliospark.operators.scale import join_dimension, spread_evenly
 from foliospark.plans.driver_tables import DriverTables
 from foliospark.plans.registry import query
 from foliospark.session import materialise, scratch_path
@@ -37,11 +37,11 @@ def apply_templates(t: DriverTables) -> DataFrame:
     )
 
 
-def _root_requests(t: DriverTables) -> DataFrame:
+def _root_requests(t: DriverTables, pages: DataFrame) -> DataFrame:
     # Written first: a join is planned with the product of its sides' sizes.
     questions = materialise(ev.apply_templates(t.evaluations, t.templates), "questions")
-    tasks = ev.tasks_for_pages(t.pages, ev.first_level(questions), carry_text=True)
-    return ev.build_requests(tasks, t.pages, questions)
+    tasks = ev.tasks_for_pages(pages, ev.first_level(questions), carry_text=True)
+    return ev.build_requests(tasks, pages, questions)
 
 
 @query(
@@ -61,7 +61,7 @@ def _root_requests(t: DriverTables) -> DataFrame:
 )
 def evaluation_requests(t: DriverTables) -> DataFrame:
     messages = F.col("messages")
-    return _root_requests(t).select(
+    return _root_requests(t, t.pages).select(
         "file_id",
         "content_id",
         "evaluation_id",
@@ -92,7 +92,7 @@ def evaluation_requests(t: DriverTables) -> DataFrame:
 )
 def requests_sink(t: DriverTables) -> DataFrame:
     path = scratch_path(t.spark, "requests")
-    sinks.write_requests(_root_requests(t).select("metadata", "messages", "tools"), path)
+    sinks.write_requests(_root_requests(t, t.pages).select("metadata", "messages", "tools"), path)
     schema = (
         "metadata STRUCT<evaluation_id: STRING, file_content_id: STRING>, "
         "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -121,7 +121,7 @@ def respond_in_tasks(t: DriverTables) -> DataFrame:
     def responder(requests: list[dict]) -> list[str]:
         return [answer_of(request) for request in requests]
 
-    return ev.respond(_root_requests(t), responder).select(
+    return ev.respond(_root_requests(t, t.pages), responder).select(
         "content_id", "evaluation_id", "response"
     )
 
@@ -156,7 +156,8 @@ def respond_concurrent(t: DriverTables) -> DataFrame:
         requests = tasks.withColumn("metadata", metadata)
         return ev.respond_concurrently(requests, ask, timeout=0.5).drop("metadata")
 
-    asked = _root_requests(t).select("content_id", "evaluation_id", "messages", "tool_choice")
+    pages = spread_evenly(t.pages)  # before they are asked, so that a text is dealt once
+    asked = _root_requests(t, pages).select("content_id", "evaluation_id", "messages", "tool_choice")
     start = datetime(2024, 1, 1)
     attempts.attempt(asked, 0, root, work, now=start)
     attempts.finish_waiting(t.spark, root, 0, work, wait=lambda due: due)
